@@ -1,0 +1,279 @@
+"""Each operator against a brute-force version, on small rows and on a whole table."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from fareindex.llm import langid, media, packing, secret_scan, simhash, toxicity
+from fareindex.llm import queries as q
+
+DDL = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Nulls, empty and very long texts, ties, repeated rows, other scripts and clashing columns."""
+    rng = random.Random(3)
+    words = ["der", "la", "the", "of", "x1", "Ünï", "日本語", "a+b", "e@mail.com"]
+    texts = [None, "", " ", "\n\t", "one", "one two", "one two three", "…!?", "a" * 30_000, " ".join(rng.choices(words, k=9_000))]
+    texts += [" ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(60)]
+    base = " ".join(rng.choices([f"w{i}" for i in range(500)], k=200))
+    texts += [base] * 30 + [base + " tail"] * 3
+    rows = [(i, t, rng.choice(["en", "fr", None]), "s", None, 0.5, 7) for i, t in enumerate(texts)]
+    rows += [rows[5], rows[5], (None, "no id", "en", None, None, None, None), (None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, DDL)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DDL)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, 1, i % 2) for i in range(50)] + [(None, None, None), (3, None, None)], "doc_id long, quality int, toxic int")
+
+
+def table(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def test_media_round_trip(spark, docs, sf):
+    for df in (docs, table(spark, sf)):
+        source = df.select("doc_id", "text").collect()
+        got = media.media_digest(df, ["doc_id"]).collect()
+        assert len(got) == len(source)
+        want = Counter()
+        for r in source:
+            raw = (r["text"] or "").encode()
+            padded = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+            want[r["doc_id"], len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:])] += 1
+        assert want == Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got)
+        assert all(r["keyframes"][0]["end"] - r["keyframes"][0]["start"] == 64 for r in got)
+
+
+def test_media_reads_other_layouts():
+    payload = bytes(range(256)) * 40
+    data = media.wrap_samples(payload)
+    assert media.read_samples(data, media.parse_media(data)["tracks"][0]) == payload
+    for cut in range(0, len(data), 37):
+        media.describe(data[:cut])
+    broken = bytearray(data)
+    rng = random.Random(1)
+    for _ in range(300):
+        broken[rng.randrange(700)] = rng.randrange(256)
+        media.describe(bytes(broken))
+    assert media.describe(None) == "-|error=empty"
+    deep = b"\0\0\0\x08free"
+    for _ in range(3000):
+        deep = (len(deep) + 8).to_bytes(4, "big") + b"moov" + deep
+    assert "no track" in media.describe(deep)
+
+
+def reference_print(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (text or "").encode()))
+    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_matches_all_pairs(spark, docs, sf):
+    for df in (docs, table(spark, sf)):
+        rows = df.select("doc_id", "text").collect()
+        prints = [reference_print(r["text"]) for r in rows]
+        root = list(range(len(rows)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        a = np.array(prints, dtype=np.uint64)
+        for i in range(len(a)):
+            for j in np.flatnonzero(np.bitwise_count(a ^ a[i]) <= 2):
+                x, y = find(i), find(int(j))
+                root[max(x, y)] = min(x, y)
+        least = defaultdict(list)
+        for i, r in enumerate(rows):
+            if r["doc_id"] is not None:
+                least[find(i)].append(r["doc_id"])
+        want = Counter((r["doc_id"], f"{prints[i]:016x}", min(least[find(i)], default=None)) for i, r in enumerate(rows))
+        assert want == Counter(map(tuple, simhash.simhash_digest(df).collect()))
+
+
+def test_simhash_links_and_masks(spark):
+    masks = simhash.covering_masks()
+    rng = random.Random(5)
+    for i in range(64):
+        for j in range(64):
+            assert any(not m >> i & 1 and not m >> j & 1 for m in masks)
+    prints = set()
+    for _ in range(40):  # crowded buckets: many prints around few centres
+        c = rng.getrandbits(64)
+        prints |= {c ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (rng.random() < 0.5) << rng.randrange(64) for _ in range(40)}
+    prints = sorted(prints)
+    root = {p: p for p in prints}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for i, p in enumerate(prints):
+        for o in prints[:i]:
+            if (p ^ o).bit_count() <= 2:
+                root[find(p)] = find(o)
+    df = spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp long")
+    found = {r["a"]: r["root"] for r in simhash.components(simhash.fingerprint_links(df)).collect()}
+    classes = defaultdict(set)
+    for p in prints:
+        classes[find(p)].add(simhash._signed(p))
+    for members in classes.values():
+        assert {found.get(m, m) for m in members} == {min(members)}
+
+
+def test_representatives_keep_one_row_of_each_class(spark, docs, empty):
+    kept = simhash.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    rows = docs.select("doc_id", "text").collect()
+    assert kept.count() == simhash.near_duplicate_classes(docs, []).select("component_id").distinct().count()
+    assert 30 < kept.count() < len(rows) - 30
+    assert simhash.keep_representatives(empty).count() == 0
+
+
+def check_packing(rows, got):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    want = {}
+    for r in rows:
+        want.setdefault(r["doc_id"], []).append([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 1])
+    pieces = defaultdict(list)
+    for p in got:
+        pieces[p["doc_id"]].append(p)
+    assert pieces.keys() == want.keys()
+    for doc, parts in pieces.items():
+        if len(want[doc]) == 1:
+            ids, at = want[doc][0], 0
+            for p in sorted(parts, key=lambda p: p["start"]):
+                assert p["start"] == at and p["length"] > 0 and p["doc_tokens"] == len(ids)
+                assert p["ids_crc32"] == zlib.crc32(np.array(ids[at : at + p["length"]], "<u4").tobytes())
+                at += p["length"]
+            assert at == len(ids)
+        else:
+            assert sum(p["length"] for p in parts) == sum(map(len, want[doc]))
+    sequences = defaultdict(list)
+    for p in got:
+        sequences[p["sequence_id"]].append((p["offset"], p["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048 and at.bit_count() == 1
+
+
+def test_packing_places_every_id_once(spark, docs, empty, sf):
+    more = spark.createDataFrame([(900, "a   b \n \n c  ", ), (901, "x <|endoftext|> y")], "doc_id long, text string")
+    for df in (docs.select("doc_id", "text").union(more), table(spark, sf).select("doc_id", "text")):
+        check_packing(df.collect(), packing.pack(df).collect())
+    assert packing.pack(empty).count() == 0
+
+
+def test_packing_puts_like_documents_together():
+    rng = np.random.default_rng(0)
+    shard = [np.concatenate([[rng.integers(0, 40) + 100 * (i % 8) for _ in range(300)], [1]]).astype(np.uint16) for i in range(160)]
+    rng.shuffle(shard)
+    topic = [int(np.bincount(d[:-1] // 100).argmax()) for d in shard]
+    together = [len({topic[d] for d, *_ in s}) for s in packing.pack_shard(shard) if len(s) > 3]
+    assert np.mean(together) < 2.5
+
+
+BASE = (
+    (r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m.group(2)) >= 8),
+    (r"AKIA[A-Z0-9]+", lambda m: len(m.group()) >= 16),
+    (r"[0-9a-f]+", lambda m: len(m.group()) >= 32),
+)
+
+
+def test_secret_base_spans(spark, docs, sf):
+    rng = random.Random(2)
+    pieces = ["password", "Secret", "TOKEN", "api_key", "apiKey", '"', "'", ":", "=", " ", "AKIA", "ABCDEF0123456789", "deadbeef01234567", "abcdef" * 6, "x", "\n", "é", "K", "ſecret", "xAKIA", "hunter2hunter2"]
+    rows = [(1000 + i, "".join(rng.choices(pieces, k=rng.randint(3, 30)))) for i in range(400)]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string")).union(table(spark, sf).selectExpr("doc_id + 5000", "text"))
+    want = Counter()
+    for r in df.collect():
+        spans = sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(BASE) for m in re.finditer(p, r["text"] or "") if ok(m))
+        line = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans)
+        n = Counter(k for _, k, _ in spans)
+        want[r["doc_id"], n[0], n[1], n[2], hashlib.sha256(line.encode()).hexdigest()] += 1
+    got = secret_scan.secret_digest(df).collect()
+    assert want == Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in got)
+
+
+def test_randomness_battery():
+    rng = random.Random(9)
+    for alphabet in ("0123456789abcdef", secret_scan.ALPHABETS[6][1], secret_scan.ALPHABETS[7][1]):
+        p = [secret_scan.battery(t, secret_scan.infer_encoding(t)) for t in ("".join(rng.choices(alphabet, k=48)) for _ in range(500))]
+        assert np.mean(np.array(p) < 0.01) < 0.05
+    for regular in ("abcabcabcabcabcabcabcabc", "a" * 40, "0123456789abcdef0123456789abcdef", "theringationhendereable"):
+        name = secret_scan.infer_encoding(regular)
+        assert secret_scan.battery(regular, name) < 0.01 or secret_scan.surprise(regular, name) < 5
+
+
+def test_random_tokens_are_added_and_masked(spark, empty):
+    rng = random.Random(4)
+    alphabet = secret_scan.ALPHABETS[6][1]
+    rows = [(i, "this is plain text with verylongcompoundwordsinside and-some-hyphenated-words-too " * 3) for i in range(200)]
+    keys = ["".join(rng.choices(alphabet, k=40)) for _ in range(20)]
+    rows += [(500 + i, f"see {k} here") for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.secret_digest(df).collect()}
+    assert all(found[i] == "" for i in range(200))
+    assert sum(found[500 + i] == "random:4:44" for i in range(20)) >= 17
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.mask_secrets(df).collect()}
+    assert sum(masked[500 + i] == "see <random> here" for i in range(20)) >= 17
+    assert secret_scan.secret_digest(empty).count() == 0
+
+
+def test_language_accuracy_and_edges(spark, docs, empty, sf):
+    truth = {r["doc_id"]: r["lang"] for r in table(spark, sf).select("doc_id", "lang").collect()}
+    got = [r for r in langid.language_digest(table(spark, sf)).collect()]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    held = [r for r in got if r["held_out"]]
+    assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.97
+    rows = docs.select("doc_id", "text").collect()
+    out = langid.language_digest(docs).collect()
+    assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out)
+    blank = {r["doc_id"] for r in rows if r["doc_id"] is not None and not any(map(str.isalpha, r["text"] or ""))}
+    assert blank and all((r["lang_pred"] == "und") == (r["doc_id"] in blank) for r in out if r["doc_id"] is not None)
+    assert langid.language_digest(empty).count() == 0
+    unlabelled = langid.language_digest(docs.selectExpr("doc_id", "text", "cast(null as string) lang"))
+    assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
+    assert langid.keep_identified(docs).columns == docs.columns
+
+
+def test_toxicity_accuracy_and_edges(spark, docs, labels, empty, sf):
+    marks = spark.read.parquet(f"{sf}/labels.parquet")
+    truth = {r["doc_id"]: r["toxic"] for r in marks.collect()}
+    got = toxicity.toxicity_digest(table(spark, sf), marks).collect()
+    assert len(got) == table(spark, sf).count()
+    held = [(r["predicted"], truth[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in truth]
+    assert np.mean([a == b for a, b in held]) > 0.93
+    assert all((r["score"] >= 0.5) == (r["predicted"] == 1) and 0 <= r["score"] <= 1 for r in got)
+    out = toxicity.toxicity_digest(docs, labels).collect()
+    assert len(out) == docs.count() and all(r["score"] is not None for r in out)
+    assert toxicity.toxicity_digest(empty, labels).count() == 0
+    assert toxicity.toxicity_digest(docs, labels.limit(0)).count() == docs.count()
+    assert toxicity.keep_civil(docs, labels).columns == docs.columns
+
+
+def test_queries_are_registered():
+    assert set(q.oracle_sql()) <= set(q.queries())
