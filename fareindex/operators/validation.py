@@ -80,7 +80,7 @@ def backtest_table(index_monthly: DataFrame, reference_monthly: DataFrame, keys=
 
 
 def ols(df: DataFrame, y: str, xs: list[str], by=()) -> DataFrame:
-    """Least squares with an intercept: (by, term, beta, t, r2, n).
+    """Least squares with an intercept: (by, term, beta, t, r2, n_rows).
 
     One aggregation forms the centred moments of each group; only these k x k
     sums reach Python. Groups with no more rows than terms get zeros.
@@ -88,11 +88,11 @@ def ols(df: DataFrame, y: str, xs: list[str], by=()) -> DataFrame:
     names = [f"v{i}" for i in range(len(xs) + 1)]
     groups = [f"g{i}" for i in range(len(by))]
     full = df.dropna(subset=[*xs, y]).select(*[F.col(c).alias(g) for c, g in zip(by, groups)], *[F.col(c).cast("double").alias(v) for c, v in zip([*xs, y], names)])
-    means = full.groupBy(*groups).agg(*[F.avg(v).alias(f"mean_{v}") for v in names], F.count("*").alias("n"))
+    means = full.groupBy(*groups).agg(*[F.avg(v).alias(f"mean_{v}") for v in names], F.count("*").alias("n_rows"))
     joined = full.join(means, groups) if by else full.crossJoin(F.broadcast(means))
     d = {v: F.col(v) - F.col(f"mean_{v}") for v in names}
     moments = [F.sum(d[a] * d[b]).alias(f"s_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i]
-    sums = joined.groupBy(*groups).agg(F.max("n").alias("n"), *[F.max(f"mean_{v}").alias(f"mean_{v}") for v in names], *moments)
+    sums = joined.groupBy(*groups).agg(F.max("n_rows").alias("n_rows"), *[F.max(f"mean_{v}").alias(f"mean_{v}") for v in names], *moments)
     k = len(xs)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*by).schema)
 
@@ -101,7 +101,7 @@ def ols(df: DataFrame, y: str, xs: list[str], by=()) -> DataFrame:
             rows = []
             for r in pdf.to_dict("records"):
                 s = np.array([[r[f"s_{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
-                n, mean = int(r["n"]), np.array([r[f"mean_v{i}"] for i in range(k)])
+                n, mean = int(r["n_rows"]), np.array([r[f"mean_v{i}"] for i in range(k)])
                 beta, t, r2 = np.zeros(k + 1), np.zeros(k + 1), 0.0
                 if n > k + 1:
                     inverse = np.linalg.inv(s[:k, :k] + RIDGE * np.eye(k))
@@ -112,10 +112,10 @@ def ols(df: DataFrame, y: str, xs: list[str], by=()) -> DataFrame:
                     beta = np.append(r[f"mean_v{k}"] - slopes @ mean, slopes)
                     t = np.divide(beta, errors, out=np.zeros(k + 1), where=errors > 0)
                     r2 = 1 - rest / s[k, k] if s[k, k] > 0 else 0.0
-                rows += [{c: r[g] for c, g in zip(by, groups)} | {"term": c, "beta": beta[i], "t": t[i], "r2": r2, "n": n} for i, c in enumerate(["intercept", *xs])]
-            yield pd.DataFrame(rows, columns=[*by, "term", "beta", "t", "r2", "n"])
+                rows += [{c: r[g] for c, g in zip(by, groups)} | {"term": c, "beta": beta[i], "t": t[i], "r2": r2, "n_rows": n} for i, c in enumerate(["intercept", *xs])]
+            yield pd.DataFrame(rows, columns=[*by, "term", "beta", "t", "r2", "n_rows"])
 
-    return sums.mapInPandas(solve, f"{fields}term string, beta double, t double, r2 double, n long")
+    return sums.mapInPandas(solve, f"{fields}term string, beta double, t double, r2 double, n_rows long")
 
 
 def driver_table(monthly: DataFrame, covariates: DataFrame, xs: list[str], on: str = "period", keys=(), last: int | None = None) -> DataFrame:

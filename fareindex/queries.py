@@ -439,7 +439,7 @@ QUERIES = {
             (SELECT {PEARSON.format('rx', 'ry')} AS spearman FROM (SELECT rank() OVER (ORDER BY x) AS rx, rank() OVER (ORDER BY y) AS ry FROM pairs))""", "rebased")),
     "backtest_table": (lambda s, d: rounded(validation.backtest_table(monthly(s, d), views.reference_series(s, d)), 3),
         sql("SELECT period, round(x, 3) AS x, round(y, 3) AS y, round(a, 3) AS a, round(b, 3) AS b, round(gap, 3) AS gap, round(da, 3) AS da, round(db, 3) AS db FROM rebased", "rebased")),
-    "ols": (_ols_check, sql("""SELECT term, round(beta, 3) AS beta, round(r2, 3) AS r2, n FROM (SELECT 'x' AS term, regr_slope(y, x) AS beta, regr_r2(y, x) AS r2, count(*) AS n FROM pairs UNION ALL
+    "ols": (_ols_check, sql("""SELECT term, round(beta, 3) AS beta, round(r2, 3) AS r2, n_rows FROM (SELECT 'x' AS term, regr_slope(y, x) AS beta, regr_r2(y, x) AS r2, count(*) AS n_rows FROM pairs UNION ALL
         SELECT 'intercept', regr_intercept(y, x), regr_r2(y, x), count(*) FROM pairs)""", "pairs")),
     "ols_by_route": (_panel, None),
     "driver_regression": (_drivers, None),

@@ -44,7 +44,8 @@ def upkeep(raw_path: str, points_path: str, base: DataFrame, weights: DataFrame)
 def error_windows(log: DataFrame, width: str = "1 day", delay: str = "1 day", time: str = "ts") -> DataFrame:
     """Errors and blocks of each source in event-time windows; works on streams and tables."""
     return (
-        log.withWatermark(time, delay)
+        log.withColumn(time, F.col(time).cast("timestamp"))
+        .withWatermark(time, delay)
         .groupBy(F.window(time, width), "source_id")
         .agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("http_errors"), F.count_if(F.col("event_type") == "signup").alias("block_events"))
     )
