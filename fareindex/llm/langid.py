@@ -130,12 +130,19 @@ def train_ftrl(x: list[tuple[np.ndarray, np.ndarray]], y: list[int], classes: in
 
 
 def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature with the least negative log-likelihood, by golden-section search on its logarithm."""
-    if not len(y):
+    """The temperature with the least negative log-likelihood, by golden-section search on its logarithm.
+
+    Targets are smoothed by one pseudo-count per class, so a sample without an
+    error does not make the model certain of everything.
+    """
+    n, classes = logits.shape if logits.ndim == 2 else (0, 0)
+    if not n or classes < 2:
         return 1.0
+    target = np.full((n, classes), 1 / (n + classes))
+    target[np.arange(n), y] += n / (n + classes)
 
     def loss(s):
-        return -np.log(np.maximum(softmax(logits / np.exp(s))[np.arange(len(y)), y], 1e-12)).mean()
+        return -(target * np.log(np.maximum(softmax(logits / np.exp(s)), 1e-12))).sum(1).mean()
 
     a, b, r = -4.0, 3.0, (5**0.5 - 1) / 2
     for _ in range(40):
