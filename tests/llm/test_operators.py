@@ -261,12 +261,14 @@ def test_language_accuracy_and_edges(spark, docs, empty, sf):
 
 
 def test_toxicity_accuracy_and_edges(spark, docs, labels, empty, sf):
-    marks = spark.read.parquet(f"{sf}/labels.parquet")
+    big = sf.replace("sf0.01", "sf0.1")  # sf0.01 holds out six toxic documents, too few for a rate
+    marks = spark.read.parquet(f"{big}/labels.parquet")
     truth = {r["doc_id"]: r["toxic"] for r in marks.collect()}
-    got = toxicity.toxicity_digest(table(spark, sf), marks).collect()
-    assert len(got) == table(spark, sf).count()
+    got = toxicity.toxicity_digest(table(spark, big), marks).collect()
+    assert len(got) == table(spark, big).count()
     held = [(r["predicted"], truth[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in truth]
-    assert np.mean([a == b for a, b in held]) > 0.93
+    assert np.mean([a == b for a, b in held]) > 0.96  # always answering 0 is right for 0.88
+    assert np.mean([a for a, b in held if b]) > 0.8 and np.mean([b for a, b in held if a]) > 0.8
     assert all((r["score"] >= 0.5) == (r["predicted"] == 1) and 0 <= r["score"] <= 1 for r in got)
     out = toxicity.toxicity_digest(docs, labels).collect()
     assert len(out) == docs.count() and all(r["score"] is not None for r in out)
