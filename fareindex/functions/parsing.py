@@ -67,6 +67,10 @@ def epoch_day(day: Column) -> Column:
     return F.unix_date(day)
 
 
+def day_of_epoch(n: Column) -> Column:
+    return F.date_from_unix_date(n)
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 

@@ -464,6 +464,13 @@ QUERIES = {
         "SELECT page_id, regexp_matches(lower(html), 'captcha|unusual traffic|verify you are human|access denied|cf-challenge|_incapsula_resource|error') AS blocked FROM pages"),
     "extract_quotes": (_pages, None),
     "report_headline": (lambda s, d: rounded(reports.headline_report(points(s, d), relatives(s, d), "period"), 3), None),
+    "report_series": (lambda s, d: rounded(reports.series_report(points(s, d), "month"), 3),
+        sql(f"""SELECT period, round(value, 3) AS value, CAST(1 AS BIGINT) AS n, round({pct("a", "value")}, 3) AS change, round({pct("b", "value")}, 3) AS yoy FROM (SELECT *, lag(value) OVER (ORDER BY period) AS a, lag(value, 12) OVER (ORDER BY period) AS b
+            FROM (SELECT strftime(date, '%Y-%m') AS period, smoothed AS value FROM smooth))""", "smooth")),
+    "report_sub_indices": (lambda s, d: rounded(reports.sub_index_report(regional_cells(s, d), weights(s, d), BASE, "period", 24, half_window=3, unit="month").select("grouping", "key", "period", "rebased"), 3),
+        sql("""SELECT grouping, key, period, round(level / first_value(level) OVER (PARTITION BY grouping, key ORDER BY period) * 100, 3) AS rebased FROM (
+            SELECT 'lead_time' AS grouping, CAST(lead_time AS VARCHAR) AS key, period, sum(weight * price) / sum(weight) AS level FROM cells JOIN weights USING (route_id) GROUP BY lead_time, period QUALIFY row_number() OVER (PARTITION BY lead_time ORDER BY period DESC) <= 24
+            UNION ALL SELECT 'region', region, period, sum(weight * price) / sum(weight) FROM cells JOIN weights USING (route_id) GROUP BY region, period QUALIFY row_number() OVER (PARTITION BY region ORDER BY period DESC) <= 24)""", "cells", "weights")),
     "report_basket": (lambda s, d: rounded(reports.basket_report(relatives(s, d), regional_cells(s, d), weights(s, d), "period"), 3), None),
     "report_pipeline": (lambda s, d: rounded(reports.pipeline_report(dims.sources(s), audit.sweep_audit(views.sweep_log(s, d), 10)), 3), None),
     "report_explorer": (lambda s, d: rounded(reports.explorer_report(tagged(s, d), "ASIA-EUROPE", "1996-05-01", views.CELL, "period"), 3), None),
