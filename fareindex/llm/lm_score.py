@@ -1,8 +1,11 @@
 """Cross-entropy difference of matched language models.
 
-A target and a background bigram model share one vocabulary and one estimator;
-each document is scored by the mean difference of its tokens' losses. Word
-counts and bigram counts cover every document of the corpus.
+A target and a background bigram model share one vocabulary, that of all words
+of the corpus, and one estimator; each document is scored by the mean difference
+of its tokens' losses. Bigrams are dealt by hash to parts of bounded size. A
+part counts its bigrams, gets the totals of their words, which are summed over
+all parts, and returns each document's share of its losses. Nothing that grows
+with the vocabulary is broadcast or collected.
 """
 
 from __future__ import annotations
@@ -11,14 +14,19 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fareindex.llm.common import gather_texts, map_texts
+from fareindex.llm.common import gather_texts, struct
 
-VOCABULARY = 1_024  # 65,536 at most; words known to both models, counting <unk> and <s>: bounds the models at VOCABULARY ** 2 losses
-UNKNOWN, START = 0, 1
+VOCABULARY = 1_024  # words that shared_vocabulary lists by default
+START = 1  # the key before a text's first word; words have keys from 2 ** 62 up
+PART_CHARS = 24_000_000  # characters whose bigrams make up a part
 HELD_WORDS = 200_000  # distinct words that a task counts before it passes them on
+HELD_PAIRS, HELD_TEXTS = 1_000_000, 60_000  # what a task gathers before it deals; texts are numbered by 16 bits
 WORDS = re.compile(r"\w+")
 
 
@@ -50,97 +58,178 @@ def shared_vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
     return ["", "", *(r["word"] for r in top)]
 
 
-def token_ids(text: str | None, ids: dict[str, int]) -> np.ndarray:
-    """START, then the id of each word."""
-    words = words_of(text)
-    return np.fromiter((START, *(ids.get(w, UNKNOWN) for w in words)), np.int64, len(words) + 1)
+class WordKeys(dict):
+    """62-bit hashes of words, with bit 62 set; forgets when it holds HELD_WORDS."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) >= HELD_WORDS:
+            self.clear()
+        key = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 2 | 1 << 62
+        return key
 
-def encoded(docs: DataFrame, vocabulary: list[str], keep: list[str]) -> DataFrame:
-    """`docs[keep]` with `ids`: START and the words' ids as 16-bit numbers."""
-    known = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary) if i > START})
 
-    def start():
-        return lambda texts: {"ids": [token_ids(t, known.value).astype("<u2").tobytes() for t in texts]}
+def compressed(x: np.ndarray) -> bytes:
+    """The length, then the bytes of `x` by significance, as Zstandard."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def restored(data: bytes, kind: str) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], n * width, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+
 
-    return map_texts(docs, start, "ids binary", keep)
+PAIRS = "part int, texts binary, sides binary, words binary, owner binary, times binary, before binary, after binary"
 
 
-def bigram_counts(coded: DataFrame, target: str, size: int) -> np.ndarray:
-    """[side, word before, word]: how often, in background (0) and target (1) rows of `ids`. At most size ** 2 sums reach the driver, as Arrow."""
+def dealt_pairs(sided: DataFrame, parts: int) -> DataFrame:
+    """Distinct bigrams of each row of (key, text, side), packed by part: places of the owner in `texts` and of both words in `words`, and times."""
 
     def start():
-        held = np.zeros((2, size * size), np.int64)
+        keys, texts, sides, tokens, lengths = WordKeys(), [], [], [], []
 
         def add(part):
-            for side in (0, 1):
-                codes = [np.zeros(0, np.int64)]
-                for ids, mark in zip(part["ids"], part[target]):
-                    if mark == side:
-                        x = np.frombuffer(ids, "<u2").astype(np.int64)
-                        codes.append(x[:-1] * size + x[1:])
-                held[side] += np.bincount(np.concatenate(codes), minlength=size * size)
+            for key, text, side in zip(part["key"], part["text"], part["side"]):
+                if words := words_of(text):
+                    tokens.append(np.fromiter((START, *map(keys.__getitem__, words)), np.int64, len(words) + 1))
+                    lengths.append(len(words) + 1)
+                    texts.append(key)
+                    sides.append(side)
 
         def flush(last):
-            if not last:
+            if not texts or not last and len(texts) < HELD_TEXTS and sum(lengths) < HELD_PAIRS:
                 return None
-            code = np.flatnonzero(held.any(0))
-            return {"code": code, "background": held[0, code], "target": held[1, code]}
+            x = np.concatenate(tokens)
+            owner = np.repeat(np.arange(len(texts)), lengths)
+            inner = np.flatnonzero(x[1:] != START)
+            a, b, owner = x[inner], x[inner + 1], owner[inner]
+            mixed = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+            part = ((mixed ^ mixed >> np.uint64(31)) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((owner, b, a, part))
+            a, b, owner, part = a[order], b[order], owner[order], part[order]
+            new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (owner[1:] != owner[:-1])])
+            times = np.diff(np.r_[new, len(a)]).astype("<u4")
+            a, b, owner, part = a[new], b[new], owner[new].astype("<u2"), part[new]
+            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            out = {name.split()[0]: [] for name in PAIRS.split(", ")}
+            names, marks = np.array(texts, np.int64), np.array(sides, np.uint8)
+            for lo, hi in zip(cuts, np.r_[cuts[1:], len(part)]):
+                here, place = np.unique(owner[lo:hi], return_inverse=True)
+                out["part"].append(int(part[lo]))
+                words, at = np.unique(np.concatenate([a[lo:hi], b[lo:hi]]), return_inverse=True)
+                before, after = np.split(at.astype("<u4"), 2)
+                columns = (names[here], marks[here], words, place.astype("<u2"), times[lo:hi], before, after)
+                for name, column in zip(("texts", "sides", "words", "owner", "times", "before", "after"), columns):
+                    out[name].append(compressed(column))
+            for held in (texts, sides, tokens, lengths):
+                held.clear()
+            return out
 
         return add, flush
 
-    sums = [F.sum(c).alias(c) for c in ("background", "target")]
-    rows = gather_texts(coded.select("ids", target), start, "code int, background long, target long").groupBy("code").agg(*sums).toArrow()
-    counts = np.zeros((2, size * size))
-    for side, name in enumerate(("background", "target")):
-        counts[side, rows["code"].to_numpy()] = rows[name].to_numpy()
-    return counts.reshape(2, size, size)
+    return gather_texts(sided.select("key", "text", "side"), start, PAIRS)
 
 
-def losses(counts: np.ndarray) -> np.ndarray:
-    """-log2 P(word | word before) by Witten-Bell interpolation with add-one unigrams."""
-    size = len(counts)
-    unigram = (counts.sum(0) + 1) / (counts.sum() + size)
-    seen, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-    mixed = (counts + np.maximum(kinds, 1) * unigram) / (seen + np.maximum(kinds, 1))
-    return -np.log2(mixed).astype(np.float32)
+class Part:
+    """The bigrams of a part, counted: `pair` is the place of each entry's bigram in `a`, `b` (places in `words`) and `counts`[side]."""
 
+    def __init__(self, table: pa.Table):
+        def unpacked(name, kind):
+            found = [restored(x.as_py(), kind) for x in table.column(name)]
+            return np.concatenate(found), np.array([len(x) for x in found])
 
-def score_texts(docs: DataFrame, vocabulary: list[str], target: np.ndarray, background: np.ndarray, keep: list[str]) -> DataFrame:
-    """`docs[keep]` with mean losses in bits a token; lower `score` is more like the target. Without tokens all are 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(vocabulary) if i > START}, target, background))
+        def firsts(sizes):
+            """For each entry, how many values the rows before its own hold."""
+            return np.repeat(np.cumsum(sizes) - sizes, entries)
 
-    def start():
-        ids, target, background = shared.value
+        owner, entries = unpacked("owner", "<u2")
+        self.texts, sizes = unpacked("texts", "<i8")
+        self.owner = owner + firsts(sizes)
+        self.times = unpacked("times", "<u4")[0]
+        words, sizes = unpacked("words", "<i8")
+        self.words, place = np.unique(words, return_inverse=True)
+        at = firsts(sizes)
+        code = place[unpacked("before", "<u4")[0] + at] * len(self.words) + place[unpacked("after", "<u4")[0] + at]
+        code, self.pair = np.unique(code, return_inverse=True)
+        self.a, self.b = np.divmod(code, len(self.words))
+        side = unpacked("sides", "u1")[0][self.owner]
+        self.counts = [np.bincount(self.pair, self.times * (side == s), len(code)) for s in (0, 1)]
 
-        def work(texts):
-            rows = []
-            for t in texts:
-                x = token_ids(t, ids)
-                n = len(x) - 1
-                a, b = (float(m[x[:-1], x[1:]].sum(dtype=np.float64)) / max(n, 1) for m in (target, background))
-                rows.append((n, a, b, a - b))
-            return dict(zip(("n_tokens", "target_loss", "background_loss", "score"), map(list, zip(*rows))))
+    def sums(self) -> list[np.ndarray]:
+        """SUMS of the part's words, in this part."""
+        n = len(self.words)
+        sums = [np.bincount(self.a, c, n) for c in self.counts]
+        sums += [np.bincount(self.a, c > 0, n) for c in self.counts]
+        return sums + [np.bincount(self.b, c, n) for c in self.counts]
 
-        return work
 
-    return map_texts(docs, start, "n_tokens long, target_loss double, background_loss double, score double", keep)
+#: Of each side: how often a word comes before another, how many kinds follow it, how often it comes after another.
+SUMS = ("seen_0", "seen_1", "kinds_0", "kinds_1", "n_0", "n_1")
 
 
-def cross_entropy_difference(docs: DataFrame, is_target: Column, keep: list[str], size: int = VOCABULARY) -> DataFrame:
+def losses(counts: np.ndarray, seen: np.ndarray, kinds: np.ndarray, n: np.ndarray, total: float, size: int) -> np.ndarray:
+    """-log2 P(word | word before) by Witten-Bell interpolation with add-one unigrams."""
+    kinds = np.maximum(kinds, 1)
+    return -np.log2((counts + kinds * (n + 1) / (total + size)) / (seen + kinds))
+
+
+def score_pairs(pairs: DataFrame) -> DataFrame:
+    """(key, n, target, background): token counts and summed losses, one row of each text and part that shares bigrams."""
+    sums = ", ".join(f"{c} long" for c in SUMS)
+    partial, out = struct(f"part int, word long, {sums}"), struct("key long, n long, target double, background double")
+
+    def count(table: pa.Table) -> pa.Table:
+        part = Part(table)
+        number = np.full(len(part.words), table.column("part")[0].as_py(), np.int32)
+        return pa.table(dict(zip(partial.names, (number, part.words, *(x.astype(np.int64) for x in part.sums())))))
+
+    def score(table: pa.Table, totals: pa.Table) -> pa.Table:
+        part = Part(table)
+        order = np.argsort(totals.column("word").to_numpy())  # that of part.words: a part gets the totals of its own words
+        known = {c: totals.column(c).to_numpy()[order] for c in totals.column_names}
+        n = np.bincount(part.owner, part.times, len(part.texts)).astype(np.int64)
+        summed = []
+        for s in (1, 0):
+            loss = losses(part.counts[s], known[f"seen_{s}"][part.a], known[f"kinds_{s}"][part.a], known[f"n_{s}"][part.b], known[f"total_{s}"][0], known["size"][0])
+            summed.append(np.bincount(part.owner, loss[part.pair] * part.times, len(part.texts)))
+        return pa.table(dict(zip(out.names, (part.texts, n, *summed))))
+
+    words = pairs.groupBy("part").applyInArrow(count, partial)
+    # <unk> and <s> are words of the vocabulary that the unigrams never saw
+    once = words.groupBy("word").agg(F.sum("n_0").alias("n_0"), F.sum("n_1").alias("n_1"))
+    whole = once.agg(F.sum("n_0").alias("total_0"), F.sum("n_1").alias("total_1"), (F.count_if(F.col("word") != START) + 2).alias("size"))
+    each = W.partitionBy("word")
+    totals = words.select("part", "word", *[F.sum(c).over(each).alias(c) for c in SUMS]).crossJoin(F.broadcast(whole))
+    return pairs.groupBy("part").cogroup(totals.groupBy("part")).applyInArrow(score, out)
+
+
+def score_texts(docs: DataFrame, sided: DataFrame, keep: list[str]) -> DataFrame:
+    """`docs[keep]` with mean losses in bits a token; lower `score` is more like the target. Without tokens all are 0.
+
+    `sided` holds the rows of `docs` as (key, text, side), key being the hash of
+    the text: copies have one score, and their sums are divided by their number.
+    """
+    key = F.xxhash64("text")
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    shares = score_pairs(dealt_pairs(sided, 1 + size // PART_CHARS))
+    copies = docs.groupBy(key.alias("key")).agg(F.count("*").alias("copies"))
+    summed = shares.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "target", "background")]).join(copies, "key")
+    found = docs.select(*keep, key.alias("key")).join(summed, "key", "left")
+    target, background = (F.coalesce(F.col(c) / F.col("n"), F.lit(0.0)) for c in ("target", "background"))
+    n = F.coalesce((F.col("n") / F.col("copies")).cast("long"), F.lit(0).cast("long"))
+    return found.select(*keep, n.alias("n_tokens"), target.alias("target_loss"), background.alias("background_loss"), (target - background).alias("score"))
+
+
+def cross_entropy_difference(docs: DataFrame, is_target: Column, keep: list[str]) -> DataFrame:
     """Both models from all of `docs`, split by the boolean `is_target` (null: background); every row scored."""
-    vocabulary = shared_vocabulary(docs, size)
-    sided = docs.select("text", F.coalesce(is_target, F.lit(False)).cast("int").alias("side_of"))
-    counts = bigram_counts(encoded(sided, vocabulary, ["side_of"]), "side_of", len(vocabulary))
-    return score_texts(docs, vocabulary, losses(counts[1]), losses(counts[0]), keep)
+    side = F.coalesce(is_target, F.lit(False)).cast("int").alias("side")
+    return score_texts(docs, docs.select(F.xxhash64("text").alias("key"), "text", side), keep)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Target: documents labelled of quality. Background: all others."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("of_quality", F.lit(1))
-    vocabulary = shared_vocabulary(docs)
-    coded = encoded(docs.select("doc_id", "text"), vocabulary, ["doc_id"])
-    # labels grow with the corpus: the same merge join at every size, over ids instead of texts
-    sides = coded.join(good.hint("merge"), "doc_id", "left").select("ids", F.coalesce("of_quality", F.lit(0)).alias("side_of"))
-    counts = bigram_counts(sides, "side_of", len(vocabulary))
-    return score_texts(docs, vocabulary, losses(counts[1]), losses(counts[0]), ["doc_id"])
+    # labels grow with the corpus: the same merge join at every size
+    sided = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).join(good.hint("merge"), "doc_id", "left")
+    return score_texts(docs, sided.select("key", "text", F.coalesce("of_quality", F.lit(0)).alias("side")), ["doc_id"])

@@ -248,3 +248,21 @@ def test_syncmers_match_brute_force(spark, docs, empty, table, monkeypatch):
 def test_syncmers_are_native(spark, table):
     plan = syncmers.syncmer_digest(table)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_lm_vocabulary_grows_with_the_corpus(spark):
+    """Rare words keep losses of their own however many words are more frequent."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{k}" for k in rng.sample(range(1_500), 60))) for i in range(200)]
+    rows += [(1000 + i, "rarely seenword") for i in range(3)] + [(2000 + i, "other plainword") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1000 + i, 1, 0) for i in range(3)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in lm_score.quality_scores(df, labels).collect()}
+    vocabulary = ["", "", *{w for _, t in rows for w in t.split()}]
+    assert len(vocabulary) > lm_score.VOCABULARY
+    sides = [brute_losses([t for d, t in rows if (1000 <= d < 1003) == side], vocabulary) for side in (True, False)]
+    for d, t in rows:
+        x = [1, *(sides[0][1][w] for w in t.split())]
+        want = [sum(loss(*p) for p in zip(x, x[1:])) / (len(x) - 1) for loss, _ in sides]
+        assert np.allclose((got[d]["target_loss"], got[d]["background_loss"]), want, atol=1e-6)
+    assert got[1000]["score"] < got[2000]["score"] - 1
