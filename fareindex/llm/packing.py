@@ -1,8 +1,11 @@
 """Sequence packing by lexical retrieval.
 
-Documents are dealt to shards of bounded size. A shard holds a BM25 inverted
-index over its documents' token ids; each seed document's strongest terms fetch
-the nearest unused documents, which greedily fill the rest of its window. The
+Document frequencies and the mean length are those of the whole corpus. Documents
+are sorted by their strongest terms under them and cut into shards of bounded
+size, so like documents meet at every size of the corpus. A shard holds a BM25
+inverted index over its documents' token ids; each seed document's strongest
+terms fetch the nearest unused documents, again and again while any match, which
+greedily fill the rest of its window. The
 last one is cut to fit and its remainder seeds the next window, so windows are
 full; what is left at the end of a shard is cut into powers of two.
 """
@@ -15,16 +18,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fareindex.llm.common import map_texts, struct
+from fareindex.llm.common import checkpointed, gather_texts, map_texts, struct
 
 WINDOW = 2048
 END = 1
 SHARD_DOCS = 1024
+RANGE_SHARDS = 8  # shards that a task cuts one after another
+TERMS = 1 << 16
 K1, B = 1.2, 0.75
-QUERY_TERMS, NEIGHBOURS = 16, 24
+QUERY_TERMS, NEIGHBOURS = 16, 24  # terms of a query; documents that one query fetches
+KEY_TERMS = 4  # strongest terms that order the documents, 16 bits each
 
 
 @lru_cache(maxsize=2)
@@ -58,10 +65,61 @@ def token_ids(text: str, path: str) -> np.ndarray:
     return np.array([*ids, END], np.uint16)
 
 
+class Corpus:
+    """What BM25 knows of all documents: their number, mean length, and how many hold each term."""
+
+    def __init__(self, n: int, mean_length: float, df: np.ndarray):
+        self.n, self.mean_length, self.df = n, mean_length, df
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Corpus:
+        df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=TERMS)
+        return cls(len(docs), sum(map(len, docs)) / len(docs), df)
+
+    def weights(self, terms: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return self.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean_length))
+
+    def likeness(self, ids: np.ndarray) -> int:
+        """The strongest terms that other documents hold too, strongest first, as a signed 64-bit number."""
+        terms, tf = np.unique(ids, return_counts=True)
+        weight = np.where(self.df[terms] > 1, self.weights(terms, tf, len(ids)), 0.0)
+        top = terms[np.lexsort((terms, -weight))[:KEY_TERMS]].tolist() + [0] * KEY_TERMS
+        return sum(t << 16 * (KEY_TERMS - 1 - i) for i, t in enumerate(top[:KEY_TERMS])) - (1 << 63)
+
+
+def corpus_of(coded: DataFrame) -> Corpus:
+    """Counted over every row of `ids`; at most TERMS + 2 sums reach the driver."""
+
+    def start():
+        df, size = np.zeros(TERMS, np.int64), np.zeros(2, np.int64)
+
+        def add(part):
+            for x in part["ids"]:
+                ids = np.frombuffer(x, np.uint16)
+                df[np.unique(ids)] += 1
+                size[:] += 1, len(ids)
+
+        def flush(last):
+            if not last:
+                return None
+            terms = np.flatnonzero(df)
+            return {"term": [*terms.tolist(), -1, -2], "n": [*df[terms].tolist(), *size.tolist()]}
+
+        return add, flush
+
+    rows = gather_texts(coded.select("ids"), start, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    sums = {r["term"]: r["n"] for r in rows}
+    n, length = sums.pop(-1, 0), sums.pop(-2, 0)
+    df = np.zeros(TERMS, np.int64)
+    df[list(sums)] = list(sums.values())
+    return Corpus(n, length / max(n, 1), df)
+
+
 class ShardIndex:
     """BM25 over one shard: postings by term, and each document's strongest terms."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus):
         n = len(docs)
         terms, tf, owner = [], [], []
         for i, ids in enumerate(docs):
@@ -71,13 +129,12 @@ class ShardIndex:
             owner.append(np.full(len(t), i))
         terms, tf, owner = map(np.concatenate, (terms, tf, owner))
         length = np.array([len(d) for d in docs], float)
-        df = np.bincount(terms, minlength=1 << 16)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / length.mean()))
+        df = np.bincount(terms, minlength=TERMS)
+        weight = corpus.weights(terms, tf, length[owner])
         self.n, ends = n, np.cumsum(np.bincount(owner, minlength=n))
         self.queries = []
         for lo, hi in zip(np.concatenate([[0], ends[:-1]]), ends):
-            w = np.where(df[terms[lo:hi]] > 1, weight[lo:hi], 0.0)
+            w = np.where(df[terms[lo:hi]] > 1, weight[lo:hi], 0.0)  # terms of no other document here fetch nothing
             top = np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS] if len(w) > QUERY_TERMS else np.arange(len(w))
             self.queries.append(terms[lo:hi][top[w[top] > 0]])
         order = np.argsort(terms, kind="stable")
@@ -97,9 +154,9 @@ class ShardIndex:
         return top[np.lexsort((top, -score[top]))].tolist()
 
 
-def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def pack_shard(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (document, start, length); all full but the last few, which have a power of two each."""
-    index = ShardIndex(docs)
+    index = ShardIndex(docs, corpus or Corpus.of(docs))
     unused = np.ones(len(docs), bool)
     waiting = iter(range(len(docs)))
     sequences, now, room = [], [], window
@@ -132,12 +189,13 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[
             carry = put(*carry)
         if not now:
             continue
-        for doc in index.neighbours(seed, unused):
-            unused[doc] = False
-            carry = put(doc, 0)
-            if not now or carry is not None:
-                break
-        # a window that its neighbours do not fill goes on with the next seed
+        while now and carry is None and (found := index.neighbours(seed, unused)):
+            for doc in found:
+                unused[doc] = False
+                carry = put(doc, 0)
+                if not now or carry is not None:
+                    break
+        # a window that all its neighbours do not fill goes on with the next seed
     left = [list(p) for p in now]
     size = sum(p[2] for p in left)
     for bit in reversed(range(size.bit_length())):
@@ -162,32 +220,52 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pack(docs: DataFrame, tokenizer: str | None = None, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """One row per piece of each document.
 
-    Shards get about `shard_docs` rows each, dealt by hash of the row, not of
-    any key, so no copy, source or repeated id makes one large. Null text is
-    empty and gives the one END token; an empty table gives no row.
+    Rows are sorted by the likeness of their texts, then by hash of the row, so
+    no copy, source or repeated id makes a range or a shard of about
+    `shard_docs` rows large. Null text is empty and gives the one END token; an
+    empty table gives no row.
     """
     path = tokenizer or default_tokenizer()
-    shards = max(1, -(-docs.count() // shard_docs))
 
     def start():
         return lambda texts: {"ids": [token_ids(t or "", path).tobytes() for t in texts]}
 
     coded = map_texts(docs.withColumn("row", F.monotonically_increasing_id()), start, "ids binary", ["doc_id", "row"])
-    dealt = coded.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)))
+    coded = checkpointed(coded)
+    corpus = corpus_of(coded)
+    shared = docs.sparkSession.sparkContext.broadcast(corpus)
+
+    def keys():
+        return lambda rows: {"likeness": [shared.value.likeness(np.frombuffer(x, np.uint16)) for x in rows]}
+
+    keyed = map_texts(coded, keys, "likeness long", ["doc_id", "row", "ids"], "ids")
+    order = ["likeness", F.xxhash64("doc_id", "row")]
+    ranges = max(1, -(-corpus.n // (RANGE_SHARDS * shard_docs)))
+    dealt = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "ids")
     schema = struct(PIECES)
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("row", "ascending")])
-        shard = table.column("shard")[0].as_py()
+    def packed(table: pa.Table, shard: int) -> pa.RecordBatch:
         names = table.column("doc_id").to_pylist()
         ids = [np.frombuffer(x, np.uint16) for x in table.column("ids").to_pylist()]
         out = []
-        for k, sequence in enumerate(pack_shard(ids)):
+        for k, sequence in enumerate(pack_shard(ids, corpus=shared.value)):
             at = 0
             for doc, lo, n in sequence:
-                out.append((names[doc], lo, n, zlib.crc32(ids[doc][lo : lo + n].astype("<u4").tobytes()), len(ids[doc]), (shard << 32) | k, at))
+                out.append((names[doc], lo, n, zlib.crc32(ids[doc][lo : lo + n].astype("<u4").tobytes()), len(ids[doc]), (shard << 24) | k, at))
                 at += n
-        kinds = [pa.int64()] * 7
-        return pa.table({f.name: pa.array(c, t) for f, c, t in zip(schema, zip(*out), kinds)})
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=schema.names)
+
+    def run(batches):
+        shard, held = TaskContext.get().partitionId() << 16, None
+        for batch in batches:
+            held = pa.concat_tables([*([held] if held else []), pa.Table.from_batches([batch])])
+            while held.num_rows >= 2 * shard_docs:
+                yield packed(held.slice(0, shard_docs), shard)
+                shard, held = shard + 1, held.slice(shard_docs)
+        rest = held.num_rows if held else 0
+        parts = max(1, round(rest / shard_docs))
+        for i in range(parts if rest else 0):
+            lo, hi = rest * i // parts, rest * (i + 1) // parts
+            yield packed(held.slice(lo, hi - lo), shard + i)
 
-    return dealt.groupBy("shard").applyInArrow(run, schema)
+    return dealt.mapInArrow(run, schema)

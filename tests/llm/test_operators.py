@@ -180,6 +180,23 @@ def check_packing(rows, got):
         assert at <= 2048 and at.bit_count() == 1
 
 
+def test_packing_deals_copies_to_one_shard(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices([f"{a}{b}" for a in ("stone", "river", "cloud", "market") for b in range(400)], k=300)) for _ in range(200)]
+    df = spark.createDataFrame([(i, texts[i % 200]) for i in range(400)], "doc_id long, text string")
+    shards = defaultdict(set)
+    for p in packing.pack(df, shard_docs=20).collect():
+        shards[p["doc_id"]].add(p["sequence_id"] >> 24)
+    assert len(set().union(*shards.values())) >= 10
+    assert np.mean([shards[i] == shards[i + 200] for i in range(200)]) > 0.8
+
+
+def test_packing_fetches_all_that_match():
+    like, other = np.full(20, 7, np.uint16), np.full(20, 9, np.uint16)
+    sequences = packing.pack_shard([like, other] * 60, window=1200)
+    assert [{d % 2 for d, *_ in s} for s in sequences[:2]] == [{0}, {1}]
+
+
 def test_packing_places_every_id_once(spark, docs, empty, sf):
     more = spark.createDataFrame([(900, "a   b \n \n c  ", ), (901, "x <|endoftext|> y")], "doc_id long, text string")
     for df in (docs.select("doc_id", "text").union(more), table(spark, sf).select("doc_id", "text")):
