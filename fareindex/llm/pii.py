@@ -1,8 +1,8 @@
 """Personal data, and the terms that give it away.
 
 E-mail addresses, IP addresses, card and phone numbers are found by pattern: the
-protected entities. Over the whole corpus, the documents in which a term stands
-near an entity are counted against those in which the term and the entity occur.
+protected entities. Over the whole corpus, the documents that hold both a term and
+an entity are counted against those in which the term and the entity occur.
 The pointwise mutual information of the two, as a share of the entity's own
 information content, is how much of the entity the term discloses. Terms above a
 threshold are generalised if their generalisation discloses little, else removed.
@@ -22,8 +22,7 @@ from fareindex.llm.common import checkpointed, free_name, gather_texts, map_text
 
 KINDS = ("email", "ip", "card", "phone", "term")
 TERM = len(KINDS) - 1
-WINDOW = 8  # words on either side of an entity that count as near it
-LEAST_DOCS = 3  # documents that must show a term near an entity before it is judged
+LEAST_DOCS = 3  # documents that must hold a term and an entity before the term is judged
 DISCLOSURE = 0.8  # share of the entity's information that a term may carry
 HELD_TERMS = 200_000
 
@@ -82,19 +81,16 @@ def entity_key(kind: int, value: str) -> int:
 
 
 def nearby(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """The terms near each entity; new_term, new_general: 1 where the text shows the pair first."""
-    words, at, inside = [], 0, 0
+    """Every term of the text with each of its entities; new_term, new_general: 1 where the text shows the pair first."""
+    words, at = [], 0
     for m in _WORD.finditer(text):
         while at < len(spans) and spans[at][2] <= m.start():
             at += 1
         if at == len(spans) or m.end() <= spans[at][0]:
             words.append((m.start(), m.end(), m.group().lower()))
-    out, seen, first = [], set(), 0
-    for start, kind, end in spans:
-        entity = entity_key(kind, text[start:end])
-        while first < len(words) and words[first][0] < start:
-            first += 1
-        for a, b, term in words[max(0, first - WINDOW) : first + WINDOW]:
+    out, seen = [], set()
+    for entity in dict.fromkeys(entity_key(kind, text[start:end]) for start, kind, end in spans):
+        for a, b, term in words:
             general = generalised(term)
             pair, coarse = (entity, term) not in seen, (entity, general) not in seen
             seen |= {(entity, term), (entity, general)}
@@ -107,7 +103,7 @@ BASE = f"n_email long, n_ip long, n_card long, n_phone long, base_sha256 string,
 
 
 def find_entities(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`docs[keep]` with counts and spans of the patterned entities and the terms near them."""
+    """`docs[keep]` with counts and spans of the patterned entities and the terms beside them."""
 
     def start():
         def work(texts):
@@ -158,10 +154,11 @@ def disclosure(together: Column, term_docs: Column, entity_docs: Column, total:
 
 def disclosing_terms(docs: DataFrame, entities: DataFrame, threshold: float = DISCLOSURE, least: int = LEAST_DOCS) -> DataFrame:
     """(entity, term, action): the terms that disclose an entity, to be generalised or removed."""
-    near = entities.select(F.explode("near").alias("p")).select("p.*")
+    holds = entities.select(F.explode(F.array_distinct("near.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_docs"))
+    holds = checkpointed(holds.where(F.col("entity_docs") >= least))  # no pair of any other entity is in `least` documents
+    near = entities.select(F.explode("near").alias("p")).select("p.*").join(holds.select("entity"), "entity")
     pairs = near.groupBy("entity", "term", "general").agg(F.sum("new_term").alias("together")).where(F.col("together") >= least)
     coarse = near.groupBy("entity", "general").agg(F.sum("new_general").alias("coarse_together"))
-    holds = entities.select(F.explode(F.array_distinct("near.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_docs"))
     counts = term_frequencies(docs)
     fine = counts.select("term", F.col("n").alias("term_docs"))
     wide = counts.where(F.col("term").endswith("*")).select(F.col("term").alias("general"), F.col("n").alias("general_docs"))
@@ -175,14 +172,15 @@ def disclosing_terms(docs: DataFrame, entities: DataFrame, threshold: float = DI
 def find_personal_data(docs: DataFrame, keep: list[str]) -> DataFrame:
     """`docs[keep]` with the columns of find_entities (without `near`) and `terms`: array of (start, kind, end, action).
 
-    Terms are reported in the documents that hold the entity they disclose. Null
+    Terms are reported wherever they stand in the documents that hold the entity
+    they disclose. Null
     counts as empty. Repeated rows get equal values.
     """
     row = free_name(docs, "row_key")
     marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))
     entities = checkpointed(find_entities(marked, [*keep, row]))
-    bad = disclosing_terms(docs, entities)
-    near = entities.select(row, F.explode("near").alias("p")).select(row, "p.entity", "p.term", "p.start", "p.end").distinct()
+    bad = checkpointed(disclosing_terms(docs, entities))
+    near = entities.select(row, F.explode("near").alias("p")).select(row, "p.entity", "p.term", "p.start", "p.end")
     found = near.join(bad, ["entity", "term"])
     span = F.struct("start", F.lit(TERM).alias("kind"), "end", F.col("hard").alias("action"))
     found = found.groupBy(row, "start", "end").agg(F.max("action").alias("hard"))  # "remove" outranks "generalise"

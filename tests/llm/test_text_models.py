@@ -266,3 +266,13 @@ def test_lm_vocabulary_grows_with_the_corpus(spark):
         want = [sum(loss(*p) for p in zip(x, x[1:])) / (len(x) - 1) for loss, _ in sides]
         assert np.allclose((got[d]["target_loss"], got[d]["background_loss"]), want, atol=1e-6)
     assert got[1000]["score"] < got[2000]["score"] - 1
+
+
+def test_terms_far_from_their_entity_are_taken_out(spark):
+    rng = random.Random(3)
+    filler = [f"{a}{b}word" for a in "abcdefgh" for b in "klmnopqr"]
+    rows = [(i, " ".join(rng.choices(filler, k=40))) for i in range(300)]
+    rows += [(400 + i, f"zanzibar {' '.join(rng.choices(filler, k=30))} jo@corp.example {' '.join(rng.choices(filler, k=30))} Zanzibar") for i in range(6)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("zanzibar" not in clean[400 + i].lower() for i in range(6))
+    assert all(clean[i] == rows[i][1] for i in range(300))
