@@ -8,25 +8,12 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from quote_rows import as_json, basket, feed, raw
 
 from fareindex.functions import parsing as p
 from fareindex.functions.aggregates import pearson
 from fareindex.operators import audit, cells, cleaning, indexing, market, series, validation
 from fareindex.sources import dims, io, pages
-from fareindex.sources.schema import RAW_QUOTES
-
-DAY = dt.datetime(2026, 9, 30, 5, 10)
-DEFAULT = {
-    "source_id": "indigo", "carrier": "6E", "route_id": "DEL-BOM", "origin": "DEL", "destination": "BOM", "departure": dt.date(2026, 10, 7), "lead_time": 7, "fare_class": "VALUE",
-    "flight_no": "6E123", "fare_text": "₹6,500", "tax_text": "₹1,240", "fee_text": "—", "seats_left": 9, "refundable": False, "baggage_kg": 15, "collected_at": DAY,
-    "sold_out": False, "is_cancelled": False, "is_synthetic": False,
-}
-
-
-def raw(spark, *changes):
-    rows = [tuple((DEFAULT | c)[f.split()[0]] for f in RAW_QUOTES.split(", ")) for c in changes]
-    return spark.createDataFrame(rows, RAW_QUOTES).withColumn("obs_date", F.to_date("collected_at"))
-
 
 def reasons(tagged):
     return {r["r"]: r["n"] for r in tagged.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("r")).agg(F.count("*").alias("n")).collect()}
@@ -116,11 +103,6 @@ def test_one_exchange_from_scan_to_cell_prices(spark, tmp_path):
     assert len(re.findall(r"Exchange ", plan.split("Initial Plan")[-1])) == 1
 
 
-def basket(spark, price=1.0, quality=1.0, day="2026-09-30"):
-    rows = [(dt.date.fromisoformat(day), route[0], lead, 7200.0 * price, 0.95 * quality, 1) for route in dims.ROUTES for lead in dims.LEADS]
-    return spark.createDataFrame(rows, "obs_date date, route_id string, lead_time int, price double, quality double, quotes long")
-
-
 @pytest.mark.parametrize("price, quality, want", [(1.0, 1.0, 100.0), (1.1, 1.0, 110.0), (1.0, 1.1, 100 / 1.1)])
 def test_index_on_a_whole_basket(spark, price, quality, want):
     weights = dims.route_weights(dims.routes(spark))
@@ -287,19 +269,6 @@ def test_page_extraction(spark):
     assert pages.flag_challenges(spark.createDataFrame([("_Incapsula_Resource",)], "html string")).first()["blocked"]
 
 
-def as_json(**changes):
-    row = {k: v for k, v in (DEFAULT | changes).items() if v is not None}
-    return json.dumps(row | {"departure": "2026-10-07", "collected_at": row["collected_at"].isoformat() + "Z"})
-
-
-def feed(tmp_path, hours):
-    for hour, lines in hours.items():
-        folder = tmp_path / "feed/2026/09/30"
-        folder.mkdir(parents=True, exist_ok=True)
-        (folder / f"{hour:02d}.jsonl").write_text("\n".join(lines) + "\n")
-    return f"file://{tmp_path}/feed"
-
-
 def test_raw_feed_and_quote_store(spark, tmp_path):
     path = feed(tmp_path, {5: [as_json(), "{broken"], 6: [as_json(fare_text="₹7,000", is_synthetic=None)]})
     rows = io.read_raw_quotes(spark, path)

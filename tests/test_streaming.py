@@ -3,7 +3,7 @@
 import datetime as dt
 
 from pyspark.sql import functions as F
-from test_operators import as_json, basket, feed
+from quote_rows import as_json, basket, feed
 
 from fareindex.operators import cells, indexing
 from fareindex.operators.cleaning import clean_quotes
