@@ -2,31 +2,34 @@
 
 A target and a background bigram model share one vocabulary, that of all words
 of the corpus, and one estimator; each document is scored by the mean difference
-of its tokens' losses. Bigrams are dealt by hash to parts of bounded size. A
-part counts its bigrams, gets the totals of their words, which are summed over
-all parts, and returns each document's share of its losses. Nothing that grows
-with the vocabulary is broadcast or collected.
+of its tokens' losses. Documents are gathered in blocks. A block sends each
+distinct bigram once, with its counts, to one of many parts, dealt by hash; a
+part sums its bigrams over all blocks, gets the totals of their words, which are
+summed over all parts, and returns the bigrams' losses to the blocks, where each
+document adds up its own. Nothing that grows with the corpus is broadcast or
+collected, and a frequent bigram costs one entry a block, not one a document.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fareindex.llm.common import gather_texts, struct
+from fareindex.llm.common import SLICE_ROWS, free_name, struct
 
-VOCABULARY = 1_024  # words that shared_vocabulary lists by default
 START = 1  # the key before a text's first word; words have keys from 2 ** 62 up
 PART_CHARS = 24_000_000  # characters whose bigrams make up a part
-HELD_WORDS = 200_000  # distinct words that a task counts before it passes them on
-HELD_PAIRS, HELD_TEXTS = 1_000_000, 60_000  # what a task gathers before it deals; texts are numbered by 16 bits
+PARTS_PER_BUCKET = 4  # words are totalled in buckets; this many parts have one bucket
+HELD_WORDS = 200_000  # hashes of words that a task remembers
+BLOCK_TOKENS, BLOCK_TEXTS = 1_500_000, 100_000  # where a block ends
 WORDS = re.compile(r"\w+")
 
 
@@ -34,30 +37,6 @@ def words_of(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
-def shared_vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The most frequent words of all documents (ties by the word), after <unk> and <s>."""
-
-    def start():
-        held = Counter()
-
-        def add(part):
-            for t in part["text"]:
-                held.update(words_of(t))
-
-        def flush(last):
-            if not held or not last and len(held) < HELD_WORDS:
-                return None
-            out = {"word": list(held), "n": list(held.values())}
-            held.clear()
-            return out
-
-        return add, flush
-
-    counts = gather_texts(docs.select("text"), start, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size - 2).collect()
-    return ["", "", *(r["word"] for r in top)]
-
-
 class WordKeys(dict):
     """62-bit hashes of words, with bit 62 set; forgets when it holds HELD_WORDS."""
 
@@ -80,81 +59,99 @@ def restored(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
 
 
-PAIRS = "part int, texts binary, sides binary, words binary, owner binary, times binary, before binary, after binary"
-
-
-def dealt_pairs(sided: DataFrame, parts: int) -> DataFrame:
-    """Distinct bigrams of each row of (key, text, side), packed by part: places of the owner in `texts` and of both words in `words`, and times."""
-
-    def start():
-        keys, texts, sides, tokens, lengths = WordKeys(), [], [], [], []
-
-        def add(part):
-            for key, text, side in zip(part["key"], part["text"], part["side"]):
-                if words := words_of(text):
+def as_bytes(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+#: A row is either a block's bigrams of one part, or (`kept` not null) what the block keeps of its documents.
+BLOCKS = ("part", "block", "words", "before", "after", "n_0", "n_1", "kept", "sizes", "ranks")
+
+
+def part_of(a: np.ndarray, b: np.ndarray, parts: int) -> np.ndarray:
+    mixed = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return ((mixed ^ mixed >> np.uint64(31)) % np.uint64(parts)).astype(np.int64)
+
+
+def block_rows(block: int, kept: pa.Table, sides: list, tokens: list[np.ndarray], parts: int) -> dict[str, list]:
+    """A block of documents as BLOCKS rows. Its bigrams are ranked by part, then words; `ranks` lists them for each document."""
+    out: dict[str, list] = {name: [] for name in BLOCKS}
+    sizes = np.array([len(t) - 1 for t in tokens], "<u4")
+    x = np.concatenate(tokens)
+    first = np.flatnonzero(x[1:] != START)  # pairs within a document
+    words, x = np.unique(x, return_inverse=True)
+    code, pair = np.unique(x[first] * len(words) + x[first + 1], return_inverse=True)
+    a, b = np.divmod(code, len(words))
+    part = part_of(words[a], words[b], parts) if len(code) else code
+    order = np.argsort(part, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    side = np.array(sides, bool)[owner]
+    counts = [np.bincount(pair[side == s], minlength=len(code))[order].astype("<u4") for s in (False, True)]
+    a, b, part = a[order], b[order], part[order]
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+    for lo, hi in zip(cuts, [*cuts[1:], len(part)]):
+        here, place = np.unique(np.concatenate([a[lo:hi], b[lo:hi]]), return_inverse=True)
+        before, after = np.split(place.astype("<u4"), 2)
+        row = (words[here], before, after, counts[0][lo:hi], counts[1][lo:hi])
+        for name, value in zip(BLOCKS, (int(part[lo]), block, *map(compressed, row), None, None, None)):
+            out[name].append(value)
+    ranks = (np.sort(owner << 32 | rank[pair]) & 0xFFFFFFFF).astype("<u4")
+    steps = np.diff(ranks, prepend=np.zeros(1, "<u4")).astype("<u4")  # wraps where a document begins
+    last = (block % parts, block, None, None, None, None, None, as_bytes(kept), compressed(sizes), compressed(steps))
+    for name, value in zip(BLOCKS, last):
+        out[name].append(value)
+    return out
+
+
+def dealt_blocks(sided: DataFrame, keep: list[str], text: str, side: str, parts: int) -> DataFrame:
+    def run(batches):
+        held, sides, tokens, keys = [], [], [], WordKeys()
+        number, size = TaskContext.get().partitionId() << 32, 0
+
+        def rows():
+            found = block_rows(number, pa.Table.from_batches(held), sides, tokens, parts)
+            return pa.RecordBatch.from_pydict({name: pa.array(v, t) for (name, v), t in zip(found.items(), kinds)})
+
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * (len(BLOCKS) - 2)]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                piece = batch.slice(lo, SLICE_ROWS)
+                held.append(piece.select(keep))
+                sides += piece.column(side).to_pylist()
+                for t in piece.column(text).to_pylist():
+                    words = words_of(t)
                     tokens.append(np.fromiter((START, *map(keys.__getitem__, words)), np.int64, len(words) + 1))
-                    lengths.append(len(words) + 1)
-                    texts.append(key)
-                    sides.append(side)
-
-        def flush(last):
-            if not texts or not last and len(texts) < HELD_TEXTS and sum(lengths) < HELD_PAIRS:
-                return None
-            x = np.concatenate(tokens)
-            owner = np.repeat(np.arange(len(texts)), lengths)
-            inner = np.flatnonzero(x[1:] != START)
-            a, b, owner = x[inner], x[inner + 1], owner[inner]
-            mixed = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-            part = ((mixed ^ mixed >> np.uint64(31)) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((owner, b, a, part))
-            a, b, owner, part = a[order], b[order], owner[order], part[order]
-            new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (owner[1:] != owner[:-1])])
-            times = np.diff(np.r_[new, len(a)]).astype("<u4")
-            a, b, owner, part = a[new], b[new], owner[new].astype("<u2"), part[new]
-            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            out = {name.split()[0]: [] for name in PAIRS.split(", ")}
-            names, marks = np.array(texts, np.int64), np.array(sides, np.uint8)
-            for lo, hi in zip(cuts, np.r_[cuts[1:], len(part)]):
-                here, place = np.unique(owner[lo:hi], return_inverse=True)
-                out["part"].append(int(part[lo]))
-                words, at = np.unique(np.concatenate([a[lo:hi], b[lo:hi]]), return_inverse=True)
-                before, after = np.split(at.astype("<u4"), 2)
-                columns = (names[here], marks[here], words, place.astype("<u2"), times[lo:hi], before, after)
-                for name, column in zip(("texts", "sides", "words", "owner", "times", "before", "after"), columns):
-                    out[name].append(compressed(column))
-            for held in (texts, sides, tokens, lengths):
-                held.clear()
-            return out
-
-        return add, flush
-
-    return gather_texts(sided.select("key", "text", "side"), start, PAIRS)
+                    size += len(words)
+                if size >= BLOCK_TOKENS or len(tokens) >= BLOCK_TEXTS:
+                    yield rows()
+                    held, sides, tokens = [], [], []
+                    number, size = number + 1, 0
+        if tokens:
+            yield rows()
+
+    return sided.mapInArrow(run, f"part int, block long, {', '.join(f'{c} binary' for c in BLOCKS[2:])}")
 
 
 class Part:
-    """The bigrams of a part, counted: `pair` is the place of each entry's bigram in `a`, `b` (places in `words`) and `counts`[side]."""
+    """The bigrams of a part: of each entry its bigram's place in `a`, `b` (places in `words`) and `counts`[side]."""
 
     def __init__(self, table: pa.Table):
         def unpacked(name, kind):
             found = [restored(x.as_py(), kind) for x in table.column(name)]
-            return np.concatenate(found), np.array([len(x) for x in found])
-
-        def firsts(sizes):
-            """For each entry, how many values the rows before its own hold."""
-            return np.repeat(np.cumsum(sizes) - sizes, entries)
+            return np.concatenate([np.zeros(0, kind), *found]), np.array([len(x) for x in found], np.int64)
 
-        owner, entries = unpacked("owner", "<u2")
-        self.texts, sizes = unpacked("texts", "<i8")
-        self.owner = owner + firsts(sizes)
-        self.times = unpacked("times", "<u4")[0]
-        words, sizes = unpacked("words", "<i8")
+        words, held = unpacked("words", "<i8")
+        before, self.entries = unpacked("before", "<u4")
+        at = np.repeat(np.cumsum(held) - held, self.entries)  # how many words the rows before an entry's own hold
         self.words, place = np.unique(words, return_inverse=True)
-        at = firsts(sizes)
-        code = place[unpacked("before", "<u4")[0] + at] * len(self.words) + place[unpacked("after", "<u4")[0] + at]
+        code = place[before + at] * len(self.words) + place[unpacked("after", "<u4")[0] + at]
         code, self.pair = np.unique(code, return_inverse=True)
-        self.a, self.b = np.divmod(code, len(self.words))
-        side = unpacked("sides", "u1")[0][self.owner]
-        self.counts = [np.bincount(self.pair, self.times * (side == s), len(code)) for s in (0, 1)]
+        self.a, self.b = np.divmod(code, max(len(self.words), 1))
+        self.counts = [np.bincount(self.pair, unpacked(f"n_{s}", "<u4")[0], len(code)) for s in (0, 1)]
 
     def sums(self) -> list[np.ndarray]:
         """SUMS of the part's words, in this part."""
@@ -174,62 +171,117 @@ def losses(counts: np.ndarray, seen: np.ndarray, kinds: np.ndarray, n: np.ndarra
     return -np.log2((counts + kinds * (n + 1) / (total + size)) / (seen + kinds))
 
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """(key, n, target, background): token counts and summed losses, one row of each text and part that shares bigrams."""
-    sums = ", ".join(f"{c} long" for c in SUMS)
-    partial, out = struct(f"part int, word long, {sums}"), struct("key long, n long, target double, background double")
+def score_blocks(blocks: DataFrame, parts: int, schema: T.StructType) -> DataFrame:
+    """What the blocks kept of each document, then (last in `schema`) its token count and mean losses, target and background."""
+    buckets = max(1, parts // PARTS_PER_BUCKET)
+    partial = struct(f"bucket int, part int, words binary, {', '.join(f'{c} binary' for c in SUMS)}")
+    summed = struct(f"part int, bucket int, {', '.join(f'{c} binary' for c in SUMS)}, total_0 long, total_1 long, distinct long")
+    lossy = struct("block long, part int, target binary, background binary, kept binary, sizes binary, ranks binary")
+
+    def bigrams(table: pa.Table) -> pa.Table:
+        return table.filter(pc.is_null(table.column("kept")))
+
+    def in_bucket(words: np.ndarray):
+        bucket = words % buckets
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        return [(k, order[lo:hi]) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if lo < hi]
 
     def count(table: pa.Table) -> pa.Table:
-        part = Part(table)
-        number = np.full(len(part.words), table.column("part")[0].as_py(), np.int32)
-        return pa.table(dict(zip(partial.names, (number, part.words, *(x.astype(np.int64) for x in part.sums())))))
+        part, number = Part(bigrams(table)), table.column("part")[0].as_py()
+        sums = [s.astype("<u8") for s in part.sums()]
+        rows = [(k, number, compressed(part.words[at]), *[compressed(s[at]) for s in sums]) for k, at in in_bucket(part.words)]
+        return pa.Table.from_pylist([dict(zip(partial.names, r)) for r in rows], pa.schema([("bucket", pa.int32()), ("part", pa.int32()), *[(n, pa.binary()) for n in partial.names[2:]]]))
+
+    def total(table: pa.Table) -> pa.Table:
+        found = [restored(x.as_py(), "<i8") for x in table.column("words")]
+        words, place = np.unique(np.concatenate(found), return_inverse=True)
+        sums = {c: np.bincount(place, np.concatenate([restored(x.as_py(), "<u8") for x in table.column(c)]), len(words)) for c in SUMS}
+        bucket, at, rows = table.column("bucket")[0].as_py(), 0, []
+        for number, own in zip(table.column("part").to_pylist(), found):
+            here = place[at : at + len(own)]
+            at += len(own)
+            rows.append((number, bucket, *[compressed(sums[c][here].astype("<u8")) for c in SUMS], None, None, None))
+        distinct = len(words) - int(START in words)
+        rows.append((-1, bucket, *[None] * len(SUMS), int(sums["n_0"].sum()), int(sums["n_1"].sum()), distinct))
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * len(SUMS), pa.int64(), pa.int64(), pa.int64()]
+        return pa.Table.from_pylist([dict(zip(summed.names, r)) for r in rows], pa.schema(list(zip(summed.names, kinds))))
 
     def score(table: pa.Table, totals: pa.Table) -> pa.Table:
-        part = Part(table)
-        order = np.argsort(totals.column("word").to_numpy())  # that of part.words: a part gets the totals of its own words
-        known = {c: totals.column(c).to_numpy()[order] for c in totals.column_names}
-        n = np.bincount(part.owner, part.times, len(part.texts)).astype(np.int64)
-        summed = []
-        for s in (1, 0):
-            loss = losses(part.counts[s], known[f"seen_{s}"][part.a], known[f"kinds_{s}"][part.a], known[f"n_{s}"][part.b], known[f"total_{s}"][0], known["size"][0])
-            summed.append(np.bincount(part.owner, loss[part.pair] * part.times, len(part.texts)))
-        return pa.table(dict(zip(out.names, (part.texts, n, *summed))))
-
-    words = pairs.groupBy("part").applyInArrow(count, partial)
-    # <unk> and <s> are words of the vocabulary that the unigrams never saw
-    once = words.groupBy("word").agg(F.sum("n_0").alias("n_0"), F.sum("n_1").alias("n_1"))
-    whole = once.agg(F.sum("n_0").alias("total_0"), F.sum("n_1").alias("total_1"), (F.count_if(F.col("word") != START) + 2).alias("size"))
-    each = W.partitionBy("word")
-    totals = words.select("part", "word", *[F.sum(c).over(each).alias(c) for c in SUMS]).crossJoin(F.broadcast(whole))
-    return pairs.groupBy("part").cogroup(totals.groupBy("part")).applyInArrow(score, out)
-
-
-def score_texts(docs: DataFrame, sided: DataFrame, keep: list[str]) -> DataFrame:
-    """`docs[keep]` with mean losses in bits a token; lower `score` is more like the target. Without tokens all are 0.
-
-    `sided` holds the rows of `docs` as (key, text, side), key being the hash of
-    the text: copies have one score, and their sums are divided by their number.
-    """
-    key = F.xxhash64("text")
-    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    shares = score_pairs(dealt_pairs(sided, 1 + size // PART_CHARS))
-    copies = docs.groupBy(key.alias("key")).agg(F.count("*").alias("copies"))
-    summed = shares.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "target", "background")]).join(copies, "key")
-    found = docs.select(*keep, key.alias("key")).join(summed, "key", "left")
-    target, background = (F.coalesce(F.col(c) / F.col("n"), F.lit(0.0)) for c in ("target", "background"))
-    n = F.coalesce((F.col("n") / F.col("copies")).cast("long"), F.lit(0).cast("long"))
-    return found.select(*keep, n.alias("n_tokens"), target.alias("target_loss"), background.alias("background_loss"), (target - background).alias("score"))
+        rows = []
+        for r in table.filter(pc.is_valid(table.column("kept"))).to_pylist():
+            rows.append({"block": r["block"], "part": -1, "kept": r["kept"], "sizes": r["sizes"], "ranks": r["ranks"]})
+        pairs = bigrams(table)
+        if pairs.num_rows:
+            part = Part(pairs)
+            known = {c: np.zeros(len(part.words)) for c in SUMS}
+            places = dict(in_bucket(part.words))
+            for r in totals.to_pylist():
+                for c in SUMS:
+                    known[c][places[r["bucket"]]] = restored(r[c], "<u8")
+            size = totals.column("distinct")[0].as_py() + 2  # <unk> and <s> are words that the unigrams never saw
+            found = []
+            for s in (1, 0):
+                total = totals.column(f"total_{s}")[0].as_py()
+                loss = losses(part.counts[s], known[f"seen_{s}"][part.a], known[f"kinds_{s}"][part.a], known[f"n_{s}"][part.b], total, size)
+                found.append(np.split(loss.astype("<f4")[part.pair], np.cumsum(part.entries)[:-1]))
+            number = table.column("part")[0].as_py()
+            for block, target, background in zip(pairs.column("block").to_pylist(), *found):
+                rows.append({"block": block, "part": number, "target": compressed(target), "background": compressed(background)})
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
+        return pa.Table.from_pylist(rows, pa.schema(list(zip(lossy.names, kinds))))
+
+    def gather(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")  # first the block's own row, then its bigrams by rank
+        own = table.slice(0, 1).to_pylist()[0]
+        kept = pa.ipc.open_stream(own["kept"]).read_all()
+        sizes = restored(own["sizes"], "<u4")
+        ranks = np.cumsum(restored(own["ranks"], "<u4"), dtype=np.uint32)
+        owner, names = np.repeat(np.arange(len(sizes)), sizes), schema.names[-3:]
+        means = []
+        for side in ("target", "background"):
+            loss = np.concatenate([np.zeros(0, "<f4"), *[restored(x, "<f4") for x in table.column(side).to_pylist() if x is not None]])
+            means.append(np.bincount(owner, loss[ranks].astype(float), len(sizes)) / np.maximum(sizes, 1))
+        for name, column in zip(names, (pa.array(sizes.astype(np.int64)), *map(pa.array, means))):
+            kept = kept.append_column(name, column)
+        return kept
+
+    words = blocks.groupBy("part").applyInArrow(count, partial)
+    totals = words.groupBy("bucket").applyInArrow(total, summed)
+    whole = totals.where("part = -1").agg(*[F.sum(c).alias(c) for c in ("total_0", "total_1", "distinct")])
+    known = totals.where("part >= 0").drop("total_0", "total_1", "distinct").crossJoin(F.broadcast(whole))
+    scored = blocks.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(score, lossy)
+    return scored.groupBy("block").applyInArrow(gather, schema)
 
 
 def cross_entropy_difference(docs: DataFrame, is_target: Column, keep: list[str]) -> DataFrame:
-    """Both models from all of `docs`, split by the boolean `is_target` (null: background); every row scored."""
-    side = F.coalesce(is_target, F.lit(False)).cast("int").alias("side")
-    return score_texts(docs, docs.select(F.xxhash64("text").alias("key"), "text", side), keep)
+    """`docs[keep]` with n_tokens and mean losses in bits a token; lower `score` is more like the target.
+
+    Both models are made from all rows of `docs`, split by the boolean
+    `is_target` (null: background), and every row is scored by its whole text.
+    Null, empty and wordless texts have 0 tokens and all values 0; repeated rows
+    count and are scored each; a very long text is a block of its own size; an
+    empty table gives no row. Columns of `docs` other than `keep` don't matter;
+    `keep` must not hold the names of the new columns.
+    """
+    if clash := {"n_tokens", "target_loss", "background_loss", "score"} & {c.lower() for c in keep}:
+        raise ValueError(f"keep holds {clash}")
+    side = free_name(docs, "of_target")
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = 1 + size // PART_CHARS
+    sided = docs.withColumn(side, F.coalesce(is_target, F.lit(False))).select(*dict.fromkeys([*keep, "text"]), side)
+    blocks = dealt_blocks(sided, keep, "text", side, parts)
+    schema = T.StructType([*docs.select(*keep).schema, *struct("n_tokens long, target_loss double, background_loss double")])
+    found = score_blocks(blocks, parts, schema)
+    return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Target: documents labelled of quality. Background: all others."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("of_quality", F.lit(1))
-    # labels grow with the corpus: the same merge join at every size
-    sided = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).join(good.hint("merge"), "doc_id", "left")
-    return score_texts(docs, sided.select("key", "text", F.coalesce("of_quality", F.lit(0)).alias("side")), ["doc_id"])
+    """Target: documents labelled of quality. Background: all others, those with a null doc_id too.
+
+    How labels are joined is left to Spark, which broadcasts them only below its
+    own size limit. Other cases as in `cross_entropy_difference`.
+    """
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("of_quality", F.lit(True))
+    sided = docs.select("doc_id", "text").join(good, "doc_id", "left")
+    return cross_entropy_difference(sided, F.col("of_quality"), ["doc_id"])

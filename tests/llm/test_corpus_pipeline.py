@@ -3,7 +3,7 @@
 from collections import defaultdict
 
 import pytest
-from test_operators import check_packing, reference_print
+from llm_checks import check_packing, reference_print
 
 import corpus_pipeline
 from fareindex.llm import secret_scan
