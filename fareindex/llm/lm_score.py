@@ -2,21 +2,22 @@
 
 A target and a background bigram model share one vocabulary, that of all words
 of the corpus, and one estimator; each document is scored by the mean difference
-of its tokens' losses. Documents are gathered in blocks. A block sends each
-distinct bigram once, with its counts, to one of many parts, dealt by hash; a
-part sums its bigrams over all blocks, gets the totals of their words, which are
-summed over all parts, and returns the bigrams' losses to the blocks, where each
-document adds up its own. Nothing that grows with the corpus is broadcast or
-collected, and a frequent bigram costs one entry a block, not one a document.
+of its tokens' losses. Documents are gathered in blocks, and three shuffles of
+packed rows follow. A block sends each distinct bigram once, with its counts, to
+one of many parts, dealt by hash, which sum them over all blocks; it sends its
+words to buckets, which sum what each word's unigram and bigrams add up to. Sums
+return to the blocks, where each document's losses are worked out. Nothing that
+grows with the corpus is broadcast or collected, and a frequent bigram costs one
+entry a block, not one a document.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -25,11 +26,11 @@ from pyspark.sql import types as T
 
 from fareindex.llm.common import SLICE_ROWS, free_name, struct
 
-START = 1  # the key before a text's first word; words have keys from 2 ** 62 up
+START = 1  # the key of what stands before a text's first word; words have keys from 2 ** 47 up
 PART_CHARS = 24_000_000  # characters whose bigrams make up a part
-PARTS_PER_BUCKET = 4  # words are totalled in buckets; this many parts have one bucket
-HELD_WORDS = 200_000  # hashes of words that a task remembers
+PARTS_PER_BUCKET = 4
 BLOCK_TOKENS, BLOCK_TEXTS = 1_500_000, 100_000  # where a block ends
+BROADCAST_LABELS = 1_000_000  # labels of quality that may be broadcast; more are joined by a shuffle
 WORDS = re.compile(r"\w+")
 
 
@@ -37,14 +38,17 @@ def words_of(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
-class WordKeys(dict):
-    """62-bit hashes of words, with bit 62 set; forgets when it holds HELD_WORDS."""
+class Numbers(dict):
+    """Numbers words in the order in which they come up, from 1."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= HELD_WORDS:
-            self.clear()
-        key = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 2 | 1 << 62
-        return key
+        number = self[word] = len(self) + 1
+        return number
+
+
+def word_key(word: str) -> int:
+    """47 bits of a word's hash, with bit 47 set: two of ten million words share a key with a chance of about 0.3."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 17 | 1 << 47
 
 
 def compressed(x: np.ndarray) -> bytes:
@@ -59,6 +63,10 @@ def restored(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
 
 
+def joined(rows: list[dict], name: str, kind: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *[restored(r[name], kind) for r in rows]])
+
+
 def as_bytes(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
@@ -66,192 +74,169 @@ def as_bytes(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-#: A row is either a block's bigrams of one part, or (`kept` not null) what the block keeps of its documents.
-BLOCKS = ("part", "block", "words", "before", "after", "n_0", "n_1", "kept", "sizes", "ranks")
+# Rows of the shuffles: where they go next (blocks count down from -1), what they are, of which block, which part or
+# bucket, and packed columns.
+BIGRAMS, WORD_ROWS, OWN, COUNTS, KINDS, TOTALS = range(6)
+ROW = "to long, kind int, block long, number long, " + ", ".join(f"x{i} binary" for i in range(7))
 
 
-def part_of(a: np.ndarray, b: np.ndarray, parts: int) -> np.ndarray:
-    mixed = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return ((mixed ^ mixed >> np.uint64(31)) % np.uint64(parts)).astype(np.int64)
+def packed(rows: list[tuple]) -> pa.Table:
+    """Rows given as (to, kind, block, number, packed columns...)."""
+    names = [f.split()[0] for f in ROW.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 7]
+    full = [(*r, *[None] * (len(names) - len(r))) for r in rows]
+    return pa.table([pa.array([r[i] for r in full], k) for i, k in enumerate(kinds)], names=names)
 
 
-def block_rows(block: int, kept: pa.Table, sides: list, tokens: list[np.ndarray], parts: int) -> dict[str, list]:
-    """A block of documents as BLOCKS rows. Its bigrams are ranked by part, then words; `ranks` lists them for each document."""
-    out: dict[str, list] = {name: [] for name in BLOCKS}
-    sizes = np.array([len(t) - 1 for t in tokens], "<u4")
-    x = np.concatenate(tokens)
-    first = np.flatnonzero(x[1:] != START)  # pairs within a document
-    words, x = np.unique(x, return_inverse=True)
-    code, pair = np.unique(x[first] * len(words) + x[first + 1], return_inverse=True)
-    a, b = np.divmod(code, len(words))
-    part = part_of(words[a], words[b], parts) if len(code) else code
+def ranked_bigrams(tokens: np.ndarray, sizes: np.ndarray, start: int, residue: np.ndarray, grid: int):
+    """A block's distinct bigrams by part, then words: (word before, word, part), and each token's place among them."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = start
+    code, pair = np.unique(before * len(residue) + tokens, return_inverse=True)
+    a, b = np.divmod(code, len(residue))
+    part = residue[a] * grid + residue[b]
     order = np.argsort(part, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    side = np.array(sides, bool)[owner]
-    counts = [np.bincount(pair[side == s], minlength=len(code))[order].astype("<u4") for s in (False, True)]
-    a, b, part = a[order], b[order], part[order]
+    return a[order], b[order], part[order], rank[pair]
+
+
+def block_rows(block: int, kept: pa.Table, sides: list, texts: list[np.ndarray], words: Numbers, grid: int, buckets: int) -> pa.Table:
+    """A block of documents as rows for the parts, for the buckets, and for its own return."""
+    keys = np.array([START, *map(word_key, words)], np.int64)
+    order = np.lexsort((keys, keys % buckets))  # words are numbered anew by bucket, then key
+    keys, number = keys[order], np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    sizes, start = np.array([len(t) for t in texts], np.int64), int(number[0])
+    tokens, residue = number[np.concatenate(texts)], keys % grid
+    a, b, part, pair = ranked_bigrams(tokens, sizes, start, residue, grid)
+    side = np.array(sides, bool)[np.repeat(np.arange(len(sizes)), sizes)]
+    n = [np.bincount(pair[side == s], minlength=len(a)) for s in (False, True)]
+    rows = []
     cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
     for lo, hi in zip(cuts, [*cuts[1:], len(part)]):
-        here, place = np.unique(np.concatenate([a[lo:hi], b[lo:hi]]), return_inverse=True)
-        before, after = np.split(place.astype("<u4"), 2)
-        row = (words[here], before, after, counts[0][lo:hi], counts[1][lo:hi])
-        for name, value in zip(BLOCKS, (int(part[lo]), block, *map(compressed, row), None, None, None)):
-            out[name].append(value)
-    ranks = (np.sort(owner << 32 | rank[pair]) & 0xFFFFFFFF).astype("<u4")
-    steps = np.diff(ranks, prepend=np.zeros(1, "<u4")).astype("<u4")  # wraps where a document begins
-    last = (block % parts, block, None, None, None, None, None, as_bytes(kept), compressed(sizes), compressed(steps))
-    for name, value in zip(BLOCKS, last):
-        out[name].append(value)
-    return out
-
-
-def dealt_blocks(sided: DataFrame, keep: list[str], text: str, side: str, parts: int) -> DataFrame:
+        first, before = np.unique(a[lo:hi], return_inverse=True)
+        second, after = np.unique(b[lo:hi], return_inverse=True)
+        columns = (keys[first], keys[second], before.astype("<u4"), after.astype("<u4"), *[x[lo:hi].astype("<u4") for x in n])
+        rows.append((int(part[lo]), BIGRAMS, block, int(part[lo]), *map(compressed, columns)))
+    sums = [np.bincount(w, x, len(keys)).astype("<u8") for w in (a, b) for x in n]
+    ends = np.searchsorted(keys % buckets, np.arange(buckets + 1))
+    for k, (lo, hi) in enumerate(zip(ends, ends[1:])):
+        rows.append((-1 - block, WORD_ROWS, block, k, *map(compressed, (keys[lo:hi], *[x[lo:hi] for x in sums]))))
+    rows.append((-1 - block, OWN, block, start, as_bytes(kept), *map(compressed, (sizes, tokens.astype("<u4"), residue.astype("<u2")))))
+    return packed(rows)
+
+
+def dealt_blocks(sided: DataFrame, keep: list[str], text: str, side: str, grid: int, buckets: int) -> DataFrame:
     def run(batches):
-        held, sides, tokens, keys = [], [], [], WordKeys()
-        number, size = TaskContext.get().partitionId() << 32, 0
+        held, sides, texts, words, size = [], [], [], Numbers(), 0
+        block = TaskContext.get().partitionId() << 32
 
         def rows():
-            found = block_rows(number, pa.Table.from_batches(held), sides, tokens, parts)
-            return pa.RecordBatch.from_pydict({name: pa.array(v, t) for (name, v), t in zip(found.items(), kinds)})
+            return block_rows(block, pa.Table.from_batches(held), sides, texts, words, grid, buckets).combine_chunks().to_batches()
 
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * (len(BLOCKS) - 2)]
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE_ROWS):
                 piece = batch.slice(lo, SLICE_ROWS)
                 held.append(piece.select(keep))
                 sides += piece.column(side).to_pylist()
                 for t in piece.column(text).to_pylist():
-                    words = words_of(t)
-                    tokens.append(np.fromiter((START, *map(keys.__getitem__, words)), np.int64, len(words) + 1))
-                    size += len(words)
-                if size >= BLOCK_TOKENS or len(tokens) >= BLOCK_TEXTS:
-                    yield rows()
-                    held, sides, tokens = [], [], []
-                    number, size = number + 1, 0
-        if tokens:
-            yield rows()
-
-    return sided.mapInArrow(run, f"part int, block long, {', '.join(f'{c} binary' for c in BLOCKS[2:])}")
+                    found = words_of(t)
+                    texts.append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
+                    size += len(found)
+                if size >= BLOCK_TOKENS or len(texts) >= BLOCK_TEXTS:
+                    yield from rows()
+                    held, sides, texts, words, size = [], [], [], Numbers(), 0
+                    block += 1
+        if texts:
+            yield from rows()
 
+    return sided.mapInArrow(run, ROW)
 
-class Part:
-    """The bigrams of a part: of each entry its bigram's place in `a`, `b` (places in `words`) and `counts`[side]."""
 
-    def __init__(self, table: pa.Table):
-        def unpacked(name, kind):
-            found = [restored(x.as_py(), kind) for x in table.column(name)]
-            return np.concatenate([np.zeros(0, kind), *found]), np.array([len(x) for x in found], np.int64)
+def losses(counts: np.ndarray, seen: np.ndarray, kinds: np.ndarray, n: np.ndarray, total: float, size: int) -> np.ndarray:
+    """-log2 P(word | word before) by Witten-Bell interpolation with add-one unigrams."""
+    kinds = np.maximum(kinds, 1)
+    return -np.log2((counts + kinds * (n + 1) / (total + size)) / (seen + kinds))
 
-        words, held = unpacked("words", "<i8")
-        before, self.entries = unpacked("before", "<u4")
-        at = np.repeat(np.cumsum(held) - held, self.entries)  # how many words the rows before an entry's own hold
-        self.words, place = np.unique(words, return_inverse=True)
-        code = place[before + at] * len(self.words) + place[unpacked("after", "<u4")[0] + at]
-        code, self.pair = np.unique(code, return_inverse=True)
-        self.a, self.b = np.divmod(code, max(len(self.words), 1))
-        self.counts = [np.bincount(self.pair, unpacked(f"n_{s}", "<u4")[0], len(code)) for s in (0, 1)]
 
-    def sums(self) -> list[np.ndarray]:
-        """SUMS of the part's words, in this part."""
-        n = len(self.words)
-        sums = [np.bincount(self.a, c, n) for c in self.counts]
-        sums += [np.bincount(self.a, c > 0, n) for c in self.counts]
-        return sums + [np.bincount(self.b, c, n) for c in self.counts]
+def sum_bigrams(rows: list[dict], buckets: int) -> list[tuple]:
+    """Of a part: each block's bigrams with their counts in the corpus, and how many kinds of bigram begin with each word."""
+    entries = np.array([int.from_bytes(r["x2"][:8], "little") for r in rows])
+
+    def placed(words: str, at: str):
+        held = np.array([int.from_bytes(r[words][:8], "little") for r in rows])
+        found, place = np.unique(joined(rows, words, "<i8"), return_inverse=True)
+        return found, place[joined(rows, at, "<u4") + np.repeat(np.cumsum(held) - held, entries)]
+
+    first, a = placed("x0", "x2")
+    second, b = placed("x1", "x3")
+    code, pair = np.unique(a * len(second) + b, return_inverse=True)
+    counts = [np.bincount(pair, joined(rows, x, "<u4"), len(code)).astype("<u8") for x in ("x4", "x5")]
+    out = []
+    ends = np.cumsum(entries)
+    for r, lo, hi in zip(rows, ends - entries, ends):
+        out.append((-1 - r["block"], COUNTS, r["block"], r["number"], *[compressed(c[pair[lo:hi]]) for c in counts]))
+    kinds = [np.bincount(code // len(second), c > 0, len(first)).astype("<u8") for c in counts]
+    for k in np.unique(first % buckets):
+        at = first % buckets == k
+        out.append((int(k), KINDS, None, int(k), compressed(first[at]), *[compressed(x[at]) for x in kinds]))
+    return out
 
 
-#: Of each side: how often a word comes before another, how many kinds follow it, how often it comes after another.
-SUMS = ("seen_0", "seen_1", "kinds_0", "kinds_1", "n_0", "n_1")
+def sum_words(rows: list[dict]) -> list[tuple]:
+    """Of a bucket: the sums of each block's words over the corpus, and what all words of the bucket add up to."""
+    mine, kinds = ([r for r in rows if r["kind"] == k] for k in (WORD_ROWS, KINDS))
+    words, place = np.unique(joined(mine, "x0", "<i8"), return_inverse=True)
+    sums = [np.bincount(place, joined(mine, x, "<u8"), len(words)) for x in ("x1", "x2", "x3", "x4")]  # seen, seen, n, n
+    at = np.searchsorted(words, joined(kinds, "x0", "<i8"))
+    sums += [np.bincount(at, joined(kinds, x, "<u8"), len(words)) for x in ("x1", "x2")]
+    whole = np.array([sums[2].sum(), sums[3].sum(), len(words) - int(START in words)], "<u8")
+    out, lo = [], 0
+    for r in mine:
+        hi = lo + int.from_bytes(r["x0"][:8], "little")
+        out.append((-1 - r["block"], TOTALS, r["block"], r["number"], *[compressed(x[place[lo:hi]].astype("<u8")) for x in sums], compressed(whole)))
+        lo = hi
+    return out
 
 
-def losses(counts: np.ndarray, seen: np.ndarray, kinds: np.ndarray, n: np.ndarray, total: float, size: int) -> np.ndarray:
-    """-log2 P(word | word before) by Witten-Bell interpolation with add-one unigrams."""
-    kinds = np.maximum(kinds, 1)
-    return -np.log2((counts + kinds * (n + 1) / (total + size)) / (seen + kinds))
+def block_scores(rows: list[dict], grid: int, names: list[str]) -> pa.Table:
+    """What a block kept of its documents, with the token count and mean losses of each."""
+    own = next(r for r in rows if r["kind"] == OWN)
+    kept = pa.ipc.open_stream(own["x0"]).read_all()
+    sizes, tokens, residue = (restored(own[x], k).astype(np.int64) for x, k in (("x1", "<i8"), ("x2", "<u4"), ("x3", "<u2")))
+    a, b, _, pair = ranked_bigrams(tokens, sizes, own["number"], residue, grid)
+    parts, totals = (sorted((r for r in rows if r["kind"] == k), key=lambda r: r["number"]) for k in (COUNTS, TOTALS))
+    total = np.sum([restored(r["x6"], "<u8") for r in totals], axis=0, dtype=np.int64)
+    sums = [joined(totals, f"x{i}", "<u8").astype(float) for i in range(6)]
+    owner, columns = np.repeat(np.arange(len(sizes)), sizes), [pa.array(sizes)]
+    for s in (1, 0):
+        loss = losses(joined(parts, f"x{s}", "<u8"), sums[s][a], sums[4 + s][a], sums[2 + s][b], total[s], total[2] + 2)  # and <unk>, <s>, which the unigrams never saw
+        columns.append(pa.array(np.bincount(owner, loss[pair], len(sizes)) / np.maximum(sizes, 1)))
+    return pa.table([*kept.columns, *columns], names=[*kept.column_names, *names])
 
 
-def score_blocks(blocks: DataFrame, parts: int, schema: T.StructType) -> DataFrame:
+def score_blocks(blocks: DataFrame, grid: int, buckets: int, schema: T.StructType) -> DataFrame:
     """What the blocks kept of each document, then (last in `schema`) its token count and mean losses, target and background."""
-    buckets = max(1, parts // PARTS_PER_BUCKET)
-    partial = struct(f"bucket int, part int, words binary, {', '.join(f'{c} binary' for c in SUMS)}")
-    summed = struct(f"part int, bucket int, {', '.join(f'{c} binary' for c in SUMS)}, total_0 long, total_1 long, distinct long")
-    lossy = struct("block long, part int, target binary, background binary, kept binary, sizes binary, ranks binary")
-
-    def bigrams(table: pa.Table) -> pa.Table:
-        return table.filter(pc.is_null(table.column("kept")))
-
-    def in_bucket(words: np.ndarray):
-        bucket = words % buckets
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        return [(k, order[lo:hi]) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if lo < hi]
-
-    def count(table: pa.Table) -> pa.Table:
-        part, number = Part(bigrams(table)), table.column("part")[0].as_py()
-        sums = [s.astype("<u8") for s in part.sums()]
-        rows = [(k, number, compressed(part.words[at]), *[compressed(s[at]) for s in sums]) for k, at in in_bucket(part.words)]
-        return pa.Table.from_pylist([dict(zip(partial.names, r)) for r in rows], pa.schema([("bucket", pa.int32()), ("part", pa.int32()), *[(n, pa.binary()) for n in partial.names[2:]]]))
-
-    def total(table: pa.Table) -> pa.Table:
-        found = [restored(x.as_py(), "<i8") for x in table.column("words")]
-        words, place = np.unique(np.concatenate(found), return_inverse=True)
-        sums = {c: np.bincount(place, np.concatenate([restored(x.as_py(), "<u8") for x in table.column(c)]), len(words)) for c in SUMS}
-        bucket, at, rows = table.column("bucket")[0].as_py(), 0, []
-        for number, own in zip(table.column("part").to_pylist(), found):
-            here = place[at : at + len(own)]
-            at += len(own)
-            rows.append((number, bucket, *[compressed(sums[c][here].astype("<u8")) for c in SUMS], None, None, None))
-        distinct = len(words) - int(START in words)
-        rows.append((-1, bucket, *[None] * len(SUMS), int(sums["n_0"].sum()), int(sums["n_1"].sum()), distinct))
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * len(SUMS), pa.int64(), pa.int64(), pa.int64()]
-        return pa.Table.from_pylist([dict(zip(summed.names, r)) for r in rows], pa.schema(list(zip(summed.names, kinds))))
-
-    def score(table: pa.Table, totals: pa.Table) -> pa.Table:
-        rows = []
-        for r in table.filter(pc.is_valid(table.column("kept"))).to_pylist():
-            rows.append({"block": r["block"], "part": -1, "kept": r["kept"], "sizes": r["sizes"], "ranks": r["ranks"]})
-        pairs = bigrams(table)
-        if pairs.num_rows:
-            part = Part(pairs)
-            known = {c: np.zeros(len(part.words)) for c in SUMS}
-            places = dict(in_bucket(part.words))
-            for r in totals.to_pylist():
-                for c in SUMS:
-                    known[c][places[r["bucket"]]] = restored(r[c], "<u8")
-            size = totals.column("distinct")[0].as_py() + 2  # <unk> and <s> are words that the unigrams never saw
-            found = []
-            for s in (1, 0):
-                total = totals.column(f"total_{s}")[0].as_py()
-                loss = losses(part.counts[s], known[f"seen_{s}"][part.a], known[f"kinds_{s}"][part.a], known[f"n_{s}"][part.b], total, size)
-                found.append(np.split(loss.astype("<f4")[part.pair], np.cumsum(part.entries)[:-1]))
-            number = table.column("part")[0].as_py()
-            for block, target, background in zip(pairs.column("block").to_pylist(), *found):
-                rows.append({"block": block, "part": number, "target": compressed(target), "background": compressed(background)})
-        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
-        return pa.Table.from_pylist(rows, pa.schema(list(zip(lossy.names, kinds))))
-
-    def gather(table: pa.Table) -> pa.Table:
-        table = table.sort_by("part")  # first the block's own row, then its bigrams by rank
-        own = table.slice(0, 1).to_pylist()[0]
-        kept = pa.ipc.open_stream(own["kept"]).read_all()
-        sizes = restored(own["sizes"], "<u4")
-        ranks = np.cumsum(restored(own["ranks"], "<u4"), dtype=np.uint32)
-        owner, names = np.repeat(np.arange(len(sizes)), sizes), schema.names[-3:]
-        means = []
-        for side in ("target", "background"):
-            loss = np.concatenate([np.zeros(0, "<f4"), *[restored(x, "<f4") for x in table.column(side).to_pylist() if x is not None]])
-            means.append(np.bincount(owner, loss[ranks].astype(float), len(sizes)) / np.maximum(sizes, 1))
-        for name, column in zip(names, (pa.array(sizes.astype(np.int64)), *map(pa.array, means))):
-            kept = kept.append_column(name, column)
-        return kept
-
-    words = blocks.groupBy("part").applyInArrow(count, partial)
-    totals = words.groupBy("bucket").applyInArrow(total, summed)
-    whole = totals.where("part = -1").agg(*[F.sum(c).alias(c) for c in ("total_0", "total_1", "distinct")])
-    known = totals.where("part >= 0").drop("total_0", "total_1", "distinct").crossJoin(F.broadcast(whole))
-    scored = blocks.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(score, lossy)
-    return scored.groupBy("block").applyInArrow(gather, schema)
+
+    def passed(table: pa.Table, *kinds: int) -> list[tuple]:
+        return [tuple(r.values()) for r in table.to_pylist() if r["kind"] in kinds]
+
+    def in_parts(table: pa.Table) -> pa.Table:
+        pairs = [r for r in table.to_pylist() if r["kind"] == BIGRAMS]
+        words = [(r[3], *r[1:]) for r in passed(table, WORD_ROWS)]
+        return packed((sum_bigrams(pairs, buckets) if pairs else []) + words + passed(table, OWN))
+
+    def in_buckets(table: pa.Table) -> pa.Table:
+        words = [r for r in table.to_pylist() if r["kind"] in (WORD_ROWS, KINDS)]
+        return packed((sum_words(words) if words else []) + passed(table, OWN, COUNTS))
+
+    def in_blocks(table: pa.Table) -> pa.Table:
+        return block_scores(table.to_pylist(), grid, schema.names[-3:])
+
+    summed = blocks.groupBy("to").applyInArrow(in_parts, ROW).groupBy("to").applyInArrow(in_buckets, ROW)
+    return summed.groupBy("to").applyInArrow(in_blocks, schema)
 
 
 def cross_entropy_difference(docs: DataFrame, is_target: Column, keep: list[str]) -> DataFrame:
@@ -268,20 +253,23 @@ def cross_entropy_difference(docs: DataFrame, is_target: Column, keep: list[str]
         raise ValueError(f"keep holds {clash}")
     side = free_name(docs, "of_target")
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = 1 + size // PART_CHARS
+    grid = math.isqrt(size // PART_CHARS) + 1  # parts along each side: by the word before, and by the word
+    buckets = 1 + grid * grid // PARTS_PER_BUCKET
     sided = docs.withColumn(side, F.coalesce(is_target, F.lit(False))).select(*dict.fromkeys([*keep, "text"]), side)
-    blocks = dealt_blocks(sided, keep, "text", side, parts)
+    blocks = dealt_blocks(sided, keep, "text", side, grid, buckets)
     schema = T.StructType([*docs.select(*keep).schema, *struct("n_tokens long, target_loss double, background_loss double")])
-    found = score_blocks(blocks, parts, schema)
+    found = score_blocks(blocks, grid, buckets, schema)
     return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Target: documents labelled of quality. Background: all others, those with a null doc_id too.
 
-    How labels are joined is left to Spark, which broadcasts them only below its
-    own size limit. Other cases as in `cross_entropy_difference`.
+    Labels are broadcast if there are BROADCAST_LABELS at most, else joined by a
+    shuffle. Other cases as in `cross_entropy_difference`.
     """
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("of_quality", F.lit(True))
+    if good.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
+        good = F.broadcast(good)
     sided = docs.select("doc_id", "text").join(good, "doc_id", "left")
     return cross_entropy_difference(sided, F.col("of_quality"), ["doc_id"])
