@@ -21,13 +21,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from fareindex.llm.common import checkpointed, gather_texts, map_texts, struct
+from fareindex.llm.common import SLICE_ROWS, checkpointed, gather_texts, hashed_share, map_texts, struct
 
 WINDOW = 2048
 END = 1
 SHARD_DOCS = 1024
+SHARD_TOKENS = 1 << 21  # a shard ends at so many documents or tokens, whichever comes first
 RANGE_SHARDS = 8  # shards that a task cuts one after another
+MOST_RANGES = 20_000  # beyond this many, ranges hold more shards; a task still holds one shard at a time
+SAMPLE_PER_RANGE = 200  # documents whose keys place the ranges' bounds, for each range
 TERMS = 1 << 16
 K1, B = 1.2, 0.75
 QUERY_TERMS, NEIGHBOURS = 16, 24  # terms of a query; documents that one query fetches
@@ -61,8 +66,28 @@ def token_ids(text: str, path: str) -> np.ndarray:
     if any(s in text for s in special):
         ids = full.encode(text, add_special_tokens=False).ids
     else:
-        ids = fast.encode_ordinary(text)
-    return np.array([*ids, END], np.uint16)
+        ids = fast.encode_to_numpy(text)
+    return np.append(ids, END).astype(np.uint16)
+
+
+def term_counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, term, tf) of each document's distinct terms, by owner, then term."""
+    owner = np.repeat(np.arange(len(docs), dtype=np.uint64), [len(d) for d in docs])
+    code = np.sort(owner << np.uint64(16) | np.concatenate(docs).astype(np.uint64))
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    tf = np.diff(np.r_[first, len(code)])
+    return (code[first] >> np.uint64(16)).astype(np.int64), (code[first] & np.uint64(0xFFFF)).astype(np.int64), tf
+
+
+def strongest(owner: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Places of the `k` largest weights of each of n owners, strongest first (ties: by place), -1 where there are fewer or none above 0."""
+    order = np.lexsort((-weight, owner))
+    begins = np.searchsorted(owner, np.arange(n))
+    nth = np.arange(len(owner)) - begins[owner]
+    out = np.full((n, k), -1)
+    good = (nth < k) & (weight[order] > 0)
+    out[owner[good], nth[good]] = order[good]
+    return out
 
 
 class Corpus:
@@ -74,69 +99,54 @@ class Corpus:
 
     @classmethod
     def of(cls, docs: list[np.ndarray]) -> Corpus:
-        df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=TERMS)
+        df = np.bincount(term_counts(docs)[1], minlength=TERMS)
         return cls(len(docs), sum(map(len, docs)) / len(docs), df)
 
     def weights(self, terms: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
         return self.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean_length))
 
-    def likeness(self, ids: np.ndarray) -> int:
-        """The strongest terms that other documents hold too, strongest first, as a signed 64-bit number."""
-        terms, tf = np.unique(ids, return_counts=True)
-        weight = np.where(self.df[terms] > 1, self.weights(terms, tf, len(ids)), 0.0)
-        top = terms[np.lexsort((terms, -weight))[:KEY_TERMS]].tolist() + [0] * KEY_TERMS
-        return sum(t << 16 * (KEY_TERMS - 1 - i) for i, t in enumerate(top[:KEY_TERMS])) - (1 << 63)
+    def likeness(self, docs: list[np.ndarray]) -> np.ndarray:
+        """Each document's strongest terms that others hold too, strongest first, as a signed 64-bit number."""
+        owner, terms, tf = term_counts(docs)
+        weight = np.where(self.df[terms] > 1, self.weights(terms, tf, np.array([len(d) for d in docs])[owner]), 0.0)
+        top = strongest(owner, weight, len(docs), KEY_TERMS)
+        found = np.where(top >= 0, terms[top], 0)
+        key = found[:, 0].astype(np.int64) - (TERMS >> 1)
+        for j in range(1, KEY_TERMS):
+            key = key << 16 | found[:, j]
+        return key
 
 
-def corpus_of(coded: DataFrame) -> Corpus:
-    """Counted over every row of `ids`; at most TERMS + 2 sums reach the driver."""
+def corpus_of(counted: DataFrame) -> Corpus:
+    """Sums the tasks' document frequencies; TERMS + 2 sums at most reach the driver."""
 
     def start():
-        df, size = np.zeros(TERMS, np.int64), np.zeros(2, np.int64)
+        sums = np.zeros(TERMS + 2, np.int64)
 
         def add(part):
             for x in part["ids"]:
-                ids = np.frombuffer(x, np.uint16)
-                df[np.unique(ids)] += 1
-                size[:] += 1, len(ids)
+                sums[:] += np.frombuffer(x, np.int64)
 
         def flush(last):
-            if not last:
-                return None
-            terms = np.flatnonzero(df)
-            return {"term": [*terms.tolist(), -1, -2], "n": [*df[terms].tolist(), *size.tolist()]}
+            return {"sums": [sums.tobytes()]} if last else None
 
         return add, flush
 
-    rows = gather_texts(coded.select("ids"), start, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    sums = {r["term"]: r["n"] for r in rows}
-    n, length = sums.pop(-1, 0), sums.pop(-2, 0)
-    df = np.zeros(TERMS, np.int64)
-    df[list(sums)] = list(sums.values())
-    return Corpus(n, length / max(n, 1), df)
+    total = np.zeros(TERMS + 2, np.int64)
+    for r in gather_texts(counted.select("ids"), start, "sums binary").collect():
+        total += np.frombuffer(r["sums"], np.int64)
+    return Corpus(int(total[TERMS]), total[TERMS + 1] / max(total[TERMS], 1), total[:TERMS])
 
 
 class ShardIndex:
     """BM25 over one shard: postings by term, and each document's strongest terms."""
 
     def __init__(self, docs: list[np.ndarray], corpus: Corpus):
-        n = len(docs)
-        terms, tf, owner = [], [], []
-        for i, ids in enumerate(docs):
-            t, c = np.unique(ids, return_counts=True)
-            terms.append(t)
-            tf.append(c)
-            owner.append(np.full(len(t), i))
-        terms, tf, owner = map(np.concatenate, (terms, tf, owner))
-        length = np.array([len(d) for d in docs], float)
+        owner, terms, tf = term_counts(docs)
         df = np.bincount(terms, minlength=TERMS)
-        weight = corpus.weights(terms, tf, length[owner])
-        self.n, ends = n, np.cumsum(np.bincount(owner, minlength=n))
-        self.queries = []
-        for lo, hi in zip(np.concatenate([[0], ends[:-1]]), ends):
-            w = np.where(df[terms[lo:hi]] > 1, weight[lo:hi], 0.0)  # terms of no other document here fetch nothing
-            top = np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS] if len(w) > QUERY_TERMS else np.arange(len(w))
-            self.queries.append(terms[lo:hi][top[w[top] > 0]])
+        weight = corpus.weights(terms, tf, np.array([len(d) for d in docs], float)[owner])
+        shared = np.where(df[terms] > 1, weight, 0.0)  # terms of no other document here fetch nothing
+        self.n, self.queries = len(docs), [terms[t[t >= 0]] for t in strongest(owner, shared, len(docs), QUERY_TERMS)]
         order = np.argsort(terms, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
         self.first = np.concatenate([[0], np.cumsum(df)])
@@ -217,55 +227,98 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | No
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """One row per piece of each document.
+def coded_documents(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, row, ids), and one row for each task (row null) whose `ids` are its document frequencies, documents and tokens."""
+    sent = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    schema = T.StructType([sent.schema["doc_id"], T.StructField("row", T.LongType()), T.StructField("ids", T.BinaryType())])
+    arrow = to_arrow_schema(schema)
 
-    Rows are sorted by the likeness of their texts, then by hash of the row, so
-    no copy, source or repeated id makes a range or a shard of about
-    `shard_docs` rows large. Null text is empty and gives the one END token; an
-    empty table gives no row.
-    """
-    path = tokenizer or default_tokenizer()
+    def run(batches):
+        sums = np.zeros(TERMS + 2, np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                piece = batch.slice(lo, SLICE_ROWS)
+                ids = [token_ids(t or "", path) for t in piece.column("text").to_pylist()]
+                sums[:TERMS] += np.bincount(term_counts(ids)[1], minlength=TERMS)
+                sums[TERMS:] += len(ids), sum(map(len, ids))
+                columns = [piece.column("doc_id"), piece.column("row"), pa.array([x.tobytes() for x in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((None, None, sums.tobytes()), arrow)], schema=arrow)
+
+    return sent.mapInArrow(run, schema)
 
-    def start():
-        return lambda texts: {"ids": [token_ids(t or "", path).tobytes() for t in texts]}
 
-    coded = map_texts(docs.withColumn("row", F.monotonically_increasing_id()), start, "ids binary", ["doc_id", "row"])
-    coded = checkpointed(coded)
-    corpus = corpus_of(coded)
-    shared = docs.sparkSession.sparkContext.broadcast(corpus)
+def range_bounds(coded: DataFrame, corpus: Corpus, shared, ranges: int) -> np.ndarray:
+    """Likeness keys that cut the documents into `ranges`, from a sample by hash; a frequent key is there several times."""
+    share = min(1.0, SAMPLE_PER_RANGE * ranges / max(corpus.n, 1))
 
     def keys():
-        return lambda rows: {"likeness": [shared.value.likeness(np.frombuffer(x, np.uint16)) for x in rows]}
+        return lambda rows: {"likeness": shared.value.likeness([np.frombuffer(x, np.uint16) for x in rows]).tolist()}
+
+    sampled = coded.where(hashed_share("row", seed="ranges") < share)
+    cuts = [i / ranges for i in range(1, ranges)]
+    found = map_texts(sampled, keys, "likeness long", [], "ids").agg(F.percentile_approx("likeness", cuts, 20 * ranges)).first()[0]
+    return np.array(found or [], np.int64)
+
 
-    keyed = map_texts(coded, keys, "likeness long", ["doc_id", "row", "ids"], "ids")
-    order = ["likeness", F.xxhash64("doc_id", "row")]
-    ranges = max(1, -(-corpus.n // (RANGE_SHARDS * shard_docs)))
-    dealt = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "ids")
-    schema = struct(PIECES)
+def pack(docs: DataFrame, tokenizer: str | None = None, shard_docs: int = SHARD_DOCS, with_ids: bool = False) -> DataFrame:
+    """One row per piece of each document, with the piece's token ids if `with_ids`.
 
-    def packed(table: pa.Table, shard: int) -> pa.RecordBatch:
-        names = table.column("doc_id").to_pylist()
-        ids = [np.frombuffer(x, np.uint16) for x in table.column("ids").to_pylist()]
+    Documents are sorted by the likeness of their texts, then by a hash of the
+    row, and cut into ranges, then into shards of about `shard_docs` rows and at
+    most SHARD_TOKENS tokens (a longer text is a shard by itself). Copies of one
+    text, a third of all rows or more, are spread over as many ranges as they
+    fill. Null text is empty and gives the one END token; repeated rows are
+    packed each; a null doc_id stays null; an empty table gives no row. Other
+    columns of `docs` don't matter.
+    """
+    path = tokenizer or default_tokenizer()
+    every = checkpointed(coded_documents(docs, path))
+    corpus = corpus_of(every.where("row is null"))
+    coded = every.where("row is not null")
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(corpus)
+    ranges = min(MOST_RANGES, max(1, -(-corpus.n // (RANGE_SHARDS * shard_docs))))
+    bounds = range_bounds(coded, corpus, shared, ranges) if ranges > 1 else np.zeros(0, np.int64)
+    cuts = spark.sparkContext.broadcast(bounds)
+
+    def keyed(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                piece = batch.slice(lo, SLICE_ROWS)
+                likeness = shared.value.likeness([np.frombuffer(x, np.uint16) for x in piece.column("ids").to_pylist()])
+                low, high = (np.searchsorted(cuts.value, likeness, side) for side in ("left", "right"))
+                spread = piece.column("row").to_numpy() % (high - low + 1)  # over the ranges that its key fills
+                added = [pa.array(likeness, pa.int64()), pa.array(low + spread, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*piece.columns, *added], names=[*piece.schema.names, "likeness", "range"])
+
+    keys = T.StructType([*coded.schema, *struct("likeness long, range int")])
+    dealt = coded.mapInArrow(keyed, keys).repartitionById(ranges, F.col("range")).sortWithinPartitions("likeness", "row").select("doc_id", "ids")
+    schema = struct(PIECES + (", ids array<int>" if with_ids else ""))
+    arrow = to_arrow_schema(schema)
+
+    def packed(names: list, docs: list[np.ndarray], shard: int) -> pa.RecordBatch:
         out = []
-        for k, sequence in enumerate(pack_shard(ids, corpus=shared.value)):
+        for k, sequence in enumerate(pack_shard(docs, corpus=shared.value)):
             at = 0
             for doc, lo, n in sequence:
-                out.append((names[doc], lo, n, zlib.crc32(ids[doc][lo : lo + n].astype("<u4").tobytes()), len(ids[doc]), (shard << 24) | k, at))
+                piece = docs[doc][lo : lo + n]
+                row = (names[doc], lo, n, zlib.crc32(piece.astype("<u4").tobytes()), len(docs[doc]), (shard << 24) | k, at)
+                out.append((*row, piece.astype(np.int32)) if with_ids else row)
                 at += n
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=schema.names)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
     def run(batches):
-        shard, held = TaskContext.get().partitionId() << 16, None
+        shard, names, texts, size = TaskContext.get().partitionId() << 16, [], [], 0
         for batch in batches:
-            held = pa.concat_tables([*([held] if held else []), pa.Table.from_batches([batch])])
-            while held.num_rows >= 2 * shard_docs:
-                yield packed(held.slice(0, shard_docs), shard)
-                shard, held = shard + 1, held.slice(shard_docs)
-        rest = held.num_rows if held else 0
-        parts = max(1, round(rest / shard_docs))
-        for i in range(parts if rest else 0):
-            lo, hi = rest * i // parts, rest * (i + 1) // parts
-            yield packed(held.slice(lo, hi - lo), shard + i)
+            for name, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+                if texts and (len(texts) >= shard_docs or size + len(x) // 2 > SHARD_TOKENS):
+                    yield packed(names, texts, shard)
+                    shard, names, texts, size = shard + 1, [], [], 0
+                names.append(name)
+                texts.append(np.frombuffer(x, np.uint16))
+                size += len(texts[-1])
+        if texts:
+            yield packed(names, texts, shard)
 
     return dealt.mapInArrow(run, schema)
