@@ -2,10 +2,12 @@
 
 E-mail addresses, IP addresses, card and phone numbers are found by pattern: the
 protected entities. Over the whole corpus, the documents that hold both a term and
-an entity are counted against those in which the term and the entity occur.
-The pointwise mutual information of the two, as a share of the entity's own
-information content, is how much of the entity the term discloses. Terms above a
-threshold are generalised if their generalisation discloses little, else removed.
+an entity are counted against those in which the term and the entity occur. The
+pointwise mutual information of the two, as a share of the entity's own
+information content, is how much of the entity the term discloses. A term above a
+threshold gives way to the longest of its stems that discloses less, in a
+hierarchy of stems counted over the same corpus; if every stem discloses as much,
+it is removed.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from fareindex.llm.common import checkpointed, free_name, gather_texts, map_text
 
 KINDS = ("email", "ip", "card", "phone", "term")
 TERM = len(KINDS) - 1
-LEAST_DOCS = 3  # documents that must hold a term and an entity before the term is judged
+STEMS = (5, 3)  # lengths of the stems that a term may be generalised to
+UNSEEN = 1.0  # documents with the term alone that are assumed besides those seen, so that rare terms are judged with care
 DISCLOSURE = 0.8  # share of the entity's information that a term may carry
 HELD_TERMS = 200_000
 
@@ -69,9 +72,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def generalised(term: str) -> str:
-    """The coarser form of a term: its first three letters."""
-    return f"{term[:3]}*"
+def stems(term: str) -> list[str]:
+    """The term's generalisations, finest first."""
+    return [f"{term[:n]}*" for n in STEMS if n < len(term)]
 
 
 def entity_key(kind: int, value: str) -> int:
@@ -80,30 +83,32 @@ def entity_key(kind: int, value: str) -> int:
     return int.from_bytes(xxhash.xxh64_digest(f"{kind}:{plain}".encode()), "big", signed=True)
 
 
-def nearby(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Every term of the text with each of its entities; new_term, new_general: 1 where the text shows the pair first."""
-    words, at = [], 0
+def terms_of(text: str) -> set[str]:
+    return {w.lower() for w in set(_WORD.findall(text))}
+
+
+def located_terms(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[tuple[int, int]]]:
+    """Where each term stands outside the entities."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    at = 0
     for m in _WORD.finditer(text):
         while at < len(spans) and spans[at][2] <= m.start():
             at += 1
         if at == len(spans) or m.end() <= spans[at][0]:
-            words.append((m.start(), m.end(), m.group().lower()))
-    out, seen = [], set()
-    for entity in dict.fromkeys(entity_key(kind, text[start:end]) for start, kind, end in spans):
-        for a, b, term in words:
-            general = generalised(term)
-            pair, coarse = (entity, term) not in seen, (entity, general) not in seen
-            seen |= {(entity, term), (entity, general)}
-            out.append({"entity": entity, "term": term, "general": general, "start": a, "end": b, "new_term": int(pair), "new_general": int(coarse)})
+            out.setdefault(m.group().lower(), []).append(m.span())
     return out
 
 
-NEAR = "array<struct<entity:long,term:string,general:string,start:int,end:int,new_term:int,new_general:int>>"
-BASE = f"n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, near {NEAR}"
+SPANS = "array<struct<start:int,end:int>>"
+BASE = (
+    "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, "
+    f"entities array<long>, terms array<struct<term:string,at:{SPANS}>>, grams array<string>"
+)
 
 
 def find_entities(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`docs[keep]` with counts and spans of the patterned entities and the terms beside them."""
+    """`docs[keep]` with counts and spans of the patterned entities, and where there are any, the distinct ones, the terms, and terms and stems."""
+    names = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "terms", "grams")
 
     def start():
         def work(texts):
@@ -112,81 +117,97 @@ def find_entities(docs: DataFrame, keep: list[str]) -> DataFrame:
                 spans = base_spans(t or "")
                 kinds = [k for _, k, _ in spans]
                 line = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
-                near = nearby(t, spans) if spans else []
-                rows.append((*map(kinds.count, range(TERM)), hashlib.sha256(line.encode()).hexdigest(), [{"start": a, "kind": k, "end": b} for a, k, b in spans], near))
-            return dict(zip(("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"), map(list, zip(*rows))))
+                found = located_terms(t, spans) if spans else {}
+                keys = sorted({entity_key(kind, t[a:b]) for a, kind, b in spans})
+                terms = [{"term": w, "at": [{"start": a, "end": b} for a, b in at]} for w, at in found.items()]
+                grams = sorted({g for w in found for g in (w, *stems(w))})
+                rows.append((*map(kinds.count, range(TERM)), hashlib.sha256(line.encode()).hexdigest(), [{"start": a, "kind": k, "end": b} for a, k, b in spans], keys, terms, grams))
+            return dict(zip(names, map(list, zip(*rows))))
 
         return work
 
     return map_texts(docs, start, BASE, keep)
 
 
-def term_frequencies(docs: DataFrame) -> DataFrame:
-    """(term, n): in how many documents each term, and each generalised term, occurs."""
+def gram_frequencies(docs: DataFrame) -> DataFrame:
+    """(gram, gram_docs): in how many documents each term, and each stem, occurs."""
 
     def start():
         held = Counter()
 
         def add(part):
             for t in part["text"]:
-                terms = set(_WORD.findall((t or "").lower()))
+                terms = terms_of(t or "")
                 held.update(terms)
-                held.update({w[:3] + "*" for w in terms})
+                for n in STEMS:
+                    held.update({f"{w[:n]}*" for w in terms if n < len(w)})
 
         def flush(last):
             if not held or not last and len(held) < HELD_TERMS:
                 return None
-            out = {"term": list(held), "n": list(held.values())}
+            out = {"gram": list(held), "n": list(held.values())}
             held.clear()
             return out
 
         return add, flush
 
-    return gather_texts(docs.select("text"), start, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return gather_texts(docs.select("text"), start, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("gram_docs"))
+
 
+def disclosure(together: Column, gram_docs: Column, entity_docs: Column, total: Column) -> Column:
+    """PMI(entity, term) / information of the entity: 1 if the term implies it, 0 if it says nothing.
 
-def disclosure(together: Column, term_docs: Column, entity_docs: Column, total: Column) -> Column:
-    """PMI(entity, term) / information of the entity: 1 if the term implies it, 0 if it says nothing."""
+    The chance of the entity given the term is smoothed by UNSEEN documents that
+    hold the entity as often as any other document.
+    """
     information = -F.log(entity_docs / total)
-    gained = F.log(F.least(F.lit(1.0), together / term_docs)) + information
-    return F.when(information > 0, gained / information).otherwise(F.lit(0.0))
-
-
-def disclosing_terms(docs: DataFrame, entities: DataFrame, threshold: float = DISCLOSURE, least: int = LEAST_DOCS) -> DataFrame:
-    """(entity, term, action): the terms that disclose an entity, to be generalised or removed."""
-    holds = entities.select(F.explode(F.array_distinct("near.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_docs"))
-    holds = checkpointed(holds.where(F.col("entity_docs") >= least))  # no pair of any other entity is in `least` documents
-    near = entities.select(F.explode("near").alias("p")).select("p.*").join(holds.select("entity"), "entity")
-    pairs = near.groupBy("entity", "term", "general").agg(F.sum("new_term").alias("together")).where(F.col("together") >= least)
-    coarse = near.groupBy("entity", "general").agg(F.sum("new_general").alias("coarse_together"))
-    counts = term_frequencies(docs)
-    fine = counts.select("term", F.col("n").alias("term_docs"))
-    wide = counts.where(F.col("term").endswith("*")).select(F.col("term").alias("general"), F.col("n").alias("general_docs"))
+    chance = (F.least(together, gram_docs) + UNSEEN * entity_docs / total) / (gram_docs + UNSEEN)
+    return F.when(information > 0, (F.log(chance) + information) / information).otherwise(F.lit(0.0))
+
+
+def disclosing_grams(docs: DataFrame, entities: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
+    """(entity, gram): the terms and stems that disclose an entity, of however few documents."""
+    each = entities.where(F.size("entities") > 0).select(F.explode("entities").alias("entity"), "grams")
+    holds = each.groupBy("entity").agg(F.count("*").alias("entity_docs"))
+    pairs = each.select("entity", F.explode("grams").alias("gram")).groupBy("entity", "gram").agg(F.count("*").alias("together"))
     total = F.lit(float(docs.count()))
-    judged = pairs.join(holds, "entity").join(fine, "term").where(disclosure(F.col("together"), F.col("term_docs"), F.col("entity_docs"), total) >= threshold)
-    judged = judged.join(coarse, ["entity", "general"]).join(wide, "general", "left")
-    loose = disclosure(F.col("coarse_together"), F.col("general_docs"), F.col("entity_docs"), total) >= threshold
-    return judged.select("entity", "term", F.when(F.coalesce(loose, F.lit(True)), "remove").otherwise("generalise").alias("action"))
+    judged = pairs.join(gram_frequencies(docs), "gram").join(holds, "entity")
+    share = disclosure(F.col("together"), F.col("gram_docs"), F.col("entity_docs"), total)
+    return judged.where(share >= threshold).select("entity", "gram")
+
+
+def disclosing_terms(grams: DataFrame) -> DataFrame:
+    """(entity, term, form): the terms among `grams`, each with its longest stem that is not among them, or "" if all are."""
+    bad = grams.where(~F.col("gram").endswith("*")).withColumnRenamed("gram", "term")
+    form = F.lit("")
+    for n in reversed(STEMS):
+        stem = F.concat(F.substring("term", 1, n), F.lit("*"))
+        seen = grams.select("entity", F.col("gram").alias(f"stem_{n}"), F.lit(True).alias(f"bad_{n}"))
+        bad = bad.withColumn(f"stem_{n}", stem).join(seen, ["entity", f"stem_{n}"], "left")
+        form = F.when((F.length("term") > n) & F.col(f"bad_{n}").isNull(), F.col(f"stem_{n}")).otherwise(form)
+    return bad.select("entity", "term", form.alias("form"))
 
 
 def find_personal_data(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`docs[keep]` with the columns of find_entities (without `near`) and `terms`: array of (start, kind, end, action).
+    """`docs[keep]` with base counts and spans, and `terms`: array of (start, kind, end, form).
 
-    Terms are reported wherever they stand in the documents that hold the entity
-    they disclose. Null
-    counts as empty. Repeated rows get equal values.
+    Terms are reported wherever they stand in the documents that hold an entity
+    they disclose; a document without entities has none. Of several entities, the
+    one that asks for the shortest form decides. Null counts as empty; repeated
+    rows count and are reported each; texts are judged whole, however long;
+    an empty table gives no row.
     """
     row = free_name(docs, "row_key")
     marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))
     entities = checkpointed(find_entities(marked, [*keep, row]))
-    bad = checkpointed(disclosing_terms(docs, entities))
-    near = entities.select(row, F.explode("near").alias("p")).select(row, "p.entity", "p.term", "p.start", "p.end")
-    found = near.join(bad, ["entity", "term"])
-    span = F.struct("start", F.lit(TERM).alias("kind"), "end", F.col("hard").alias("action"))
-    found = found.groupBy(row, "start", "end").agg(F.max("action").alias("hard"))  # "remove" outranks "generalise"
-    terms = found.groupBy(row).agg(F.collect_list(span).alias("terms"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,action:string>>")
-    return entities.drop("near").join(terms, row, "left").withColumn("terms", F.coalesce("terms", none)).drop(row)
+    bad = checkpointed(disclosing_terms(checkpointed(disclosing_grams(docs, entities))))
+    each = entities.where(F.size("entities") > 0).dropDuplicates([row]).select(row, F.explode("entities").alias("entity"), "terms")
+    near = each.select(row, "entity", F.explode("terms").alias("t")).select(row, "entity", "t.term", "t.at").join(bad, ["entity", "term"])
+    worst = near.groupBy(row, "term").agg(F.first("at").alias("at"), F.min_by("form", F.length("form")).alias("form"))
+    spans = F.transform("at", lambda a: F.struct(a["start"].alias("start"), F.lit(TERM).alias("kind"), a["end"].alias("end"), F.col("form").alias("form")))
+    terms = worst.groupBy(row).agg(F.flatten(F.collect_list(spans)).alias("terms"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,form:string>>")
+    return entities.drop("entities", "terms", "grams").join(terms, row, "left").withColumn("terms", F.coalesce("terms", none)).drop(row)
 
 
 def written(spans: Column) -> Column:
@@ -195,36 +216,39 @@ def written(spans: Column) -> Column:
 
 
 def personal_data_digest(docs: DataFrame) -> DataFrame:
+    """Counts, the digest of the patterned spans, and all spans of every text; cases as in `find_personal_data`."""
     found = find_personal_data(docs.select("doc_id", "text"), ["doc_id"])
     terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     return found.select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256",
         written(F.concat("base", terms)).alias("spans"),
         F.size("terms").cast("long").alias("n_terms"),
-        F.size(F.filter("terms", lambda s: s["action"] == "generalise")).cast("long").alias("n_generalised"),
+        F.size(F.filter("terms", lambda s: s["form"] != "")).cast("long").alias("n_generalised"),
     )
 
 
 def redact(text: str | None, spans: list[dict]) -> str | None:
-    """The text with entities replaced by <kind> and terms by their generalisation or nothing."""
+    """The text with entities replaced by <kind> and terms by their form."""
     if text is None:
         return None
     out, at = [], 0
     for s in sorted(spans, key=lambda s: (s["start"], s["kind"])):
         if s["start"] >= at:
-            word = text[s["start"] : s["end"]]
-            new = f"<{KINDS[s['kind']]}>" if s["kind"] != TERM else generalised(word) if s["action"] == "generalise" else ""
-            out += [text[at : s["start"]], new]
+            out += [text[at : s["start"]], f"<{KINDS[s['kind']]}>" if s["kind"] != TERM else s["form"]]
         at = max(at, s["end"])
     return "".join([*out, text[at:]])
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """`docs` with personal data and disclosing terms taken out of `text`. Rows are matched by (doc_id, text)."""
+    """`docs` with personal data and disclosing terms taken out of `text`; a null text stays null.
+
+    Rows are matched by (doc_id, text), so repeated rows are treated alike;
+    other columns are kept whatever their names. Cases as in `find_personal_data`.
+    """
     row, spans = free_name(docs, "row_key"), free_name(docs, "found_spans")
     marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))
     found = find_personal_data(marked.select("doc_id", "text", row), [row])
-    lifted = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit("remove").alias("action")))
+    lifted = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit("").alias("form")))
     plans = found.select(row, F.concat(lifted, "terms").alias(spans)).where(F.size(spans) > 0).dropDuplicates([row])
     both = marked.join(plans, row, "left").withColumn(spans, F.struct(F.col("text").alias("text"), F.col(spans).alias("spans")))
 
