@@ -3,7 +3,9 @@
 A document's k-mers are runs of K word pieces; one is an anchor if the least hash
 of its inner runs of S pieces lies at either edge. Whether a k-mer is chosen
 depends on the k-mer only, so a passage keeps its anchors wherever it moves and
-whatever surrounds it. A fingerprint is the sorted list of the least anchors.
+whatever surrounds it. A fingerprint is all distinct anchors with their first
+positions. Two are matched by position: an anchor that both hold counts where a
+neighbouring one is shifted by as many pieces.
 """
 
 from __future__ import annotations
@@ -12,21 +14,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from fareindex.llm.common import free_name
+
 K, S = 5, 2
-SKETCH = 64  # anchors in a fingerprint
-PIECE = r"\S{1,16}"  # longer runs without white space are cut
+WIDE = r"฀-໿぀-鿿\x{20000}-\x{323AF}"  # scripts without spaces between words: each character is a piece
+PIECE = rf"[^\s{WIDE}]{{1,16}}|[{WIDE}]"  # longer runs are cut into pieces of 16
 BUCKET_ROWS = 1_000
-MOST_BUCKETS = 1_024
+MOST_BUCKETS = 1 << 16  # beyond this many, buckets have more rows, which Spark sorts on disk
 
 
 def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
-    """`df` with `name`: array of (position, anchor) structs in text order.
+    """`df` with `name`: array of (anchor, position) structs, one for each distinct anchor at its first place, by anchor.
 
-    Under K pieces the whole sequence is the one anchor, at 0; without pieces, or
-    for null, the array is empty. Positions count pieces.
+    Positions count pieces. K - 1 empty pieces stand before and after the text,
+    so the shortest texts have k-mers too; without a piece, or for null, the
+    array is empty.
     """
-    p, h, at = (f"{name}_{x}" for x in ("pieces", "hashes", "at"))
+    p, h, at = (f"{name}_{x}" for x in ("pieces", "hashes", "found"))
     inner = K - S  # index of the last inner run of a k-mer
+    pad = F.array_repeat(F.lit(""), K - 1)
 
     def get(i: Column) -> Column:
         return F.get(F.col(h), i)
@@ -35,79 +41,109 @@ def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
         edge = F.least(get(i), get(i + inner))
         return edge <= F.least(*[get(i + j) for j in range(1, inner)])
 
-    whole = F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(F.array_join(p, " ")).alias("anchor")))
-    chosen = F.transform(F.col(at), lambda i: F.struct(i.alias("position"), F.xxhash64(*[get(i + j) for j in range(inner + 1)]).alias("anchor")))
     n = F.size(p)
     out = df.withColumn(p, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PIECE), F.lit(0)))
+    out = out.withColumn(p, F.when(n > 0, F.concat(pad, p, pad)).otherwise(F.array().cast("array<string>")))
     runs = F.transform(F.sequence(F.lit(0), n - S), lambda i: F.xxhash64(*[F.get(F.col(p), i + j) for j in range(S)]))
-    out = out.withColumn(h, F.when(n >= K, runs))
-    out = out.withColumn(at, F.when(n >= K, F.filter(F.sequence(F.lit(0), n - K), is_closed)))
-    return out.withColumn(name, F.when(n >= K, chosen).when(n > 0, whole).otherwise(F.slice(whole, 1, 0))).drop(p, h, at)
+    out = out.withColumn(h, F.when(n > 0, runs))
+    chosen = F.filter(F.sequence(F.lit(0), n - K), is_closed)
+    each = F.transform(chosen, lambda i: F.struct(F.xxhash64(*[get(i + j) for j in range(inner + 1)]).alias("anchor"), (i - (K - 1)).alias("position")))
+    out = out.withColumn(at, F.when(n > 0, F.sort_array(each)))
+    first = F.filter(at, lambda x, i: (i == 0) | (F.get(F.col(at), i - 1)["anchor"] != x["anchor"]))
+    return out.withColumn(name, F.coalesce(first, F.array().cast("array<struct<anchor:bigint,position:int>>"))).drop(p, h, at)
+
+
+def with_match(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """`df` with `name`: the anchors that two fingerprints share, as (position in a, shift to its position in b), by position."""
+    merged, own = f"{name}_merged", lambda c, side: F.transform(c, lambda x: F.struct(x["anchor"].alias("anchor"), F.lit(side).alias("side"), x["position"].alias("position")))
+    after = lambda i: F.get(F.col(merged), i + 1)
+    both = F.transform(
+        merged,
+        lambda x, i: F.when(after(i)["anchor"] == x["anchor"], F.struct(x["position"].alias("position"), (after(i)["position"] - x["position"]).alias("shift"))),
+    )
+    out = df.withColumn(merged, F.sort_array(F.concat(own(a, 0), own(b, 1))))
+    return out.withColumn(name, F.sort_array(F.array_compact(both))).drop(merged)
 
 
-def sketch(anchors: str) -> Column:
-    """The SKETCH least distinct anchors, sorted."""
-    return F.slice(F.sort_array(F.array_distinct(F.col(f"{anchors}.anchor"))), 1, SKETCH)
+def likeness(a: str, b: str, match: str) -> Column:
+    """Anchors of `match` that lie in line with the one before or after, as a share of the anchors of both; 1 if both have none."""
+    shift = lambda i: F.get(F.col(match), i)["shift"]
+    agrees = lambda x, i: F.coalesce(shift(i) == x["shift"], F.lit(True))  # noqa: E731  # no neighbour on this side: nothing disagrees
+    chained = F.size(F.filter(match, lambda x, i: agrees(x, i - 1) | agrees(x, i + 1)))
+    size = F.size(a) + F.size(b)
+    return F.when(size == 0, F.lit(1.0)).otherwise(2.0 * chained / F.greatest(size, F.lit(1)))
 
 
-def likeness(a: str, b: str) -> Column:
-    """The Jaccard index of two anchor sets, estimated from the least SKETCH of their union; 1 if both are empty."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect(F.col(a), F.col(b)), union))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(shared / F.greatest(F.size(union), F.lit(1)))
+def written(column: str) -> Column:
+    """A digest of every anchor and its position."""
+    each = F.transform(F.col(column), lambda x: F.concat_ws(":", F.hex(x["anchor"]), x["position"].cast("string")))
+    return F.sha2(F.array_join(each, ","), 256)
 
 
-def written(column: str) -> Column:
-    return F.array_join(F.transform(F.col(column), lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+def number_of_bounds(bounds: list[int], k: Column) -> Column:
+    """How many of the sorted `bounds` are at most `k`: first by the block, then within it."""
+    step = max(1, int(len(bounds) ** 0.5))
+    literal = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+    block = F.size(F.filter(literal(bounds[::step]), lambda c: c <= k))
+    inside = F.size(F.filter(F.slice(literal(bounds), (block - 1) * step + 1, step), lambda c: c <= k))
+    return F.when(k.isNull() | (k < bounds[0]), 0).otherwise((block - 1) * step + inside)
 
 
 def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
-    """`docs` with `next_<c>`: column c of the next row by ascending key (nulls first, ties by `columns`); after the last, the first.
+    """`docs` with `next_<c>`: column c of the next row by ascending key (ties by `columns`); after the last, the first.
 
-    Rows are cut into key ranges at approximate quantiles, which are keys of the
-    table. The first rows of each range also go to the range before, so every
-    range finds its last row's successor without one global sort.
+    A row without a key is its own successor. Rows are cut into key ranges at
+    approximate quantiles, which are keys of the table. The first rows of each
+    range also go to the range before, so every range finds its last row's
+    successor without one global sort.
     """
-    size = docs.agg(F.count("*").alias("n"), F.count(key).alias("keyed"), F.min(key).alias("least")).first()
+    bucket, guest, place = (free_name(docs, c) for c in ("bucket", "guest", "place"))
+    size = docs.agg(F.count(key).alias("n"), F.min(key).alias("least")).first()
     buckets = max(1, min(MOST_BUCKETS, size["n"] // BUCKET_ROWS))
     cuts = []
-    if size["keyed"] and buckets > 1:
+    if buckets > 1:
         shares = [i / buckets for i in range(1, buckets)]
-        cuts = sorted(set(docs.agg(F.percentile_approx(key, shares, 100 * buckets).alias("cuts")).first()["cuts"]) - {size["least"]})
-    bounds = F.array(*map(F.lit, cuts)).cast("array<bigint>") if cuts else F.lit(None).cast("array<bigint>")
+        found = docs.agg(F.percentile_approx(key, shares, max(10_000, 10 * buckets)).alias("cuts")).first()["cuts"]
+        cuts = sorted(set(found) - {size["least"]})
     k = F.col(key)
-    bucket = F.coalesce(F.size(F.filter(bounds, lambda c: c <= k)), F.lit(0)) if cuts else F.lit(0)
-    first = k.isNull() if size["keyed"] < size["n"] else k == F.lit(size["least"])
-    leads = F.coalesce(first | (F.array_contains(bounds, k) if cuts else F.lit(False)), F.lit(False))
-    last = len(cuts)
-    before = F.when(F.col("bucket") == 0, F.lit(last)).otherwise(F.col("bucket") - 1)
-    places = F.when(F.col("leads"), F.array(F.struct("bucket", F.lit(0).alias("guest")), F.struct(before.alias("bucket"), F.lit(1).alias("guest"))))
-    places = places.otherwise(F.array(F.struct("bucket", F.lit(0).alias("guest"))))
-    placed = docs.withColumns({"bucket": bucket, "leads": leads}).withColumn("place", F.explode(places))
-    order = W.partitionBy("place.bucket").orderBy("place.guest", F.col(key).asc_nulls_first(), *columns)
-    return placed.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where("place.guest = 0").drop("bucket", "leads", "place")
+    own = number_of_bounds(cuts, k) if cuts else F.lit(0)
+    starts = [size["least"], *cuts]  # of each bucket
+    leads = k == F.get(F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>"), F.col(bucket))
+    before = F.when(F.col(bucket) == 0, len(cuts)).otherwise(F.col(bucket) - 1)
+    at_home = F.struct(F.col(bucket).cast("int").alias(bucket), F.lit(0).alias(guest))
+    places = F.when(F.coalesce(leads, F.lit(False)), F.array(at_home, F.struct(before.cast("int").alias(bucket), F.lit(1).alias(guest)))).otherwise(F.array(at_home))
+    placed = docs.where(k.isNotNull()).withColumn(bucket, own).withColumn(place, F.explode(places))
+    order = W.partitionBy(f"{place}.{bucket}").orderBy(f"{place}.{guest}", k, *columns)
+    found = placed.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where(F.col(place)[guest] == 0).drop(bucket, place)
+    return found.unionByName(docs.where(k.isNull()).withColumns({f"next_{c}": F.col(c) for c in columns}))
 
 
 def syncmer_digest(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, and how alike they and the next document's are.
 
     The edited text has its last half (rounded down) replaced by as many code
-    points of the next document. Null counts as empty; a lone document is its
-    own successor; repeated rows are each other's successors.
+    points of the next document. Null counts as empty; a lone document and a row
+    with a null doc_id are their own successors; repeated rows are each other's
+    successors; texts of any length keep every anchor; an empty table gives no
+    row. Other columns of `docs` don't matter.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = with_anchors(base, "text", "anchors").select("doc_id", "text", sketch("anchors").alias("own"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    pairs = with_next(own, ["text", "own"]).select("doc_id", "own", "next_own", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    both = with_anchors(pairs, "edited", "anchors").withColumn("changed", sketch("anchors"))
-    return both.select(
+    out = with_next(base, ["text"]).withColumns({"n_chars": n.cast("long"), "edited": edited})
+    for text, anchors in (("text", "own"), ("next_text", "after"), ("edited", "changed")):
+        out = with_anchors(out, text, anchors)
+    out = out.withColumn("edited_sha256", F.sha2("edited", 256)).drop("text", "next_text", "edited")
+    out = with_match(with_match(out, "own", "changed", "match_edited"), "own", "after", "match_next")
+    return out.select(
         "doc_id",
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
+        "edited_sha256",
         written("own").alias("fingerprint"),
         written("changed").alias("edited_fingerprint"),
-        likeness("own", "changed").alias("near_edited"),
-        likeness("own", "next_own").alias("near_next"),
+        likeness("own", "changed", "match_edited").alias("near_edited"),
+        likeness("own", "after", "match_next").alias("near_next"),
+        F.size("own").cast("long").alias("n_anchors"),
+        F.size("match_next").cast("long").alias("shared_next"),
     )

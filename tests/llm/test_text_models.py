@@ -211,30 +211,36 @@ def test_terms_give_way_to_their_longest_safe_stem(spark):
     assert clean[901] == "mercantile stone"
 
 
-def brute_anchor_sets(spark, texts):
-    """Anchors by plain loops; hashes come from Spark's xxhash64, looked up by their input."""
+def brute_anchors(spark, texts):
+    """Each text's anchors and first positions by plain loops; hashes come from Spark's xxhash64, looked up by their input."""
     from pyspark.sql import functions as F
 
-    cut = [re.findall(r"[^ \t\n\x0b\f\r]{1,16}", t) for t in texts]
-    pairs = sorted({p for c in cut if len(c) >= 5 for p in zip(c, c[1:])})
+    wide = "\u0e00-\u0eff\u3040-\u9fff\U00020000-\U000323af"
+    cut = [re.findall(f"[^ \\t\\n\\x0b\\f\\r{wide}]{{1,16}}|[{wide}]", t) for t in texts]
+    cut = [[""] * 4 + c + [""] * 4 if c else [] for c in cut]
+    pairs = sorted({p for c in cut for p in zip(c, c[1:])})
     h2 = {(r["a"], r["b"]): r["h"] for r in spark.createDataFrame(pairs or [("", "")], "a string, b string").withColumn("h", F.xxhash64("a", "b")).collect()}
     chosen = []
     for c in cut:
-        if len(c) < 5:
-            chosen.append([" ".join(c)] if c else [])
-            continue
         h = [h2[p] for p in zip(c, c[1:])]
-        chosen.append([tuple(h[i : i + 4]) for i in range(len(c) - 4) if min(h[i : i + 4]) in (h[i], h[i + 3])])
-    quads = sorted({q for c in chosen for q in c if isinstance(q, tuple)})
-    lines = sorted({q for c in chosen for q in c if isinstance(q, str)})
+        chosen.append([(i - 4, tuple(h[i : i + 4])) for i in range(len(c) - 4) if min(h[i : i + 4]) in (h[i], h[i + 3])])
+    quads = sorted({q for c in chosen for _, q in c})
     h4 = {tuple(r)[:4]: r["h"] for r in spark.createDataFrame(quads or [(0, 0, 0, 0)], "a long, b long, c long, d long").withColumn("h", F.xxhash64("a", "b", "c", "d")).collect()}
-    h4 |= {r["a"]: r["h"] for r in spark.createDataFrame([(x,) for x in lines] or [("",)], "a string").withColumn("h", F.xxhash64("a")).collect()}
-    return [sorted({h4[q] for q in c})[:64] for c in chosen]
+    out = []
+    for c in chosen:
+        first = {}
+        for i, q in c:
+            first.setdefault(h4[q], i)
+        out.append(first)
+    return out
 
 
 def brute_likeness(a, b):
-    union = sorted(set(a) | set(b))[:64]
-    return 1.0 if not union else len(set(a) & set(b) & set(union)) / len(union)
+    if not a and not b:
+        return 1.0
+    shifts = [b[x] - i for i, x in sorted((i, x) for x, i in a.items()) if x in b]
+    chained = sum(1 for i, s in enumerate(shifts) if i == 0 or i == len(shifts) - 1 or s in (shifts[i - 1], shifts[i + 1]))
+    return 2 * chained / (len(a) + len(b))
 
 
 def test_syncmers_match_brute_force(spark, docs, empty, table, monkeypatch):
@@ -244,19 +250,33 @@ def test_syncmers_match_brute_force(spark, docs, empty, table, monkeypatch):
         texts = [t for _, t in rows]
         after = texts[1:] + texts[:1]
         edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, after)]
-        own, changed = brute_anchor_sets(spark, texts), brute_anchor_sets(spark, edited)
-        hexed = lambda s: "".join(f"{x & (1 << 64) - 1:016x}" for x in s)
+        own, changed = brute_anchors(spark, texts), brute_anchors(spark, edited)
+        hexed = lambda s: hashlib.sha256(",".join(f"{x & (1 << 64) - 1:X}:{i}" for x, i in sorted(s.items())).encode()).hexdigest()
         want = {}
         for i, (d, t) in enumerate(rows):
             want[d] = (len(t), hashlib.sha256(edited[i].encode()).hexdigest(), hexed(own[i]), hexed(changed[i]), brute_likeness(own[i], changed[i]), brute_likeness(own[i], own[(i + 1) % len(rows)]))
         got = syncmers.syncmer_digest(df).collect()
         assert len(got) == len(rows)
         for r in got:
-            assert tuple(r)[1:5] == want[r["doc_id"]][:4] and np.allclose(tuple(r)[5:], want[r["doc_id"]][4:])
+            assert tuple(r)[1:5] == want[r["doc_id"]][:4] and np.allclose(tuple(r)[5:7], want[r["doc_id"]][4:])
     assert syncmers.syncmer_digest(docs).count() == docs.count()
     assert syncmers.syncmer_digest(empty).count() == 0
     one = syncmers.syncmer_digest(docs.limit(1)).first()
     assert one["near_next"] == 1.0
+    clashing = syncmers.with_next(docs.withColumnRenamed("own", "guest"), ["text"])
+    assert {"bucket", "guest", "next_text"} <= set(clashing.columns) and clashing.where("bucket = 3").count() == docs.where("bucket = 3").count()
+
+
+def test_a_moved_passage_keeps_its_anchors(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = words(60)
+    rows = [(f"{words(500)} {passage} {words(700)}", f"{words(90)} {passage} {words(40)}"), ("a bc", "a bc"), ("one two", "three four"), (None, "")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    df = syncmers.with_match(syncmers.with_anchors(syncmers.with_anchors(df, "x", "a"), "y", "b"), "a", "b", "m")
+    got = df.select("m", syncmers.likeness("a", "b", "m").alias("near")).collect()
+    assert len(got[0]["m"]) > 20 and {s["shift"] for s in got[0]["m"]} == {-410} and all(500 <= s["position"] < 560 for s in got[0]["m"])
+    assert got[1]["near"] == 1.0 and got[2]["near"] < 0.8 and got[3]["near"] == 1.0
 
 
 def test_syncmers_are_native(spark, table):
