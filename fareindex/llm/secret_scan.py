@@ -4,7 +4,8 @@ Credentials of known shapes are found by pattern. Other long tokens pass a
 battery of randomness tests (chi-squared uniformity over the inferred alphabet,
 runs about the median symbol, lag-one serial correlation); those that look
 random are reported when false-discovery control, run over the candidates of the
-whole table within bands of length, finds them too surprising for ordinary text.
+whole table within bands of length, finds them too surprising for ordinary text,
+which is a first-order model of characters counted over all documents.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import hashlib
 import math
 import re
 import string
-from functools import lru_cache
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,6 +28,9 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 LONG = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16,}")
+PART = re.compile(r"[A-Za-z0-9+/_-]{16,}=*")  # of a run: what stands between inner "="
+PIECE = re.compile(r"[A-Za-z0-9_-]{16,}")
+KNOWN_CHARS, KNOWN_TOKENS = 128, 20_000  # length and number of the tokens whose verdict a task remembers
 LEAST_RANDOM = 0.01  # p-value under which a token is too regular to be random
 FDR = 1e-3
 BINS, BIN_NATS = 64, 1.0  # histogram of -ln p in each band
@@ -89,44 +93,74 @@ def battery(token: str, encoding: str) -> float:
     return min(1.0, len(p) * min(p))
 
 
-def shape(c: str) -> str:
-    return "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-"
+class Ordinary:
+    """First-order model of the characters of all documents: ASCII codes, any other character as code 0. Bigrams are
+    smoothed towards the single characters."""
 
+    def __init__(self, pairs: np.ndarray):
+        pairs = pairs.reshape(128, 128).astype(float)
+        single = (pairs.sum(0) + 1) / (pairs.sum() + 128)
+        self.nats = -np.log((pairs + 32 * single) / (pairs.sum(1, keepdims=True) + 32))
 
-#: Chances of the next symbol's class in ordinary identifiers, words and numbers, by the class before it.
-_NEXT = {
-    "^": {"a": 0.55, "A": 0.25, "0": 0.15, "-": 0.05},
-    "a": {"a": 0.90, "A": 0.03, "0": 0.02, "-": 0.05},
-    "A": {"a": 0.40, "A": 0.50, "0": 0.04, "-": 0.06},
-    "0": {"a": 0.05, "A": 0.03, "0": 0.85, "-": 0.07},
-    "-": {"a": 0.55, "A": 0.20, "0": 0.15, "-": 0.10},
-}
-_SIZE = {"a": 26, "A": 26, "0": 10, "-": 5}
+    def surprise(self, token: str, encoding: str) -> float:
+        """-ln p of the token under ordinary text: the likelihood ratio of uniform symbols to it.
 
+        A ratio R has mean 1 under the ordinary model, so p = min(1, 1/R) is a
+        valid p-value at every length, and a short token cannot gather enough.
+        """
+        x = codes(f" {token.rstrip('=')}")
+        return float(self.nats[x[:-1], x[1:]].sum()) - (len(x) - 1) * math.log(len(_INDEX[encoding]))
 
-def surprise(token: str, encoding: str) -> float:
-    """-ln p of the token under ordinary text: the likelihood ratio of uniform symbols to it.
 
-    A ratio R has mean 1 under the ordinary model, so p = min(1, 1/R) is a valid
-    p-value at every length, and a short token cannot gather enough.
-    """
-    n, before, total = len(token.rstrip("=")), "^", 0.0
-    for c in token[:n]:
-        now = shape(c)
-        total -= math.log(_NEXT[before][now] / _SIZE[now])
-        before = now
-    return total - n * math.log(len(_INDEX[encoding]))
-
-
-@lru_cache(maxsize=20_000)
-def judge(token: str) -> tuple[str, int, int] | None:
-    """(encoding, length band, bin of -ln p), or None if the token is not random in its encoding."""
-    if (encoding := infer_encoding(token)) in (None, "digits"):
-        return None
-    nats = surprise(token, encoding)
-    if nats <= 0 or battery(token, encoding) < LEAST_RANDOM:
-        return None
-    return encoding, band(len(token)), min(BINS - 1, int(nats / BIN_NATS))
+def codes(text: str) -> np.ndarray:
+    """One code for each character: its own if ASCII, else 0."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(x < 128, x, 0).astype(np.int64)
+
+
+def ordinary_text(docs: DataFrame) -> Ordinary:
+    """Counted over every document; 128 x 128 sums for each task reach the driver."""
+
+    def start():
+        pairs = np.zeros(1 << 14, np.int64)
+
+        def add(part):
+            x = codes("\n".join(t for t in part["text"] if t))
+            pairs[:] += np.bincount(x[:-1] << 7 | x[1:], minlength=1 << 14)
+
+        def flush(last):
+            return {"pairs": [pairs.tobytes()]} if last else None
+
+        return add, flush
+
+    total = np.zeros(1 << 14, np.int64)
+    for r in gather_texts(docs.select("text"), start, "pairs binary").collect():
+        total += np.frombuffer(r["pairs"], np.int64)
+    return Ordinary(total)
+
+
+class Judge:
+    """Judges tokens; remembers short ones."""
+
+    def __init__(self, ordinary: Ordinary):
+        self.ordinary, self.known = ordinary, {}
+
+    def __call__(self, token: str) -> tuple[int, int] | None:
+        """(length band, bin of -ln p), or None if the token is not random in its encoding."""
+        if len(token) > KNOWN_CHARS:
+            return self.judged(token)
+        if token not in self.known:
+            if len(self.known) >= KNOWN_TOKENS:
+                self.known = {}
+            self.known[token] = self.judged(token)
+        return self.known[token]
+
+    def judged(self, token: str) -> tuple[int, int] | None:
+        encoding = infer_encoding(token)
+        nats = self.ordinary.surprise(token, encoding)
+        if nats <= 0 or battery(token, encoding) < LEAST_RANDOM:
+            return None
+        return band(len(token)), min(BINS - 1, int(nats / BIN_NATS))
 
 
 def band(length: int) -> int:
@@ -137,10 +171,20 @@ def band(length: int) -> int:
 BANDS = 4
 
 
-def candidates(text: str):
+def runs(text: str) -> list[tuple[int, int, str]]:
     """(start, end, token) of each run of 16 or more token characters."""
-    for m in LONG.finditer(text):
-        yield m.start(), m.end(), m.group()
+    return [(m.start(), m.end(), m.group()) for m in LONG.finditer(text)]
+
+
+def candidates(found: list[tuple[int, int, str]]):
+    """(start, end, token) of what is tested: the runs' parts of LEAST characters between inner "=", each cut at "/" and "+" if no alphabet holds it whole."""
+    for lo, _, run in found:
+        for m in PART.finditer(run):
+            if infer_encoding(m.group()):
+                yield lo + m.start(), lo + m.end(), m.group()
+            else:
+                for n in PIECE.finditer(m.group()):
+                    yield lo + m.start() + n.start(), lo + m.start() + n.end(), n.group()
 
 
 def base_spans(text: str, tokens: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
@@ -157,24 +201,23 @@ def base_spans(text: str, tokens: list[tuple[int, int, str]]) -> list[tuple[int,
     return sorted(spans)
 
 
-def discovery_cuts(docs: DataFrame, level: float = FDR) -> list[int]:
+def discovery_cuts(docs: DataFrame, ordinary: Ordinary, level: float = FDR) -> list[int]:
     """For each band of length, the least bin that Benjamini-Hochberg at `level` rejects.
 
-    The number of tests is that of all long tokens of the table in the band, so
+    The number of tests is that of all tested tokens of the table in the band, so
     the bar rises with the amount of text. What is gathered is a histogram of
     fixed size for each task.
     """
 
     def start():
-        tests, found = np.zeros(BANDS, np.int64), np.zeros((BANDS, BINS), np.int64)
+        tests, found, judge = np.zeros(BANDS, np.int64), np.zeros((BANDS, BINS), np.int64), Judge(ordinary)
 
         def add(part):
             for text in part["text"]:
-                for _, _, token in candidates(text or ""):
-                    b = band(len(token))
-                    tests[b] += 1
+                for _, _, token in candidates(runs(text or "")):
+                    tests[band(len(token))] += 1
                     if verdict := judge(token):
-                        found[b, verdict[2]] += 1
+                        found[verdict] += 1
 
         def flush(last):
             if not last:
@@ -200,14 +243,22 @@ def discovery_cuts(docs: DataFrame, level: float = FDR) -> list[int]:
     return cuts
 
 
-def find_secrets(text: str | None, cuts: list[int]) -> tuple[list, list]:
-    """Patterned spans, and all spans, as (start, kind, end) in order."""
+def find_secrets(text: str | None, judge: Judge, cuts: list[int]) -> tuple[list, list]:
+    """Patterned spans, and all spans, as (start, kind, end) in order. A random token is added where no patterned span overlaps it."""
     text = text or ""
-    tokens = list(candidates(text))
-    base = base_spans(text, tokens)
+    found = runs(text)
+    base = base_spans(text, found)
+    covered: list[list[int]] = []  # disjoint, in order
+    for a, _, b in base:
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    starts = [a for a, _ in covered]
     more = []
-    for lo, hi, token in tokens:
-        if (v := judge(token)) and v[2] >= cuts[v[1]] and not any(s < hi and lo < e for s, _, e in base):
+    for lo, hi, token in candidates(found):
+        at = bisect_right(starts, hi - 1) - 1  # the last that starts before the token ends
+        if (at < 0 or covered[at][1] <= lo) and (v := judge(token)) and v[1] >= cuts[v[0]]:
             more.append((lo, 3, hi))
     return base, sorted(base + more)
 
@@ -217,14 +268,22 @@ def written(spans: list) -> str:
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:
-    """Spans of every text, in code points; null counts as empty, repeated rows give repeated results."""
-    cuts = discovery_cuts(docs)
+    """Spans of every text, in code points.
+
+    Null counts as empty; repeated rows give repeated results; very long texts
+    are scanned whole, in time linear in their length; an empty table gives no
+    row; other columns of `docs` don't matter.
+    """
+    ordinary = ordinary_text(docs)
+    cuts = discovery_cuts(docs, ordinary)
 
     def start():
+        judge = Judge(ordinary)
+
         def work(texts):
             rows = []
             for t in texts:
-                base, every = find_secrets(t, cuts)
+                base, every = find_secrets(t, judge, cuts)
                 kinds = [k for _, k, _ in base]
                 rows.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(written(base).encode()).hexdigest(), written(every)))
             return dict(zip(("n_assign", "n_access", "n_hex", "base_sha256", "spans"), map(list, zip(*rows))))
@@ -234,12 +293,12 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     return map_texts(docs, start, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string", ["doc_id"])
 
 
-def masked(text: str | None, cuts: list[int]) -> str | None:
+def masked(text: str | None, judge: Judge, cuts: list[int]) -> str | None:
     """The text with each secret replaced by <kind>; overlapping spans become one, named by the first."""
     if text is None:
         return None
     out, at = [], 0
-    for a, k, b in find_secrets(text, cuts)[1]:
+    for a, k, b in find_secrets(text, judge, cuts)[1]:
         if a >= at:
             out += [text[at:a], f"<{KINDS[k]}>"]
         at = max(at, b)
@@ -247,12 +306,14 @@ def masked(text: str | None, cuts: list[int]) -> str | None:
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """`docs` with secrets masked in `text`, and `n_chars`, if there, set anew."""
-    cuts = discovery_cuts(docs)
+    """`docs` with secrets masked in `text`, and `n_chars`, if there, set anew. A null text stays null; cases as in `secret_digest`."""
+    ordinary = ordinary_text(docs)
+    cuts = discovery_cuts(docs, ordinary)
     rest = [c for c in docs.columns if c != "text"]
 
     def start():
-        return lambda texts: {"text": [masked(t, cuts) for t in texts]}
+        judge = Judge(ordinary)
+        return lambda texts: {"text": [masked(t, judge, cuts) for t in texts]}
 
     out = map_texts(docs, start, "text string", rest)
     if "n_chars" in rest:

@@ -200,9 +200,40 @@ def test_randomness_battery():
     for alphabet in ("0123456789abcdef", secret_scan.ALPHABETS[6][1], secret_scan.ALPHABETS[7][1]):
         p = [secret_scan.battery(t, secret_scan.infer_encoding(t)) for t in ("".join(rng.choices(alphabet, k=48)) for _ in range(500))]
         assert np.mean(np.array(p) < 0.01) < 0.05
+    prose = secret_scan.codes("the ringing of a station in under an endless, hundred-handed table " * 50)
+    ordinary = secret_scan.Ordinary(np.bincount(prose[:-1] << 7 | prose[1:], minlength=1 << 14))
     for regular in ("abcabcabcabcabcabcabcabc", "a" * 40, "0123456789abcdef0123456789abcdef", "theringationhendereable"):
         name = secret_scan.infer_encoding(regular)
-        assert secret_scan.battery(regular, name) < 0.01 or secret_scan.surprise(regular, name) < 5
+        assert secret_scan.battery(regular, name) < 0.01 or ordinary.surprise(regular, name) < 5
+    assert ordinary.surprise("x9Qz7Kp2Lm4Vb8Nc", "base62") > ordinary.surprise("theunderhandedtab", "base62") + 30
+
+
+def test_secret_candidates_are_cut_where_no_alphabet_holds_them():
+    cut = lambda t: [(a, b, x) for a, b, x in secret_scan.candidates(secret_scan.runs(t))]
+    key = "q8Zk2Lm9Xw4Vb7Nc1Rt5"
+    assert cut(f"session={key};") == [(8, 28, key)]
+    assert cut(f"GITHUB_PAT_IS_HERE=ghp_{key}==") == [(0, 19, "GITHUB_PAT_IS_HERE="), (19, 45, f"ghp_{key}==")]
+    assert (8, 30, f"x-{key}") in cut(f"/a_b/cd/x-{key}/e+f")
+    assert cut("1234567890123456") == [(0, 16, "1234567890123456")]
+
+
+def test_random_tokens_after_an_equals_sign(spark):
+    rng = random.Random(8)
+    digits, mixed = secret_scan.ALPHABETS[0][1], secret_scan.ALPHABETS[6][1]
+    rows = [(i, "plain text of words with a path /usr/local_share/some-thing and=then some_long_identifier_name " * 3) for i in range(200)]
+    rows += [(500 + i, f"sid={''.join(rng.choices(mixed, k=40))}&x /a-b/{''.join(rng.choices(mixed, k=30))}/c+d_e {''.join(rng.choices(digits, k=60))}") for i in range(20)]
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.secret_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i] == "" for i in range(200))
+    assert sum(found[500 + i].count("random") for i in range(20)) >= 35  # of 40: long digits follow the corpus's own digits
+    assert sum(found[500 + i].startswith("random:4:44") for i in range(20)) >= 17
+
+
+def test_many_secrets_in_one_long_text():
+    prose = secret_scan.codes("some ordinary words " * 9)
+    judge = secret_scan.Judge(secret_scan.Ordinary(np.bincount(prose[:-1] << 7 | prose[1:], minlength=1 << 14)))
+    text = " ".join(f"password={i:08d}abc and {hashlib.sha256(str(i).encode()).hexdigest()}" for i in range(20_000))
+    base, every = secret_scan.find_secrets(text, judge, [5] * 4)
+    assert len(base) == 40_000 and every == base
 
 
 def test_random_tokens_are_added_and_masked(spark, empty):
