@@ -18,7 +18,6 @@ from fareindex.llm.common import free_name, gather_texts, hashed_share, is_held_
 
 BUCKETS = 1 << 15
 SAMPLE_PER_LANGUAGE = 300  # bound on the labelled rows of each language that weights are fitted on
-MAX_LANGUAGES = 200  # bound on the classes; the most frequent labels are learned
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-3
 UNDETERMINED = "und"
@@ -151,21 +150,23 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def fit_languages(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, idf_over_sample: bool = False) -> LanguageModel:
+def fit_languages(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     """Learn from `text` and `lang` of the rows of `docs` whose lang and text are not null.
 
-    Weights see about `per_language` hash-picked rows of each language (that
-    bound is doubled at most), three quarters for fitting and a quarter for the
-    temperature. Inverse document frequencies cover all rows, or with
-    `idf_over_sample` the same bounded sample. Without labels the model knows no language and says `und`.
+    Every label is a class, however rare; the model grows with their number.
+    Weights see about `per_language` rows of each, picked by hash (that bound is
+    doubled at most), three quarters for fitting and a quarter for the
+    temperature. Inverse document frequencies cover all rows. Without labels the
+    model knows no language and says `und`.
     """
     docs = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = docs.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return LanguageModel([], np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
     share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, per_language / r["count"]))])
-    drawn = docs.where(hashed_share("doc_id", "lang", seed="language") < share[F.col("lang")]).limit(2 * per_language * len(languages))
+    u = hashed_share("doc_id", "text", "lang", seed="language")
+    drawn = docs.withColumn("u", u).where(F.col("u") < share[F.col("lang")])
 
     def start():
         def features(texts):
@@ -175,13 +176,9 @@ def fit_languages(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, idf_
 
         return features
 
-    rows = map_texts(drawn, start, "at binary, tf binary", ["doc_id", "lang"]).orderBy("doc_id").collect()
-    if idf_over_sample:
-        df, total = np.zeros(BUCKETS, np.int64), len(rows)
-        for r in rows:
-            df[np.frombuffer(r["at"], "<i4")] += 1
-    else:
-        df, total = _document_frequencies(docs)
+    found = map_texts(drawn, start, "at binary, tf binary", ["u", "lang"])
+    rows = found.orderBy("u", "lang", "at").limit(2 * per_language * len(languages)).collect()
+    df, total = _document_frequencies(docs)
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
     x, y = [], []
     for r in rows:
@@ -202,8 +199,10 @@ def fit_languages(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, idf_
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str], pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """`docs[keep]` with the predicted language and its probability.
 
-    The model (BUCKETS x languages floats at most) is broadcast. Null and
-    letterless texts get `und` and 0; equal texts get equal values.
+    The model (BUCKETS x languages floats) is broadcast. Null and letterless
+    texts get `und` and 0; equal texts get equal values; texts of any length are
+    read whole; an empty table gives no row. `pred` and `score` must not be names
+    in `keep`.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -220,13 +219,17 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], pred: str =
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
-    """Learned from the rows outside the held-out fifth, applied to all."""
+    """Learned from the rows outside the held-out fifth (a null doc_id counts as the empty text there), applied to all; cases as in `identify`."""
     model = fit_languages(docs.where(~is_held_out()))
     return identify(docs, model, ["doc_id"]).withColumn("held_out", is_held_out())
 
 
 def keep_identified(docs: DataFrame, floor: float = 0.3) -> DataFrame:
-    """The documents whose language is determined with probability `floor` or more."""
+    """The documents whose language is determined with probability `floor` or more, with their columns.
+
+    Null, empty and letterless texts go; names in `docs` don't clash with the
+    prediction's. Without labels no language is known and every document goes.
+    """
     pred, score = free_name(docs, "language_found"), free_name(docs, "language_score")
     found = identify(docs, fit_languages(docs), docs.columns, pred, score)
     return found.where((F.col(pred) != UNDETERMINED) & (F.col(score) >= floor)).select(*docs.columns)

@@ -281,9 +281,56 @@ def test_toxicity_accuracy_and_edges(spark, docs, labels, empty, sf):
     out = toxicity.toxicity_digest(docs, labels).collect()
     assert len(out) == docs.count() and all(r["score"] is not None for r in out)
     assert toxicity.toxicity_digest(empty, labels).count() == 0
-    assert toxicity.toxicity_digest(docs, labels.limit(0)).count() == docs.count()
+    for nothing in (labels.limit(0), labels.where("toxic = 0"), labels.where("toxic = 1")):
+        assert {r["score"] < 0.5 for r in toxicity.toxicity_digest(docs, nothing).collect()} == {True}
+        assert toxicity.keep_civil(docs, nothing).count() == docs.count()
     assert toxicity.keep_civil(docs, labels).columns == docs.columns
 
 
+def test_long_texts_are_pooled_as_a_whole():
+    rng = np.random.default_rng(0)
+    shapes = {k: rng.normal(size=(k * toxicity.WIDTH, n)).astype(np.float32) for k, n in toxicity.FILTERS.items()}
+    net = toxicity.Network(np.zeros((1, 1)), shapes, {k: np.ones(n, np.float32) for k, n in toxicity.FILTERS.items()}, rng.normal(size=48).astype(np.float32), 0.1)
+    for n in (0, 1, 2, 3, 4095, 4096, 4097, 4098, 4099, 8192, 8193, 9000):
+        x = rng.normal(-1, 1, (max(n, 1), toxicity.WIDTH)).astype(np.float32)
+        whole = float(np.maximum(net.pools(x)[0], 0) @ net.out + net.out_bias)
+        assert net.logit(x) == pytest.approx(whole, abs=1e-4)
+
+
+def test_ftrl_matches_a_plain_loop():
+    rng = np.random.default_rng(3)
+    x = [(np.sort(rng.choice(langid.BUCKETS, 6, replace=False)), rng.random(6)) for _ in range(40)]
+    y = rng.integers(0, 3, 40).tolist()
+    w, bias = langid.train_ftrl(x, y, 3)
+    z, n = {}, {}
+
+    def weight(key):
+        a = z.get(key, 0.0)
+        return 0.0 if abs(a) <= langid.L1 else -(a - np.sign(a) * langid.L1) / ((langid.BETA + n.get(key, 0.0) ** 0.5) / langid.ALPHA + langid.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(langid.EPOCHS):
+        for i in order.permutation(40):
+            at = [*x[i][0].tolist(), langid.BUCKETS]
+            v = [*x[i][1].tolist(), 1.0]
+            w_now = {(k, c): weight((k, c)) for k in at for c in range(3)}
+            s = np.array([sum(a * w_now[k, c] for k, a in zip(at, v)) for c in range(3)])
+            p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+            for k, a in zip(at, v):
+                for c in range(3):
+                    g = a * (p[c] - (c == y[i]))
+                    before = n.get((k, c), 0.0)
+                    z[k, c] = z.get((k, c), 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / langid.ALPHA * w_now[k, c]
+                    n[k, c] = before + g * g
+    for k, c in z:
+        assert (bias[c] if k == langid.BUCKETS else w[k, c]) == pytest.approx(weight((k, c)), abs=1e-6)
+
+
+def test_every_label_is_a_class(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}" * 8, f"l{i:03d}") for i in range(230)]
+    model = langid.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 230
+
+
 def test_queries_are_registered():
     assert set(q.oracle_sql()) <= set(q.queries())
