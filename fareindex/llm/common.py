@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-SLICE_ROWS = 256
+SLICE_ROWS, SLICE_BYTES = 256, 16_000_000  # where a slice of a batch ends
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,18 +23,30 @@ def struct(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
+def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS):
+    """Parts of a batch, of so many rows and about SLICE_BYTES at most."""
+    lo = 0
+    while lo < batch.num_rows:
+        part = batch.slice(lo, rows)
+        while part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+            part = part.slice(0, part.num_rows // 2)
+        yield part
+        lo += part.num_rows
+
+
 def map_texts(
     df: DataFrame,
     start: Callable[[], Callable[[list], dict]],
     new: str,
     keep: Iterable[str] | None = None,
     text: str = "text",
+    rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """`df[keep]` plus the `new` columns (DDL) that are computed from `text`.
 
     `start()` runs once per task and returns a function from a list of texts
-    (None for null) to a dict of equally long lists. Rows go to it in slices,
-    so a task holds few texts at a time.
+    (None for null) to a dict of equally long lists. Rows go to it in slices of
+    `rows`, fewer where texts are long, so a task holds few texts at a time.
     """
     keep = list(df.columns if keep is None else keep)
     fields = struct(new)
@@ -45,8 +57,7 @@ def map_texts(
     def run(batches):
         work = start()
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(lo, SLICE_ROWS)
+            for part in slices(batch, rows):
                 out = work(part.column(text).to_pylist())
                 columns = [part.column(k) for k in keep]
                 columns += [pa.array(out[f.name], f.type) for f in arrow]
@@ -73,8 +84,8 @@ def gather_texts(
     def run(batches):
         add, flush = start()
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE_ROWS):
-                add(batch.slice(lo, SLICE_ROWS).to_pydict())
+            for part in slices(batch):
+                add(part.to_pydict())
                 if (out := flush(False)) is not None:
                     yield rows(out)
         if (out := flush(True)) is not None:
@@ -84,9 +95,11 @@ def gather_texts(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share. Where none is set, a local one serves a local session only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found

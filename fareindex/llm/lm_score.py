@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fareindex.llm.common import SLICE_ROWS, free_name, struct
+from fareindex.llm.common import free_name, slices, struct
 
 START = 1  # the key of what stands before a text's first word; words have keys from 2 ** 47 up
 PART_CHARS = 24_000_000  # characters whose bigrams make up a part
@@ -137,8 +137,7 @@ def dealt_blocks(sided: DataFrame, keep: list[str], text: str, side: str, grid:
             return block_rows(block, pa.Table.from_batches(held), sides, texts, words, grid, buckets).combine_chunks().to_batches()
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE_ROWS):
-                piece = batch.slice(lo, SLICE_ROWS)
+            for piece in slices(batch):
                 held.append(piece.select(keep))
                 sides += piece.column(side).to_pylist()
                 for t in piece.column(text).to_pylist():

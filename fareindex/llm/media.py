@@ -15,7 +15,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from fareindex.llm.common import map_texts
+from fareindex.llm.common import free_name, map_texts
 
 FRAME = 64  # bytes: one 8 x 8 frame of 8-bit grey samples
 FRAMES_PER_CHUNK = 256
@@ -128,13 +128,18 @@ def _sample_table(data: memoryview, boxes: dict) -> dict:
     at, _ = boxes[b"stsc"]
     runs = _words(data, at + 8, 3 * struct.unpack_from(">I", data, at + 4)[0]).reshape(-1, 3)
     last = np.append(runs[1:, 0], len(chunks) + 1)
-    if len(runs) and (runs[:, 1].max() > n or last[-1] - 1 > len(chunks)):
-        raise ValueError("chunk runs beyond the samples")
+    if n and (not len(runs) or runs[0, 0] != 1):
+        raise ValueError("the first chunk has no run")
+    if len(runs) and (runs[:, 1].min() < 0 or runs[:, 1].max() > n or (last < runs[:, 0]).any()):
+        raise ValueError("chunk runs out of order or beyond the samples")
     per_chunk = np.repeat(runs[:, 1], last - runs[:, 0])
+    if per_chunk.sum() < n:
+        raise ValueError("samples without a chunk")
+    per_chunk = per_chunk[: np.searchsorted(np.cumsum(per_chunk), n) + 1]  # later chunks hold none
     chunk_of = np.repeat(np.arange(len(per_chunk)), per_chunk)[:n]
     before = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     first = np.concatenate([[0], np.cumsum(per_chunk)])[:-1]
-    offsets = chunks[chunk_of] + before - before[np.minimum(first, max(n - 1, 0))][chunk_of]
+    offsets = chunks[: len(per_chunk)][chunk_of] + before - before[np.minimum(first, max(n - 1, 0))][chunk_of]
     at, _ = boxes[b"stts"]
     times = _words(data, at + 8, 2 * struct.unpack_from(">I", data, at + 4)[0]).reshape(-1, 2)
     if b"stss" in boxes:
@@ -142,29 +147,104 @@ def _sample_table(data: memoryview, boxes: dict) -> dict:
         keys = _words(data, at + 8, struct.unpack_from(">I", data, at + 4)[0]) - 1
     else:  # without the table every sample is one
         keys = np.arange(n)
+    if len(keys) and (keys.min() < 0 or keys.max() >= n):
+        raise ValueError("keyframes beyond the samples")
+    if n and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
+        raise ValueError("samples beyond the file")
     return {"offsets": offsets, "sizes": sizes, "ticks": int((times[:, 0] * times[:, 1]).sum()), "keys": keys}
 
 
+def _fragment(data: memoryview, moof: int, boxes: dict, extends: dict, at: int) -> tuple[int, np.ndarray, np.ndarray, int, np.ndarray]:
+    """One track run: (track, offsets, sizes, ticks, keyframes) of its samples. `at`: where data goes on if the run gives no offset."""
+    lo, _ = boxes[b"tfhd"]
+    flags, track = struct.unpack_from(">II", data, lo)
+    flags &= 0xFFFFFF
+    fields, p = {}, lo + 8
+    for bit, form in ((1, ">Q"), (2, ">I"), (8, ">I"), (16, ">I"), (32, ">I")):
+        if flags & bit:
+            fields[bit] = struct.unpack_from(form, data, p)[0]
+            p += struct.calcsize(form)
+    ticks, size, mark = (fields.get(bit, default) for bit, default in zip((8, 16, 32), extends.get(track, (0, 0, 0))))
+    start = fields.get(1, moof if flags & 0x20000 else at)
+    lo, hi = boxes[b"trun"]
+    flags, n = struct.unpack_from(">II", data, lo)
+    p = lo + 8
+    if flags & 1:
+        start = fields.get(1, moof) + struct.unpack_from(">i", data, p)[0]
+        p += 4
+    first = None
+    if flags & 4:
+        first, p = struct.unpack_from(">I", data, p)[0], p + 4
+    names = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+    if p + 4 * n * len(names) > hi or not names and n * max(size, 1) > len(data):
+        raise ValueError("more samples than bytes")
+    rows = _words(data, p, n * len(names)).reshape(n, len(names))
+    column = lambda bit, default: rows[:, names.index(bit)] if bit in names else np.full(n, default, np.int64)
+    sizes, marks = column(0x200, size), column(0x400, mark).copy()
+    if first is not None and n:
+        marks[0] = first
+    offsets = start + np.cumsum(sizes) - sizes
+    if n and (offsets[0] < 0 or offsets[-1] + sizes[-1] > len(data)):
+        raise ValueError("samples beyond the file")
+    return track, offsets, sizes, int(column(0x100, ticks).sum()), np.flatnonzero(marks & 0x10000 == 0)  # sync unless marked otherwise
+
+
+def _read_fragments(data: memoryview, tracks: dict[int, dict], extends: dict) -> str | None:
+    """Adds the samples of each movie fragment to its track; the first thing that went wrong."""
+    error = None
+    for path, start, end in walk(data):
+        if path != (b"moof",):
+            continue
+        moof, at = start - 8, start - 8
+        found: list[dict] = []
+        for inner, lo, hi in walk(data, start, end, path):
+            if inner == (b"moof", b"traf"):
+                found.append({})
+            elif inner == (b"moof", b"traf", b"trun") and found:
+                found.append({k: v for k, v in found[-1].items() if k == b"tfhd"} | {b"trun": (lo, hi)})
+            elif found and inner[:2] == (b"moof", b"traf"):
+                found[-1].setdefault(inner[-1], (lo, hi))
+        for boxes in found:
+            if b"trun" not in boxes:
+                continue
+            try:
+                track, offsets, sizes, ticks, keys = _fragment(data, moof, boxes, extends, at)
+                table = tracks[track]
+            except (KeyError, IndexError, ValueError, OverflowError, struct.error) as e:
+                error = error or f"fragment: {type(e).__name__}"
+                continue
+            table["keys"] = np.append(table["keys"], keys + len(table["sizes"]))
+            table["offsets"], table["sizes"] = np.append(table["offsets"], offsets), np.append(table["sizes"], sizes)
+            table["ticks"] += ticks
+            at = int(offsets[-1] + sizes[-1]) if len(offsets) else at
+    return error
+
+
 def parse_media(media: bytes | None) -> dict:
-    """brand, and per track: codec, handler, timescale, ticks, samples, key ranges.
+    """brand, and per track: codec, handler, timescale, ticks, samples, key ranges; samples of movie fragments follow those of the track.
 
-    Null or unreadable bytes give `error` and no tracks; a track with a broken
-    table is skipped and named in `error`.
+    Null or unreadable bytes give `error` and no tracks; a track or fragment with
+    a broken table is skipped and named in `error`.
     """
     out: dict = {"brand": None, "tracks": [], "error": None}
     if not media:
         return out | {"error": "empty"}
     data = memoryview(media)
     tracks: list[dict] = []
+    extends: dict[int, tuple] = {}  # defaults of fragments: ticks, size and flags of a sample
     for path, lo, hi in walk(data):
         if path[-1] == b"ftyp" and hi - lo >= 4:
             out["brand"] = bytes(data[lo : lo + 4]).decode("latin-1")
         elif path == (b"moov", b"trak"):
             tracks.append({})
+        elif path == (b"moov", b"mvex", b"trex") and hi - lo >= 24:
+            track, _, *defaults = struct.unpack_from(">5I", data, lo + 4)
+            extends[track] = tuple(defaults)
         elif tracks and path[:2] == (b"moov", b"trak"):
             tracks[-1].setdefault(path[-1], (lo, hi))
     if not tracks:
         return out | {"error": "no track"}
+    by_id: dict[int, dict] = {}
     for boxes in tracks:
         try:
             at, _ = boxes[b"mdhd"]
@@ -172,13 +252,18 @@ def parse_media(media: bytes | None) -> dict:
             at, end = boxes[b"stsd"]
             codec = bytes(data[at + 12 : at + 16]).decode("latin-1") if end - at >= 16 else ""
             handler = bytes(data[boxes[b"hdlr"][0] + 8 : boxes[b"hdlr"][0] + 12]).decode("latin-1") if b"hdlr" in boxes else ""
-            table = _sample_table(data, boxes)
-        except (KeyError, IndexError, ValueError, struct.error) as e:
+            table = {"codec": codec.strip(), "handler": handler, "timescale": timescale} | _sample_table(data, boxes)
+            if b"tkhd" in boxes:
+                at, _ = boxes[b"tkhd"]
+                by_id[struct.unpack_from(">I", data, at + (20 if data[at] else 12))[0]] = table
+        except (KeyError, IndexError, ValueError, OverflowError, struct.error) as e:
             out["error"] = f"track: {type(e).__name__}"
             continue
+        out["tracks"].append(table)
+    out["error"] = out["error"] or _read_fragments(data, by_id, extends)
+    for table in out["tracks"]:
         keys = table["keys"]
-        ranges = np.stack([table["offsets"][keys], table["offsets"][keys] + table["sizes"][keys]], 1)
-        out["tracks"].append({"codec": codec.strip(), "handler": handler, "timescale": timescale, "ranges": ranges} | table)
+        table["ranges"] = np.stack([table["offsets"][keys], table["offsets"][keys] + table["sizes"][keys]], 1)
     return out
 
 
@@ -224,8 +309,10 @@ def _media_row(text: str | None) -> tuple:
 def media_digest(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Each text stored as an ISO media file, read back and described.
 
-    A null text is the empty one; the empty text is one zero frame. Rows are
+    A null text is the empty one; the empty text is one zero frame; a text of any
+    length is one file, built and read in the memory of one task. Rows are
     independent: repeated rows give repeated results, an empty table an empty one.
+    `keep` must not hold the names of the new columns.
     """
     names = [f.split()[0] for f in MEDIA_COLUMNS.split(", ")]
 
@@ -235,6 +322,10 @@ def media_digest(docs: DataFrame, keep: list[str]) -> DataFrame:
     return map_texts(docs, start, MEDIA_COLUMNS, keep)
 
 
-def media_features(files: DataFrame, content: str = "content") -> DataFrame:
-    """`files` with `media string`: the description of each binary `content`."""
-    return map_texts(files, lambda: lambda blobs: {"media": [describe(b) for b in blobs]}, "media string", None, content)
+def media_features(files: DataFrame, content: str = "content", name: str = "media") -> DataFrame:
+    """`files` with `name`, a string: the description of each binary `content`; null, empty and broken ones name their error.
+
+    Where `files` has such a column already, the new one's name is lengthened.
+    """
+    name = free_name(files, name)
+    return map_texts(files, lambda: lambda blobs: {name: [describe(b) for b in blobs]}, f"`{name}` string", None, content)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from fareindex.llm.common import SLICE_ROWS, checkpointed, gather_texts, hashed_share, map_texts, struct
+from fareindex.llm.common import checkpointed, gather_texts, hashed_share, map_texts, slices, struct
 
 WINDOW = 2048
 END = 1
@@ -236,8 +236,7 @@ def coded_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         sums = np.zeros(TERMS + 2, np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE_ROWS):
-                piece = batch.slice(lo, SLICE_ROWS)
+            for piece in slices(batch):
                 ids = [token_ids(t or "", path) for t in piece.column("text").to_pylist()]
                 sums[:TERMS] += np.bincount(term_counts(ids)[1], minlength=TERMS)
                 sums[TERMS:] += len(ids), sum(map(len, ids))
@@ -284,8 +283,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, shard_docs: int = SHARD_
 
     def keyed(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE_ROWS):
-                piece = batch.slice(lo, SLICE_ROWS)
+            for piece in slices(batch):
                 likeness = shared.value.likeness([np.frombuffer(x, np.uint16) for x in piece.column("ids").to_pylist()])
                 low, high = (np.searchsorted(cuts.value, likeness, side) for side in ("left", "right"))
                 spread = piece.column("row").to_numpy() % (high - low + 1)  # over the ranges that its key fills

@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding by shared-prefix Viterbi.
 
 A model's pieces and scores come from a file; nothing is trained. Text is marked
-(each space becomes U+2581, one more in front) and cut before each mark. The
-distinct words of a batch are sorted, which lays them out as a trie in
+(each space becomes U+2581, one more in front) and cut before each mark and on
+both sides of each character that no longer piece holds, as any segmentation is.
+The distinct words of a batch are sorted, which lays them out as a trie in
 depth-first order: forward scores of the prefix that a word shares with the one
 before are kept, and only its new characters are scored.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import DataFrame
 
@@ -19,9 +21,9 @@ from fareindex.llm.common import map_texts
 
 MARK = "▁"
 LITERAL = "\ud800"  # stands for a mark that the text itself holds; no valid text has it
-WORD = re.compile(f"{MARK}+[^{MARK}]*")
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 300_000
+BATCH_ROWS = 2_048  # rows whose new words are sorted together
+CACHE_CHARS, CACHE_WORDS = 32, 300_000  # the length and number of the words that a task remembers
 
 
 @lru_cache(maxsize=2)
@@ -49,12 +51,16 @@ class PieceModel:
             raise ValueError("a piece crosses a word mark; words can't be told apart")
         self.byte_ids, self.unknown = byte_ids, unknown
         self.unknown_score = min((s for s, _ in pieces.values()), default=0.0) - UNKNOWN_PENALTY
-        self.backwards: dict = {}  # pieces as a trie from their last character to their first
-        for piece, found in pieces.items():
+        # pieces as a trie from their last character to their first: character -> (next, score, id or -1)
+        self.backwards: dict = {}
+        for piece in sorted(pieces, key=len):
             node = self.backwards
-            for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[""] = found
+            for c in piece[:0:-1]:
+                node = node.setdefault(c, ({}, 0.0, -1))[0]
+            node[piece[0]] = (node.get(piece[0], ({},))[0], *pieces[piece])
+        inner = "".join(sorted(set().union(*(p for p in pieces if len(p) > 1)) - {MARK}))
+        self.word = re.compile(f"{MARK}+[{re.escape(inner)}]*|[{re.escape(inner)}]+|[^{MARK}]" if inner else f"{MARK}+|[^{MARK}]", re.S)
+        self.longest = max(map(len, pieces), default=1)
         self.text = {i: p.replace(MARK, " ") for p, (_, i) in pieces.items()}
         self.byte = {i: b for b, i in byte_ids.items()}
         self.cache: dict[str, list[int]] = {}
@@ -63,7 +69,7 @@ class PieceModel:
         """Ids of each word: the segmentation with the highest total score; on ties the longer last piece."""
         out, before = {}, ""
         best, back = [0.0], [(0, -1)]  # for each prefix of the current trie path
-        root = self.backwards
+        root, longest = self.backwards, self.longest
         for word in sorted(words):
             shared = 0
             for a, b in zip(word, before):
@@ -74,13 +80,13 @@ class PieceModel:
             for end in range(shared + 1, len(word) + 1):
                 top, link = best[end - 1] + self.unknown_score, (end - 1, -1)
                 node, at = root, end
-                while at:
-                    node = node.get(word[at - 1])
-                    if node is None:
+                for c in word[end - 1 :: -1] if end <= longest else word[end - 1 : end - 1 - longest : -1]:
+                    if c not in node:
                         break
+                    node, score, i = node[c]
                     at -= 1
-                    if (found := node.get("")) is not None and best[at] + found[0] >= top:
-                        top, link = best[at] + found[0], (at, found[1])
+                    if i >= 0 and best[at] + score >= top:
+                        top, link = best[at] + score, (at, i)
                 best.append(top)
                 back.append(link)
             ids, at = [], len(word)
@@ -98,21 +104,16 @@ class PieceModel:
 
     def encode(self, texts: list) -> list[list[int]]:
         """Ids of each text; null and empty texts have none."""
-        cut = []
-        for t in texts:
-            marked = f" {t}".replace(MARK, LITERAL).replace(" ", MARK) if t else ""
-            cut.append(WORD.findall(marked))
-        new = set().union(*cut)
+        cut = [self.word.findall(f" {t}".replace(MARK, LITERAL).replace(" ", MARK)) if t else [] for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache = {}
         cache = self.cache
-        cache.update(self.segment(list(new.difference(cache))))
-        out = []
-        for words in cut:
-            ids: list[int] = []
-            for w in words:
-                ids += cache[w]
-            out.append(ids)
+        new = self.segment(list(set().union(*cut).difference(cache)))
+        long = {w: ids for w, ids in new.items() if len(w) > CACHE_CHARS}  # for this batch only
+        cache.update(new)
+        out = [list(chain.from_iterable(map(cache.__getitem__, words))) for words in cut]
+        for w in long:
+            del cache[w]
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -132,7 +133,7 @@ def encode_texts(docs: DataFrame, keep: list[str], model: str | None = None, ids
         pieces = load_pieces(path)
         return lambda texts: {ids: pieces.encode(texts)}
 
-    return map_texts(docs, start, f"`{ids}` array<int>", keep)
+    return map_texts(docs, start, f"`{ids}` array<int>", keep, rows=BATCH_ROWS)
 
 
 def decode_ids(rows: DataFrame, keep: list[str], model: str | None = None, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -147,7 +148,12 @@ def decode_ids(rows: DataFrame, keep: list[str], model: str | None = None, ids:
 
 
 def piece_digest(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """Ids of every whole text, and whether decoding gives the text back. Null counts as empty."""
+    """Ids of every whole text, and whether decoding gives the text back.
+
+    Null and empty texts have no ids; repeated rows give repeated results; what a
+    task remembers is bounded by CACHE_CHARS and CACHE_WORDS, however long the
+    texts; an empty table gives no row; other columns of `docs` don't matter.
+    """
     path = model or default_pieces()
 
     def start():
@@ -165,4 +171,4 @@ def piece_digest(docs: DataFrame, model: str | None = None) -> DataFrame:
 
         return work
 
-    return map_texts(docs, start, "n_tokens long, ids array<int>, decoded_sha256 string, exact boolean", ["doc_id"])
+    return map_texts(docs, start, "n_tokens long, ids array<int>, decoded_sha256 string, exact boolean", ["doc_id"], rows=BATCH_ROWS)

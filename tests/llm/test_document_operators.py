@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -69,6 +70,12 @@ def test_media_reads_other_layouts():
     for _ in range(300):
         broken[rng.randrange(700)] = rng.randrange(256)
         media.describe(bytes(broken))
+    tables = data.index(b"stbl")
+    for _ in range(4_000):  # one byte of the sample tables at a time
+        broken = bytearray(data)
+        broken[rng.randrange(tables, tables + 700)] = rng.randrange(256)
+        found = media.parse_media(bytes(broken))
+        assert all((t["keys"] >= 0).all() and len(media.read_samples(bytes(broken), t)) == t["sizes"].sum() for t in found["tracks"])
     assert media.describe(None) == "-|error=empty"
     deep = b"\0\0\0\x08free"
     for _ in range(3000):
@@ -76,6 +83,31 @@ def test_media_reads_other_layouts():
     assert "no track" in media.describe(deep)
 
 
+def test_media_fragments():
+    box, full, pack = media._box, media._full, struct.pack
+    data = bytearray(media.wrap_samples(b"\1" * 128))
+    trex = full(b"trex", pack(">5I", 1, 1, 7, 3, 0))
+    at = data.index(b"moov") - 4
+    size = int.from_bytes(data[at : at + 4], "big")
+    mvex = box(b"mvex", trex)
+    data[at : at + 4] = (size + len(mvex)).to_bytes(4, "big")
+    data[at + size : at + size] = mvex
+    co = data.index(b"co64") + 12
+    data[co : co + 8] = (int.from_bytes(data[co : co + 8], "big") + len(mvex)).to_bytes(8, "big")
+    tfhd = box(b"tfhd", pack(">II", 0x20000, 1))
+    trun = lambda offset: box(b"trun", pack(">IIi4I", 0x205 - 4 | 0x400, 2, offset, 5, 0, 6, 0x10000))  # noqa: E731  # sizes and flags of two samples
+    moof = lambda offset: box(b"moof", box(b"traf", tfhd, trun(offset)))
+    tail = moof(len(moof(0)) + 8) + box(b"mdat", b"helloworlds")
+    track = media.parse_media(bytes(data) + tail)["tracks"][0]
+    assert media.read_samples(bytes(data) + tail, track) == b"\1" * 128 + b"helloworlds"
+    assert track["sizes"].tolist() == [64, 64, 5, 6] and track["keys"].tolist() == [0, 2] and track["ticks"] == 2_000 + 14
+    rng = random.Random(2)
+    for _ in range(2_000):
+        broken = bytearray(data + tail)
+        broken[rng.randrange(len(data), len(broken))] = rng.randrange(256)
+        media.describe(bytes(broken))
+
+
 def test_simhash_matches_all_pairs(spark, docs, sf):
     for df in (docs, table(spark, sf)):
         rows = df.select("doc_id", "text").collect()
