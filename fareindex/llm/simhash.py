@@ -19,25 +19,27 @@ RADIUS = 2
 SEED = 42
 SHINGLE = 3
 BITS = 64
+SLICE_SHINGLES = 1 << 16  # shingles whose bits are counted at once
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """64 majority bits over the XXH64 of all word shingles, repeats included; 0 without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
     line = b" ".join(words)
-    if len(words) <= SHINGLE:
+    if len(words) <= shingle:
         hashes = xxhash.xxh64_digest(line, SEED)
     else:
         ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends[: -SHINGLE].tolist()]
-        stops = (ends[SHINGLE - 1 :] - 1).tolist()
+        starts = [0, *ends[:-shingle].tolist()]
+        stops = (ends[shingle - 1 :] - 1).tolist()
         digest = xxhash.xxh64_digest
         hashes = b"".join([digest(line[a:b], SEED) for a, b in zip(starts, stops)])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
-    majority = 2 * bits.sum(axis=0, dtype=np.int64) > len(bits)
-    return int.from_bytes(np.packbits(majority).tobytes(), "big")
+    rows, ones = np.frombuffer(hashes, np.uint8).reshape(-1, 8), np.zeros(BITS, np.int64)
+    for lo in range(0, len(rows), SLICE_SHINGLES):
+        ones += np.unpackbits(rows[lo : lo + SLICE_SHINGLES], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(rows)).tobytes(), "big")
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -55,9 +57,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def with_fingerprint(docs: DataFrame, keep: list[str], name: str = "fp") -> DataFrame:
+def with_fingerprint(docs: DataFrame, keep: list[str], name: str = "fp", shingle: int = SHINGLE) -> DataFrame:
+    """`docs[keep]` with the signed fingerprint of each whole text; `name` must not be in `keep`."""
+
     def start():
-        return lambda texts: {name: [_signed(fingerprint(t)) for t in texts]}
+        return lambda texts: {name: [_signed(fingerprint(t, shingle)) for t in texts]}
 
     return map_texts(docs, start, f"`{name}` long", keep)
 
@@ -99,7 +103,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         edges = checkpointed(small.where("a != b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        key = F.xxhash64("a", "b")
+        now = edges.agg(F.count("*"), F.bit_xor(key), F.sum(F.shiftrightunsigned(key, 20))).first()  # 128 bits and the number
         if now == before:
             break
         before = now
@@ -108,15 +113,22 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.select("a", F.col("b").alias("root"))
 
 
-def near_duplicate_classes(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`docs[keep]` with `fp` and `component_id`, the least doc_id linked to it by chains of close fingerprints.
+def near_duplicate_classes(docs: DataFrame, keep: list[str], fp: str = "fp", name: str = "component_id", shingle: int = SHINGLE) -> DataFrame:
+    """`docs[keep]` with `fp` and `name`, the least doc_id linked to it by chains of close fingerprints.
 
     Null and wordless texts have fingerprint 0 and link like any other. A null
-    doc_id is never a component_id unless a class has no other. Copies are
-    reduced to distinct fingerprints before anything is matched.
+    doc_id names a class only if it has no other. Repeated rows and copies are
+    reduced to distinct fingerprints before anything is matched; texts of any
+    length are read whole; an empty table gives no row. Where `keep` has `fp` or
+    `name` already, the new column's name is lengthened.
     """
-    marked = checkpointed(with_fingerprint(docs, list(dict.fromkeys([*keep, "doc_id"]))))
-    return marked.join(_classes(marked, F.min("doc_id"), "component_id"), "fp")
+    kept = docs.select(*keep)
+    fp = free_name(kept, fp)
+    name = free_name(kept.withColumn(fp, F.lit(0)), name)
+    own = free_name(kept, "own_id")
+    marked = checkpointed(with_fingerprint(docs.withColumn(own, F.col("doc_id")), [*keep, own], fp, shingle))
+    classes = _classes(marked.select(F.col(fp).alias("fp"), F.col(own).alias("id")), F.min("id"), "least")
+    return marked.join(classes.select(F.col("fp").alias(fp), F.col("least").alias(name)), fp).select(*keep, fp, name)
 
 
 def _classes(marked: DataFrame, pick, name: str) -> DataFrame:
@@ -128,19 +140,21 @@ def _classes(marked: DataFrame, pick, name: str) -> DataFrame:
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
-    found = near_duplicate_classes(docs, ["doc_id"])
+    """Fingerprint and class of every document; cases as in `near_duplicate_classes`."""
+    found = near_duplicate_classes(docs.select("doc_id", "text"), ["doc_id"])
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame) -> DataFrame:
+def keep_representatives(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row of each near-duplicate class: that with the least doc_id, then text hash; of repeated rows one.
 
-    Rows with a null doc_id come last. Columns are those of `docs`.
+    Fingerprints are over shingles of `shingle` words. Rows with a null doc_id
+    come last; null and wordless texts are one class. Columns are those of
+    `docs`, whatever their names; an empty table stays empty.
     """
     names = docs.columns
     rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("hash"))
-    row, fp = free_name(docs, "row_rank"), "fp"
-    slim = docs.select("text", rank.alias("rank"))
-    marked = checkpointed(with_fingerprint(slim, ["rank"], fp))
+    row = free_name(docs, "row_rank")
+    marked = checkpointed(with_fingerprint(docs.select("text", rank.alias("rank")), ["rank"], "fp", shingle))
     chosen = _classes(marked, F.min("rank"), "best").select(F.col("best").alias(row)).distinct()
     return docs.withColumn(row, rank).join(chosen, row, "left_semi").dropDuplicates([row]).select(*names)

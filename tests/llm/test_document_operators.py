@@ -167,9 +167,17 @@ def test_representatives_keep_one_row_of_each_class(spark, docs, empty):
     kept = simhash.keep_representatives(docs)
     assert kept.columns == docs.columns
     rows = docs.select("doc_id", "text").collect()
-    assert kept.count() == simhash.near_duplicate_classes(docs, []).select("component_id").distinct().count()
+    assert kept.count() == simhash.near_duplicate_classes(docs, [], shingle=5).select("component_id").distinct().count()
     assert 30 < kept.count() < len(rows) - 30
     assert simhash.keep_representatives(empty).count() == 0
+    clashing = simhash.near_duplicate_classes(docs, ["doc_id", "fp"])
+    assert clashing.columns == ["doc_id", "fp", "fp_", "component_id"] and clashing.count() == len(rows)
+    assert simhash.near_duplicate_classes(docs.withColumnRenamed("lang", "component_id"), ["component_id"]).columns == ["component_id", "fp", "component_id_"]
+
+
+def test_long_texts_have_whole_fingerprints():
+    text = " ".join(f"w{i % 977} {i}" for i in range(60_000))
+    assert simhash.fingerprint(text) == reference_print(text) and simhash.fingerprint(text, 5) == reference_print(text, 5)
 
 
 def test_packing_deals_copies_to_one_shard(spark):
