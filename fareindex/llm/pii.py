@@ -27,7 +27,7 @@ TERM = len(KINDS) - 1
 STEMS = (5, 3)  # lengths of the stems that a term may be generalised to
 UNSEEN = 1.0  # documents with the term alone that are assumed besides those seen, so that rare terms are judged with care
 DISCLOSURE = 0.8  # share of the entity's information that a term may carry
-HELD_TERMS = 200_000
+HELD_TERMS = 400_000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -165,15 +165,26 @@ def disclosure(together: Column, gram_docs: Column, entity_docs: Column, total:
     return F.when(information > 0, (F.log(chance) + information) / information).otherwise(F.lit(0.0))
 
 
-def disclosing_grams(docs: DataFrame, entities: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
-    """(entity, gram): the terms and stems that disclose an entity, of however few documents."""
-    each = entities.where(F.size("entities") > 0).select(F.explode("entities").alias("entity"), "grams")
-    holds = each.groupBy("entity").agg(F.count("*").alias("entity_docs"))
-    pairs = each.select("entity", F.explode("grams").alias("gram")).groupBy("entity", "gram").agg(F.count("*").alias("together"))
+def disclosing_grams(docs: DataFrame, entities: DataFrame, row: str, threshold: float = DISCLOSURE) -> DataFrame:
+    """(entity, gram): the terms and stems that disclose an entity, of however few documents.
+
+    An entity of k documents can't be disclosed by a gram of more than
+    `most_docs` documents, even if it occurs in all k. Grams that occur in more
+    than any entity of their document allows leave before they meet the entities.
+    """
     total = F.lit(float(docs.count()))
-    judged = pairs.join(gram_frequencies(docs), "gram").join(holds, "entity")
+    held = entities.where(F.size("entities") > 0).select(row, F.explode("entities").alias("entity"))
+    holds = held.groupBy("entity").agg(F.count("*").alias("entity_docs"))
+    chance = F.col("entity_docs") / total
+    most_docs = (F.col("entity_docs") + UNSEEN * chance) / F.pow(chance, F.lit(1 - threshold)) * (1 + 1e-9) - UNSEEN
+    known = held.join(holds, "entity").withColumn("most_docs", F.when(chance < 1, most_docs))
+    allowed = known.groupBy(row).agg(F.max("most_docs").alias("most_docs"))
+    grams = entities.where(F.size("entities") > 0).select(row, "grams").join(allowed, row).select(row, "most_docs", F.explode("grams").alias("gram"))
+    rare = grams.join(gram_frequencies(docs), "gram").where("gram_docs <= most_docs").select(row, "gram", "gram_docs")
+    pairs = rare.join(known, row).where("gram_docs <= most_docs")
+    together = pairs.groupBy("entity", "gram").agg(F.count("*").alias("together"), F.first("gram_docs").alias("gram_docs"), F.first("entity_docs").alias("entity_docs"))
     share = disclosure(F.col("together"), F.col("gram_docs"), F.col("entity_docs"), total)
-    return judged.where(share >= threshold).select("entity", "gram")
+    return together.where(share >= threshold).select("entity", "gram")
 
 
 def disclosing_terms(grams: DataFrame) -> DataFrame:
@@ -198,10 +209,10 @@ def find_personal_data(docs: DataFrame, keep: list[str]) -> DataFrame:
     an empty table gives no row.
     """
     row = free_name(docs, "row_key")
-    marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    marked = docs.withColumn(row, F.monotonically_increasing_id())  # written at once, so it stays
     entities = checkpointed(find_entities(marked, [*keep, row]))
-    bad = checkpointed(disclosing_terms(checkpointed(disclosing_grams(docs, entities))))
-    each = entities.where(F.size("entities") > 0).dropDuplicates([row]).select(row, F.explode("entities").alias("entity"), "terms")
+    bad = checkpointed(disclosing_terms(checkpointed(disclosing_grams(docs, entities, row))))
+    each = entities.where(F.size("entities") > 0).select(row, F.explode("entities").alias("entity"), "terms")
     near = each.select(row, "entity", F.explode("terms").alias("t")).select(row, "entity", "t.term", "t.at").join(bad, ["entity", "term"])
     worst = near.groupBy(row, "term").agg(F.first("at").alias("at"), F.min_by("form", F.length("form")).alias("form"))
     spans = F.transform("at", lambda a: F.struct(a["start"].alias("start"), F.lit(TERM).alias("kind"), a["end"].alias("end"), F.col("form").alias("form")))
