@@ -64,21 +64,27 @@ def _flag(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
 
 
-def tag_drop_reason(raw: DataFrame, cell=CELL, order_by=("collected_at",), k: float = 3.0, low: float = 0.45, high: float = 2.6) -> DataFrame:
+def unavailable(df: DataFrame) -> Column:
+    """"sold_out" (also: no seats left; unknown seats count as some), "cancelled", or null."""
+    sold_out = _flag(df, "sold_out") | F.coalesce(F.col("seats_left") == 0, F.lit(False))
+    return F.when(sold_out, "sold_out").when(_flag(df, "is_cancelled"), "cancelled")
+
+
+def tag_drop_reason(raw: DataFrame, cell=CELL, order_by=("collected_at",), k: float = 3.0, low: float = 0.45, high: float = 2.6, mode: str = "class") -> DataFrame:
     """Decomposed quotes with `drop_reason` (null: kept), `cell_median` and `cell_sigma`.
 
     The first reason that holds counts: sold out (seats 0; unknown seats stay),
     cancelled, duplicate (first by `order_by` wins among those still there),
     invalid fare, outlier beyond median +- k sigma or outside [low, high] medians,
-    where sigma is the scaled MAD, one percent of the median at least.
+    where sigma is the scaled MAD, one percent of the median at least. An empty
+    `cell` pools all rows in one task: for a sweep, not for a history.
     """
-    df = decompose(raw)
+    df = decompose(raw, mode)
     if cell:
         df = df.repartition(*cell)
     here = W.partitionBy(*cell)
-    gone = F.when(_flag(df, "sold_out") | F.coalesce(F.col("seats_left") == 0, F.lit(False)), "sold_out").when(_flag(df, "is_cancelled"), "cancelled")
     key = [c for c in dict.fromkeys([*cell, *DUPLICATE_KEY])]
-    df = df.withColumn("gone", gone)
+    df = df.withColumn("gone", unavailable(df))
     copies = W.partitionBy(*key, F.col("gone").isNull()).orderBy(*order_by)
     early = F.coalesce("gone", F.when(F.row_number().over(copies) > 1, "duplicate"), F.when(~(F.col("fare") > 0), "invalid"))
     df = df.withColumn("gone", early)
@@ -92,7 +98,7 @@ def tag_drop_reason(raw: DataFrame, cell=CELL, order_by=("collected_at",), k: fl
 
 
 def reject_outliers(df: DataFrame, cell, value: str, k: float = 3.0, low: float = 0.45, high: float = 2.6) -> DataFrame:
-    """Rows of `df` within the bounds of their cell, inclusive."""
+    """Rows of `df` within the bounds of their cell, inclusive. An empty `cell` puts all rows in one task."""
     here, x = W.partitionBy(*cell), F.col(value)
     out = df.withColumn("cell_median", F.median(x).over(here))
     out = out.withColumn("deviation", F.abs(x - F.col("cell_median")))
@@ -134,8 +140,16 @@ def impute_missing(tagged: DataFrame, cell=CELL, expected: dict | None = None, m
     return df.where(kept).select(*cell, F.explode(rows).alias("row")).select(*cell, "row.*")
 
 
-def clean_quotes(raw: DataFrame, cell=CELL, order_by=("collected_at",)) -> DataFrame:
-    return impute_missing(tag_drop_reason(raw, cell, order_by), cell)
+def clean_quotes(raw: DataFrame, cell=CELL, order_by=("collected_at",), expected: dict | None = None, mode: str = "class") -> DataFrame:
+    """The whole funnel; `mode` sets the quality of kept and imputed quotes alike."""
+    return impute_missing(tag_drop_reason(raw, cell, order_by, mode=mode), cell, expected, mode)
+
+
+def first_quotes(raw: DataFrame, order_by=("collected_at",)) -> DataFrame:
+    """Raw quotes without repeats of one within its day and status: what the stream lets through."""
+    key = [F.col(c) for c in ("obs_date", *DUPLICATE_KEY)]
+    copies = W.partitionBy(*key, F.coalesce(unavailable(raw), F.lit("on sale"))).orderBy(*order_by)
+    return raw.withColumn("nth", F.row_number().over(copies)).where("nth = 1").drop("nth")
 
 
 def cleaning_report(tagged: DataFrame, by=CELL, cell=CELL, expected: dict | None = None) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fareindex.functions.aggregates import mape, pearson, share_true
+from fareindex.functions.parsing import month_key
 from fareindex.operators.series import average_rank, log_changes, ordered
 
-RIDGE = 1e-8
 
 
 def align(a: DataFrame, b: DataFrame, on="period", value: str = "value", keys=()) -> DataFrame:
@@ -75,6 +75,12 @@ def backtest(index_monthly: DataFrame, reference_monthly: DataFrame, keys=(), le
     return joined.withColumn("verdict", verdict)
 
 
+def error_against(pairs: DataFrame, form: str = "rebased", on: str = "period", keys=()) -> DataFrame:
+    """MAPE of x against y and the number of periods: of the values themselves (`level`, also for fares), or of both `rebased` to 100 at the first."""
+    table = rebased_pairs(pairs, on, keys) if form == "rebased" else pairs.withColumns({"a": F.col("x"), "b": F.col("y")})
+    return table.groupBy(*keys).agg(mape(F.col("a"), F.col("b")).alias("mape"), F.count("*").alias("periods"))
+
+
 def backtest_table(index_monthly: DataFrame, reference_monthly: DataFrame, keys=()) -> DataFrame:
     return rebased_pairs(align(index_monthly, reference_monthly, keys=keys), keys=keys).orderBy(*keys, "period")
 
@@ -82,8 +88,10 @@ def backtest_table(index_monthly: DataFrame, reference_monthly: DataFrame, keys=
 def ols(df: DataFrame, y: str, xs: list[str], by=()) -> DataFrame:
     """Least squares with an intercept: (by, term, beta, t, r2, n_rows).
 
-    One aggregation forms the centred moments of each group; only these k x k
-    sums reach Python. Groups with no more rows than terms get zeros.
+    Two aggregations form the centred moments of each group, which stay exact
+    where means are large; only these k x k sums reach Python, where they are
+    scaled. Of collinear columns the least-norm slopes are given. Groups with no
+    more rows than terms get zeros.
     """
     names = [f"v{i}" for i in range(len(xs) + 1)]
     groups = [f"g{i}" for i in range(len(by))]
@@ -104,7 +112,8 @@ def ols(df: DataFrame, y: str, xs: list[str], by=()) -> DataFrame:
                 n, mean = int(r["n_rows"]), np.array([r[f"mean_v{i}"] for i in range(k)])
                 beta, t, r2 = np.zeros(k + 1), np.zeros(k + 1), 0.0
                 if n > k + 1:
-                    inverse = np.linalg.inv(s[:k, :k] + RIDGE * np.eye(k))
+                    scale = np.sqrt(np.where(np.diag(s)[:k] > 0, np.diag(s)[:k], 1.0))
+                    inverse = np.linalg.pinv(s[:k, :k] / np.outer(scale, scale), rcond=1e-10, hermitian=True) / np.outer(scale, scale)
                     slopes = inverse @ s[:k, k]
                     rest = max(s[k, k] - slopes @ s[:k, k], 0.0)
                     variance = rest / (n - k - 1)
@@ -118,21 +127,36 @@ def ols(df: DataFrame, y: str, xs: list[str], by=()) -> DataFrame:
     return sums.mapInPandas(solve, f"{fields}term string, beta double, t double, r2 double, n_rows long")
 
 
-def driver_table(monthly: DataFrame, covariates: DataFrame, xs: list[str], on: str = "period", keys=(), last: int | None = None) -> DataFrame:
-    """Log changes of the index beside those of its covariates, in periods both have."""
+def driver_table(monthly: DataFrame, covariates: DataFrame, xs: list[str], on: str = "period", keys=(), last: int | None = None, plain=()) -> DataFrame:
+    """Changes of the index (`y`) beside those of its covariates, in periods both have: log changes, of `plain` ones differences.
+
+    Covariates are read once; `last` keeps the last so many changes that are whole.
+    """
+    w = ordered(on, keys)
+
+    def change(x: str):
+        before = F.lag(x).over(w)
+        return F.col(x) - before if x in plain else F.when((F.col(x) > 0) & (before > 0), F.ln(F.col(x) / before))
+
     changed = log_changes(monthly, "value", on, keys).select(*keys, on, F.col("log_change").alias("y"))
-    for x in xs:
-        part = log_changes(covariates, x, on, keys).select(*keys, on, F.col("log_change").alias(x))
-        changed = changed.join(part, [*keys, on])
+    moved = covariates.select(*keys, on, *[change(x).alias(x) for x in xs])
+    changed = changed.join(moved, [*keys, on])
     if last:
         nth = F.row_number().over(ordered(F.desc(on), keys))
-        changed = changed.withColumn("nth", nth).where(F.col("nth") <= last).drop("nth")
+        changed = changed.dropna(subset=["y", *xs]).withColumn("nth", nth).where(F.col("nth") <= last).drop("nth")
     return changed
 
 
-def driver_regression(monthly: DataFrame, covariates: DataFrame, xs: list[str], on: str = "period", keys=()) -> DataFrame:
-    """Coefficients (times 100) and t of the drivers of the index's log change."""
-    fit = ols(driver_table(monthly, covariates, xs, on, keys), "y", xs, keys)
+def reading_of_day(daily: DataFrame, xs: list[str], day: int = 15, date: str = "date", keys=()) -> DataFrame:
+    """(keys, period, xs): each month's reading of its `day`-th, or of the nearest earlier date of that month, else the first after."""
+    late = F.dayofmonth(date) > day
+    order = F.struct(late.cast("int"), F.when(late, F.dayofmonth(date)).otherwise(-F.dayofmonth(date)))
+    return daily.groupBy(*keys, month_key(F.col(date)).alias("period")).agg(*[F.min_by(x, order).alias(x) for x in xs])
+
+
+def driver_regression(monthly: DataFrame, covariates: DataFrame, xs: list[str], on: str = "period", keys=(), last: int | None = None, plain=()) -> DataFrame:
+    """Coefficients (times 100) and t of the drivers of the index's log change, over the last `last` changes if given."""
+    fit = ols(driver_table(monthly, covariates, xs, on, keys, last, plain), "y", xs, keys)
     return fit.withColumn("effect", F.col("beta") * 100).withColumn("significant", F.abs("t") >= 2)
 
 

@@ -10,6 +10,7 @@ from fareindex.functions import parsing as p
 from fareindex.operators import audit, cells, cleaning, indexing, market, series, validation
 from fareindex.plans import reports
 from fareindex.sources import dims, pages, views
+from fareindex.sources.io import store_cells
 from fareindex.streaming.ingest import error_windows
 
 BASE = "1995-06-01"
@@ -35,9 +36,14 @@ def cell_table(s, d):
     return cells.cell_prices(clean(s, d), views.CELL)
 
 
-def regional_cells(s, d):
+def kept_cells(s, d):
+    """The cell table, stored: for queries that use it more than once."""
+    return store_cells(cell_table(s, d))
+
+
+def with_region(found: DataFrame) -> DataFrame:
     """Cells with the region that their route starts in."""
-    return cell_table(s, d).withColumn("region", F.split("route_id", "-")[0])
+    return found.withColumn("region", F.split("route_id", "-")[0])
 
 
 def prices(s, d):
@@ -52,13 +58,18 @@ def base(prices: DataFrame) -> DataFrame:
     return indexing.base_snapshot(prices, BASE, "period", 3, "month")
 
 
-def relatives(s, d):
-    found = prices(s, d)
+def relatives(s, d, kept: DataFrame | None = None):
+    """From the stored cells, which base and points both read."""
+    found = cells.route_prices(kept_cells(s, d) if kept is None else kept, "period")
     return indexing.route_relatives(found, base(found), weights(s, d))
 
 
+def points_of(found: DataFrame, missing="renormalize"):
+    return indexing.build_index(found, "period", missing).withColumnRenamed("period", "date")
+
+
 def points(s, d, missing="renormalize"):
-    return indexing.build_index(relatives(s, d), "period", missing).withColumnRenamed("period", "date")
+    return points_of(relatives(s, d), missing)
 
 
 def monthly(s, d):
@@ -195,6 +206,7 @@ def pct(a: str, b: str) -> str:
 
 
 PEARSON = "CASE WHEN count(*) < 3 OR sqrt(var_pop({0})) * sqrt(var_pop({1})) <= 1e-12 THEN 0.0 ELSE covar_pop({0}, {1}) / (sqrt(var_pop({0})) * sqrt(var_pop({1}))) END"
+DAYS = """(SELECT unnest(generate_series((SELECT CAST(min(o_orderdate) AS DATE) FROM orders), (SELECT CAST(max(o_orderdate) AS DATE) FROM orders), INTERVAL 1 DAY)) AS day)"""
 SPAN = f"period BETWEEN DATE '{START}' AND DATE '{END}'"
 LATEST = "period = (SELECT max(period) FROM clean)"
 ORIGIN = "CASE WHEN bool_or(is_synthetic) AND bool_or(NOT is_synthetic) THEN 'mixed' WHEN bool_or(is_synthetic) THEN 'simulated' ELSE 'live' END"
@@ -243,31 +255,53 @@ def _releases(s, d):
 
 
 def _sub_lead(s, d):
-    return rounded(indexing.sub_index(cell_table(s, d), weights(s, d), BASE, "lead_time", "period", 3, "month"))
+    return rounded(indexing.sub_index(kept_cells(s, d), weights(s, d), BASE, "lead_time", "period", 3, "month"))
 
 
 def _channel_index(s, d):
     """The channel sub-index: cells of each channel apart, imputed rows left out."""
     of = clean(s, d).where("not imputed").withColumn("kind", dims.lookup(F.col("source_id"), dims.SOURCE_KIND))
-    each = cells.cell_prices(of, [*views.CELL, "kind"])
+    each = store_cells(cells.cell_prices(of, [*views.CELL, "kind"]))
     return rounded(indexing.sub_index(each, weights(s, d), BASE, "kind", "period", 3, "month"))
 
 
 def _latest_groups(s, d):
-    one = indexing.sub_index(regional_cells(s, d), weights(s, d), BASE, "region", "period", 3, "month")
+    one = indexing.sub_index(with_region(kept_cells(s, d)), weights(s, d), BASE, "region", "period", 3, "month")
     return rounded(series.latest_changes(series.rebase(one, "value", "period", ["region"]), ["region"], "period", 12), 3)
 
 
-def _plan(s, d):
-    """The basket is the routes of the quotes; the days are those of one month."""
-    basket = weights(s, d).select("route_id")
-    return audit.collection_plan(basket, dims.leads(s), dims.sources(s), "1996-03-01", "1996-03-31")
+def _plan(s, d, quotes=None):
+    """The basket is the routes of the quotes; the days run from their first to their last."""
+    quotes = raw(s, d) if quotes is None else quotes
+    span = views.table(s, d, "orders").agg(F.min("o_orderdate"), F.max("o_orderdate")).first()
+    return audit.collection_plan(views.traffic_weights(quotes).select("route_id"), dims.leads(s), dims.sources(s), *[str(day)[:10] for day in span])
+
+
+def _plan_days(s, d):
+    """How many searches each source has on each day, and the last departure and query."""
+    return _plan(s, d).groupBy("obs_date", "source_id").agg(F.count("*").alias("searches"), F.max("departure").alias("last_departure"), F.max("query").alias("last_query"))
 
 
 def _coverage(s, d):
     return rounded(audit.source_yield(audit.grid_coverage(_plan(s, d), raw(s, d))))
 
 
+def _headline(s, d):
+    found = relatives(s, d)
+    return rounded(reports.headline_report(points_of(found), found, "period"), 3)
+
+
+def _basket(s, d):
+    kept = kept_cells(s, d)
+    return rounded(reports.basket_report(relatives(s, d, kept), with_region(kept), weights(s, d), "period"), 3)
+
+
+def _first_quotes(s, d):
+    """What the stream lets through, as a batch."""
+    found = cleaning.first_quotes(raw(s, d), views.ORDER)
+    return found.groupBy("period", F.coalesce(cleaning.unavailable(found), F.lit("on sale")).alias("status")).agg(F.count("*").alias("quotes"), F.count_distinct("l_orderkey").alias("orders"))
+
+
 def _pages(s, d):
     where = {"page": pages.Selectors(container="p", fare="b", fare_class="i", flight="a")}
     found = pages.extract_quotes(views.table(s, d, "pages").withColumn("source_id", F.lit("page")), where)
@@ -309,6 +343,8 @@ QUERIES = {
     "reject_outliers": (lambda s, d: cleaning.reject_outliers(cleaning.decompose(raw(s, d)), ["period", "route_id"], "total_fare").groupBy("period", "route_id").agg(F.count("*").alias("n"), F.round(F.max("cell_sigma"), 3).alias("sigma")),
         sql("""SELECT period, route_id, count(*) AS n, round(max(sigma), 3) AS sigma FROM (SELECT *, greatest(1.4826 * median(abs(total_fare - med)) OVER (PARTITION BY period, route_id), 0.01 * med) AS sigma FROM
             (SELECT *, median(total_fare) OVER (PARTITION BY period, route_id) AS med FROM priced)) WHERE total_fare BETWEEN med - 3 * sigma AND med + 3 * sigma AND total_fare BETWEEN 0.45 * med AND 2.6 * med GROUP BY ALL""", "priced")),
+    "first_quotes": (_first_quotes, sql(f"""SELECT period, COALESCE(gone, 'on sale') AS status, count(*) AS quotes, count(DISTINCT l_orderkey) AS orders FROM
+        (SELECT * FROM early QUALIFY row_number() OVER (PARTITION BY obs_date, source_id, carrier, route_id, lead_time, fare_class, fare_text, COALESCE(gone, '-') ORDER BY {", ".join(views.ORDER)}) = 1) GROUP BY ALL""", "early")),
     "cleaning_report": (lambda s, d: cleaning.cleaning_report(tagged(s, d), views.CELL, views.CELL),
         sql(f"""SELECT {CELL}, count(*) AS raw_count, count(*) FILTER (drop_reason IS NULL) AS kept_count, {", ".join(f"count(*) FILTER (drop_reason = '{r}') AS dropped_{r}" for r in cleaning.REASONS)},
             CASE WHEN kept_count > 0 THEN 5 - count(DISTINCT carrier) FILTER (drop_reason IS NULL) ELSE 0 END AS imputed_count, round(max(cell_median)) AS median_total, round(max(cell_sigma)) AS sigma_total,
@@ -340,7 +376,7 @@ QUERIES = {
     "sub_index_lead": (_sub_lead, sql(f"""SELECT period, lead_time, round(level, 4) AS level, round(level / level_0 * 100, 4) AS value FROM (SELECT period, lead_time, sum(weight * price) / sum(weight) AS level FROM cells JOIN weights USING (route_id) GROUP BY ALL)
         JOIN (SELECT lead_time, avg(level) AS level_0 FROM (SELECT period, lead_time, sum(weight * price) / sum(weight) AS level FROM cells JOIN weights USING (route_id) GROUP BY ALL)
         WHERE period BETWEEN DATE '{BASE}' - INTERVAL 3 MONTH AND DATE '{BASE}' + INTERVAL 3 MONTH GROUP BY ALL) USING (lead_time)""", "cells", "weights")),
-    "sub_index_region": (lambda s, d: rounded(indexing.sub_index(regional_cells(s, d), weights(s, d), BASE, "region", "period", 3, "month")),
+    "sub_index_region": (lambda s, d: rounded(indexing.sub_index(with_region(kept_cells(s, d)), weights(s, d), BASE, "region", "period", 3, "month")),
         sql(f"""SELECT period, region, round(level, 4) AS level, round(level / level_0 * 100, 4) AS value FROM (SELECT period, region, sum(weight * price) / sum(weight) AS level FROM cells JOIN weights USING (route_id) GROUP BY ALL)
         JOIN (SELECT region, avg(level) AS level_0 FROM (SELECT period, region, sum(weight * price) / sum(weight) AS level FROM cells JOIN weights USING (route_id) GROUP BY ALL)
         WHERE period BETWEEN DATE '{BASE}' - INTERVAL 3 MONTH AND DATE '{BASE}' + INTERVAL 3 MONTH GROUP BY ALL) USING (region)""", "cells", "weights")),
@@ -349,7 +385,7 @@ QUERIES = {
         JOIN (SELECT kind, avg(level) AS level_0 FROM (SELECT period, kind, sum(weight * price) / sum(weight) AS level FROM
         (SELECT {CELL}, {case("source_id", dims.SOURCE_KIND)} AS kind, median(total_fare) AS price FROM clean WHERE NOT imputed GROUP BY ALL) JOIN weights USING (route_id) GROUP BY ALL)
         WHERE period BETWEEN DATE '{BASE}' - INTERVAL 3 MONTH AND DATE '{BASE}' + INTERVAL 3 MONTH GROUP BY ALL) USING (kind)""", "clean", "weights")),
-    "all_groups": (lambda s, d: rounded(indexing.all_groups(regional_cells(s, d), weights(s, d), "period"), 3),
+    "all_groups": (lambda s, d: rounded(indexing.all_groups(with_region(kept_cells(s, d)), weights(s, d), "period"), 3),
         sql("""SELECT period, CASE WHEN lead_time IS NOT NULL THEN 'lead' WHEN region IS NOT NULL THEN 'region' WHEN route_id IS NOT NULL THEN 'route' ELSE 'total' END AS grouping,
             COALESCE(CAST(lead_time AS VARCHAR), region, route_id, 'all') AS key, round(sum(weight * price) / sum(weight), 3) AS level FROM cells JOIN weights USING (route_id)
             GROUP BY GROUPING SETS ((period), (period, lead_time), (period, region), (period, route_id))""", "cells", "weights")),
@@ -397,11 +433,11 @@ QUERIES = {
         sql("SELECT strftime(date, '%Y-%m-%d') AS period, round(value, 2) AS \"index\", round(nominal, 2) AS nominal, round(quality_index, 4) AS quality, round(hedge_ratio, 4) AS hedge_ratio, observations FROM points", "points")),
     "route_fares": (lambda s, d: rounded(market.route_fares(clean(s, d), column="period"), 3), sql(f"SELECT route_id, round(avg(total_fare), 3) AS avg_fare, count(*) AS quotes, {ORIGIN} AS origin FROM clean WHERE {LATEST} GROUP BY ALL", "clean")),
     "lead_fares": (lambda s, d: rounded(market.lead_fares(clean(s, d), "1996-05-01", "period"), 3), sql(f"SELECT lead_time, round(avg(total_fare), 3) AS avg_fare, {ORIGIN} AS origin FROM clean WHERE period = DATE '1996-05-01' GROUP BY ALL", "clean")),
-    "lead_elasticity": (lambda s, d: rounded(market.lead_elasticity(cell_table(s, d), weights(s, d), "1998-01-31", 365, period="period")),
+    "lead_elasticity": (lambda s, d: rounded(market.lead_elasticity(kept_cells(s, d), weights(s, d), "1998-01-31", 365, period="period")),
         sql(f"""SELECT lead_time, round(level, 4) AS level, round(level / r * 100, 4) AS "index", round({pct("r", "level")}, 4) AS premium_pct, round(CASE WHEN lead_time = 7 THEN 0 ELSE ln(level / r) / ln(lead_time / 7.0) END, 4) AS elasticity FROM
             (SELECT *, max(CASE WHEN lead_time = 7 THEN level END) OVER () AS r FROM (SELECT lead_time, sum(weight * price) / sum(weight) AS level FROM cells JOIN weights USING (route_id)
             WHERE period <= DATE '1998-01-31' AND period > DATE '1998-01-31' - 365 GROUP BY ALL))""", "cells", "weights")),
-    "booking_summary": (lambda s, d: rounded(market.booking_summary(market.lead_elasticity(cell_table(s, d), weights(s, d), "1998-01-31", 365, period="period"))),
+    "booking_summary": (lambda s, d: rounded(market.booking_summary(market.lead_elasticity(kept_cells(s, d), weights(s, d), "1998-01-31", 365, period="period"))),
         sql(f"""SELECT arg_min(lead_time, level) AS trough_lead, round(min(level), 4) AS trough, round(-({pct("max(CASE WHEN lead_time = 1 THEN level END)", "min(level)")}), 4) AS saving_pct, round({pct("min(level)", "max(CASE WHEN lead_time = 45 THEN level END)")}, 4) AS late_rise_pct
             FROM (SELECT lead_time, sum(weight * price) / sum(weight) AS level FROM cells JOIN weights USING (route_id) WHERE period <= DATE '1998-01-31' AND period > DATE '1998-01-31' - 365 GROUP BY ALL)""", "cells", "weights")),
     "channel_wedge": (lambda s, d: rounded(market.channel_wedge(clean(s, d), column="period", every_date=True), 3),
@@ -441,7 +477,11 @@ QUERIES = {
         sql("SELECT period, round(x, 3) AS x, round(y, 3) AS y, round(a, 3) AS a, round(b, 3) AS b, round(gap, 3) AS gap, round(da, 3) AS da, round(db, 3) AS db FROM rebased", "rebased")),
     "ols": (_ols_check, sql("""SELECT term, round(beta, 3) AS beta, round(r2, 3) AS r2, n_rows FROM (SELECT 'x' AS term, regr_slope(y, x) AS beta, regr_r2(y, x) AS r2, count(*) AS n_rows FROM pairs UNION ALL
         SELECT 'intercept', regr_intercept(y, x), regr_r2(y, x), count(*) FROM pairs)""", "pairs")),
-    "ols_by_route": (_panel, None),
+    "ols_by_route": (_panel, sql("""SELECT route_id, term, round(CASE term WHEN 'quotes' THEN b1 WHEN 'quality' THEN b2 ELSE my - b1 * m1 - b2 * m2 END, 2) AS beta,
+        round(CASE term WHEN 'quotes' THEN b1 / sqrt(v * s22 / d) WHEN 'quality' THEN b2 / sqrt(v * s11 / d) ELSE (my - b1 * m1 - b2 * m2) / sqrt(v * (1.0 / n_rows + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / d)) END, 2) AS t,
+        round(1 - rest / syy, 2) AS r2, n_rows FROM (SELECT *, rest / (n_rows - 3) AS v FROM (SELECT *, syy - b1 * s1y - b2 * s2y AS rest FROM (SELECT *, (s1y * s22 - s2y * s12) / d AS b1, (s2y * s11 - s1y * s12) / d AS b2 FROM
+        (SELECT *, s11 * s22 - s12 * s12 AS d FROM (SELECT route_id, count(*) AS n_rows, avg(quotes) AS m1, avg(quality) AS m2, avg(price) AS my, count(*) * var_pop(quotes) AS s11, count(*) * var_pop(quality) AS s22, count(*) * var_pop(price) AS syy,
+        count(*) * covar_pop(quotes, quality) AS s12, count(*) * covar_pop(quotes, price) AS s1y, count(*) * covar_pop(quality, price) AS s2y FROM prices GROUP BY route_id))))), (SELECT unnest(['intercept', 'quotes', 'quality']) AS term)""", "prices")),
     "driver_regression": (_drivers, None),
     "sweep_audit": (lambda s, d: rounded(audit.sweep_audit(views.sweep_log(s, d), 10), 3),
         sql("SELECT date, source_id, requests, raw_quotes, http_errors, retries, block_events, round(duration_ms, 3) AS duration_ms, status FROM audit", "audit")),
@@ -449,31 +489,38 @@ QUERIES = {
         sql(f"""SELECT date, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("requests", "raw_quotes", "http_errors", "retries", "block_events"))}, count(*) FILTER (status = 'blocked') AS blocked, count(*) FILTER (status = 'degraded') AS degraded FROM audit GROUP BY date""", "audit")),
     "source_shares": (lambda s, d: rounded(audit.source_shares(audit.sweep_audit(views.sweep_log(s, d), 10))),
         sql("SELECT source_id, CAST(sum(raw_quotes) AS BIGINT) AS raw_quotes, round(sum(raw_quotes) * 100.0 / sum(sum(raw_quotes)) OVER (), 4) AS share_pct FROM audit GROUP BY source_id", "audit")),
-    "last_runs": (lambda s, d: audit.last_runs(dims.sources(s).select("source_id", "kind"), audit.sweep_audit(views.sweep_log(s, d).where("source_id <> 'yatra'"), 10)),
+    "last_runs": (lambda s, d: audit.last_runs(dims.sources(s).select("source_id", "kind"), audit.sweep_audit(views.sweep_log(s, d), 10)),
         sql(f"""SELECT source_id, kind, max(date) AS date, arg_max(status, date) AS status, arg_max(raw_quotes, date) AS raw_quotes FROM (SELECT unnest([{", ".join(f"'{x}'" for x in dims.SOURCE_KIND)}]) AS source_id, unnest([{", ".join(f"'{x}'" for x in dims.SOURCE_KIND.values())}]) AS kind)
-            LEFT JOIN (SELECT * FROM audit WHERE source_id <> 'yatra') USING (source_id) GROUP BY ALL""", "audit")),
+            LEFT JOIN audit USING (source_id) GROUP BY ALL""", "audit")),
     "error_windows": (lambda s, d: error_windows(views.sweep_log(s, d)).select(F.to_date("window.start").alias("day"), "source_id", "events", "http_errors", "block_events"),
         sql("SELECT date AS day, source_id, count(*) AS events, CAST(sum(http_errors) AS BIGINT) AS http_errors, CAST(sum(block_events) AS BIGINT) AS block_events FROM log GROUP BY ALL", "log")),
-    "collection_plan": (_plan, sql(f"""SELECT CAST(day AS DATE) AS obs_date, source_id, route_id, lead_time, CAST(day AS DATE) + lead_time AS departure,
-        'from=' || split_part(route_id, '-', 1) || '&to=' || split_part(route_id, '-', 2) || '&date=' || CAST(CAST(day AS DATE) + lead_time AS VARCHAR) || '&adults=1' AS query FROM weights, (SELECT unnest([1, 7, 15, 30, 45]) AS lead_time),
-        (SELECT unnest([{", ".join(f"'{x}'" for x in dims.SOURCE_KIND)}]) AS source_id), (SELECT unnest(generate_series(DATE '1996-03-01', DATE '1996-03-31', INTERVAL 1 DAY)) AS day)""", "weights")),
+    "collection_plan": (_plan_days, sql(f"""SELECT CAST(day AS DATE) AS obs_date, source_id, count(*) AS searches, max(CAST(day AS DATE) + lead_time) AS last_departure,
+        max('from=' || split_part(route_id, '-', 1) || '&to=' || split_part(route_id, '-', 2) || '&date=' || CAST(CAST(day AS DATE) + lead_time AS VARCHAR) || '&adults=1') AS last_query FROM weights, (SELECT unnest([1, 7, 15, 30, 45]) AS lead_time),
+        (SELECT unnest([{", ".join(f"'{x}'" for x in dims.SOURCE_KIND)}]) AS source_id), {DAYS} GROUP BY ALL""", "weights")),
     "grid_coverage": (_coverage, sql(f"""SELECT obs_date, source_id, CAST(5 * k AS BIGINT) AS expected, seen, round(seen / (5 * k) * 100, 4) AS coverage, seen / (5 * k) * 100 < 80 AS downgraded FROM (SELECT count(*) AS k FROM weights), (SELECT CAST(day AS DATE) AS obs_date, source_id, count(DISTINCT (q.route_id, q.lead_time)) FILTER (q.route_id IS NOT NULL) AS seen
-        FROM (SELECT unnest(generate_series(DATE '1996-03-01', DATE '1996-03-31', INTERVAL 1 DAY)) AS day) CROSS JOIN (SELECT unnest([{", ".join(f"'{x}'" for x in dims.SOURCE_KIND)}]) AS source_id)
+        FROM {DAYS} CROSS JOIN (SELECT unnest([{", ".join(f"'{x}'" for x in dims.SOURCE_KIND)}]) AS source_id)
         LEFT JOIN (SELECT obs_date AS od, source_id AS sid, route_id, lead_time FROM quotes SEMI JOIN weights USING (route_id)) q ON q.od = CAST(day AS DATE) AND q.sid = source_id GROUP BY ALL)""", "quotes", "weights")),
     "challenge_pages": (lambda s, d: pages.flag_challenges(views.table(s, d, "pages"), (*pages.CHALLENGES, "error")).select("page_id", "blocked"),
         "SELECT page_id, regexp_matches(lower(html), 'captcha|unusual traffic|verify you are human|access denied|cf-challenge|_incapsula_resource|error') AS blocked FROM pages"),
     "extract_quotes": (_pages, None),
-    "report_headline": (lambda s, d: rounded(reports.headline_report(points(s, d), relatives(s, d), "period"), 3), None),
+    "report_headline": (_headline, None),
     "report_series": (lambda s, d: rounded(reports.series_report(points(s, d), "month"), 3),
         sql(f"""SELECT period, round(value, 3) AS value, CAST(1 AS BIGINT) AS n, round({pct("a", "value")}, 3) AS change, round({pct("b", "value")}, 3) AS yoy FROM (SELECT *, lag(value) OVER (ORDER BY period) AS a, lag(value, 12) OVER (ORDER BY period) AS b
             FROM (SELECT strftime(date, '%Y-%m') AS period, smoothed AS value FROM smooth))""", "smooth")),
-    "report_sub_indices": (lambda s, d: rounded(reports.sub_index_report(regional_cells(s, d), weights(s, d), BASE, "period", 24, half_window=3, unit="month").select("grouping", "key", "period", "rebased"), 3),
+    "report_sub_indices": (lambda s, d: rounded(reports.sub_index_report(with_region(kept_cells(s, d)), weights(s, d), BASE, "period", 24, half_window=3, unit="month").select("grouping", "key", "period", "rebased"), 3),
         sql("""SELECT grouping, key, period, round(level / first_value(level) OVER (PARTITION BY grouping, key ORDER BY period) * 100, 3) AS rebased FROM (
             SELECT 'lead_time' AS grouping, CAST(lead_time AS VARCHAR) AS key, period, sum(weight * price) / sum(weight) AS level FROM cells JOIN weights USING (route_id) GROUP BY lead_time, period QUALIFY row_number() OVER (PARTITION BY lead_time ORDER BY period DESC) <= 24
             UNION ALL SELECT 'region', region, period, sum(weight * price) / sum(weight) FROM cells JOIN weights USING (route_id) GROUP BY region, period QUALIFY row_number() OVER (PARTITION BY region ORDER BY period DESC) <= 24)""", "cells", "weights")),
-    "report_basket": (lambda s, d: rounded(reports.basket_report(relatives(s, d), regional_cells(s, d), weights(s, d), "period"), 3), None),
-    "report_pipeline": (lambda s, d: rounded(reports.pipeline_report(dims.sources(s), audit.sweep_audit(views.sweep_log(s, d), 10)), 3), None),
-    "report_explorer": (lambda s, d: rounded(reports.explorer_report(tagged(s, d), "ASIA-EUROPE", "1996-05-01", views.CELL, "period"), 3), None),
+    "report_basket": (_basket, sql(f"""SELECT 'route' AS section, route_id AS key, round(weight * 100, 3) AS weight_pct, round(relative * 100, 3) AS value FROM relatives WHERE period = (SELECT max(period) FROM relatives)
+        UNION ALL SELECT 'lead', CAST(lead_time AS VARCHAR), round({case("lead_time", dims.LEADS)} * 100, 3), round(sum(weight * price) / sum(weight), 3) FROM cells JOIN weights USING (route_id)
+        WHERE period = (SELECT max(period) FROM cells JOIN weights USING (route_id)) GROUP BY lead_time""", "relatives")),
+    "report_pipeline": (lambda s, d: rounded(reports.pipeline_report(dims.sources(s), audit.sweep_audit(views.sweep_log(s, d), 10)), 3),
+        sql(f"""SELECT source_id, kind, date, status, raw_quotes, round(total * 100.0 / sum(total) OVER (), 3) AS share_pct FROM (SELECT source_id, kind, max(date) AS date, arg_max(status, date) AS status, arg_max(raw_quotes, date) AS raw_quotes, sum(raw_quotes) AS total
+            FROM (SELECT unnest([{", ".join(f"'{x}'" for x in dims.SOURCE_KIND)}]) AS source_id, unnest([{", ".join(f"'{x}'" for x in dims.SOURCE_KIND.values())}]) AS kind) LEFT JOIN audit USING (source_id) GROUP BY source_id, kind)""", "audit")),
+    "report_explorer": (lambda s, d: rounded(reports.explorer_report(tagged(s, d), "ASIA-EUROPE", "1996-05-01", views.CELL, "period"), 3),
+        sql("""SELECT 'funnel' AS section, COALESCE(drop_reason, 'kept') AS key, CAST(NULL AS DOUBLE) AS value, count(*) AS quotes FROM tagged WHERE route_id = 'ASIA-EUROPE' AND period = DATE '1996-05-01' GROUP BY ALL
+            UNION ALL SELECT CASE WHEN lead_time IS NOT NULL THEN 'lead' WHEN carrier IS NOT NULL THEN 'carrier' ELSE 'total' END, COALESCE(CAST(lead_time AS VARCHAR), carrier, 'all'), round(avg(total_fare), 3), count(*)
+            FROM clean WHERE route_id = 'ASIA-EUROPE' AND period = DATE '1996-05-01' GROUP BY GROUPING SETS ((lead_time), (carrier), ())""", "clean")),
 }
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +26,10 @@ def with_defaults(rows: DataFrame) -> DataFrame:
     return rows.withColumn("is_synthetic", given)
 
 
-def write_quotes(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Appends by day; rows of a day are brought together first, so a day is few files."""
-    df.repartition("obs_date").write.partitionBy("obs_date").mode(mode).parquet(path)
+def write_quotes(df: DataFrame, path: str, mode: str = "append", files_per_day: int = 16, rows_per_file: int = 4_000_000) -> None:
+    """Appends by day. A day's rows are dealt by route to `files_per_day` tasks at most, so it is neither one task nor many small files."""
+    deal = F.pmod(F.xxhash64("route_id", "lead_time"), F.lit(files_per_day))
+    df.repartition("obs_date", deal).write.partitionBy("obs_date").option("maxRecordsPerFile", rows_per_file).mode(mode).parquet(path)
 
 
 def read_quotes(spark: SparkSession, path: str) -> DataFrame:
@@ -66,6 +70,29 @@ def load_or_seed_base(spark: SparkSession, path: str, prices: DataFrame, base: s
         return spark.read.parquet(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`. Where none is set, a local one serves a local session only."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def store_cells(cells: DataFrame, path: str | None = None) -> DataFrame:
+    """The cell table, written once and read back: all that is made of it, however often it is used, costs one cleaning funnel.
+
+    Cells are days x routes x lead windows, a small part of the quotes. Without
+    `path` the table goes to the shared folder.
+    """
+    spark = cells.sparkSession
+    path = path or f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    cells.write.parquet(path)
+    return spark.read.schema(cells.schema).parquet(path)
+
+
 def write_backtest_csv(table: DataFrame, path: str) -> None:
     """One headed file: the table has a row per month."""
     table.coalesce(1).write.mode("overwrite").csv(path, header=True)

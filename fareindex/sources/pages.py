@@ -5,15 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fareindex.functions.parsing import baggage_of, flight_carrier, is_flexible, parse_amount, parse_flight, parse_int
 
 # Texts of pages that challenge a reader.
 CHALLENGES = ("captcha", "unusual traffic", "verify you are human", "access denied", "cf-challenge", "_incapsula_resource")
 FIELDS = ("fare", "fare_class", "flight", "seats")
+PAGES_AT_ONCE = 64  # pages that a task holds as Python texts
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -94,18 +97,21 @@ def blocks_of(html: str | None, where: Selectors) -> list[dict]:
 
 def extract_quotes(pages: DataFrame, selectors: dict[str, Selectors], keep=("page_id",), source: str = "source_id") -> DataFrame:
     """A raw quote for each result block of the pages that are no challenge. Pages of sources without selectors give none."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep, source).schema)
+    fine = pages.where(~is_challenge(F.col("html"))).select(*keep, source, "html")
+    schema = T.StructType([*fine.drop("html").schema, *[T.StructField(f, T.StringType()) for f in (*FIELDS, "own", "fee_text")]])
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
-                if where := selectors.get(r[source]):
-                    rows += [{k: r[k] for k in (*keep, source)} | b | {"own": where.carrier, "fee_text": where.fee_text} for b in blocks_of(r["html"], where)]
-            yield pd.DataFrame(rows, columns=[*keep, source, *FIELDS, "own", "fee_text"])
-
-    fine = pages.where(~is_challenge(F.col("html"))).select(*keep, source, "html")
-    found = fine.mapInPandas(run, f"{schema}, {', '.join(f'{f} string' for f in FIELDS)}, own string, fee_text string")
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PAGES_AT_ONCE):
+                rows = []
+                for r in batch.slice(lo, PAGES_AT_ONCE).to_pylist():
+                    if where := selectors.get(r[source]):
+                        own = {k: v for k, v in r.items() if k != "html"} | {"own": where.carrier, "fee_text": where.fee_text}
+                        rows += [own | b for b in blocks_of(r["html"], where)]
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    found = fine.mapInArrow(run, schema)
     direct = F.col("own").isNotNull()
     return found.select(
         *keep,

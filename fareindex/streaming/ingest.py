@@ -8,17 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fareindex.operators.cells import cell_prices, route_prices
-from fareindex.operators.cleaning import CELL, DUPLICATE_KEY, clean_quotes
+from fareindex.operators.cleaning import CELL, DUPLICATE_KEY, clean_quotes, unavailable
 from fareindex.operators.indexing import build_index, route_relatives
 from fareindex.sources.io import read_quotes, upsert_points, with_defaults, write_quotes
 from fareindex.sources.schema import RAW_QUOTES
 
 
 def stream_raw_quotes(spark: SparkSession, path: str, schema: str = RAW_QUOTES, files_per_batch: int = 1_000) -> DataFrame:
-    """The hourly feed as a stream, without repeats of a quote within a day. State lasts one day past the watermark."""
+    """The hourly feed as a stream, without repeats of a quote within a day. State lasts one day past the watermark.
+
+    A quote that is sold out or cancelled is no repeat of one on sale: cleaning
+    drops such rows before it looks for repeats.
+    """
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(f"{path}/*/*/*/*.jsonl")
     keyed = with_defaults(raw).withColumn("obs_date", F.to_date("collected_at")).withWatermark("collected_at", "1 day")
-    return keyed.dropDuplicatesWithinWatermark(["obs_date", *DUPLICATE_KEY])
+    keyed = keyed.withColumn("status", F.coalesce(unavailable(keyed), F.lit("on sale")))
+    return keyed.dropDuplicatesWithinWatermark(["obs_date", *DUPLICATE_KEY, "status"]).drop("status")
 
 
 def upkeep(raw_path: str, points_path: str, base: DataFrame, weights: DataFrame) -> Callable[[DataFrame, int], None]:

@@ -202,6 +202,59 @@ def test_ols_matches_least_squares(spark):
     assert {r["term"] for r in validation.significant_drivers(fit).collect()} >= {"mean_a", "s_0_0"} and validation.dominant_driver(fit).first()["driver"] == "s_0_0"
 
 
+def test_ols_of_collinear_and_large_columns(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=50)
+    df = spark.createDataFrame([(float(v * 1e7), float(2e7 * v), float(3 * v + 1)) for v in x], "a double, b double, y double")
+    got = {r["term"]: r["beta"] for r in validation.ols(df, "y", ["a", "b"]).collect()}
+    assert got["a"] * 1e7 + got["b"] * 2e7 == pytest.approx(3.0) and got["intercept"] == pytest.approx(1.0)
+
+
+def test_driver_changes(spark):
+    index = months(spark, [100 * 1.01**i for i in range(30)])
+    rows = [(r["period"], float(2 ** (i % 3)), float(i % 12)) for i, r in enumerate(index.orderBy("period").collect())]
+    table = validation.driver_table(index, spark.createDataFrame(rows, "period string, fuel double, season double"), ["fuel", "season"], last=18, plain=["season"])
+    found = table.orderBy("period").collect()
+    assert len(found) == 18 and all(r["y"] == pytest.approx(np.log(1.01)) for r in found)
+    assert {round(r["season"]) for r in found} == {1, -11} and {round(r["fuel"] / np.log(2)) for r in found} == {1, -2}
+    fit = validation.driver_regression(index, spark.createDataFrame(rows, "period string, fuel double, season double"), ["fuel", "season"], last=18, plain=["season"])
+    assert {r["n_rows"] for r in fit.collect()} == {18}
+    days = spark.createDataFrame([(dt.date(2025, 1, d), float(d)) for d in (3, 14, 16)] + [(dt.date(2025, 2, 20), 20.0)], "date date, fuel double")
+    assert {tuple(r) for r in validation.reading_of_day(days, ["fuel"]).collect()} == {("2025-01", 14.0), ("2025-02", 20.0)}
+
+
+def test_error_forms(spark):
+    pairs = validation.align(months(spark, [100, 110]), months(spark, [200, 220]))
+    assert validation.error_against(pairs).first()["mape"] == pytest.approx(0.0) and validation.error_against(pairs, "level").first()["mape"] == pytest.approx(50.0)
+
+
+def test_amenity_quality_through_the_funnel(spark):
+    clean = {r["carrier"]: r["quality"] for r in cleaning.clean_quotes(raw(spark, {}), mode="amenity", expected={"6E": 0.97, "AI": 1.14}).collect()}
+    assert clean == {"6E": pytest.approx(0.74 * 0.95), "AI": pytest.approx(0.93 * 0.95)}
+
+
+def test_last_runs_names_sources_without_a_run(spark):
+    log = spark.createDataFrame([(dt.date(2026, 9, 30), "a", 5, "ok")], "date date, source_id string, raw_quotes long, status string")
+    got = {r["source_id"]: r["date"] for r in audit.last_runs(spark.createDataFrame([("a", "x"), ("b", "y")], "source_id string, kind string"), log).collect()}
+    assert got == {"a": dt.date(2026, 9, 30), "b": None}
+
+
+def test_one_funnel_for_stored_cells(spark):
+    kept = io.store_cells(cells.cell_prices(cleaning.clean_quotes(raw(spark, {}))))
+    assert "Window" not in kept._jdf.queryExecution().executedPlan().toString() and kept.count() == 1
+    approx = cells.cell_prices(cleaning.clean_quotes(raw(spark, {}, {"fare_text": "₹6,600"})), method="approx").first()
+    assert 6000 < approx["price"] < 7500
+
+
+def test_wide_heatmap_and_nested_series(spark):
+    rows = [("A", dt.date(2025, m, 1), 1.0 * m) for m in (1, 2)] + [("B", dt.date(2025, 1, 1), 3.0)]
+    df = spark.createDataFrame(rows, "route_id string, obs_date date, relative double")
+    wide = {r["route_id"]: r.asDict() for r in series.route_month_heatmap(df, wide=True).collect()}
+    assert wide["A"]["2025-01"] == 100.0 and wide["A"]["2025-02"] == 200.0 and wide["B"]["2025-02"] is None
+    long = df.select(F.col("route_id").alias("grouping"), F.date_format("obs_date", "yyyy-MM").alias("period"), F.col("relative").alias("value"))
+    assert {r["period"]: r["values"] for r in series.nested_series(long).collect()} == {"2025-01": {"A": 1.0, "B": 3.0}, "2025-02": {"A": 2.0}}
+
+
 def test_best_lag(spark):
     rng = random.Random(3)
     x = [rng.random() for _ in range(40)]
