@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The published basket.
+# The published basket, its carriers, lead windows, fare classes and sources.
 ROUTES = [  # route, distance in km, traffic weight, fare bias, region
     ("DEL-BOM", 1380, 4.2, 1.02, "West"),
     ("DEL-BLR", 1650, 3.6, 1.06, "South"),
@@ -34,10 +34,6 @@ ROUTES = [  # route, distance in km, traffic weight, fare bias, region
     ("IDR-DEL", 1100, 0.6, 1.0, "Central"),
     ("DEL-LKO", 400, 0.5, 1.15, "North"),
 ]
-AIRPORTS = {
-    "DEL": "Delhi", "BOM": "Mumbai", "BLR": "Bengaluru", "CCU": "Kolkata", "HYD": "Hyderabad", "MAA": "Chennai", "COK": "Kochi", "JAI": "Jaipur",
-    "GOI": "Goa", "PNQ": "Pune", "IXC": "Chandigarh", "TRV": "Thiruvananthapuram", "LKO": "Lucknow", "IDR": "Indore", "VNS": "Varanasi", "PAT": "Patna",
-}
 CARRIERS = [  # code, group, seat share, fare index, amenity
     ("6E", "LCC", 0.42, 0.97, 0.74),
     ("AI", "Full Service", 0.22, 1.14, 0.93),
@@ -66,7 +62,6 @@ SOURCES = [  # id, kind, carrier, convenience fee, bundle discount
     ("ixigo", "ota", None, 42.0, 0.05),
     ("goibibo", "ota", None, 44.0, 0.05),
 ]
-CLASS_MIX = {"SAVER": 0.34, "VALUE": 0.40, "FLEX": 0.20, "PREMIUM": 0.06}
 DEFAULT_QUALITY = 0.95
 INCLUSIVE_TAX = 0.194
 IMPUTED_BASE, IMPUTED_TAX = 0.82, 0.18
@@ -99,10 +94,6 @@ def route_weights(routes: DataFrame) -> DataFrame:
     return routes.crossJoin(F.broadcast(total)).select("route_id", (F.col("traffic_weight") / F.col("total")).alias("weight"))
 
 
-def airports(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(AIRPORTS.items()), "code string, city string")
-
-
 def carriers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CARRIERS, "carrier string, carrier_group string, seat_share double, fare_index double, amenity double")
 
