@@ -1,32 +1,44 @@
 """SimHash near-duplicates through covering locality-sensitive hashing.
 
 Fingerprints within `RADIUS` bits are found with 2^(RADIUS+1) - 1 bit masks built
-so that every such pair agrees on all kept bits of at least one mask. Inside a
-bucket no pairs are formed: members also meet at the points one bit away from
-them, and each meeting point links its members to the smallest of them.
+so that every such pair agrees on all kept bits of at least one mask. Members of
+a small bucket are compared there and give a spanning forest of links, not pairs;
+those of a crowded bucket meet at the points one bit away from them.
+
+Two bits hold copies and nearly equal texts. `keep_representatives` also links
+texts whose sets of shingles are alike (`SIMILAR`): such texts differ in about
+ten bits, which would take 2,047 masks, so candidates for these come from bands
+of least shingle hashes, and each is checked on its whole text.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fareindex.llm.common import checkpointed, free_name, map_texts
+from fareindex.llm.common import checkpointed, free_name, map_texts, slices
 
 RADIUS = 2
 SEED = 42
 SHINGLE = 3
 BITS = 64
 SLICE_SHINGLES = 1 << 16  # shingles whose bits are counted at once
+COMPARED = 1_024  # prints of a bucket that are compared with each other; more meet at points
+SIMILAR = 0.8  # least share of common shingles of a similar pair
+BANDS, BAND_ROWS = 24, 6  # a pair at 0.8 shares a band with probability 0.9993
+SALTS = 64  # parts of a crowded band or of the pairs of one text
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64 majority bits over the XXH64 of all word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 digests of all word shingles, one row of 8 bytes each; fewer words than a shingle are one, no words none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros((0, 8), np.uint8)
     line = b" ".join(words)
     if len(words) <= shingle:
         hashes = xxhash.xxh64_digest(line, SEED)
@@ -36,12 +48,49 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         stops = (ends[shingle - 1 :] - 1).tolist()
         digest = xxhash.xxh64_digest
         hashes = b"".join([digest(line[a:b], SEED) for a, b in zip(starts, stops)])
-    rows, ones = np.frombuffer(hashes, np.uint8).reshape(-1, 8), np.zeros(BITS, np.int64)
+    return np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+
+
+def majority_bits(rows: np.ndarray) -> int:
+    """64 bits, each 1 if set in over half the rows; 0 without rows."""
+    ones = np.zeros(BITS, np.int64)
     for lo in range(0, len(rows), SLICE_SHINGLES):
         ones += np.unpackbits(rows[lo : lo + SLICE_SHINGLES], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(rows)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64 majority bits over the XXH64 of all word shingles, repeats included; 0 without words."""
+    return majority_bits(shingle_hashes(text, shingle))
+
+
+@cache
+def _orders() -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and shifts, one pair for each least value."""
+    factor, shift = np.random.default_rng(SEED).integers(1, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64)
+    return factor << np.uint64(1) | np.uint64(1), shift
+
+
+def band_keys(rows: np.ndarray) -> list[int]:
+    """Keys of the shingle set: for each band the hash of its `BAND_ROWS` least values, each under its own order, and of it with the next band; none without rows."""
+    if not len(rows):
+        return []
+    factor, shift = _orders()
+    hashes, least = rows.view(np.uint64), np.full(BANDS * BAND_ROWS, (1 << 64) - 1, np.uint64)
+    for lo in range(0, len(hashes), 1 << 10):
+        least = np.minimum(least, (hashes[lo : lo + (1 << 10)] * factor + shift).min(axis=0))
+    bands = [band.tobytes() for band in least.reshape(BANDS, BAND_ROWS)]
+    keys = bands + [one + two for one, two in zip(bands, bands[1:] + bands[:1])]
+    return [_signed(xxhash.xxh64_intdigest(key, k)) for k, key in enumerate(keys)]
+
+
+def similarity(one: str | None, other: str | None, shingle: int) -> float:
+    """Common over all distinct word shingles of two texts."""
+    a, b = (np.unique(shingle_hashes(t, shingle).view(np.uint64)) for t in (one, other))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(len(a) + len(b) - both, 1)
+
+
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
     """Bit i gets a nonzero vector m(i) of radius+1 bits; mask v keeps the bits with odd parity of m(i) & v.
 
@@ -66,25 +115,86 @@ def with_fingerprint(docs: DataFrame, keep: list[str], name: str = "fp", shingle
     return map_texts(docs, start, f"`{name}` long", keep)
 
 
+def _forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): each print with the least one that steps of at most `radius` bits among `prints` lead to, where that is another."""
+    prints = np.sort(prints)
+    near = np.bitwise_count((prints[:, None] ^ prints).view(np.uint64)) <= radius
+    root, before = np.arange(len(prints)), None
+    while before is None or (root != before).any():
+        before = root
+        root = np.where(near, root, len(prints)).min(axis=1)
+        root = root[root]
+    moved = root != np.arange(len(prints))
+    return prints[moved], prints[root[moved]]
+
+
+def _bucket_links(batches, radius: int = RADIUS):
+    for batch in batches:
+        for part in slices(batch):
+            found = [_forest(row.values.to_numpy(), radius) for row in part.column("fps")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*found)], names=["a", "b"])
+
+
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a > b) that connect all distinct `fp` within `radius` = 2 bits of each other.
 
-    Rows made: masks x prints, and for prints that share a bucket 1 + (bits not
-    kept) more. Two members of a bucket are within 2 bits exactly if they meet
-    at a point within one bit of both, so joining each member to the least fp
-    there keeps what is reachable and adds nothing that is not.
+    Rows made: masks x prints. Up to `COMPARED` prints of a bucket are compared
+    in one task. Prints of a larger bucket make 1 + (bits not kept) rows more:
+    two of its members are within 2 bits exactly if they meet at a point within
+    one bit of both, so joining each member to the least fp there keeps what is
+    reachable and adds nothing that is not.
     """
     assert radius == 2, "meeting points one bit away cover two bits"
     masks = covering_masks(radius)
     table = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)]))
     keyed = prints.select("fp", table.alias("t")).select("fp", "t.mask", "t.key")
-    full = keyed.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1").select("mask", "key")
-    crowd = keyed.join(full, ["mask", "key"], "left_semi")
+    full = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
+    crowd = keyed.join(full, ["mask", "key"])
+    small = crowd.where(F.col("n") <= COMPARED).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
+    compared = small.select("fps").mapInArrow(_bucket_links, "a long, b long")
     free = [[0] + [1 << i for i in range(BITS) if not m >> i & 1] for m in masks]
     flips = F.array(*[F.array(*[F.lit(_signed(x)).cast("long") for x in row]) for row in free])
-    points = crowd.select("fp", "mask", F.explode(F.transform(F.element_at(flips, F.col("mask") + 1), lambda x: x.bitwiseXOR(F.col("fp")))).alias("point"))
+    points = crowd.where(F.col("n") > COMPARED).select("fp", "mask", F.explode(F.transform(F.element_at(flips, F.col("mask") + 1), lambda x: x.bitwiseXOR(F.col("fp")))).alias("point"))
     met = points.groupBy("mask", "point").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1").select("mask", "point", "least")
-    return points.join(met, ["mask", "point"]).where("fp > least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
+    meeting = points.join(met, ["mask", "point"]).where("fp > least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    return compared.union(meeting).distinct()
+
+
+def similar_links(texts: DataFrame, docs: DataFrame, row: str, shingle: int) -> DataFrame:
+    """Links (a > b) of the fingerprints of texts with a similarity of `SIMILAR` or more.
+
+    `texts`: one row of each distinct text: `hash`, `rank`, `fp`, `keys`; `docs`:
+    `row`, its rank, and `text`. Under each key a text is paired with the first
+    and the last, in one of four orders, of those that have it; a pair counts if
+    the whole texts are similar. Keys of bands are shared by less similar texts
+    too, which may hide the right partner in a crowd; keys of two bands are
+    rarely. Crowded keys and texts with many pairs are dealt in `SALTS` parts.
+    """
+    place = F.xxhash64("hash", F.col("key") % 4)
+    keyed = texts.select("hash", "fp", F.explode("keys").alias("key"))
+    keyed = keyed.select("key", F.pmod(F.xxhash64("hash"), F.lit(SALTS)).alias("salt"), F.struct(place.alias("place"), "hash", "fp").alias("t"))
+    ends = lambda lo, hi: (F.min(lo).alias("lo"), F.max(hi).alias("hi"))
+    parts = keyed.groupBy("key", "salt").agg(*ends("t", "t"))
+    met = parts.groupBy("key").agg(*ends("lo", "hi")).where("lo < hi")
+    spread = parts.select("key", "salt").join(met, "key")
+    pairs = keyed.join(spread, ["key", "salt"]).select("t", F.explode(F.array("lo", "hi")).alias("u")).where("t.hash != u.hash and t.fp != u.fp")
+    pairs = pairs.select("t.fp", F.col("t.hash").alias("one"), F.col("u.fp").alias("ufp"), F.col("u.hash").alias("other")).distinct()
+    pairs = checkpointed(pairs.withColumn("salt", F.pmod(F.xxhash64("one"), F.lit(SALTS))))
+    used = pairs.select(F.col("one").alias("hash")).union(pairs.select("other")).distinct()
+    ranks = texts.select("hash", F.col("rank").alias(row)).join(used, "hash")
+    whole = checkpointed(docs.join(ranks, row).groupBy("hash").agg(F.first("text").alias("text")))
+    others = pairs.select("other", "salt").distinct().join(whole.toDF("other", "right"), "other")
+    sides = pairs.join(whole.toDF("one", "left"), "one").join(others, ["other", "salt"])
+
+    def check(batches):
+        for batch in batches:
+            for part in slices(batch):
+                texts = zip(part.column("left").to_pylist(), part.column("right").to_pylist())
+                like = pa.array([similarity(a, b, shingle) >= SIMILAR for a, b in texts], pa.bool_())
+                yield part.select(["fp", "ufp"]).filter(like)
+
+    found = sides.select("fp", "ufp", "left", "right").mapInArrow(check, "fp long, ufp long")
+    return found.select(F.greatest("fp", "ufp").alias("a"), F.least("fp", "ufp").alias("b")).distinct()
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -131,10 +241,11 @@ def near_duplicate_classes(docs: DataFrame, keep: list[str], fp: str = "fp", nam
     return marked.join(classes.select(F.col("fp").alias(fp), F.col("least").alias(name)), fp).select(*keep, fp, name)
 
 
-def _classes(marked: DataFrame, pick, name: str) -> DataFrame:
-    """(fp, name): what the aggregate `pick` gives over the class of each fp; min-like aggregates only."""
+def _classes(marked: DataFrame, pick, name: str, links: DataFrame | None = None) -> DataFrame:
+    """(fp, name): what the aggregate `pick` gives over the class of each fp, chained by close prints and `links`; min-like aggregates only."""
     prints = marked.groupBy("fp").agg(pick.alias("own"))
-    roots = components(fingerprint_links(prints.select("fp"))).withColumnRenamed("a", "fp")
+    close = fingerprint_links(prints.select("fp"))
+    roots = components(close if links is None else close.union(links).distinct()).withColumnRenamed("a", "fp")
     of = prints.join(roots, "fp", "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
     return of.join(of.groupBy("root").agg(F.min("own").alias(name)), "root").select("fp", name)
 
@@ -148,13 +259,24 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 def keep_representatives(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row of each near-duplicate class: that with the least doc_id, then text hash; of repeated rows one.
 
-    Fingerprints are over shingles of `shingle` words. Rows with a null doc_id
-    come last; null and wordless texts are one class. Columns are those of
-    `docs`, whatever their names; an empty table stays empty.
+    Classes are chained by fingerprints within 2 bits and by texts with a
+    similarity of 0.8 or more, both over shingles of `shingle` words. Rows with
+    a null doc_id come last; null and wordless texts are one class. Columns are
+    those of `docs`, whatever their names; an empty table stays empty.
     """
     names = docs.columns
     rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("hash"))
     row = free_name(docs, "row_rank")
-    marked = checkpointed(with_fingerprint(docs.select("text", rank.alias("rank")), ["rank"], "fp", shingle))
-    chosen = _classes(marked, F.min("rank"), "best").select(F.col("best").alias(row)).distinct()
+
+    def start():
+        def work(texts):
+            rows = [shingle_hashes(t, shingle) for t in texts]
+            return {"fp": [_signed(majority_bits(r)) for r in rows], "keys": [band_keys(r) for r in rows]}
+
+        return work
+
+    marked = checkpointed(map_texts(docs.select("text", rank.alias("rank")), start, "fp long, keys array<long>", ["rank"]))
+    texts = checkpointed(marked.groupBy("rank.hash", "fp").agg(F.min_by("keys", "rank").alias("keys"), F.min("rank").alias("rank")))
+    links = checkpointed(similar_links(texts, docs.select(rank.alias(row), "text"), row, shingle))
+    chosen = _classes(texts, F.min("rank"), "best", links).select(F.col("best").alias(row)).distinct()
     return docs.withColumn(row, rank).join(chosen, row, "left_semi").dropDuplicates([row]).select(*names)

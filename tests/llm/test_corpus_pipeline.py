@@ -45,9 +45,16 @@ def test_toxicity_drops_the_planted_and_keeps_most(steps):
 def test_one_document_of_each_group_stays(steps):
     rows = steps["toxicity"].select("doc_id", "text").collect()
     prints = {r["doc_id"]: reference_print(r["text"], 5) for r in rows}
+    words = {r["doc_id"]: (r["text"] or "").lower().split() for r in rows}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for d, w in words.items()}
+
+    def linked(a, b):
+        return (prints[a] ^ prints[b]).bit_count() <= 2 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+    near = [(a, b) for a in prints for b in prints if a < b and linked(a, b)]
     least = {d: d for d in prints}
     for _ in range(len(prints)):  # spread the least id until nothing changes
-        links = [(a, b) for a in prints for b in prints if least[a] < least[b] and (prints[a] ^ prints[b]).bit_count() <= 2]
+        links = [(x, y) for a, b in near for x, y in ((a, b), (b, a)) if least[x] < least[y]]
         if not links:
             break
         for a, b in links:

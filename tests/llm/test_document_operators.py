@@ -167,7 +167,7 @@ def test_representatives_keep_one_row_of_each_class(spark, docs, empty):
     kept = simhash.keep_representatives(docs)
     assert kept.columns == docs.columns
     rows = docs.select("doc_id", "text").collect()
-    assert kept.count() == simhash.near_duplicate_classes(docs, [], shingle=5).select("component_id").distinct().count()
+    assert kept.count() <= simhash.near_duplicate_classes(docs, [], shingle=5).select("component_id").distinct().count()
     assert 30 < kept.count() < len(rows) - 30
     assert simhash.keep_representatives(empty).count() == 0
     clashing = simhash.near_duplicate_classes(docs, ["doc_id", "fp"])
@@ -175,6 +175,40 @@ def test_representatives_keep_one_row_of_each_class(spark, docs, empty):
     assert simhash.near_duplicate_classes(docs.withColumnRenamed("lang", "component_id"), ["component_id"]).columns == ["component_id", "fp", "component_id_"]
 
 
+def test_similar_texts_go_and_less_similar_ones_stay(spark):
+    rng = random.Random(8)
+    vocabulary = [f"{a}{b}" for a in "abcdefgh" for b in range(400)]
+    texts = []
+    for _ in range(60):  # an edit in 30 words: similarity about 0.7 to the first; then two edits of 200 words to one of these
+        first = rng.choices(vocabulary, k=200)
+        variants = [[rng.choice(vocabulary) if rng.random() < 1 / 30 else w for w in first] for _ in range(4)]
+        copy = list(variants[-1])
+        for at in rng.sample(range(200), 2):
+            copy[at] = "edited"
+        texts += [" ".join(t) for t in [first, *variants, copy]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_representatives(df).collect()}
+    root = list(range(len(texts)))
+    for lo in range(0, len(texts), 6):
+        for i in range(lo, lo + 6):
+            for j in range(lo, i):
+                if simhash.similarity(texts[i], texts[j], 5) >= 0.8:
+                    x, y = root[i], root[j]
+                    root = [min(x, y) if r in (x, y) else r for r in root]
+    assert kept == set(root) and len(kept) <= 300
+
+
+def test_crowded_buckets_give_the_same_links(spark, monkeypatch):
+    rng = random.Random(9)
+    prints = {simhash._signed(1 << rng.randrange(64) ^ 1 << rng.randrange(64) ^ c) for c in (7, 1 << 63 | 5) for _ in range(80)}
+    df = spark.createDataFrame([(p,) for p in prints], "fp long")
+    found = []
+    for most in (simhash.COMPARED, 1):
+        monkeypatch.setattr(simhash, "COMPARED", most)
+        found.append({(r["a"], r["root"]) for r in simhash.components(simhash.fingerprint_links(df)).collect()})
+    assert found[0] == found[1] and found[0]
+
+
 def test_long_texts_have_whole_fingerprints():
     text = " ".join(f"w{i % 977} {i}" for i in range(60_000))
     assert simhash.fingerprint(text) == reference_print(text) and simhash.fingerprint(text, 5) == reference_print(text, 5)
