@@ -31,6 +31,7 @@ SLICE_SHINGLES = 1 << 16  # shingles whose bits are counted at once
 COMPARED = 1_024  # prints of a bucket that are compared with each other; more meet at points
 SIMILAR = 0.8  # least share of common shingles of a similar pair
 BANDS, BAND_ROWS = 24, 6  # a pair at 0.8 shares a band with probability 0.9993
+BROADCAST_ROWS = 1_000_000  # of two or three numbers each
 SALTS = 64  # parts of a crowded band or of the pairs of one text
 
 
@@ -160,6 +161,11 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return compared.union(meeting).distinct()
 
 
+def _small(written: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row: to be broadcast up to `BROADCAST_ROWS`, joined by a shuffle beyond."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def similar_links(texts: DataFrame, docs: DataFrame, row: str, shingle: int) -> DataFrame:
     """Links (a > b) of the fingerprints of texts with a similarity of `SIMILAR` or more.
 
@@ -170,19 +176,20 @@ def similar_links(texts: DataFrame, docs: DataFrame, row: str, shingle: int) ->
     too, which may hide the right partner in a crowd; keys of two bands are
     rarely. Crowded keys and texts with many pairs are dealt in `SALTS` parts.
     """
-    place = F.xxhash64("hash", F.col("key") % 4)
     keyed = texts.select("hash", "fp", F.explode("keys").alias("key"))
-    keyed = keyed.select("key", F.pmod(F.xxhash64("hash"), F.lit(SALTS)).alias("salt"), F.struct(place.alias("place"), "hash", "fp").alias("t"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    crowd = checkpointed(keyed.join(shared, "key"))
+    place = F.xxhash64("hash", F.col("key") % 4)
+    crowd = crowd.select("key", F.pmod(F.xxhash64("hash"), F.lit(SALTS)).alias("salt"), F.struct(place.alias("place"), "hash", "fp").alias("t"))
     ends = lambda lo, hi: (F.min(lo).alias("lo"), F.max(hi).alias("hi"))
-    parts = keyed.groupBy("key", "salt").agg(*ends("t", "t"))
-    met = parts.groupBy("key").agg(*ends("lo", "hi")).where("lo < hi")
-    spread = parts.select("key", "salt").join(met, "key")
-    pairs = keyed.join(spread, ["key", "salt"]).select("t", F.explode(F.array("lo", "hi")).alias("u")).where("t.hash != u.hash and t.fp != u.fp")
+    parts = crowd.groupBy("key", "salt").agg(*ends("t", "t"))
+    spread = parts.select("key", "salt").join(parts.groupBy("key").agg(*ends("lo", "hi")), "key")
+    pairs = crowd.join(spread, ["key", "salt"]).select("t", F.explode(F.array("lo", "hi")).alias("u")).where("t.hash != u.hash and t.fp != u.fp")
     pairs = pairs.select("t.fp", F.col("t.hash").alias("one"), F.col("u.fp").alias("ufp"), F.col("u.hash").alias("other")).distinct()
     pairs = checkpointed(pairs.withColumn("salt", F.pmod(F.xxhash64("one"), F.lit(SALTS))))
     used = pairs.select(F.col("one").alias("hash")).union(pairs.select("other")).distinct()
-    ranks = texts.select("hash", F.col("rank").alias(row)).join(used, "hash")
-    whole = checkpointed(docs.join(ranks, row).groupBy("hash").agg(F.first("text").alias("text")))
+    ranks = checkpointed(texts.select("hash", F.col("rank").alias(row)).join(used, "hash"))
+    whole = checkpointed(docs.join(_small(ranks), row).groupBy("hash").agg(F.first("text").alias("text")))
     others = pairs.select("other", "salt").distinct().join(whole.toDF("other", "right"), "other")
     sides = pairs.join(whole.toDF("one", "left"), "one").join(others, ["other", "salt"])
 
@@ -278,5 +285,5 @@ def keep_representatives(docs: DataFrame, shingle: int = 5) -> DataFrame:
     marked = checkpointed(map_texts(docs.select("text", rank.alias("rank")), start, "fp long, keys array<long>", ["rank"]))
     texts = checkpointed(marked.groupBy("rank.hash", "fp").agg(F.min_by("keys", "rank").alias("keys"), F.min("rank").alias("rank")))
     links = checkpointed(similar_links(texts, docs.select(rank.alias(row), "text"), row, shingle))
-    chosen = _classes(texts, F.min("rank"), "best", links).select(F.col("best").alias(row)).distinct()
-    return docs.withColumn(row, rank).join(chosen, row, "left_semi").dropDuplicates([row]).select(*names)
+    chosen = checkpointed(_classes(texts, F.min("rank"), "best", links).select(F.col("best").alias(row)).distinct())
+    return docs.withColumn(row, rank).join(_small(chosen), row, "left_semi").dropDuplicates([row]).select(*names)
