@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 SLICE_ROWS, SLICE_BYTES = 256, 16_000_000  # where a slice of a batch ends
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+MOST_BATCH_BYTES = 4 << 20  # a batch lies in the JVM and in its Python worker at once
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +36,12 @@ def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS):
         lo += part.num_rows
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Where the session says nothing of the bytes of an Arrow batch, make it `MOST_BATCH_BYTES`; a longer row is a batch alone."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(MOST_BATCH_BYTES))
+
+
 def map_texts(
     df: DataFrame,
     start: Callable[[], Callable[[list], dict]],
@@ -53,6 +61,7 @@ def map_texts(
     schema = T.StructType([df.schema[k] for k in keep] + list(fields))
     arrow = to_arrow_schema(fields)
     sent = df.select(*dict.fromkeys([*keep, text]))
+    small_batches(df.sparkSession)
 
     def run(batches):
         work = start()
@@ -77,6 +86,7 @@ def gather_texts(
     """
     schema = struct(new)
     arrow = to_arrow_schema(schema)
+    small_batches(df.sparkSession)
 
     def rows(out):
         return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], names=arrow.names)
