@@ -309,3 +309,17 @@ def test_terms_far_from_their_entity_are_taken_out(spark):
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all("zanzibar" not in clean[400 + i].lower() for i in range(6))
     assert all(clean[i] == rows[i][1] for i in range(300))
+
+
+def test_toxicity_vectors_after_the_vocabulary_is_cleared():
+    from fareindex.llm import toxicity
+
+    buckets = np.zeros((1, 5), np.int64)
+    model = toxicity.ToxicityModel([toxicity.train_network([np.zeros(0, np.int64)], buckets, [1], seed) for seed in range(2)])
+    scorer = toxicity.Scorer(model)
+    scorer.vocab.limit = 10
+    parts = [[" ".join(f"w{i}" for i in range(lo, hi))] for lo, hi in ((0, 20), (100, 160), (5, 12), (150, 400))]
+    for part in parts + parts:
+        fresh = toxicity.Scorer(model)
+        assert np.allclose(scorer.logits(part), fresh.logits(part), atol=1e-5)
+        assert not scorer.vocab.rows
