@@ -314,8 +314,8 @@ def test_terms_far_from_their_entity_are_taken_out(spark):
 def test_toxicity_vectors_after_the_vocabulary_is_cleared():
     from fareindex.llm import toxicity
 
-    buckets = np.zeros((1, 5), np.int64)
-    model = toxicity.ToxicityModel([toxicity.train_network([np.zeros(0, np.int64)], buckets, [1], seed) for seed in range(2)])
+    none = np.zeros((0, 5), np.int64)
+    model = toxicity.ToxicityModel([toxicity.train_network([], none, [], seed) for seed in range(2)])  # random starts
     scorer = toxicity.Scorer(model)
     scorer.vocab.limit = 10
     parts = [[" ".join(f"w{i}" for i in range(lo, hi))] for lo, hi in ((0, 20), (100, 160), (5, 12), (150, 400))]
