@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fareindex.llm import langid, lm_score, media, packing, pieces, pii, secret_scan, simhash, syncmers, toxicity
+from fareindex.llm import codes, langid, lm_score, media, minhash, oracles, packing, phrases, pieces, pii, secret_scan, simhash, syncmers, toxicity
 from fareindex.llm.common import documents
 
 
@@ -26,8 +26,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": lambda s, d: packing.pack(documents(s, d)),
         "op9_toxicity": lambda s, d: toxicity.toxicity_digest(documents(s, d), _labels(s, d)),
         "op10_syncmers": lambda s, d: syncmers.syncmer_digest(documents(s, d)),
+        "op11_codes": lambda s, d: codes.code_digest(s.read.parquet(f"{d}/embeddings.parquet")),
+        "op12_minhash": lambda s, d: minhash.minhash_digest(documents(s, d)),
+        "op13_phrases": lambda s, d: phrases.collocations(documents(s, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_codes": oracles.CODES, "op12_minhash": oracles.SIMILAR, "op13_phrases": oracles.PHRASES}
