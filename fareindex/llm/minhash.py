@@ -27,6 +27,7 @@ SHINGLE, PERCENT = 2, 80
 BANDS, BAND_ROWS = 32, 5  # a pair at 0.8 shares a band with probability 1 - 3e-6
 HASHES, BITS = 256, 2  # minima in a signature, low bits of each
 SEED = 42
+FIRST = 4  # bands that are worked off before the others
 #: Equal codes of a pair at the least similarity, less 5 standard deviations; by chance alone a code in four is equal.
 EQUAL = 2.0**-BITS + (1 - 2.0**-BITS) * PERCENT / 100
 MATCHES = int(HASHES * EQUAL - 5 * (HASHES * EQUAL * (1 - EQUAL)) ** 0.5)
@@ -274,40 +275,61 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
     return found.select("kept.*", F.col("n").alias(names[0]), component.alias(names[1]), F.col("id").eqNullSafe(component).alias(names[2]))
 
 
-def _links(texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b), a > b: links that connect all similar vertices; `texts`: v, row, n, packed, keys; `docs`: row, text."""
-    keyed = texts.select("v", F.explode("keys").alias("key"))
+def _members(texts: DataFrame, lo: int, hi: int) -> DataFrame:
+    """(key, m): members of the buckets of bands lo to hi with more than one root, each bucket once; `texts`: v, packed, n, keys, root."""
+    keyed = texts.select("v", "root", F.explode(F.slice("keys", lo + 1, hi - lo)).alias("key"))
     tags = [F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "v")).alias("y")]
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), *tags).where("size > 1")
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most"), *tags).where("least != most")
     buckets = checkpointed(buckets.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key"))  # equal buckets of several bands once
-    own = F.struct("v", "packed", "n", F.col("v").alias("root"))
-    members = checkpointed(keyed.join(_small(buckets), "key").join(texts.select("v", "packed", "n"), "v").select("key", own.alias("m")))
+    found = keyed.join(_small(buckets), "key").join(texts.select("v", "packed", "n"), "v")
+    return checkpointed(found.select("key", F.struct("v", "packed", "n", "root").alias("m")))
+
+
+def _rooted(texts: DataFrame, links: DataFrame | None) -> DataFrame:
+    if links is None:
+        return texts.withColumn("root", F.col("v"))
+    return texts.join(components(links).select(F.col("a").alias("v"), "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+
+
+def _whole(members: DataFrame, texts: DataFrame, docs: DataFrame, before: DataFrame | None) -> DataFrame:
+    """(v, shingles): `before` and the sets of the members that it lacks."""
     used = members.select("m.v").distinct()
+    used = used if before is None else used.join(before.select("v"), "v", "left_anti")
     rows = checkpointed(texts.select("row", "v").join(used, "v"))
 
     def start():
         return lambda texts: {"shingles": [shingle_set(t).view(np.int64) for t in texts]}
 
     sets = map_texts(docs.join(_small(rows), "row"), start, "shingles array<long>", ["v"])
-    whole = checkpointed(sets.groupBy("v").agg(F.first("shingles").alias("shingles")))
-    checked = links = None
-    now = members
-    for _ in range(ROUNDS):
-        pairs = _proposals(now)
-        pairs = checkpointed(pairs if checked is None else pairs.join(checked.select("one", "other"), ["one", "other"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        done = _confirmed(pairs, whole)
-        checked = done if checked is None else checked.union(done)
-        new = done.where("similar").select(F.col("other").alias("a"), F.col("one").alias("b"))
-        if new.isEmpty():
-            break
-        links = new if links is None else links.union(new)
-        now = _still_open(now, links)
-    if checked is None:
-        return members.select(F.col("m.v").alias("a"), F.col("m.v").alias("b")).limit(0)
-    last = _settled(now, whole, checked).select(F.col("other").alias("a"), F.col("one").alias("b"))
-    return last if links is None else links.union(last)
+    found = checkpointed(sets.groupBy("v").agg(F.first("shingles").alias("shingles")))
+    return found if before is None else before.union(found)
+
+
+def _links(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b), a > b: links that connect all similar vertices; `texts`: v, row, n, packed, keys; `docs`: row, text.
+
+    The first bands link most copies, so that the others only deal with buckets whose members are still apart.
+    """
+    checked = links = whole = None
+    for lo, hi in ((0, FIRST), (FIRST, BANDS)):
+        now = _members(_rooted(texts, links), lo, hi)
+        whole = _whole(now, texts, docs, whole)
+        for _ in range(ROUNDS):
+            pairs = _proposals(now)
+            pairs = checkpointed(pairs if checked is None else pairs.join(checked.select("one", "other"), ["one", "other"], "left_anti"))
+            if pairs.isEmpty():
+                break
+            done = _confirmed(pairs, whole)
+            checked = done if checked is None else checked.union(done)
+            new = done.where("similar").select(F.col("other").alias("a"), F.col("one").alias("b"))
+            if new.isEmpty():
+                break
+            links = new if links is None else links.union(new)
+            now = _still_open(now, links)
+        if checked is not None:
+            last = checkpointed(_settled(now, whole, checked).select(F.col("other").alias("a"), F.col("one").alias("b")))
+            links = last if links is None else links.union(last)
+    return texts.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0) if links is None else links
 
 
 def minhash_digest(docs: DataFrame) -> DataFrame:
