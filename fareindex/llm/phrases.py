@@ -10,16 +10,15 @@ times, never too little, and counts are exact at every size.
 
 from __future__ import annotations
 
-import re
+import string
 from collections import Counter
-from itertools import compress
-from operator import and_
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fareindex.llm.common import checkpointed, gather_texts
+from fareindex.llm.common import checkpointed, gather_texts, map_texts
 
 LEAST = 30  # occurrences of a candidate
 LONGEST = 4  # words of a candidate
@@ -29,8 +28,8 @@ HELD = 1 << 19  # phrases that a task holds before it spills
 BURST = 1 << 12  # keys of a container before it bursts
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 PARTS, SALTS = 1 << 12, 64  # partitions of first words; parts of one of them by the second word
-SEED = 42  # of Spark's xxhash64
-SEPARATORS = re.compile(rb"[.,;:!?\n-\r]+")
+BUFFERED = 1 << 20  # words that wait for being counted together
+FOLD = bytes.maketrans(string.ascii_uppercase.encode() + b",;:!?\n\x0b\x0c\r", string.ascii_lowercase.encode() + b"." * 9)  # separators become "."
 
 
 class HatTrie:
@@ -46,23 +45,23 @@ class HatTrie:
         self.nodes: set[int] = set()
         self.size, self.most = 0, burst
 
-    def add(self, key: tuple, n: int) -> None:
-        first = key[0]
-        at = self.top.get(first)
-        if at is None:
-            at = self.top[first] = {}
-        rest = key[1:]
+    def add(self, first: int, rests: list[tuple], counts: list[int]) -> None:
+        """Sequences that begin with `first`, as what follows it, and their numbers."""
+        at = self.top.setdefault(first, {})
         if first in self.nodes:
-            at, rest = at.setdefault(key[1], {}), key[2:]
-        if rest in at:
-            at[rest] += n
+            for rest, n in zip(rests, counts):
+                low = at.setdefault(rest[0], {})
+                self.size += rest[1:] not in low
+                low[rest[1:]] = low.get(rest[1:], 0) + n
             return
-        at[rest] = n
-        self.size += 1
-        if len(at) > self.most and len(rest) > 1 and first not in self.nodes:
+        before, get = len(at), at.get
+        for rest, n in zip(rests, counts):
+            at[rest] = get(rest, 0) + n
+        self.size += len(at) - before
+        if len(at) > self.most and len(rests[0]) > 1:
             node: dict = {}
-            for k, v in at.items():
-                node.setdefault(k[0], {})[k[1:]] = v
+            for rest, n in at.items():
+                node.setdefault(rest[0], {})[rest[1:]] = n
             self.top[first] = node
             self.nodes.add(first)
 
@@ -84,106 +83,152 @@ class HatTrie:
 
 
 class Bitmap:
-    """Hashes of frequent phrases; `bits` is a power of two."""
+    """Places of frequent phrases; `bits` is a power of two."""
 
     def __init__(self, bits: int, data: bytes):
-        self.mask, self.data = bits - 1, data
+        self.mask, self.raw, self.data = np.uint64(bits - 1), data, np.frombuffer(data, np.uint8)
 
-    def __contains__(self, key: bytes) -> bool:
-        at = xxhash.xxh64_intdigest(key, SEED) & self.mask
-        return bool(self.data[at >> 3] >> (at & 7) & 1)
+    def __contains__(self, one: int) -> bool:
+        at = one & int(self.mask)
+        return bool(self.raw[at >> 3] >> (at & 7) & 1)
 
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & self.mask
+        return self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
 
-def _key(lang: bytes, phrase: bytes) -> bytes:
-    return lang + b"\n" + phrase
+
+def word_hash(lang: bytes, word: bytes) -> int:
+    return xxhash.xxh64_intdigest(lang + b"\n" + word)
+
+
+def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of pairs from those of their words."""
+    with np.errstate(over="ignore"):
+        mixed = (first * np.uint64(0x9E3779B97F4A7C15) ^ second) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mixed ^ mixed >> np.uint64(29)
 
 
 def frequent(counted: DataFrame):
-    """A broadcast `Bitmap` of the phrases of `counted`: 16 bits for each, rounded up to a power of two, within LEAST_BITS and MOST_BITS."""
+    """A broadcast `Bitmap` of the words or pairs of `counted`: 16 bits for each, rounded up to a power of two, within LEAST_BITS and MOST_BITS."""
     spark = counted.sparkSession
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * counted.count()).bit_length()))
-    at = F.pmod(F.xxhash64(F.concat_ws("\n", "lang", "phrase")), F.lit(bits)) + 1
-    chunks = counted.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
+
+    def start():
+        def work(rows):
+            out = []
+            for r in rows:
+                lang, *words = r["lang"].encode(), *r["phrase"].encode().split(b" ")
+                h = np.array([word_hash(lang, w) for w in words], np.uint64)
+                out.append(int((h if len(h) == 1 else joined(h[:1], h[1:]))[0]) & (bits - 1))
+            return {"at": out}
+
+        return work
+
+    at = F.col("at") + 1
+    places = map_texts(counted.select(F.struct("lang", "phrase").alias("p")), start, "at long", [], "p")
+    chunks = places.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
     data = bytearray(bits // 8)
     for bucket, chunk in chunks.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("chunk")).toLocalIterator():
         data[(bucket - 1) * 4096 : bucket * 4096] = chunk
     return spark.sparkContext.broadcast((bits, bytes(data)))
 
 
-def pieces(text: bytes) -> list[list[bytes]]:
-    """Words of each piece, A-Z in lower case."""
-    return [words for piece in SEPARATORS.split(text.lower()) if (words := piece.split())]
+def words_of(text: bytes) -> list[bytes]:
+    """Words, A-Z in lower case, and a "." between pieces, which no word holds."""
+    return text.translate(FOLD).replace(b".", b" . ").split()
+
+
+class Numbers(dict):
+    """Ids of a language's words from their first sight; -1 for those that `known` lacks and between pieces."""
+
+    def __init__(self, lang: bytes, names: list, hashes: list, langs: list, known: Bitmap | None):
+        super().__init__({b".": -1})
+        self.lang, self.names, self.hashes, self.langs, self.known = lang, names, hashes, langs, known
+
+    def __missing__(self, word: bytes) -> int:
+        h = word_hash(self.lang, word)
+        if self.known is not None and h not in self.known:
+            self[word] = -1
+            return -1
+        self.names.append(word)
+        self.hashes.append(h)
+        self.langs.append(self.lang)
+        self[word] = k = len(self.names) - 1
+        return k
+
+
+def sequences(line: np.ndarray, sizes: range, linked: np.ndarray):
+    """(ids, number) of the distinct runs of each of `sizes` ids in `line` all of whose neighbours are `linked`: rows and counts."""
+    if sizes.start == 1:
+        found, n = np.unique(line[line >= 0], return_counts=True)
+        yield found[:, None], n
+        return
+    ok, rank, rows = linked, line[:-1], None
+    for size in range(2, sizes.stop):
+        if size > 2:
+            ok = ok[:-1] & linked[size - 2 :]
+            rank = rank[:-1]
+        at = np.flatnonzero(ok)
+        code, place, n = np.unique(rank[at] << 32 | line[at + size - 1], return_inverse=True, return_counts=True)
+        first, last = code >> 32, code & 0xFFFFFFFF
+        rows = np.column_stack([first, last]) if rows is None else np.column_stack([rows[first], last])
+        rank = rank.copy()
+        rank[at] = place
+        if size in sizes:
+            yield rows, n
 
 
 def _counts(docs: DataFrame, lengths: range, words=None, pairs=None, held: int = HELD, burst: int = BURST) -> DataFrame:
     """(lang, phrase, f) of the phrases of so many words, all of whose words and pairs are in the bitmaps; of single words also '' with their number."""
 
     def start():
-        known, linked = (b and Bitmap(*b.value) for b in (words, pairs))
-        trie, ids, names, links = HatTrie(burst), {}, [], {}
+        known, pairing = (b and Bitmap(*b.value) for b in (words, pairs))
+        trie, numbers, names, hashes, langs = HatTrie(burst), {}, [], [], []
         totals: Counter = Counter()
-
-        def number(lang, word):
-            if known is not None and _key(lang, word) not in known:
-                return -1
-            names.append((lang, word))
-            return len(names) - 1
-
-        def flat(lang, texts):
-            own = ids.setdefault(lang, {})
-            out = []
-            for text in texts:
-                for piece in pieces(text):
-                    for word in piece:
-                        k = own.get(word)
-                        if k is None:
-                            k = own[word] = number(lang, word)
-                        out.append(k)
-                    out.append(-1)
-            return out
-
-        def link(pair):
-            if (ok := links.get(pair)) is None:
-                a, b = pair
-                ok = links[pair] = a >= 0 <= b and (linked is None or _key(names[a][0], names[a][1] + b" " + names[b][1]) in linked)
-            return ok
+        waiting: list[np.ndarray] = []
+
+        def settle():
+            line = np.concatenate([*waiting, np.array([-1])])
+            waiting.clear()
+            linked = (line[:-1] >= 0) & (line[1:] >= 0)
+            if pairing is not None and linked.any():
+                h, at = np.array(hashes, np.uint64), np.flatnonzero(linked)
+                linked[at] = pairing.holds(joined(h[line[at]], h[line[at + 1]]))
+            for rows, n in sequences(line, lengths, linked):
+                cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
+                rests, numbers_of = list(map(tuple, rows[:, 1:].tolist())), n.tolist()
+                for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)]):
+                    if lo < hi:
+                        trie.add(int(rows[lo, 0]), rests[lo:hi], numbers_of[lo:hi])
 
         def add(columns):
             of: dict[bytes, list] = {}
             for lang, text in zip(columns["lang"], columns["text"]):
                 of.setdefault(lang, []).append(text)
             for lang, texts in of.items():
-                line = flat(lang, texts)
-                found: Counter = Counter()
+                if lang not in numbers:
+                    numbers[lang] = Numbers(lang, names, hashes, langs, known)
+                found = words_of(b".".join([*texts, b""]))
+                line = np.fromiter(map(numbers[lang].__getitem__, found), np.int64, len(found))
                 if lengths.start == 1:
-                    for k, n in Counter(line).items():
-                        if k >= 0:
-                            found[(k,)] = n
-                            totals[lang] += n
-                else:
-                    ok = [True] * len(line)
-                    linking = [link(p) for p in zip(line, line[1:])]
-                    for size in range(2, lengths.stop):
-                        ok = list(map(and_, ok, linking[size - 2 :]))
-                        if size in lengths:
-                            found.update(compress(zip(*(line[i:] for i in range(size))), ok))
-                for key, n in found.items():
-                    trie.add(key, n)
+                    totals[lang] += int((line >= 0).sum())
+                waiting.append(line)
 
         def runs(firsts):
             out = {"lang": [], "part": [], "phrase": [], "f": []}
             for first in firsts:
-                lang, word = names[first]
-                part = xxhash.xxh64_intdigest(_key(lang, word)) % PARTS * SALTS
-                for key, n in sorted((tuple(names[k][1] for k in key), n) for key, n in trie.take(first)):
-                    out["lang"].append(lang)
-                    out["part"].append(part + (xxhash.xxh64_intdigest(key[1]) % SALTS if len(key) > 1 else 0))
-                    out["phrase"].append(b" ".join(key))
-                    out["f"].append(n)
+                found = trie.take(first)
+                part = hashes[first] % PARTS * SALTS
+                run = sorted([(b" ".join([names[k] for k in key]), part + hashes[key[1]] % SALTS if len(key) > 1 else part, n) for key, n in found])
+                for name, values in zip(("phrase", "part", "f"), zip(*run)):
+                    out[name] += values
+                out["lang"] += [langs[first]] * len(run)
             return out
 
         def flush(last):
-            everything = last or sum(map(len, ids.values())) + len(links) > 2 * held
+            if waiting and (last or sum(map(len, waiting)) >= BUFFERED):
+                settle()
+            everything = last or not waiting and sum(map(len, numbers.values())) > 2 * held
             if not everything and trie.size <= held:
                 return None
             firsts, kept = [], trie.size
@@ -194,7 +239,7 @@ def _counts(docs: DataFrame, lengths: range, words=None, pairs=None, held: int =
                 kept -= sum(map(len, trie.top[first].values())) if first in trie.nodes else len(trie.top[first])
             out = runs(firsts)
             if everything:
-                for column in (ids, names, links):
+                for column in (numbers, names, hashes, langs):
                     column.clear()
             if last:
                 for lang, n in totals.items():

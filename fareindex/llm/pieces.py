@@ -127,6 +127,11 @@ class PieceModel:
 
 
 def encode_texts(docs: DataFrame, keep: list[str], model: str | None = None, ids: str = "ids") -> DataFrame:
+    """`docs[keep]` with the piece ids of each whole text; `ids` must not be in `keep`.
+
+    Null and empty texts have no ids; repeated rows give repeated results; texts
+    may have any length; an empty table gives no row.
+    """
     path = model or default_pieces()
 
     def start():
@@ -137,7 +142,11 @@ def encode_texts(docs: DataFrame, keep: list[str], model: str | None = None, ids
 
 
 def decode_ids(rows: DataFrame, keep: list[str], model: str | None = None, ids: str = "ids", text: str = "text") -> DataFrame:
-    """Null ids give null."""
+    """`rows[keep]` with the text of each list of ids; `text` must not be in `keep`.
+
+    Null ids give null, none the empty text; ids that the model lacks give the
+    replacement character; an empty table gives no row.
+    """
     path = model or default_pieces()
 
     def start():

@@ -28,6 +28,8 @@ STEMS = (5, 3)  # lengths of the stems that a term may be generalised to
 UNSEEN = 1.0  # documents with the term alone that are assumed besides those seen, so that rare terms are judged with care
 DISCLOSURE = 0.8  # share of the entity's information that a term may carry
 HELD_TERMS = 400_000
+HOT = 1_000  # documents of a term or entity that may be broadcast
+BROADCAST_ROWS = 1_000_000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -165,26 +167,46 @@ def disclosure(together: Column, gram_docs: Column, entity_docs: Column, total:
     return F.when(information > 0, (F.log(chance) + information) / information).otherwise(F.lit(0.0))
 
 
-def disclosing_grams(docs: DataFrame, entities: DataFrame, row: str, threshold: float = DISCLOSURE) -> DataFrame:
-    """(entity, gram): the terms and stems that disclose an entity, of however few documents.
+def _with_counts(rows: DataFrame, counts: DataFrame, key: str, number: str, documents: int) -> DataFrame:
+    """`rows` joined to written `counts` on `key`, wherever one key has a large part of all rows.
 
-    An entity of k documents can't be disclosed by a gram of more than
-    `most_docs` documents, even if it occurs in all k. Grams that occur in more
-    than any entity of their document allows leave before they meet the entities.
+    Keys in over HOT documents and a thousandth of all are at most a thousand
+    times as many as a document has on average: they are broadcast, if counted
+    to be few, and their rows stay where they are. The others have few rows each.
     """
-    total = F.lit(float(docs.count()))
-    held = entities.where(F.size("entities") > 0).select(row, F.explode("entities").alias("entity"))
-    holds = held.groupBy("entity").agg(F.count("*").alias("entity_docs"))
-    chance = F.col("entity_docs") / total
-    most_docs = (F.col("entity_docs") + UNSEEN * chance) / F.pow(chance, F.lit(1 - threshold)) * (1 + 1e-9) - UNSEEN
-    known = held.join(holds, "entity").withColumn("most_docs", F.when(chance < 1, most_docs))
-    allowed = known.groupBy(row).agg(F.max("most_docs").alias("most_docs"))
-    grams = entities.where(F.size("entities") > 0).select(row, "grams").join(allowed, row).select(row, "most_docs", F.explode("grams").alias("gram"))
-    rare = grams.join(gram_frequencies(docs), "gram").where("gram_docs <= most_docs").select(row, "gram", "gram_docs")
-    pairs = rare.join(known, row).where("gram_docs <= most_docs")
-    together = pairs.groupBy("entity", "gram").agg(F.count("*").alias("together"), F.first("gram_docs").alias("gram_docs"), F.first("entity_docs").alias("entity_docs"))
-    share = disclosure(F.col("together"), F.col("gram_docs"), F.col("entity_docs"), total)
-    return together.where(share >= threshold).select("entity", "gram")
+    hot = checkpointed(counts.where(F.col(number) > max(HOT, documents // 1000)))
+    if not 0 < hot.count() <= BROADCAST_ROWS:
+        return rows.join(counts, key)
+    here = rows.join(F.broadcast(hot), key)
+    return here.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(counts, key))
+
+
+def disclosing_pairs(docs: DataFrame, entities: DataFrame, row: str, threshold: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
+    """((row, entity, gram) where they occur together and may disclose, (entity, gram) that disclose).
+
+    Entities with the same documents have the same terms, so `entity` is such a
+    class: a text of thousands of addresses that stand nowhere else has one. An
+    entity of k documents can't be disclosed by a gram of more than `most_docs`
+    documents, even if it occurs in all k. Grams that occur in more than any
+    entity of their document allows leave before they meet the entities.
+    """
+    documents = docs.count()
+    total = F.lit(float(documents))
+    some = entities.where(F.size("entities") > 0)
+    held = some.select(row, F.explode("entities").alias("value"))
+    tags = [F.bit_xor(F.xxhash64(row)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), row)).alias("y")]
+    holds = checkpointed(held.groupBy("value").agg(F.count("*").alias("entity_docs"), *tags))
+    classes = _with_counts(held, holds, "value", "entity_docs", documents).select(row, F.struct("entity_docs", "x", "y").alias("entity")).distinct()
+    chance = F.col("entity.entity_docs") / total
+    most_docs = (F.col("entity.entity_docs") + UNSEEN * chance) / F.pow(chance, F.lit(1 - threshold)) * (1 + 1e-9) - UNSEEN
+    known = checkpointed(classes.withColumn("entity_most", F.when(chance < 1, most_docs)))
+    allowed = known.groupBy(row).agg(F.max("entity_most").alias("most_docs"))
+    grams = some.select(row, "grams").join(allowed, row).select(row, "most_docs", F.explode("grams").alias("gram"))
+    rare = _with_counts(grams, checkpointed(gram_frequencies(docs)), "gram", "gram_docs", documents).where("gram_docs <= most_docs")
+    pairs = checkpointed(rare.select(row, "gram", "gram_docs").join(known, row).where("gram_docs <= entity_most").select(row, "entity", "gram", "gram_docs"))
+    together = pairs.groupBy("entity", "gram").agg(F.count("*").alias("together"), F.first("gram_docs").alias("gram_docs"))
+    share = disclosure(F.col("together"), F.col("gram_docs"), F.col("entity.entity_docs"), total)
+    return pairs.select(row, "entity", "gram"), checkpointed(together.where(share >= threshold).select("entity", "gram"))
 
 
 def disclosing_terms(grams: DataFrame) -> DataFrame:
@@ -205,18 +227,18 @@ def find_personal_data(docs: DataFrame, keep: list[str]) -> DataFrame:
     Terms are reported wherever they stand in the documents that hold an entity
     they disclose; a document without entities has none. Of several entities, the
     one that asks for the shortest form decides. Null counts as empty; repeated
-    rows count and are reported each; texts are judged whole, however long;
-    an empty table gives no row.
+    rows count and are reported each; texts are judged whole, however long and
+    with however many entities; an empty table gives no row.
     """
     row = free_name(docs, "row_key")
     marked = docs.withColumn(row, F.monotonically_increasing_id())  # written at once, so it stays
     entities = checkpointed(find_entities(marked, [*keep, row]))
-    bad = checkpointed(disclosing_terms(checkpointed(disclosing_grams(docs, entities, row))))
-    each = entities.where(F.size("entities") > 0).select(row, F.explode("entities").alias("entity"), "terms")
-    near = each.select(row, "entity", F.explode("terms").alias("t")).select(row, "entity", "t.term", "t.at").join(bad, ["entity", "term"])
-    worst = near.groupBy(row, "term").agg(F.first("at").alias("at"), F.min_by("form", F.length("form")).alias("form"))
+    pairs, bad = disclosing_pairs(docs, entities, row)
+    forms = checkpointed(disclosing_terms(bad))
+    near = pairs.withColumnRenamed("gram", "term").join(forms, ["entity", "term"]).groupBy(row, "term").agg(F.min_by("form", F.length("form")).alias("form"))
+    placed = entities.where(F.size("entities") > 0).select(row, F.explode("terms").alias("t")).select(row, "t.term", "t.at").join(near, [row, "term"])
     spans = F.transform("at", lambda a: F.struct(a["start"].alias("start"), F.lit(TERM).alias("kind"), a["end"].alias("end"), F.col("form").alias("form")))
-    terms = worst.groupBy(row).agg(F.flatten(F.collect_list(spans)).alias("terms"))
+    terms = placed.groupBy(row).agg(F.flatten(F.collect_list(spans)).alias("terms"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,form:string>>")
     return entities.drop("entities", "terms", "grams").join(terms, row, "left").withColumn("terms", F.coalesce("terms", none)).drop(row)
 
@@ -253,11 +275,11 @@ def redact(text: str | None, spans: list[dict]) -> str | None:
 def sanitise(docs: DataFrame) -> DataFrame:
     """`docs` with personal data and disclosing terms taken out of `text`; a null text stays null.
 
-    Rows are matched by (doc_id, text), so repeated rows are treated alike;
+    Rows are matched by 128 bits of (doc_id, text), so repeated rows are treated alike;
     other columns are kept whatever their names. Cases as in `find_personal_data`.
     """
     row, spans = free_name(docs, "row_key"), free_name(docs, "found_spans")
-    marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    marked = docs.withColumn(row, F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "doc_id", "text").alias("b")))
     found = find_personal_data(marked.select("doc_id", "text", row), [row])
     lifted = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit("").alias("form")))
     plans = found.select(row, F.concat(lifted, "terms").alias(spans)).where(F.size(spans) > 0).dropDuplicates([row])

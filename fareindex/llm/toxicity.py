@@ -110,6 +110,36 @@ def train(texts: list[str], labels: list[int]) -> ToxicityModel:
     return ToxicityModel([train_network(docs, buckets, labels, seed) for seed in range(NETWORKS)])
 
 
+def gradient(model: Network, params: dict, rows: np.ndarray, label: float, weight: float, keep: np.ndarray):
+    """Of `weight` times the logistic loss of one document: (by parameter but the embedding, buckets of words, what each word's vector gets).
+
+    rows: five buckets for each word; keep: what each pooled filter is multiplied by.
+    """
+    x = params["e"][rows].sum(1) if len(rows) else np.zeros((1, WIDTH), params["e"].dtype)
+    top, at = model.pools(x)
+    dropped = np.maximum(top, 0) * keep
+    p = 1 / (1 + np.exp(-np.clip(dropped @ params["o"] + params["ob"][0], -30, 30)))
+    g = (p - label) * weight
+    grad = {"o": g * dropped, "ob": np.array([g])}
+    back = g * params["o"] * keep * (top > 0)
+    touched, touched_by, f = [], [], 0
+    for k, w in model.filters.items():
+        n = w.shape[1]
+        b, where = back[f : f + n], at[f : f + n]
+        f += n
+        grad[f"b{k}"] = b
+        into = grad[f"w{k}"] = np.zeros_like(w)
+        live = np.flatnonzero(b)
+        for j in range(k):
+            at_word = where[live] + j
+            c, r = live[at_word < len(x)], at_word[at_word < len(x)]
+            into[j * WIDTH : (j + 1) * WIDTH, c] += b[c] * x[r].T
+            if len(rows):
+                touched.append(rows[r])
+                touched_by.append(b[c][:, None] * w[j * WIDTH : (j + 1) * WIDTH, c].T)
+    return grad, touched, touched_by
+
+
 def train_network(docs: list[np.ndarray], buckets: np.ndarray, labels: list[int], seed: int) -> Network:
     """Adam on the logistic loss, both classes weighing the same. docs: rows of `buckets` for each word."""
     rng = np.random.default_rng(seed)
@@ -121,7 +151,8 @@ def train_network(docs: list[np.ndarray], buckets: np.ndarray, labels: list[int]
         0.0,
     )
     y = np.array(labels, np.float32)
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
+    share = float(y.mean()) if len(y) else 0.5
+    weight = np.where(y == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6))
     params = {"e": model.embedding, "o": model.out, "ob": np.zeros(1, np.float32)} | {f"w{k}": v for k, v in model.filters.items()} | {f"b{k}": v for k, v in model.biases.items()}
     first, second = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
     step, batch = 0, BATCH
@@ -135,30 +166,12 @@ def train_network(docs: list[np.ndarray], buckets: np.ndarray, labels: list[int]
             part = order[lo : lo + batch]
             for i in part:
                 rows = buckets[docs[i]] if len(docs[i]) else np.zeros((0, 5), np.int64)
-                x = params["e"][rows].sum(1) if len(rows) else np.zeros((1, WIDTH), np.float32)
-                top, at = model.pools(x)
-                hidden = np.maximum(top, 0)
-                keep = rng.random(len(hidden)) > 0.2  # dropout
-                dropped = hidden * keep / 0.8
-                p = 1 / (1 + np.exp(-np.clip(dropped @ params["o"] + params["ob"][0], -30, 30)))
-                g = (p - y[i]) * weight[i] / len(part)
-                grad["o"] += g * dropped
-                grad["ob"] += g
-                back = g * params["o"] * keep / 0.8 * (top > 0)
-                f = 0
-                for k, w in model.filters.items():
-                    n = w.shape[1]
-                    b, where = back[f : f + n], at[f : f + n]
-                    f += n
-                    grad[f"b{k}"] += b
-                    live = np.flatnonzero(b)
-                    for j in range(k):
-                        at_word = where[live] + j
-                        c, r = live[at_word < len(x)], at_word[at_word < len(x)]
-                        grad[f"w{k}"][j * WIDTH : (j + 1) * WIDTH, c] += b[c] * x[r].T
-                        if len(rows):
-                            touched.append(rows[r])
-                            touched_by.append(b[c][:, None] * w[j * WIDTH : (j + 1) * WIDTH, c].T)
+                keep = (rng.random(len(model.out)) > 0.2) / 0.8  # dropout
+                own, words, by = gradient(model, params, rows, y[i], weight[i] / len(part), keep)
+                for k, g in own.items():
+                    grad[k] += g
+                touched += words
+                touched_by += by
             step += 1
             fix = RATE * (1 - 0.9 * step / total) * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
             for k, g in grad.items():
