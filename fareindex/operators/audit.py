@@ -26,6 +26,20 @@ def grid_coverage(plan: DataFrame, quotes: DataFrame, by=("obs_date", "source_id
     return out.withColumn("coverage", F.col("seen") / F.col("expected") * 100)
 
 
+def expected_coverage(quotes: DataFrame, basket: DataFrame, leads: DataFrame, sources: DataFrame, start: str, end: str) -> DataFrame:
+    """`grid_coverage` of a whole plan by day and source, without its grid: each source owes routes x lead windows a day.
+
+    Days x sources are the only rows made; quotes outside the plan don't count.
+    """
+    size = basket.agg(F.count("*").alias("routes")).crossJoin(leads.agg(F.count("*").alias("windows"))).select((F.col("routes") * F.col("windows")).alias("expected"))
+    planned = quotes.join(F.broadcast(leads.select("lead_time")), "lead_time", "left_semi").join(basket.select("route_id"), "route_id", "left_semi")
+    seen = planned.groupBy("obs_date", "source_id", "route_id", "lead_time").agg(F.lit(1).alias("one")).groupBy("obs_date", "source_id").agg(F.count("*").alias("seen"))
+    days = basket.sparkSession.range(1).select(F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).alias("obs_date"))
+    owed = days.crossJoin(F.broadcast(sources.select("source_id"))).crossJoin(F.broadcast(size))
+    out = owed.join(seen, ["obs_date", "source_id"], "left").withColumn("seen", F.coalesce("seen", F.lit(0).cast("long")))
+    return out.select("obs_date", "source_id", "expected", "seen", (F.col("seen") / F.col("expected") * 100).alias("coverage"))
+
+
 def missing_carriers(clean: DataFrame, cells: DataFrame, carriers: DataFrame, cell) -> DataFrame:
     """Expected carriers that a cell lacks."""
     expected = cells.select(*cell).distinct().crossJoin(F.broadcast(carriers.select("carrier")))

@@ -26,6 +26,35 @@ def cell_prices(clean: DataFrame, cell=CELL, method: str = "median") -> DataFram
     return each.groupBy(*cell).agg(weighted_geomean(F.col("fare"), w).alias("price"), weighted_mean(F.col("grade"), w).alias("quality"), F.sum("n").alias("quotes"))
 
 
+def counted_cells(clean: DataFrame, cell=CELL, count: str = "raw_quotes") -> DataFrame:
+    """`cell_prices` of clean quotes that carry their cells' raw counts, with these counts. A cell without kept quotes has a null price."""
+    return clean.groupBy(*cell).agg(F.median("total_fare").alias("price"), F.avg("quality").alias("quality"), F.count("total_fare").alias("quotes"), F.coalesce(F.sum(count), F.lit(0)).alias(count))
+
+
+def cell_sketches(clean: DataFrame, cell=CELL, k: int = 400) -> DataFrame:
+    """Each cell's fares as a mergeable quantile sketch, with sums: (cell, fares, quality_sum, quotes).
+
+    For coarse cells, where an exact median would need all fares of a cell
+    together: sketches of parts of the data merge to that of the whole, so a
+    batch updates a stored cell without reading the quotes before it. The rank
+    of a quantile is off by about 2.3 / k^0.9 of the quotes at most, with 99 %
+    confidence: about 1 % at 400.
+    """
+    priced = clean.where("total_fare is not null")
+    return priced.groupBy(*cell).agg(F.kll_sketch_agg_double(F.col("total_fare").cast("double"), F.lit(k)).alias("fares"), F.sum("quality").alias("quality_sum"), F.count("*").alias("quotes"))
+
+
+def merge_sketches(stored: DataFrame, new: DataFrame, cell=CELL) -> DataFrame:
+    """The sketches of all quotes behind either side, which may have several rows of a cell."""
+    both = stored.unionByName(new)
+    return both.groupBy(*cell).agg(F.kll_merge_agg_double("fares").alias("fares"), F.sum("quality_sum").alias("quality_sum"), F.sum("quotes").alias("quotes"))
+
+
+def sketched_prices(sketches: DataFrame, cell=CELL, q: float = 0.5) -> DataFrame:
+    """price (the q-quantile of the fares, as far as the sketch tells), quality and quotes of each cell."""
+    return sketches.select(*cell, F.kll_sketch_get_quantile_double("fares", F.lit(q)).alias("price"), F.try_divide("quality_sum", "quotes").alias("quality"), "quotes")
+
+
 def route_prices(cells: DataFrame, period: str = "obs_date", lead_weights: dict | None = None, method: str = "geometric") -> DataFrame:
     """Lead windows collapsed by booking weights over those present. geometric: with the plain mean of quality; arithmetic: both weighted."""
     w = dims.lookup(F.col("lead_time"), lead_weights or dims.LEADS, 0.0)

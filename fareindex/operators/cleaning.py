@@ -112,16 +112,20 @@ def reject_outliers(df: DataFrame, cell, value: str, k: float = 3.0, low: float
 CLEAN = ("source_id", "carrier", "fare_class", "base_fare", "taxes", "udf", "convenience_fee", "total_fare", "quality", "flags", "imputed", "is_synthetic")
 
 
-def impute_missing(tagged: DataFrame, cell=CELL, expected: dict | None = None, mode: str = "class") -> DataFrame:
+def impute_missing(tagged: DataFrame, cell=CELL, expected: dict | None = None, mode: str = "class", count: str | None = None) -> DataFrame:
     """Clean quotes: the kept rows, and one imputed row for each expected carrier that a cell with kept rows lacks.
 
     The imputed rows come out of their cell's first row, so facts are neither
-    joined nor read twice.
+    joined nor read twice. With `count`, that row also gives one that holds
+    nothing but the number of the cell's raw quotes, in a column of that name;
+    cells without kept rows have it too.
     """
     fare_index = expected or dims.FARE_INDEX
     here = W.partitionBy(*cell)
     kept = F.col("drop_reason").isNull()
     df = tagged.withColumns({"present": F.collect_set(F.when(kept, F.col("carrier"))).over(here), "nth": F.row_number().over(here.orderBy(F.col("drop_reason").asc_nulls_first()))})
+    if count:
+        df = df.withColumn("cell_rows", F.count("*").over(here))
     missing = F.array_except(F.array(*map(F.lit, fare_index)), "present")
     fare = lambda c: F.round(F.col("cell_median") * (dims.lookup(c, fare_index) / dims.REFERENCE_FARE_INDEX))
     grade = lambda c: F.lit(dims.DEFAULT_QUALITY) if mode == "class" else dims.lookup(c, dims.AMENITY, 1.0) * dims.DEFAULT_QUALITY
@@ -131,13 +135,19 @@ def impute_missing(tagged: DataFrame, cell=CELL, expected: dict | None = None, m
         return F.struct(
             F.lit("imputed").alias("source_id"), c.alias("carrier"), F.lit("VALUE").alias("fare_class"), F.round(fare(c) * dims.IMPUTED_BASE).alias("base_fare"),
             F.round(fare(c) * dims.IMPUTED_TAX).alias("taxes"), F.lit(0.0).alias("udf"), F.lit(0.0).alias("convenience_fee"), fare(c).alias("total_fare"),
-            grade(c).cast("double").alias("quality"), F.array(F.lit("imputed"), F.lit("anti-bot-block")).alias("flags"), F.lit(True).alias("imputed"), F.lit(False).alias("is_synthetic"),
+            grade(c).cast("double").alias("quality"), F.array(F.lit("imputed"), F.lit("anti-bot-block")).alias("flags"), F.lit(True).alias("imputed"), F.lit(False).alias("is_synthetic"), *none,
         )
 
-    observed = F.struct(*[F.col(c).alias(c) for c in CLEAN[:-2]], F.lit(False).alias("imputed"), synthetic.alias("is_synthetic"))
-    added = F.when((F.col("nth") == 1) & kept, F.transform(missing, filled)).otherwise(F.array())
+    none = [F.lit(None).cast("long").alias(count)] if count else []
+    observed = F.struct(*[F.col(c).alias(c) for c in CLEAN[:-2]], F.lit(False).alias("imputed"), synthetic.alias("is_synthetic"), *none)
+    first = F.col("nth") == 1
+    added = F.when(first & kept, F.transform(missing, filled)).otherwise(F.array())
     rows = F.concat(F.when(kept, F.array(observed)).otherwise(F.array()), added)
-    return df.where(kept).select(*cell, F.explode(rows).alias("row")).select(*cell, "row.*")
+    if count:
+        empty = [F.when(F.lit(False), F.col(c)).alias(c) for c in CLEAN[:-2]] + [F.lit(False).alias("imputed"), F.lit(False).alias("is_synthetic")]
+        marker = F.struct(*empty, F.col("cell_rows").alias(count))
+        rows = F.concat(rows, F.when(first, F.array(marker)).otherwise(F.array()))
+    return df.where(kept | first if count else kept).select(*cell, F.explode(rows).alias("row")).select(*cell, "row.*")
 
 
 def clean_quotes(raw: DataFrame, cell=CELL, order_by=("collected_at",), expected: dict | None = None, mode: str = "class") -> DataFrame:

@@ -26,12 +26,25 @@ def base_snapshot(prices: DataFrame, base: str, period: str = "obs_date", half_w
     return near.groupBy(*by).agg(F.avg(value).alias("price_0"), F.avg("quality").alias("quality_0"))
 
 
+def count_weights(counted: DataFrame, count: str = "raw_quotes", within: Column | None = None) -> DataFrame:
+    """(route_id, weight): each route's share of the counts that a stored table carries, in the rows `within`."""
+    each = (counted if within is None else counted.where(within)).groupBy("route_id").agg(F.sum(count).alias("n")).where("n > 0")
+    return each.crossJoin(F.broadcast(each.agg(F.sum("n").alias("total")))).select("route_id", (F.col("n") / F.col("total")).alias("weight"))
+
+
 def route_relatives(prices: DataFrame, base: DataFrame, weights: DataFrame) -> DataFrame:
-    """Route prices with weight, relative and hedonic divisor. A route without a base has relative 1; one without a weight is not in the basket."""
-    joined = prices.join(weights, "route_id").join(base, "route_id", "left")
+    """Route prices with weight, relative and hedonic divisor; a route without a weight is not in the basket.
+
+    A route that the base lacks is its own base: relative 1, against quality 1,
+    so its divisor is 1 / quality. A base without a quality, and a null or zero
+    quality, give a divisor of 1.
+    """
+    known = base.withColumn("has_base", F.lit(True))
+    joined = prices.join(weights, "route_id").join(known, "route_id", "left")
     relative = F.coalesce(F.try_divide(F.col("price"), F.col("price_0")), F.lit(1.0))
-    hedonic = F.coalesce(F.try_divide(F.col("quality_0"), F.col("quality")), F.lit(1.0))
-    return joined.withColumns({"relative": relative, "hedonic": hedonic})
+    before = F.when(F.col("has_base").isNull(), F.lit(1.0)).otherwise(F.col("quality_0"))
+    hedonic = F.coalesce(F.try_divide(before, F.col("quality")), F.lit(1.0))
+    return joined.withColumns({"relative": relative, "hedonic": hedonic}).drop("has_base")
 
 
 def build_index(relatives: DataFrame, period: str = "obs_date", missing: str = "skip", by=()) -> DataFrame:

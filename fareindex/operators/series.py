@@ -59,10 +59,11 @@ def changes(points: DataFrame, value: str = "smoothed", date: str = "date", keys
     )
 
 
-def period_series(points: DataFrame, freq: str = "month", value: str = "value", date: str = "date", keys=(), yoy_lag: int | None = None) -> DataFrame:
-    """Means of each month or ISO week with changes to the period before and a year before (null where there is none)."""
+def period_series(points: DataFrame, freq: str = "month", value: str = "value", date: str = "date", keys=(), yoy_lag: int | None = None, pick: str = "mean") -> DataFrame:
+    """Means of each month or ISO week, or with pick "last" its last value, with changes to the period before and a year before (null where there is none)."""
     key = month_key(F.col(date)) if freq == "month" else iso_week_key(F.col(date))
-    out = points.groupBy(*keys, key.alias("period")).agg(F.avg(value).alias("value"), F.count("*").alias("n"))
+    one = F.avg(value) if pick == "mean" else F.max_by(value, date)
+    out = points.groupBy(*keys, key.alias("period")).agg(one.alias("value"), F.count("*").alias("n"))
     w = ordered("period", keys)
     back = yoy_lag or (12 if freq == "month" else 52)
     return out.withColumns(

@@ -6,13 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from fareindex.functions.aggregates import mape, pearson, share_true
 from fareindex.functions.parsing import month_key
 from fareindex.operators.series import average_rank, log_changes, ordered
 
 
-
 def align(a: DataFrame, b: DataFrame, on="period", value: str = "value", keys=()) -> DataFrame:
     """(keys, period, x, y) of the periods both series have."""
     left = a.select(*keys, on, F.col(value).cast("double").alias("x"))
@@ -88,19 +88,17 @@ def backtest_table(index_monthly: DataFrame, reference_monthly: DataFrame, keys=
 def ols(df: DataFrame, y: str, xs: list[str], by=()) -> DataFrame:
     """Least squares with an intercept: (by, term, beta, t, r2, n_rows).
 
-    Two aggregations form the centred moments of each group, which stay exact
-    where means are large; only these k x k sums reach Python, where they are
-    scaled. Of collinear columns the least-norm slopes are given. Groups with no
-    more rows than terms get zeros.
+    One aggregation forms the means and centred co-moments of each group. These
+    merge pairwise, so they combine before the shuffle and stay exact where means
+    are large; only these k x k numbers reach Python, where they are scaled. Of
+    collinear columns the least-norm slopes are given. Groups with no more rows
+    than terms get zeros.
     """
     names = [f"v{i}" for i in range(len(xs) + 1)]
     groups = [f"g{i}" for i in range(len(by))]
     full = df.dropna(subset=[*xs, y]).select(*[F.col(c).alias(g) for c, g in zip(by, groups)], *[F.col(c).cast("double").alias(v) for c, v in zip([*xs, y], names)])
-    means = full.groupBy(*groups).agg(*[F.avg(v).alias(f"mean_{v}") for v in names], F.count("*").alias("n_rows"))
-    joined = full.join(means, groups) if by else full.crossJoin(F.broadcast(means))
-    d = {v: F.col(v) - F.col(f"mean_{v}") for v in names}
-    moments = [F.sum(d[a] * d[b]).alias(f"s_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i]
-    sums = joined.groupBy(*groups).agg(F.max("n_rows").alias("n_rows"), *[F.max(f"mean_{v}").alias(f"mean_{v}") for v in names], *moments)
+    moments = [(F.covar_pop(a, b) * F.count("*")).alias(f"s_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i]
+    sums = full.groupBy(*groups).agg(F.count("*").alias("n_rows"), *[F.avg(v).alias(f"mean_{v}") for v in names], *moments).where("n_rows > 0")
     k = len(xs)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*by).schema)
 
@@ -154,8 +152,16 @@ def reading_of_day(daily: DataFrame, xs: list[str], day: int = 15, date: str = "
     return daily.groupBy(*keys, month_key(F.col(date)).alias("period")).agg(*[F.min_by(x, order).alias(x) for x in xs])
 
 
+def shown_readings(covariates: DataFrame, xs: list[str], on: str = "period", keys=(), last: int = 18) -> DataFrame:
+    """(keys, name, period, value): the last `last` readings of each covariate but the first of all, which has no change; for display, the fit uses every change."""
+    w = ordered(F.desc(on), keys)
+    numbered = covariates.withColumns({"nth": F.row_number().over(w), "left": F.count("*").over(W.partitionBy(*keys))})
+    near = numbered.where((F.col("nth") <= last) & (F.col("nth") < F.col("left")))
+    return near.select(*keys, F.explode(F.array(*[F.struct(F.lit(x).alias("name"), F.col(on).alias("period"), F.col(x).cast("double").alias("value")) for x in xs])).alias("r")).select(*keys, "r.*")
+
+
 def driver_regression(monthly: DataFrame, covariates: DataFrame, xs: list[str], on: str = "period", keys=(), last: int | None = None, plain=()) -> DataFrame:
-    """Coefficients (times 100) and t of the drivers of the index's log change, over the last `last` changes if given."""
+    """Coefficients (times 100) and t of the drivers of the index's log change, over every change; `last` limits the fit to the last ones."""
     fit = ols(driver_table(monthly, covariates, xs, on, keys, last, plain), "y", xs, keys)
     return fit.withColumn("effect", F.col("beta") * 100).withColumn("significant", F.abs("t") >= 2)
 

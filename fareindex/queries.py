@@ -10,11 +10,12 @@ from fareindex.functions import parsing as p
 from fareindex.operators import audit, cells, cleaning, indexing, market, series, validation
 from fareindex.plans import reports
 from fareindex.sources import dims, pages, views
-from fareindex.sources.io import store_cells
+from fareindex.sources.io import store_cells, store_quotes, stored_values
 from fareindex.streaming.ingest import error_windows
 
 BASE = "1995-06-01"
 START, END = "1995-06-01", "1997-06-01"
+DRIVERS = ["quantity", "total", "lines"]
 
 
 # Spark side
@@ -36,9 +37,23 @@ def cell_table(s, d):
     return cells.cell_prices(clean(s, d), views.CELL)
 
 
-def kept_cells(s, d):
-    """The cell table, stored: for queries that use it more than once."""
-    return store_cells(cell_table(s, d))
+def kept_cells(s, d, *by: str) -> tuple[DataFrame, DataFrame]:
+    """(cells with a price, route weights), both from one stored table: for queries that use cells more than once.
+
+    Cells carry the numbers of their raw quotes, so weights don't read the facts
+    again. `by`: further keys, whose cells hold observed quotes only.
+    """
+    found = cleaning.impute_missing(tagged(s, d), views.CELL, count="raw_quotes")
+    if "kind" in by:
+        found = found.where("not imputed").withColumn("kind", dims.lookup(F.col("source_id"), dims.SOURCE_KIND))
+    stored = store_cells(cells.counted_cells(found, [*views.CELL, *by]))
+    return stored.where("price is not null"), indexing.count_weights(stored, within=F.year("period") == 1995)
+
+
+def kept_quotes(s, d) -> tuple[DataFrame, str | None]:
+    """(clean quotes stored by period, the last period there is), for views of the latest period."""
+    path = store_quotes(clean(s, d).drop("flags"), day="period")
+    return s.read.parquet(path), (stored_values(s, path, "period") or [None])[-1]
 
 
 def with_region(found: DataFrame) -> DataFrame:
@@ -58,10 +73,11 @@ def base(prices: DataFrame) -> DataFrame:
     return indexing.base_snapshot(prices, BASE, "period", 3, "month")
 
 
-def relatives(s, d, kept: DataFrame | None = None):
-    """From the stored cells, which base and points both read."""
-    found = cells.route_prices(kept_cells(s, d) if kept is None else kept, "period")
-    return indexing.route_relatives(found, base(found), weights(s, d))
+def relatives(s, d, kept: tuple[DataFrame, DataFrame] | None = None):
+    """From the stored cells, which base, points and weights all read."""
+    found, w = kept_cells(s, d) if kept is None else kept
+    by_route = cells.route_prices(found, "period")
+    return indexing.route_relatives(by_route, base(by_route), w)
 
 
 def points_of(found: DataFrame, missing="renormalize"):
@@ -155,7 +171,7 @@ CTES = {
         SELECT route_id, avg(price) AS price_0, avg(quality) AS quality_0 FROM prices
         WHERE period BETWEEN DATE '{BASE}' - INTERVAL 3 MONTH AND DATE '{BASE}' + INTERVAL 3 MONTH GROUP BY ALL""",
     "relatives": """
-        SELECT period, route_id, price, quality, quotes, weight, price_0, quality_0, COALESCE(price / price_0, 1.0) AS relative, COALESCE(quality_0 / quality, 1.0) AS hedonic
+        SELECT period, route_id, price, quality, quotes, weight, price_0, quality_0, COALESCE(price / price_0, 1.0) AS relative, COALESCE(CASE WHEN price_0 IS NULL THEN 1.0 ELSE quality_0 END / quality, 1.0) AS hedonic
         FROM prices JOIN weights USING (route_id) LEFT JOIN base USING (route_id)""",
     "sums": """
         SELECT period, sum(weight * relative) AS n, sum(weight * relative * hedonic) AS r, sum(weight * quality) AS q, sum(weight) AS covered,
@@ -170,6 +186,23 @@ CTES = {
     "rebased": """
         SELECT *, a - b AS gap, a - lag(a) OVER (ORDER BY period) AS da, b - lag(b) OVER (ORDER BY period) AS db FROM
             (SELECT *, x / first_value(x) OVER (ORDER BY period) * 100 AS a, y / first_value(y) OVER (ORDER BY period) * 100 AS b FROM pairs)""",
+    "readings": """
+        SELECT strftime(date, '%Y-%m') AS period, arg_min(quantity, away) AS quantity, arg_min(total, away) AS total, arg_min(lines, away) AS lines FROM
+            (SELECT CAST(o_orderdate AS DATE) AS date, avg(l_quantity) AS quantity, avg(o_totalprice) AS total, CAST(count(*) AS DOUBLE) AS lines, CASE WHEN day(CAST(o_orderdate AS DATE)) <= 15 THEN 15 - day(CAST(o_orderdate AS DATE)) ELSE 100 + day(CAST(o_orderdate AS DATE)) END AS away
+            FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL) GROUP BY ALL""",
+    "moved": """
+        SELECT y, x1, x2, x3 FROM (SELECT period, ln(value / lag(value) OVER (ORDER BY period)) AS y FROM monthly)
+        JOIN (SELECT period, ln(quantity / lag(quantity) OVER o) AS x1, ln(total / lag(total) OVER o) AS x2, lines - lag(lines) OVER o AS x3 FROM readings WINDOW o AS (ORDER BY period)) USING (period)
+        WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL""",
+    "normal": f"""
+        SELECT count(*) AS n, avg(y) AS my, count(*) * var_pop(y) AS syy, {", ".join(f"avg(x{i}) AS m{i}, count(*) * covar_pop(x{i}, y) AS s{i}y" for i in (1, 2, 3))},
+            {", ".join(f"count(*) * covar_pop(x{i}, x{j}) AS s{i}{j}" for i in (1, 2, 3) for j in range(i, 4))} FROM moved""",
+    "inverse": """
+        SELECT *, c11 / det AS i11, c12 / det AS i12, c13 / det AS i13, c22 / det AS i22, c23 / det AS i23, c33 / det AS i33 FROM (SELECT *, s11 * c11 + s12 * c12 + s13 * c13 AS det FROM
+            (SELECT *, s22 * s33 - s23 * s23 AS c11, s13 * s23 - s12 * s33 AS c12, s12 * s23 - s13 * s22 AS c13, s11 * s33 - s13 * s13 AS c22, s12 * s13 - s11 * s23 AS c23, s11 * s22 - s12 * s12 AS c33 FROM normal))""",
+    "slopes": """
+        SELECT *, my - b1 * m1 - b2 * m2 - b3 * m3 AS b0, syy - b1 * s1y - b2 * s2y - b3 * s3y AS rest, m1 * m1 * i11 + m2 * m2 * i22 + m3 * m3 * i33 + 2 * (m1 * m2 * i12 + m1 * m3 * i13 + m2 * m3 * i23) AS lever FROM
+            (SELECT *, i11 * s1y + i12 * s2y + i13 * s3y AS b1, i12 * s1y + i22 * s2y + i23 * s3y AS b2, i13 * s1y + i23 * s2y + i33 * s3y AS b3 FROM inverse)""",
     "log": f"""
         SELECT CAST(ts AS DATE) AS date, ts, event_type, {pick(views.SOURCE_IDS, "user_id % 11")} AS source_id, CAST(event_type NOT IN ('error', 'click', 'signup') AS BIGINT) AS requests,
             CAST(event_type = 'purchase' AS BIGINT) AS raw_quotes, CAST(event_type = 'error' AS BIGINT) AS http_errors, CAST(event_type = 'click' AS BIGINT) AS retries,
@@ -183,6 +216,7 @@ NEEDS = {
     "parsed": ["quotes"], "priced": ["parsed"], "early": ["priced"], "early2": ["early"], "centred": ["early2"], "spread": ["centred"], "tagged": ["spread"], "kept": ["tagged"],
     "gaps": ["kept"], "clean": ["gaps"], "cells": ["clean"], "prices": ["cells"], "weights": ["quotes"], "base": ["prices"], "relatives": ["base", "weights"], "sums": ["relatives"],
     "points": ["sums"], "smooth": ["points"], "monthly": ["points"], "pairs": ["monthly", "reference"], "rebased": ["pairs"], "audit": ["log"],
+    "moved": ["monthly", "readings"], "normal": ["moved"], "inverse": ["normal"], "slopes": ["inverse"],
 }
 
 
@@ -255,26 +289,79 @@ def _releases(s, d):
 
 
 def _sub_lead(s, d):
-    return rounded(indexing.sub_index(kept_cells(s, d), weights(s, d), BASE, "lead_time", "period", 3, "month"))
+    return rounded(indexing.sub_index(*kept_cells(s, d), BASE, "lead_time", "period", 3, "month"))
+
+
+def _sub_region(s, d):
+    found, w = kept_cells(s, d)
+    return rounded(indexing.sub_index(with_region(found), w, BASE, "region", "period", 3, "month"))
+
+
+def _all_groups(s, d):
+    found, w = kept_cells(s, d)
+    return rounded(indexing.all_groups(with_region(found), w, "period"), 3)
+
+
+def _elasticity(s, d):
+    return market.lead_elasticity(*kept_cells(s, d), "1998-01-31", 365, period="period")
+
+
+def _sub_indices(s, d):
+    found, w = kept_cells(s, d)
+    return rounded(reports.sub_index_report(with_region(found), w, BASE, "period", 24, half_window=3, unit="month").select("grouping", "key", "period", "rebased"), 3)
+
+
+def _route_fares(s, d):
+    stored, last = kept_quotes(s, d)
+    return rounded(market.route_fares(stored, last, "period"), 3)
+
+
+def _daily_views(s, d):
+    """Route fares, booking curve and channel wedge of the latest period, from one store."""
+    stored, last = kept_quotes(s, d)
+    parts = [
+        market.route_fares(stored, last, "period").select(F.lit("route").alias("view"), F.col("route_id").alias("key"), F.col("avg_fare").alias("value"), "origin"),
+        market.lead_fares(stored, last, "period").select(F.lit("lead").alias("view"), F.col("lead_time").cast("string").alias("key"), F.col("avg_fare").alias("value"), "origin"),
+        market.channel_wedge(stored, last, column="period").select(F.lit("wedge_pct").alias("view"), F.col("route_id").alias("key"), F.col("wedge_pct").alias("value"), F.lit(None).cast("string").alias("origin")),
+    ]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), 3)
+
+
+def _sketched(s, d):
+    """Route medians from sketches that two halves of the quotes left; `close`: their rank is within 1.3 % of the middle."""
+    kept = store_cells(clean(s, d).select("period", "route_id", "total_fare", "quality"))
+    early = F.year("period") <= 1995
+    old, new = (store_cells(cells.cell_sketches(kept.where(half), ["route_id"])) for half in (early, ~early))
+    middle = cells.sketched_prices(cells.merge_sketches(old, new, ["route_id"]), ["route_id"])
+    ranks = kept.join(middle.select("route_id", "price"), "route_id").groupBy("route_id").agg(F.avg((F.col("total_fare") < F.col("price")).cast("double")).alias("lo"), F.avg((F.col("total_fare") <= F.col("price")).cast("double")).alias("hi"))
+    return rounded(middle.join(ranks, "route_id").select("route_id", "quality", "quotes", F.lit(0.5).between(F.col("lo") - 0.013, F.col("hi") + 0.013).alias("close")))
+
+
+def _month_end(s, d):
+    """Each month's last daily mean fare and its changes."""
+    daily = cleaning.decompose(raw(s, d)).groupBy("obs_date").agg(F.avg("total_fare").alias("fare"))
+    return rounded(series.period_series(daily, "month", "fare", "obs_date", pick="last"), 3)
 
 
 def _channel_index(s, d):
     """The channel sub-index: cells of each channel apart, imputed rows left out."""
-    of = clean(s, d).where("not imputed").withColumn("kind", dims.lookup(F.col("source_id"), dims.SOURCE_KIND))
-    each = store_cells(cells.cell_prices(of, [*views.CELL, "kind"]))
-    return rounded(indexing.sub_index(each, weights(s, d), BASE, "kind", "period", 3, "month"))
+    found, w = kept_cells(s, d, "kind")
+    return rounded(indexing.sub_index(found, w, BASE, "kind", "period", 3, "month"))
 
 
 def _latest_groups(s, d):
-    one = indexing.sub_index(with_region(kept_cells(s, d)), weights(s, d), BASE, "region", "period", 3, "month")
+    found, w = kept_cells(s, d)
+    one = indexing.sub_index(with_region(found), w, BASE, "region", "period", 3, "month")
     return rounded(series.latest_changes(series.rebase(one, "value", "period", ["region"]), ["region"], "period", 12), 3)
 
 
-def _plan(s, d, quotes=None):
+def _span(s, d) -> list[str]:
+    return [str(day)[:10] for day in views.table(s, d, "orders").agg(F.min("o_orderdate"), F.max("o_orderdate")).first()]
+
+
+def _plan(s, d):
     """The basket is the routes of the quotes; the days run from their first to their last."""
-    quotes = raw(s, d) if quotes is None else quotes
-    span = views.table(s, d, "orders").agg(F.min("o_orderdate"), F.max("o_orderdate")).first()
-    return audit.collection_plan(views.traffic_weights(quotes).select("route_id"), dims.leads(s), dims.sources(s), *[str(day)[:10] for day in span])
+    return audit.collection_plan(weights(s, d).select("route_id"), dims.leads(s), dims.sources(s), *_span(s, d))
 
 
 def _plan_days(s, d):
@@ -283,17 +370,20 @@ def _plan_days(s, d):
 
 
 def _coverage(s, d):
-    return rounded(audit.source_yield(audit.grid_coverage(_plan(s, d), raw(s, d))))
+    """Quotes are reduced to seen cells once; these give the basket too."""
+    seen = store_cells(raw(s, d).groupBy("obs_date", "source_id", "route_id", "lead_time").agg(F.count("*").alias("quotes")))
+    basket = indexing.count_weights(seen, "quotes", F.year("obs_date") == 1995).select("route_id")
+    return rounded(audit.source_yield(audit.expected_coverage(seen, basket, dims.leads(s), dims.sources(s), *_span(s, d))))
 
 
 def _headline(s, d):
-    found = relatives(s, d)
+    found = store_cells(relatives(s, d))
     return rounded(reports.headline_report(points_of(found), found, "period"), 3)
 
 
 def _basket(s, d):
     kept = kept_cells(s, d)
-    return rounded(reports.basket_report(relatives(s, d, kept), with_region(kept), weights(s, d), "period"), 3)
+    return rounded(reports.basket_report(relatives(s, d, kept), with_region(kept[0]), kept[1], "period"), 3)
 
 
 def _first_quotes(s, d):
@@ -319,8 +409,18 @@ def _panel(s, d):
     return rounded(fit, 2)
 
 
+def _readings(s, d):
+    """Mid-month readings of the daily covariates."""
+    return validation.reading_of_day(views.daily_covariates(s, d), DRIVERS)
+
+
 def _drivers(s, d):
-    return rounded(validation.driver_regression(monthly(s, d), views.covariates(s, d), ["quantity", "total", "lines"]), 3)
+    """Every monthly change of the index on those of the mid-month readings: log changes, of `lines` differences."""
+    return rounded(validation.driver_regression(monthly(s, d), _readings(s, d), DRIVERS, plain=["lines"]), 3)
+
+
+def _error_of_levels(s, d):
+    return rounded(validation.error_against(validation.align(monthly(s, d), views.reference_series(s, d)), "level"), 3)
 
 
 QUERIES = {
@@ -376,7 +476,7 @@ QUERIES = {
     "sub_index_lead": (_sub_lead, sql(f"""SELECT period, lead_time, round(level, 4) AS level, round(level / level_0 * 100, 4) AS value FROM (SELECT period, lead_time, sum(weight * price) / sum(weight) AS level FROM cells JOIN weights USING (route_id) GROUP BY ALL)
         JOIN (SELECT lead_time, avg(level) AS level_0 FROM (SELECT period, lead_time, sum(weight * price) / sum(weight) AS level FROM cells JOIN weights USING (route_id) GROUP BY ALL)
         WHERE period BETWEEN DATE '{BASE}' - INTERVAL 3 MONTH AND DATE '{BASE}' + INTERVAL 3 MONTH GROUP BY ALL) USING (lead_time)""", "cells", "weights")),
-    "sub_index_region": (lambda s, d: rounded(indexing.sub_index(with_region(kept_cells(s, d)), weights(s, d), BASE, "region", "period", 3, "month")),
+    "sub_index_region": (_sub_region,
         sql(f"""SELECT period, region, round(level, 4) AS level, round(level / level_0 * 100, 4) AS value FROM (SELECT period, region, sum(weight * price) / sum(weight) AS level FROM cells JOIN weights USING (route_id) GROUP BY ALL)
         JOIN (SELECT region, avg(level) AS level_0 FROM (SELECT period, region, sum(weight * price) / sum(weight) AS level FROM cells JOIN weights USING (route_id) GROUP BY ALL)
         WHERE period BETWEEN DATE '{BASE}' - INTERVAL 3 MONTH AND DATE '{BASE}' + INTERVAL 3 MONTH GROUP BY ALL) USING (region)""", "cells", "weights")),
@@ -385,7 +485,7 @@ QUERIES = {
         JOIN (SELECT kind, avg(level) AS level_0 FROM (SELECT period, kind, sum(weight * price) / sum(weight) AS level FROM
         (SELECT {CELL}, {case("source_id", dims.SOURCE_KIND)} AS kind, median(total_fare) AS price FROM clean WHERE NOT imputed GROUP BY ALL) JOIN weights USING (route_id) GROUP BY ALL)
         WHERE period BETWEEN DATE '{BASE}' - INTERVAL 3 MONTH AND DATE '{BASE}' + INTERVAL 3 MONTH GROUP BY ALL) USING (kind)""", "clean", "weights")),
-    "all_groups": (lambda s, d: rounded(indexing.all_groups(with_region(kept_cells(s, d)), weights(s, d), "period"), 3),
+    "all_groups": (_all_groups,
         sql("""SELECT period, CASE WHEN lead_time IS NOT NULL THEN 'lead' WHEN region IS NOT NULL THEN 'region' WHEN route_id IS NOT NULL THEN 'route' ELSE 'total' END AS grouping,
             COALESCE(CAST(lead_time AS VARCHAR), region, route_id, 'all') AS key, round(sum(weight * price) / sum(weight), 3) AS level FROM cells JOIN weights USING (route_id)
             GROUP BY GROUPING SETS ((period), (period, lead_time), (period, region), (period, route_id))""", "cells", "weights")),
@@ -431,13 +531,13 @@ QUERIES = {
         sql("SELECT date, round(nominal, 3) AS nominal, round(value, 3) AS value, round(quality_index, 3) AS quality_index, round(hedge_ratio, 3) AS hedge_ratio FROM points ORDER BY date DESC LIMIT 24", "points")),
     "release_rows": (lambda s, d: series.release_rows(points(s, d)),
         sql("SELECT strftime(date, '%Y-%m-%d') AS period, round(value, 2) AS \"index\", round(nominal, 2) AS nominal, round(quality_index, 4) AS quality, round(hedge_ratio, 4) AS hedge_ratio, observations FROM points", "points")),
-    "route_fares": (lambda s, d: rounded(market.route_fares(clean(s, d), column="period"), 3), sql(f"SELECT route_id, round(avg(total_fare), 3) AS avg_fare, count(*) AS quotes, {ORIGIN} AS origin FROM clean WHERE {LATEST} GROUP BY ALL", "clean")),
+    "route_fares": (_route_fares, sql(f"SELECT route_id, round(avg(total_fare), 3) AS avg_fare, count(*) AS quotes, {ORIGIN} AS origin FROM clean WHERE {LATEST} GROUP BY ALL", "clean")),
     "lead_fares": (lambda s, d: rounded(market.lead_fares(clean(s, d), "1996-05-01", "period"), 3), sql(f"SELECT lead_time, round(avg(total_fare), 3) AS avg_fare, {ORIGIN} AS origin FROM clean WHERE period = DATE '1996-05-01' GROUP BY ALL", "clean")),
-    "lead_elasticity": (lambda s, d: rounded(market.lead_elasticity(cell_table(s, d), weights(s, d), "1998-01-31", 365, period="period")),
+    "lead_elasticity": (lambda s, d: rounded(_elasticity(s, d)),
         sql(f"""SELECT lead_time, round(level, 4) AS level, round(level / r * 100, 4) AS "index", round({pct("r", "level")}, 4) AS premium_pct, round(CASE WHEN lead_time = 7 THEN 0 ELSE ln(level / r) / ln(lead_time / 7.0) END, 4) AS elasticity FROM
             (SELECT *, max(CASE WHEN lead_time = 7 THEN level END) OVER () AS r FROM (SELECT lead_time, sum(weight * price) / sum(weight) AS level FROM cells JOIN weights USING (route_id)
             WHERE period <= DATE '1998-01-31' AND period > DATE '1998-01-31' - 365 GROUP BY ALL))""", "cells", "weights")),
-    "booking_summary": (lambda s, d: rounded(market.booking_summary(market.lead_elasticity(cell_table(s, d), weights(s, d), "1998-01-31", 365, period="period"))),
+    "booking_summary": (lambda s, d: rounded(market.booking_summary(_elasticity(s, d))),
         sql(f"""SELECT arg_min(lead_time, level) AS trough_lead, round(min(level), 4) AS trough, round(-({pct("max(CASE WHEN lead_time = 1 THEN level END)", "min(level)")}), 4) AS saving_pct, round({pct("min(level)", "max(CASE WHEN lead_time = 45 THEN level END)")}, 4) AS late_rise_pct
             FROM (SELECT lead_time, sum(weight * price) / sum(weight) AS level FROM cells JOIN weights USING (route_id) WHERE period <= DATE '1998-01-31' AND period > DATE '1998-01-31' - 365 GROUP BY ALL)""", "cells", "weights")),
     "channel_wedge": (lambda s, d: rounded(market.channel_wedge(clean(s, d), column="period", every_date=True), 3),
@@ -482,7 +582,18 @@ QUERIES = {
         round(1 - rest / syy, 2) AS r2, n_rows FROM (SELECT *, rest / (n_rows - 3) AS v FROM (SELECT *, syy - b1 * s1y - b2 * s2y AS rest FROM (SELECT *, (s1y * s22 - s2y * s12) / d AS b1, (s2y * s11 - s1y * s12) / d AS b2 FROM
         (SELECT *, s11 * s22 - s12 * s12 AS d FROM (SELECT route_id, count(*) AS n_rows, avg(quotes) AS m1, avg(quality) AS m2, avg(price) AS my, count(*) * var_pop(quotes) AS s11, count(*) * var_pop(quality) AS s22, count(*) * var_pop(price) AS syy,
         count(*) * covar_pop(quotes, quality) AS s12, count(*) * covar_pop(quotes, price) AS s1y, count(*) * covar_pop(quality, price) AS s2y FROM prices GROUP BY route_id))))), (SELECT unnest(['intercept', 'quotes', 'quality']) AS term)""", "prices")),
-    "driver_regression": (_drivers, None),
+    "driver_regression": (_drivers, sql("""SELECT term, round(beta, 3) AS beta, round(beta / sqrt(rest / (n - 4) * factor), 3) AS t, round(1 - rest / syy, 3) AS r2, n AS n_rows, round(beta * 100, 3) AS effect, abs(beta / sqrt(rest / (n - 4) * factor)) >= 2 AS significant
+        FROM (SELECT *, unnest(['intercept', 'quantity', 'total', 'lines']) AS term, unnest([b0, b1, b2, b3]) AS beta, unnest([1.0 / n + lever, i11, i22, i33]) AS factor FROM slopes)""", "slopes")),
+    "driver_readings": (lambda s, d: validation.shown_readings(_readings(s, d), DRIVERS).withColumn("value", F.round(F.col("value") + 1e-7, 3)),  # means of cents often end on a tie
+        sql("""SELECT unnest(['quantity', 'total', 'lines']) AS name, period, round(unnest([quantity, total, lines]) + 1e-7, 3) AS value FROM (SELECT * FROM readings WHERE period > (SELECT min(period) FROM readings) ORDER BY period DESC LIMIT 18)""", "readings")),
+    "mape_level": (_error_of_levels, sql("SELECT round(avg(abs((x - y) / y)) * 100, 3) AS mape, count(*) AS periods FROM pairs", "pairs")),
+    "month_end_series": (_month_end, sql(f"""SELECT period, round(value, 3) AS value, n, round({pct("a", "value")}, 3) AS change, round({pct("b", "value")}, 3) AS yoy FROM (SELECT *, lag(value) OVER (ORDER BY period) AS a, lag(value, 12) OVER (ORDER BY period) AS b FROM
+        (SELECT strftime(obs_date, '%Y-%m') AS period, arg_max(fare, obs_date) AS value, count(*) AS n FROM (SELECT obs_date, avg(total_fare) AS fare FROM priced GROUP BY obs_date) GROUP BY ALL))""", "priced")),
+    "sketched_medians": (_sketched, sql("SELECT route_id, round(avg(quality), 9) AS quality, count(*) AS quotes, true AS close FROM clean GROUP BY ALL", "clean")),
+    "daily_views": (_daily_views, sql(f"""SELECT 'route' AS view, route_id AS key, round(avg(total_fare), 3) AS value, {ORIGIN} AS origin FROM clean WHERE {LATEST} GROUP BY ALL
+        UNION ALL SELECT 'lead', CAST(lead_time AS VARCHAR), round(avg(total_fare), 3), {ORIGIN} FROM clean WHERE {LATEST} GROUP BY lead_time
+        UNION ALL SELECT 'wedge_pct', route_id, round({pct("a", "o")}, 3), NULL FROM (SELECT route_id, avg(total_fare) FILTER (k = 'airline') AS a, avg(total_fare) FILTER (k = 'ota') AS o
+            FROM (SELECT *, {case("source_id", dims.SOURCE_KIND)} AS k FROM clean WHERE {LATEST}) GROUP BY ALL) WHERE a IS NOT NULL AND o IS NOT NULL""", "clean")),
     "sweep_audit": (lambda s, d: rounded(audit.sweep_audit(views.sweep_log(s, d), 10), 3),
         sql("SELECT date, source_id, requests, raw_quotes, http_errors, retries, block_events, round(duration_ms, 3) AS duration_ms, status FROM audit", "audit")),
     "run_totals": (lambda s, d: audit.run_totals(audit.sweep_audit(views.sweep_log(s, d), 10)),
@@ -503,11 +614,16 @@ QUERIES = {
     "challenge_pages": (lambda s, d: pages.flag_challenges(views.table(s, d, "pages"), (*pages.CHALLENGES, "error")).select("page_id", "blocked"),
         "SELECT page_id, regexp_matches(lower(html), 'captcha|unusual traffic|verify you are human|access denied|cf-challenge|_incapsula_resource|error') AS blocked FROM pages"),
     "extract_quotes": (_pages, None),
-    "report_headline": (_headline, None),
+    "report_headline": (_headline, sql(f"""SELECT 'headline' AS section, unnest(['value', 'smoothed', 'dod', 'wow', 'mom', 'yoy', 'nominal', 'quality_index']) AS key,
+        round(unnest([value, smoothed, COALESCE({pct("b", "smoothed")}, 0), {pct("w", "smoothed")}, COALESCE({pct("b", "smoothed")}, 0), COALESCE({pct("y", "smoothed")}, 0), nominal, quality_index]), 3) AS value FROM
+        (SELECT *, lag(smoothed) OVER o AS b, COALESCE(lag(smoothed, 7) OVER o, first_value(smoothed) OVER o) AS w, lag(smoothed, 365) OVER o AS y FROM smooth WINDOW o AS (ORDER BY date)) WHERE date = (SELECT max(date) FROM smooth)
+        UNION ALL SELECT 'month', 'percent', round({pct("m", "smoothed")}, 3) FROM (SELECT date, smoothed, lag(smoothed) OVER (ORDER BY date) AS m FROM smooth) WHERE date = (SELECT max(date) FROM smooth)
+        UNION ALL SELECT unnest(['route_fare', 'route_change_pct', 'route_weight_pct']), route_id, round(unnest([price, (relative - 1) * 100, weight * 100]), 3) FROM
+            (SELECT * FROM relatives WHERE period = (SELECT max(period) FROM relatives) ORDER BY weight DESC, route_id LIMIT 8)""", "smooth")),
     "report_series": (lambda s, d: rounded(reports.series_report(points(s, d), "month"), 3),
         sql(f"""SELECT period, round(value, 3) AS value, CAST(1 AS BIGINT) AS n, round({pct("a", "value")}, 3) AS change, round({pct("b", "value")}, 3) AS yoy FROM (SELECT *, lag(value) OVER (ORDER BY period) AS a, lag(value, 12) OVER (ORDER BY period) AS b
             FROM (SELECT strftime(date, '%Y-%m') AS period, smoothed AS value FROM smooth))""", "smooth")),
-    "report_sub_indices": (lambda s, d: rounded(reports.sub_index_report(with_region(kept_cells(s, d)), weights(s, d), BASE, "period", 24, half_window=3, unit="month").select("grouping", "key", "period", "rebased"), 3),
+    "report_sub_indices": (_sub_indices,
         sql("""SELECT grouping, key, period, round(level / first_value(level) OVER (PARTITION BY grouping, key ORDER BY period) * 100, 3) AS rebased FROM (
             SELECT 'lead_time' AS grouping, CAST(lead_time AS VARCHAR) AS key, period, sum(weight * price) / sum(weight) AS level FROM cells JOIN weights USING (route_id) GROUP BY lead_time, period QUALIFY row_number() OVER (PARTITION BY lead_time ORDER BY period DESC) <= 24
             UNION ALL SELECT 'region', region, period, sum(weight * price) / sum(weight) FROM cells JOIN weights USING (route_id) GROUP BY region, period QUALIFY row_number() OVER (PARTITION BY region ORDER BY period DESC) <= 24)""", "cells", "weights")),

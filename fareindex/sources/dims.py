@@ -8,31 +8,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The published basket, its carriers, lead windows, fare classes and sources.
-ROUTES = [  # route, distance in km, traffic weight, fare bias, region
-    ("DEL-BOM", 1380, 4.2, 1.02, "West"),
-    ("DEL-BLR", 1650, 3.6, 1.06, "South"),
-    ("DEL-HYD", 1250, 2.9, 1.0, "South"),
-    ("BOM-BLR", 850, 2.4, 1.12, "South"),
-    ("DEL-CCU", 1480, 2.1, 0.97, "East"),
-    ("BLR-HYD", 570, 1.9, 1.04, "South"),
-    ("MAA-DEL", 1100, 1.8, 1.0, "South"),
-    ("BLR-COK", 1380, 1.7, 0.93, "South"),
-    ("DEL-COK", 1930, 1.6, 0.95, "South"),
-    ("DEL-JAI", 1150, 1.5, 1.01, "North"),
-    ("HYD-BOM", 710, 1.4, 1.09, "West"),
-    ("DEL-PNQ", 1270, 1.3, 1.03, "West"),
-    ("DEL-TRV", 1750, 1.1, 0.9, "South"),
-    ("CCU-BLR", 1400, 1.1, 0.96, "East"),
-    ("DEL-IXC", 460, 1.0, 1.12, "North"),
-    ("BLR-MAA", 290, 1.0, 1.22, "South"),
-    ("BOM-CCU", 1680, 1.0, 0.94, "East"),
-    ("HYD-CCU", 1250, 0.9, 0.92, "East"),
-    ("BOM-GOI", 590, 0.9, 1.26, "West"),
-    ("PNQ-BLR", 840, 0.7, 1.05, "West"),
-    ("CCU-PNQ", 1180, 0.6, 0.91, "East"),
-    ("DEL-VNS", 780, 0.6, 1.08, "North"),
-    ("IDR-DEL", 1100, 0.6, 1.0, "Central"),
-    ("DEL-LKO", 400, 0.5, 1.15, "North"),
+ROUTES = [  # route, traffic weight, region
+    ("DEL-BOM", 4.2, "West"),
+    ("DEL-BLR", 3.6, "South"),
+    ("DEL-HYD", 2.9, "South"),
+    ("BOM-BLR", 2.4, "South"),
+    ("DEL-CCU", 2.1, "East"),
+    ("BLR-HYD", 1.9, "South"),
+    ("MAA-DEL", 1.8, "South"),
+    ("BLR-COK", 1.7, "South"),
+    ("DEL-COK", 1.6, "South"),
+    ("DEL-JAI", 1.5, "North"),
+    ("HYD-BOM", 1.4, "West"),
+    ("DEL-PNQ", 1.3, "West"),
+    ("DEL-TRV", 1.1, "South"),
+    ("CCU-BLR", 1.1, "East"),
+    ("DEL-IXC", 1.0, "North"),
+    ("BLR-MAA", 1.0, "South"),
+    ("BOM-CCU", 1.0, "East"),
+    ("HYD-CCU", 0.9, "East"),
+    ("BOM-GOI", 0.9, "West"),
+    ("PNQ-BLR", 0.7, "West"),
+    ("CCU-PNQ", 0.6, "East"),
+    ("DEL-VNS", 0.6, "North"),
+    ("IDR-DEL", 0.6, "Central"),
+    ("DEL-LKO", 0.5, "North"),
 ]
 CARRIERS = [  # code, group, seat share, fare index, amenity
     ("6E", "LCC", 0.42, 0.97, 0.74),
@@ -42,25 +42,25 @@ CARRIERS = [  # code, group, seat share, fare index, amenity
     ("IX", "LCC", 0.13, 0.88, 0.66),
 ]
 LEADS = {1: 0.08, 7: 0.42, 15: 0.22, 30: 0.18, 45: 0.10}
-FARE_CLASSES = [  # code, price factor, quality, legroom, meals, changeability, carbon in kg
-    ("SAVER", 0.78, 0.7, 30, 0.0, 0.0, 0.17),
-    ("VALUE", 1.0, 0.95, 32, 1.0, 0.5, 0.16),
-    ("FLEX", 1.34, 1.22, 36, 1.0, 1.0, 0.18),
-    ("PREMIUM", 1.85, 1.55, 38, 1.4, 0.8, 0.22),
-    ("BIZ", 3.6, 2.4, 44, 2.0, 1.0, 0.31),
+FARE_CLASSES = [  # code, quality
+    ("SAVER", 0.7),
+    ("VALUE", 0.95),
+    ("FLEX", 1.22),
+    ("PREMIUM", 1.55),
+    ("BIZ", 2.4),
 ]
-SOURCES = [  # id, kind, carrier, convenience fee, bundle discount
-    ("indigo", "airline", "6E", 0.0, 0.0),
-    ("airindia", "airline", "AI", 0.0, 0.0),
-    ("akasaair", "airline", "QP", 0.0, 0.0),
-    ("spicejet", "airline", "SG", 0.0, 0.0),
-    ("aiaexpress", "airline", "IX", 0.0, 0.0),
-    ("makemytrip", "ota", None, 48.0, 0.06),
-    ("yatra", "ota", None, 40.0, 0.05),
-    ("easemytrip", "ota", None, 35.0, 0.04),
-    ("cleartrip", "ota", None, 55.0, 0.07),
-    ("ixigo", "ota", None, 42.0, 0.05),
-    ("goibibo", "ota", None, 44.0, 0.05),
+SOURCES = [  # id, kind, carrier, convenience fee
+    ("indigo", "airline", "6E", 0.0),
+    ("airindia", "airline", "AI", 0.0),
+    ("akasaair", "airline", "QP", 0.0),
+    ("spicejet", "airline", "SG", 0.0),
+    ("aiaexpress", "airline", "IX", 0.0),
+    ("makemytrip", "ota", None, 48.0),
+    ("yatra", "ota", None, 40.0),
+    ("easemytrip", "ota", None, 35.0),
+    ("cleartrip", "ota", None, 55.0),
+    ("ixigo", "ota", None, 42.0),
+    ("goibibo", "ota", None, 44.0),
 ]
 DEFAULT_QUALITY = 0.95
 INCLUSIVE_TAX = 0.194
@@ -70,7 +70,7 @@ REFERENCE_FARE_INDEX = 0.97
 FARE_INDEX = {code: index for code, _, _, index, _ in CARRIERS}
 SEAT_SHARE = {code: share for code, _, share, _, _ in CARRIERS}
 AMENITY = {code: amenity for code, _, _, _, amenity in CARRIERS}
-CLASS_QUALITY = {row[0]: row[2] for row in FARE_CLASSES}
+CLASS_QUALITY = dict(FARE_CLASSES)
 SOURCE_FEE = {row[0]: row[3] for row in SOURCES}
 SOURCE_KIND = {row[0]: row[1] for row in SOURCES}
 
@@ -84,8 +84,8 @@ def lookup(key: Column, table: dict, default=None) -> Column:
 
 
 def routes(spark: SparkSession) -> DataFrame:
-    rows = [(r, *r.split("-"), km, w, bias, region) for r, km, w, bias, region in ROUTES]
-    return spark.createDataFrame(rows, "route_id string, origin string, destination string, distance_km int, traffic_weight double, fare_bias double, region string")
+    rows = [(r, *r.split("-"), w, region) for r, w, region in ROUTES]
+    return spark.createDataFrame(rows, "route_id string, origin string, destination string, traffic_weight double, region string")
 
 
 def route_weights(routes: DataFrame) -> DataFrame:
@@ -103,8 +103,8 @@ def leads(spark: SparkSession) -> DataFrame:
 
 
 def fare_classes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FARE_CLASSES, "fare_class string, price_factor double, quality double, legroom int, meals double, changeability double, carbon_kg double")
+    return spark.createDataFrame(FARE_CLASSES, "fare_class string, quality double")
 
 
 def sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SOURCES, "source_id string, kind string, carrier string, convenience_fee double, bundle_discount double")
+    return spark.createDataFrame(SOURCES, "source_id string, kind string, carrier string, convenience_fee double")

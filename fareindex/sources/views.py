@@ -82,6 +82,14 @@ def covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return months.groupBy(month_key(F.col("o_orderdate")).alias("period")).agg(F.avg("l_quantity").alias("quantity"), F.avg("o_totalprice").alias("total"), F.count("*").cast("double").alias("lines"))
 
 
+def daily_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, quantity, total, lines): each order day's means and number of lines, from lines added up by order first."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("q"), F.count("*").alias("n"))
+    each = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"), "o_totalprice").join(lines, "o_orderkey")
+    sums = each.groupBy("date").agg(F.sum("q").alias("q"), F.sum("n").alias("n"), F.sum(F.col("o_totalprice") * F.col("n")).alias("t"))
+    return sums.select("date", (F.col("q") / F.col("n")).alias("quantity"), (F.col("t") / F.col("n")).alias("total"), F.col("n").cast("double").alias("lines"))
+
+
 def sweep_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a sweep's counters."""
     events = table(spark, sf_dir, "events")

@@ -136,8 +136,9 @@ def test_missing_base_and_missing_routes(spark):
     prices = cells.route_prices(basket(spark, 2.0).where("route_id in ('DEL-BOM', 'DEL-LKO')"))
     none = spark.createDataFrame([], "route_id string, price_0 double, quality_0 double")
     found = indexing.route_relatives(prices, none, weights)
-    assert indexing.build_index(found).first()["value"] == pytest.approx(100 * 4.7 / 36.4)
-    assert indexing.build_index(found, missing="renormalize").first()["value"] == pytest.approx(100.0)
+    assert indexing.build_index(found).first()["value"] == pytest.approx(100 * 4.7 / 36.4 / 0.95)  # against quality 1
+    assert indexing.build_index(found, missing="renormalize").first()["value"] == pytest.approx(100.0 / 0.95)
+    assert indexing.build_index(found, missing="renormalize").first()["nominal"] == pytest.approx(100.0)
 
 
 def daily(spark, n=800, f=lambda i: 100 + 0.05 * i):
@@ -342,7 +343,7 @@ def test_point_store_and_base_store(spark, tmp_path):
     d = dt.date
     io.upsert_points(spark, path, rows([d(2026, 1, 1), d(2026, 1, 2), d(2026, 2, 1)], 1.0))
     io.upsert_points(spark, path, rows([d(2026, 1, 2), d(2026, 3, 1)], 2.0))
-    got = {str(r["date"]): r["value"] for r in spark.read.parquet(path).collect()}
+    got = {str(r["date"]): r["value"] for r in io.read_points(spark, path).collect()}
     assert got == {"2026-01-01": 1.0, "2026-01-02": 2.0, "2026-02-01": 1.0, "2026-03-01": 2.0}
     where = f"file://{tmp_path}/base"
     first = io.load_or_seed_base(spark, where, cells.route_prices(basket(spark)), "2026-09-30").collect()

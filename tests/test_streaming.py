@@ -24,11 +24,11 @@ def test_stream_drops_repeats_and_keeps_points_current(spark, tmp_path):
 
     run()
     assert io.read_quotes(spark, raw).count() == 2
-    first = spark.read.parquet(points).collect()
+    first = io.read_points(spark, points).collect()
     feed(tmp_path, {6: [as_json(), as_json(fare_text="₹9,000", collected_at=dt.datetime(2026, 9, 30, 6))]})
     run()
     assert io.read_quotes(spark, raw).count() == 3
-    last = spark.read.parquet(points).collect()
+    last = io.read_points(spark, points).collect()
     assert len(first) == len(last) == 1 and last[0]["value"] > first[0]["value"]
     prices = cells.route_prices(cells.cell_prices(clean_quotes(io.read_quotes(spark, raw))))
     assert abs(indexing.build_index(indexing.route_relatives(prices, base, weights)).first()["value"] - last[0]["value"]) < 1e-9
