@@ -67,6 +67,8 @@ def token_ids(text: str, path: str) -> np.ndarray:
         ids = full.encode(text, add_special_tokens=False).ids
     else:
         ids = fast.encode_to_numpy(text)
+    if len(ids) and np.max(ids) >= TERMS:
+        raise ValueError(f"ids are stored in 16 bits; the tokenizer of {path} has more")
     return np.append(ids, END).astype(np.uint16)
 
 
