@@ -14,6 +14,7 @@ import string
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +28,8 @@ CONTAINED = 80  # per cent of a phrase's occurrences that lie in a longer candid
 HELD = 1 << 19  # phrases that a task holds before it spills
 BURST = 1 << 12  # keys of a container before it bursts
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
-PARTS, SALTS = 1 << 12, 64  # partitions of first words; parts of one of them by the second word
+PARTS = 1 << 12  # partitions of merged runs; more where shuffles have many
+ROOTS, SALTS = 1 << 20, 64  # a partition is that of a hash of the first word, and of one of the second in so many
 BUFFERED = 1 << 20  # words that wait for being counted together
 FOLD = bytes.maketrans(string.ascii_uppercase.encode() + b",;:!?\n\x0b\x0c\r", string.ascii_lowercase.encode() + b"." * 9)  # separators become "."
 
@@ -65,16 +67,17 @@ class HatTrie:
             self.top[first] = node
             self.nodes.add(first)
 
-    def take(self, first: int) -> list[tuple[tuple, int]]:
-        """The subtree of a first id, which leaves the trie."""
+    def take(self, first: int) -> tuple[list[tuple], list[int]]:
+        """The subtree of a first id, which leaves the trie: what follows it, and the numbers."""
         at = self.top.pop(first)
         if first in self.nodes:
             self.nodes.discard(first)
-            found = [((first, second, *rest), n) for second, low in at.items() for rest, n in low.items()]
+            rests = [(second, *rest) for second, low in at.items() for rest in low]
+            counts = [n for low in at.values() for n in low.values()]
         else:
-            found = [((first, *rest), n) for rest, n in at.items()]
-        self.size -= len(found)
-        return found
+            rests, counts = list(at), list(at.values())
+        self.size -= len(rests)
+        return rests, counts
 
     def largest(self) -> list[int]:
         """First ids, those of the largest subtrees first."""
@@ -178,8 +181,9 @@ def sequences(line: np.ndarray, sizes: range, linked: np.ndarray):
             yield rows, n
 
 
-def _counts(docs: DataFrame, lengths: range, words=None, pairs=None, held: int = HELD, burst: int = BURST) -> DataFrame:
-    """(lang, phrase, f) of the phrases of so many words, all of whose words and pairs are in the bitmaps; of single words also '' with their number."""
+def _counts(docs: DataFrame, lengths: range, least: int = LEAST, words=None, pairs=None, held: int = HELD, burst: int = BURST) -> DataFrame:
+    """(lang, phrase, f) of the phrases of so many words with f >= `least`, all of whose words and pairs are in the bitmaps; of single words also '' with their number."""
+    parts = max(PARTS, 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def start():
         known, pairing = (b and Bitmap(*b.value) for b in (words, pairs))
@@ -215,14 +219,25 @@ def _counts(docs: DataFrame, lengths: range, words=None, pairs=None, held: int =
                 waiting.append(line)
 
         def runs(firsts):
-            out = {"lang": [], "part": [], "phrase": [], "f": []}
+            """Sorted runs, one for each language and partition: phrases and numbers of the subtrees."""
+            of: dict[bytes, tuple[list, list, list]] = {}
             for first in firsts:
-                found = trie.take(first)
-                part = hashes[first] % PARTS * SALTS
-                run = sorted([(b" ".join([names[k] for k in key]), part + hashes[key[1]] % SALTS if len(key) > 1 else part, n) for key, n in found])
-                for name, values in zip(("phrase", "part", "f"), zip(*run)):
-                    out[name] += values
-                out["lang"] += [langs[first]] * len(run)
+                rests, counts = trie.take(first)
+                phrase, part, number = of.setdefault(langs[first], ([], [], []))
+                begin, root = names[first], hashes[first] % ROOTS * SALTS
+                phrase += [b" ".join([begin, *[names[k] for k in rest]]) for rest in rests]
+                part += [root + hashes[rest[0]] % SALTS for rest in rests] if rests[0] else [root]
+                number += counts
+            out = {"lang": [], "part": [], "phrases": [], "numbers": []}
+            for lang, (phrase, part, number) in of.items():
+                part, number = np.array(part) % parts, np.array(number, np.int64)
+                order = np.argsort(part, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                    run = sorted(at.tolist(), key=phrase.__getitem__)
+                    out["lang"].append(lang)
+                    out["part"].append(int(part[run[0]]))
+                    out["phrases"].append(b"\n".join([phrase[i] for i in run]))
+                    out["numbers"].append(number[run].tobytes())
             return out
 
         def flush(last):
@@ -243,30 +258,59 @@ def _counts(docs: DataFrame, lengths: range, words=None, pairs=None, held: int =
                     column.clear()
             if last:
                 for lang, n in totals.items():
-                    for name, value in (("lang", lang), ("part", 0), ("phrase", b""), ("f", n)):
+                    for name, value in (("lang", lang), ("part", 0), ("phrases", b""), ("numbers", np.int64(n).tobytes())):
                         out[name].append(value)
             return out
 
         return add, flush
 
     sent = docs.select(F.coalesce("lang", F.lit("und")).cast("binary").alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    spilled = gather_texts(sent, start, "lang binary, part int, phrase binary, f long")
-    merged = spilled.repartition("lang", "part").groupBy("lang", "part", "phrase").agg(F.sum("f").alias("f"))
-    return merged.select(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"), "f")
+    spilled = gather_texts(sent, start, "lang binary, part int, phrases binary, numbers binary")
+    dealt = spilled.repartition("part").sortWithinPartitions("part", "lang")
+    return dealt.mapInArrow(_merged(least), "lang string, phrase string, f long")
+
+
+def _merged(least: int):
+    """Merges the runs of each partition and language, which follow one another; keeps phrases of `least` occurrences, and ''."""
+
+    def run(batches):
+        before, held = None, {}
+
+        def kept():
+            found = [(p, n) for p, n in held.items() if n >= least or not p]
+            columns = [[before[0].decode()] * len(found), [p.decode() for p, _ in found], [n for _, n in found]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["lang", "phrase", "f"])
+
+        for batch in batches:
+            for lang, part, phrases, numbers in zip(*(batch.column(c).to_pylist() for c in ("lang", "part", "phrases", "numbers"))):
+                if before != (lang, part):
+                    if held:
+                        yield kept()
+                    before, held = (lang, part), {}
+                numbers, phrases = np.frombuffer(numbers, np.int64).tolist(), phrases.split(b"\n")
+                if held:
+                    get = held.get
+                    for phrase, n in zip(phrases, numbers):
+                        held[phrase] = get(phrase, 0) + n
+                else:
+                    held = dict(zip(phrases, numbers))
+        if held:
+            yield kept()
+
+    return run
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, held: int = HELD, burst: int = BURST) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, f) of all phrases of 1 to `longest` words with f >= `least`, (lang, n) of every language with words)."""
-    kept = F.col("f") >= least
-    words = checkpointed(_counts(docs, range(1, 2), held=held, burst=burst).where(kept | (F.col("phrase") == "")))
+    words = checkpointed(_counts(docs, range(1, 2), least, held=held, burst=burst))
     totals = words.where("phrase = ''").groupBy("lang").agg(F.sum("f").alias("n"))
-    found = words = words.where(kept & (F.col("phrase") != ""))
+    found = words = words.where("phrase <> ''")
     if longest > 1:
         known = frequent(words)
-        pairs = checkpointed(_counts(docs, range(2, 3), known, held=held, burst=burst).where(kept))
+        pairs = checkpointed(_counts(docs, range(2, 3), least, known, held=held, burst=burst))
         found = found.union(pairs)
         if longest > 2:
-            longer = checkpointed(_counts(docs, range(3, longest + 1), known, frequent(pairs), held, burst).where(kept))
+            longer = checkpointed(_counts(docs, range(3, longest + 1), least, known, frequent(pairs), held, burst))
             found = found.union(longer)
     return found, totals
 

@@ -230,7 +230,7 @@ def test_burst_trie_keeps_counts():
     assert trie.size == len(want) and trie.nodes
     got = {}
     for first in trie.largest():
-        got |= dict(trie.take(first))
+        got |= {(first, *rest): n for rest, n in zip(*trie.take(first))}
     assert got == want and trie.size == 0
 
 
