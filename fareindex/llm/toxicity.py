@@ -166,7 +166,7 @@ def train_network(docs: list[np.ndarray], buckets: np.ndarray, labels: list[int]
             part = order[lo : lo + batch]
             for i in part:
                 rows = buckets[docs[i]] if len(docs[i]) else np.zeros((0, 5), np.int64)
-                keep = (rng.random(len(model.out)) > 0.2) / 0.8  # dropout
+                keep = ((rng.random(len(model.out)) > 0.2) / 0.8).astype(np.float32)  # dropout
                 own, words, by = gradient(model, params, rows, y[i], weight[i] / len(part), keep)
                 for k, g in own.items():
                     grad[k] += g
