@@ -32,6 +32,7 @@ COMPARED = 1_024  # prints of a bucket that are compared with each other; more m
 SIMILAR = 0.8  # least share of common shingles of a similar pair
 BANDS, BAND_ROWS = 24, 6  # a pair at 0.8 shares a band with probability 0.9993
 BROADCAST_ROWS = 1_000_000  # of two or three numbers each
+FEW_LINKS = 250_000  # links of two keys each that one task takes
 SALTS = 64  # parts of a crowded band or of the pairs of one text
 
 
@@ -209,12 +210,16 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
 
     Alternating large-star and small-star steps: each replaces a vertex's links
     by links to its least neighbour, so hubs shrink instead of multiplying.
-    Every round is checkpointed; it ends when a round changes nothing.
+    Every round is checkpointed; it ends when a round changes nothing. Up to
+    `FEW_LINKS` links (no round adds any) are read as one partition, whose rounds
+    need no shuffle; more are dealt by vertex.
     """
     edges = checkpointed(links)
+    few = edges.count() <= FEW_LINKS
     before = None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("v", "u")
+        both = both.coalesce(1) if few else both
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
         large = both.where("u > v").join(least, "v").select(F.col("u").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
