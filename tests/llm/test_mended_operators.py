@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from fareindex.llm import pii, secret_scan, toxicity
+from fareindex.llm import pii, secret_scan, simhash, toxicity
 
 
 def test_a_text_of_twenty_thousand_addresses(spark):
@@ -98,3 +98,17 @@ def test_gradient_equals_differences(n, label):
             low = loss()
             flat[at] = was
             assert own[at] == pytest.approx((high - low) / 2e-6, abs=1e-6), (name, at)
+
+
+def test_components_are_the_same_in_one_partition_and_dealt(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = {tuple(sorted(rng.sample(range(60), 2), reverse=True)) for _ in range(45)}
+    root = list(range(60))
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {(a, r) for a, r in enumerate(root) if a != r}
+    links = spark.createDataFrame(sorted(pairs), "a long, b long")
+    for few in (simhash.FEW_LINKS, 0):
+        monkeypatch.setattr(simhash, "FEW_LINKS", few)
+        assert {tuple(r) for r in simhash.components(links).collect()} == want
