@@ -27,6 +27,7 @@ SHINGLE, PERCENT = 2, 80
 BANDS, BAND_ROWS = 32, 5  # a pair at 0.8 shares a band with probability 1 - 3e-6
 HASHES, BITS = 256, 2  # minima in a signature, low bits of each
 SEED = 42
+SIGNATURE = "n long, v binary, packed binary, keys array<long>"  # columns of `signatures`
 FIRST = 4  # bands that are worked off before the others
 #: Equal codes of a pair at the least similarity, less 5 standard deviations; by chance alone a code in four is equal.
 EQUAL = 2.0**-BITS + (1 - 2.0**-BITS) * PERCENT / 100
@@ -86,6 +87,17 @@ def _keys(least: np.ndarray) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(bands)], np.uint64).view(np.int64).tolist()
 
 
+def signatures(sets: list[np.ndarray]) -> dict:
+    """Size, digest, packed minima and band keys of each set of shingles; an empty set has no digest and no keys."""
+    least = [minima(s) for s in sets]
+    return {
+        "n": [len(s) for s in sets],
+        "v": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
+        "packed": [packed(x) for x in least],
+        "keys": [_keys(x) if len(s) else [] for x, s in zip(least, sets)],
+    }
+
+
 def _sized(n: np.ndarray, one, others) -> np.ndarray:
     """Whether the sizes of two sets allow the least similarity."""
     return 100 * np.minimum(n[one], n[others]) >= PERCENT * np.maximum(n[one], n[others])
@@ -179,7 +191,7 @@ def _proposals(members: DataFrame) -> DataFrame:
     return found.where("not crowded").select("one", "other").union(best).distinct()
 
 
-def _confirmed(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     """(one, other, similar) of each pair, decided on whole sets; texts with many pairs are dealt in `SALTS` parts."""
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("one"), F.lit(SALTS)))
     others = pairs.select("other", "salt").distinct().join(whole.toDF("other", "right"), "other")
@@ -204,7 +216,7 @@ def _still_open(members: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(m.join(_small(checkpointed(keys)), "key").select("key", F.struct("v", "packed", "n", "root").alias("m")))
 
 
-def _settled(members: DataFrame, whole: DataFrame, checked: DataFrame) -> DataFrame:
+def settled(members: DataFrame, whole: DataFrame, checked: DataFrame) -> DataFrame:
     """(a, b): links of all open pairs that a bucket still has, of a crowd a forest of them."""
 
     def look(key, crowded, v, codes, n, root, group):
@@ -215,7 +227,7 @@ def _settled(members: DataFrame, whole: DataFrame, checked: DataFrame) -> DataFr
 
     found = checkpointed(_in_groups(_dealt(members, F.lit(1), MEMBERS), look, "key long, one binary, other binary"))
     few = found.where("key is null").select("one", "other").distinct().join(checked.select("one", "other"), ["one", "other"], "left_anti")
-    links = _confirmed(few, whole).where("similar").select("one", "other")
+    links = confirmed(few, whole).where("similar").select("one", "other")
     if found.where("key is not null").isEmpty():
         return links
     crowd = found.where("key is not null").select("key", F.col("one").alias("v")).distinct()
@@ -250,20 +262,10 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
     row = F.struct(F.coalesce(id_, F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
 
     def start():
-        def work(texts):
-            sets = [shingle_set(t) for t in texts]
-            least = [minima(s) for s in sets]
-            return {
-                "n": [len(s) for s in sets],
-                "v": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                "packed": [packed(x) for x in least],
-                "keys": [_keys(x) if len(s) else [] for x, s in zip(least, sets)],
-            }
-
-        return work
+        return lambda texts: signatures([shingle_set(t) for t in texts])
 
     sent = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), id_.alias("id"), row.alias("row"), text.alias("text"))
-    marked = checkpointed(map_texts(sent, start, "n long, v binary, packed binary, keys array<long>", ["kept", "id", "row"]))
+    marked = checkpointed(map_texts(sent, start, SIGNATURE, ["kept", "id", "row"]))
     worded = marked.where("v is not null")
     texts = checkpointed(worded.groupBy("v").agg(F.min(F.struct("row", "n", "packed", "keys")).alias("t"), F.min("id").alias("id")).select("v", "t.*", "id"))
     links = _links(texts, docs.select(row.alias("row"), text.alias("text")))
@@ -275,7 +277,7 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
     return found.select("kept.*", F.col("n").alias(names[0]), component.alias(names[1]), F.col("id").eqNullSafe(component).alias(names[2]))
 
 
-def _members(texts: DataFrame, lo: int, hi: int) -> DataFrame:
+def open_members(texts: DataFrame, lo: int, hi: int) -> DataFrame:
     """(key, m): members of the buckets of bands lo to hi with more than one root, each bucket once; `texts`: v, packed, n, keys, root."""
     keyed = texts.select("v", "root", F.explode(F.slice("keys", lo + 1, hi - lo)).alias("key"))
     tags = [F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "v")).alias("y")]
@@ -291,14 +293,14 @@ def _rooted(texts: DataFrame, links: DataFrame | None) -> DataFrame:
     return texts.join(components(links).select(F.col("a").alias("v"), "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
 
 
-def _whole(members: DataFrame, texts: DataFrame, docs: DataFrame, before: DataFrame | None) -> DataFrame:
-    """(v, shingles): `before` and the sets of the members that it lacks."""
-    used = members.select("m.v").distinct()
+def whole_sets(used: DataFrame, texts: DataFrame, docs: DataFrame, before: DataFrame | None, shingle: int = SHINGLE) -> DataFrame:
+    """(v, shingles): `before` and the sets of the v in `used` that it lacks; `texts`: row, v; `docs`: row, text."""
+    used = used.distinct()
     used = used if before is None else used.join(before.select("v"), "v", "left_anti")
     rows = checkpointed(texts.select("row", "v").join(used, "v"))
 
     def start():
-        return lambda texts: {"shingles": [shingle_set(t).view(np.int64) for t in texts]}
+        return lambda texts: {"shingles": [shingle_set(t, shingle).view(np.int64) for t in texts]}
 
     sets = map_texts(docs.join(_small(rows), "row"), start, "shingles array<long>", ["v"])
     found = checkpointed(sets.groupBy("v").agg(F.first("shingles").alias("shingles")))
@@ -312,14 +314,14 @@ def _links(texts: DataFrame, docs: DataFrame) -> DataFrame:
     """
     checked = links = whole = None
     for lo, hi in ((0, FIRST), (FIRST, BANDS)):
-        now = _members(_rooted(texts, links), lo, hi)
-        whole = _whole(now, texts, docs, whole)
+        now = open_members(_rooted(texts, links), lo, hi)
+        whole = whole_sets(now.select("m.v"), texts, docs, whole)
         for _ in range(ROUNDS):
             pairs = _proposals(now)
             pairs = checkpointed(pairs if checked is None else pairs.join(checked.select("one", "other"), ["one", "other"], "left_anti"))
             if pairs.isEmpty():
                 break
-            done = _confirmed(pairs, whole)
+            done = confirmed(pairs, whole)
             checked = done if checked is None else checked.union(done)
             new = done.where("similar").select(F.col("other").alias("a"), F.col("one").alias("b"))
             if new.isEmpty():
@@ -327,7 +329,7 @@ def _links(texts: DataFrame, docs: DataFrame) -> DataFrame:
             links = new if links is None else links.union(new)
             now = _still_open(now, links)
         if checked is not None:
-            last = checkpointed(_settled(now, whole, checked).select(F.col("other").alias("a"), F.col("one").alias("b")))
+            last = checkpointed(settled(now, whole, checked).select(F.col("other").alias("a"), F.col("one").alias("b")))
             links = last if links is None else links.union(last)
     return texts.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0) if links is None else links
 

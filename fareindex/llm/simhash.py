@@ -7,14 +7,13 @@ those of a crowded bucket meet at the points one bit away from them.
 
 Two bits hold copies and nearly equal texts. `keep_representatives` also links
 texts whose sets of shingles are alike (`SIMILAR`): such texts differ in about
-ten bits, which would take 2,047 masks, so candidates for these come from bands
-of least shingle hashes, and each is checked on its whole text.
+ten bits, which would take 2,047 masks, so candidates for these come from the
+bands of `minhash`: first those at the ends of a band's bucket, then all that
+buckets still hold apart, each decided on whole sets.
 """
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,7 +29,6 @@ BITS = 64
 SLICE_SHINGLES = 1 << 16  # shingles whose bits are counted at once
 COMPARED = 1_024  # prints of a bucket that are compared with each other; more meet at points
 SIMILAR = 0.8  # least share of common shingles of a similar pair
-BANDS, BAND_ROWS = 24, 6  # a pair at 0.8 shares a band with probability 0.9993
 BROADCAST_ROWS = 1_000_000  # of two or three numbers each
 FEW_LINKS = 250_000  # links of two keys each that one task takes
 SALTS = 64  # parts of a crowded band or of the pairs of one text
@@ -66,26 +64,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return majority_bits(shingle_hashes(text, shingle))
 
 
-@cache
-def _orders() -> tuple[np.ndarray, np.ndarray]:
-    """Odd factors and shifts, one pair for each least value."""
-    factor, shift = np.random.default_rng(SEED).integers(1, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64)
-    return factor << np.uint64(1) | np.uint64(1), shift
-
-
-def band_keys(rows: np.ndarray) -> list[int]:
-    """Keys of the shingle set: for each band the hash of its `BAND_ROWS` least values, each under its own order, and of it with the next band; none without rows."""
-    if not len(rows):
-        return []
-    factor, shift = _orders()
-    hashes, least = rows.view(np.uint64), np.full(BANDS * BAND_ROWS, (1 << 64) - 1, np.uint64)
-    for lo in range(0, len(hashes), 1 << 10):
-        least = np.minimum(least, (hashes[lo : lo + (1 << 10)] * factor + shift).min(axis=0))
-    bands = [band.tobytes() for band in least.reshape(BANDS, BAND_ROWS)]
-    keys = bands + [one + two for one, two in zip(bands, bands[1:] + bands[:1])]
-    return [_signed(xxhash.xxh64_intdigest(key, k)) for k, key in enumerate(keys)]
-
-
 def similarity(one: str | None, other: str | None, shingle: int) -> float:
     """Common over all distinct word shingles of two texts."""
     a, b = (np.unique(shingle_hashes(t, shingle).view(np.uint64)) for t in (one, other))
@@ -167,42 +145,46 @@ def _small(written: DataFrame) -> DataFrame:
     return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
 
 
-def similar_links(texts: DataFrame, docs: DataFrame, row: str, shingle: int) -> DataFrame:
-    """Links (a > b) of the fingerprints of texts with a similarity of `SIMILAR` or more.
-
-    `texts`: one row of each distinct text: `hash`, `rank`, `fp`, `keys`; `docs`:
-    `row`, its rank, and `text`. Under each key a text is paired with the first
-    and the last, in one of four orders, of those that have it; a pair counts if
-    the whole texts are similar. Keys of bands are shared by less similar texts
-    too, which may hide the right partner in a crowd; keys of two bands are
-    rarely. Crowded keys and texts with many pairs are dealt in `SALTS` parts.
-    """
-    keyed = texts.select("hash", "fp", F.explode("keys").alias("key"))
+def _end_pairs(sets: DataFrame) -> DataFrame:
+    """(one, other), one < other: each set with the first and the last of every bucket that it is in, in one of four orders. Crowded keys are dealt in `SALTS` parts."""
+    keyed = sets.select("v", "fp", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    crowd = checkpointed(keyed.join(shared, "key"))
-    place = F.xxhash64("hash", F.col("key") % 4)
-    crowd = crowd.select("key", F.pmod(F.xxhash64("hash"), F.lit(SALTS)).alias("salt"), F.struct(place.alias("place"), "hash", "fp").alias("t"))
+    place = F.xxhash64("v", F.col("key") % 4)
+    crowd = checkpointed(keyed.join(shared, "key").select("key", F.pmod(F.xxhash64("v"), F.lit(SALTS)).alias("salt"), F.struct(place.alias("place"), "v", "fp").alias("t")))
     ends = lambda lo, hi: (F.min(lo).alias("lo"), F.max(hi).alias("hi"))
     parts = crowd.groupBy("key", "salt").agg(*ends("t", "t"))
     spread = parts.select("key", "salt").join(parts.groupBy("key").agg(*ends("lo", "hi")), "key")
-    pairs = crowd.join(spread, ["key", "salt"]).select("t", F.explode(F.array("lo", "hi")).alias("u")).where("t.hash != u.hash and t.fp != u.fp")
-    pairs = pairs.select("t.fp", F.col("t.hash").alias("one"), F.col("u.fp").alias("ufp"), F.col("u.hash").alias("other")).distinct()
-    pairs = checkpointed(pairs.withColumn("salt", F.pmod(F.xxhash64("one"), F.lit(SALTS))))
-    used = pairs.select(F.col("one").alias("hash")).union(pairs.select("other")).distinct()
-    ranks = checkpointed(texts.select("hash", F.col("rank").alias(row)).join(used, "hash"))
-    whole = checkpointed(docs.join(_small(ranks), row).groupBy("hash").agg(F.first("text").alias("text")))
-    others = pairs.select("other", "salt").distinct().join(whole.toDF("other", "right"), "other")
-    sides = pairs.join(whole.toDF("one", "left"), "one").join(others, ["other", "salt"])
-
-    def check(batches):
-        for batch in batches:
-            for part in slices(batch):
-                texts = zip(part.column("left").to_pylist(), part.column("right").to_pylist())
-                like = pa.array([similarity(a, b, shingle) >= SIMILAR for a, b in texts], pa.bool_())
-                yield part.select(["fp", "ufp"]).filter(like)
-
-    found = sides.select("fp", "ufp", "left", "right").mapInArrow(check, "fp long, ufp long")
-    return found.select(F.greatest("fp", "ufp").alias("a"), F.least("fp", "ufp").alias("b")).distinct()
+    pairs = crowd.join(spread, ["key", "salt"]).select("t", F.explode(F.array("lo", "hi")).alias("u")).where("t.v != u.v and t.fp != u.fp")
+    return checkpointed(pairs.select(F.least("t.v", "u.v").alias("one"), F.greatest("t.v", "u.v").alias("other")).distinct())
+
+
+def similar_links(sets: DataFrame, docs: DataFrame, links: DataFrame, shingle: int) -> DataFrame:
+    """`links` and those that connect all fingerprints of texts with a similarity of `SIMILAR` or more, as (a, b), a > b.
+
+    `sets`: `row`, `fp` and the `minhash` signature of each distinct set of
+    shingles; `docs`: `row` and `text`. Pairs at the ends of buckets link most.
+    Buckets whose sets are in several classes by then are settled exactly: every
+    pair in them that may be similar is decided on whole sets, however large the
+    bucket. What is lost is what shares none of the bands (3e-6 at 0.8) or is
+    underestimated by 5 standard deviations (3e-7).
+    """
+    from fareindex.llm import minhash  # which uses this module
+
+    def of_prints(pairs):
+        fp = checkpointed(sets.select("v", "fp").join(_small(checkpointed(pairs.select(F.explode(F.array("one", "other")).alias("v")).distinct())), "v"))
+        found = pairs.join(fp.toDF("one", "a"), "one").join(fp.toDF("other", "b"), "other")
+        return found.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+    pairs = _end_pairs(sets)
+    whole = minhash.whole_sets(pairs.select(F.explode(F.array("one", "other")).alias("v")), sets, docs, None, shingle)
+    checked = minhash.confirmed(pairs, whole)
+    links = links.union(of_prints(checked.where("similar").select("one", "other"))).distinct()
+    roots = components(links).withColumnRenamed("a", "fp")
+    rooted = sets.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    apart = minhash.open_members(rooted, 0, minhash.BANDS)
+    whole = minhash.whole_sets(apart.select("m.v"), sets, docs, whole, shingle)
+    last = checkpointed(minhash.settled(apart, whole, checked).select("one", "other"))
+    return roots.select(F.col("fp").alias("a"), F.col("root").alias("b")).union(of_prints(last)).distinct()
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -254,10 +236,9 @@ def near_duplicate_classes(docs: DataFrame, keep: list[str], fp: str = "fp", nam
 
 
 def _classes(marked: DataFrame, pick, name: str, links: DataFrame | None = None) -> DataFrame:
-    """(fp, name): what the aggregate `pick` gives over the class of each fp, chained by close prints and `links`; min-like aggregates only."""
+    """(fp, name): what the aggregate `pick` gives over the class of each fp, chained by `links`, else by close prints; min-like aggregates only."""
     prints = marked.groupBy("fp").agg(pick.alias("own"))
-    close = fingerprint_links(prints.select("fp"))
-    roots = components(close if links is None else close.union(links).distinct()).withColumnRenamed("a", "fp")
+    roots = components(fingerprint_links(prints.select("fp")) if links is None else links).withColumnRenamed("a", "fp")
     of = prints.join(roots, "fp", "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
     return of.join(of.groupBy("root").agg(F.min("own").alias(name)), "root").select("fp", name)
 
@@ -276,6 +257,8 @@ def keep_representatives(docs: DataFrame, shingle: int = 5) -> DataFrame:
     a null doc_id come last; null and wordless texts are one class. Columns are
     those of `docs`, whatever their names; an empty table stays empty.
     """
+    from fareindex.llm import minhash  # which uses this module
+
     names = docs.columns
     rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("hash"))
     row = free_name(docs, "row_rank")
@@ -283,12 +266,17 @@ def keep_representatives(docs: DataFrame, shingle: int = 5) -> DataFrame:
     def start():
         def work(texts):
             rows = [shingle_hashes(t, shingle) for t in texts]
-            return {"fp": [_signed(majority_bits(r)) for r in rows], "keys": [band_keys(r) for r in rows]}
+            return {"fp": [_signed(majority_bits(r)) for r in rows], **minhash.signatures([np.unique(r.view(np.uint64)) for r in rows])}
 
         return work
 
-    marked = checkpointed(map_texts(docs.select("text", rank.alias("rank")), start, "fp long, keys array<long>", ["rank"]))
-    texts = checkpointed(marked.groupBy("rank.hash", "fp").agg(F.min_by("keys", "rank").alias("keys"), F.min("rank").alias("rank")))
-    links = checkpointed(similar_links(texts, docs.select(rank.alias(row), "text"), row, shingle))
-    chosen = checkpointed(_classes(texts, F.min("rank"), "best", links).select(F.col("best").alias(row)).distinct())
+    marked = checkpointed(map_texts(docs.select("text", rank.alias("rank")), start, f"fp long, {minhash.SIGNATURE}", ["rank"]))
+    prints = checkpointed(marked.groupBy("fp").agg(F.min("rank").alias("rank")))
+    first = F.min(F.struct(F.col("rank").alias("row"), "fp", "n", "packed", "keys")).alias("t")
+    sets = checkpointed(marked.where("v is not null").groupBy("v").agg(first).select("v", "t.*"))
+    several = marked.where("v is not null").groupBy("v").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b != most").select("v", "b")
+    same = marked.select("v", F.col("fp").alias("a")).join(_small(checkpointed(several)), "v").where("a != b").select("a", "b")
+    near = checkpointed(fingerprint_links(prints.select("fp")).union(same))
+    links = similar_links(sets, docs.select(rank.alias("row"), "text"), near, shingle)
+    chosen = checkpointed(_classes(prints, F.min("rank"), "best", links).select(F.col("best").alias(row)).distinct())
     return docs.withColumn(row, rank).join(_small(chosen), row, "left_semi").dropDuplicates([row]).select(*names)
