@@ -103,6 +103,14 @@ def test_one_exchange_from_scan_to_cell_prices(spark, tmp_path):
     assert len(re.findall(r"Exchange ", plan.split("Initial Plan")[-1])) == 1
 
 
+def test_one_sort_for_all_windows_of_the_funnel(spark, tmp_path):
+    raw(spark, {}).write.parquet(f"file://{tmp_path}/raw")
+    plan = cleaning.clean_quotes(spark.read.parquet(f"file://{tmp_path}/raw"))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Sort \[", plan.split("Initial Plan")[-1])) == 1
+    taxes = [r["taxes"] for r in cleaning.decompose(raw(spark, {"tax_text": "₹ InCLUSIVE"}, {"tax_text": "₹100"})).orderBy("taxes").collect()]
+    assert taxes[0] == 100 and taxes[1] > 100
+
+
 @pytest.mark.parametrize("price, quality, want", [(1.0, 1.0, 100.0), (1.1, 1.0, 110.0), (1.0, 1.1, 100 / 1.1)])
 def test_index_on_a_whole_basket(spark, price, quality, want):
     weights = dims.route_weights(dims.routes(spark))
