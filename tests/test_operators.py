@@ -111,6 +111,16 @@ def test_one_sort_for_all_windows_of_the_funnel(spark, tmp_path):
     assert taxes[0] == 100 and taxes[1] > 100
 
 
+def test_missing_carriers_take_one_pass(spark, tmp_path):
+    raw(spark, {}, {"lead_time": None}).write.parquet(f"file://{tmp_path}/raw")
+    kept = cleaning.tag_drop_reason(spark.read.parquet(f"file://{tmp_path}/raw")).where("drop_reason is null")
+    found = audit.missing_carriers(kept, dims.carriers(spark), cleaning.CELL)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("parquet") and len(re.findall(r"FileScan", plan)) == 1 and len(re.findall(r"\bExchange ", plan)) == 1
+    seen = {r["carrier"] for r in kept.collect()}
+    assert sorted((r["lead_time"] is None, r["carrier"]) for r in found.collect()) == sorted((lead, c) for lead in (False, True) for c in set(dims.FARE_INDEX) - seen)
+
+
 @pytest.mark.parametrize("price, quality, want", [(1.0, 1.0, 100.0), (1.1, 1.0, 110.0), (1.0, 1.1, 100 / 1.1)])
 def test_index_on_a_whole_basket(spark, price, quality, want):
     weights = dims.route_weights(dims.routes(spark))
