@@ -111,6 +111,13 @@ def test_one_sort_for_all_windows_of_the_funnel(spark, tmp_path):
     assert taxes[0] == 100 and taxes[1] > 100
 
 
+def test_quotes_are_dealt_before_they_are_parsed(spark, tmp_path):
+    raw(spark, {}).write.parquet(f"file://{tmp_path}/raw")
+    plan = cleaning.clean_quotes(spark.read.parquet(f"file://{tmp_path}/raw"))._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    above, below = plan.split("Exchange hashpartitioning")
+    assert "regexp_extract" in above and "regexp_extract" not in below
+
+
 def test_missing_carriers_take_one_pass(spark, tmp_path):
     raw(spark, {}, {"lead_time": None}).write.parquet(f"file://{tmp_path}/raw")
     kept = cleaning.tag_drop_reason(spark.read.parquet(f"file://{tmp_path}/raw")).where("drop_reason is null")
