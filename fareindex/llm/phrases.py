@@ -48,7 +48,7 @@ class HatTrie:
         self.size, self.most = 0, burst
 
     def add(self, first: int, rests: list[tuple], counts: list[int]) -> None:
-        """Sequences that begin with `first`, as what follows it, and their numbers."""
+        """Distinct sequences that begin with `first`, as what follows it, and their numbers."""
         at = self.top.setdefault(first, {})
         if first in self.nodes:
             for rest, n in zip(rests, counts):
@@ -57,8 +57,11 @@ class HatTrie:
                 low[rest[1:]] = low.get(rest[1:], 0) + n
             return
         before, get = len(at), at.get
-        for rest, n in zip(rests, counts):
-            at[rest] = get(rest, 0) + n
+        if before:
+            for rest, n in zip(rests, counts):
+                at[rest] = get(rest, 0) + n
+        else:
+            at.update(zip(rests, counts))
         self.size += len(at) - before
         if len(at) > self.most and len(rests[0]) > 1:
             node: dict = {}
@@ -163,8 +166,9 @@ class Numbers(dict):
 def sequences(line: np.ndarray, sizes: range, linked: np.ndarray):
     """(ids, number) of the distinct runs of each of `sizes` ids in `line` all of whose neighbours are `linked`: rows and counts."""
     if sizes.start == 1:
-        found, n = np.unique(line[line >= 0], return_counts=True)
-        yield found[:, None], n
+        times = np.bincount(line + 1)[1:]
+        found = np.flatnonzero(times)
+        yield found[:, None], times[found]
         return
     ok, rank, rows = linked, line[:-1], None
     for size in range(2, sizes.stop):
@@ -172,11 +176,16 @@ def sequences(line: np.ndarray, sizes: range, linked: np.ndarray):
             ok = ok[:-1] & linked[size - 2 :]
             rank = rank[:-1]
         at = np.flatnonzero(ok)
-        code, place, n = np.unique(rank[at] << 32 | line[at + size - 1], return_inverse=True, return_counts=True)
+        code = rank[at] << 32 | line[at + size - 1]
+        if last_size := size + 1 == sizes.stop:
+            code, n = np.unique(code, return_counts=True)
+        else:
+            code, place, n = np.unique(code, return_inverse=True, return_counts=True)
         first, last = code >> 32, code & 0xFFFFFFFF
         rows = np.column_stack([first, last]) if rows is None else np.column_stack([rows[first], last])
-        rank = rank.copy()
-        rank[at] = place
+        if not last_size:
+            rank = rank.copy()
+            rank[at] = place
         if size in sizes:
             yield rows, n
 
@@ -189,6 +198,7 @@ def _counts(docs: DataFrame, lengths: range, least: int = LEAST, words=None, pai
         known, pairing = (b and Bitmap(*b.value) for b in (words, pairs))
         trie, numbers, names, hashes, langs = HatTrie(burst), {}, [], [], []
         totals: Counter = Counter()
+        tally = np.zeros(0, np.int64)  # of single words, by id
         waiting: list[np.ndarray] = []
 
         def settle():
@@ -199,11 +209,15 @@ def _counts(docs: DataFrame, lengths: range, least: int = LEAST, words=None, pai
                 h, at = np.array(hashes, np.uint64), np.flatnonzero(linked)
                 linked[at] = pairing.holds(joined(h[line[at]], h[line[at + 1]]))
             for rows, n in sequences(line, lengths, linked):
+                if lengths.start == 1:
+                    tally.resize(len(names), refcheck=False)
+                    tally[rows[:, 0]] += n
+                    continue
                 cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
-                rests, numbers_of = list(map(tuple, rows[:, 1:].tolist())), n.tolist()
-                for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)]):
-                    if lo < hi:
-                        trie.add(int(rows[lo, 0]), rests[lo:hi], numbers_of[lo:hi])
+                rests, numbers_of = list(zip(*rows[:, 1:].T.tolist())), n.tolist()
+                starts = [0, *cuts.tolist()] if len(rows) else []
+                for lo, hi, one in zip(starts, [*starts[1:], len(rows)], rows[starts, 0].tolist()):
+                    trie.add(one, rests[lo:hi], numbers_of[lo:hi])
 
         def add(columns):
             of: dict[bytes, list] = {}
@@ -220,24 +234,41 @@ def _counts(docs: DataFrame, lengths: range, least: int = LEAST, words=None, pai
 
         def runs(firsts):
             """Sorted runs, one for each language and partition: phrases and numbers of the subtrees."""
-            of: dict[bytes, tuple[list, list, list]] = {}
+            of: dict[bytes, tuple[list, list, list, list]] = {}
+            hashed = np.array(hashes, np.uint64)
+            roots, salts = ((hashed % np.uint64(n)).astype(np.int64) for n in (ROOTS, SALTS))
+            spaced = [b" " + name for name in names].__getitem__
+            if lengths.start == 1:
+                for one in np.flatnonzero(tally).tolist():
+                    phrase, begun, _, number = of.setdefault(langs[one], ([], [], [], []))
+                    phrase.append(names[one])
+                    begun.append(one)
+                    number.append(tally[one])
             for first in firsts:
                 rests, counts = trie.take(first)
-                phrase, part, number = of.setdefault(langs[first], ([], [], []))
-                begin, root = names[first], hashes[first] % ROOTS * SALTS
-                phrase += [b" ".join([begin, *[names[k] for k in rest]]) for rest in rests]
-                part += [root + hashes[rest[0]] % SALTS for rest in rests] if rests[0] else [root]
+                phrase, begun, second, number = of.setdefault(langs[first], ([], [], [], []))
+                begin = names[first]
+                if lengths.stop == 3:
+                    phrase += [begin + spaced(k) for (k,) in rests]
+                else:
+                    phrase += [begin + b"".join(map(spaced, rest)) for rest in rests]
+                begun += [first] * len(rests)
+                second += [rest[0] for rest in rests]
                 number += counts
             out = {"lang": [], "part": [], "phrases": [], "numbers": []}
-            for lang, (phrase, part, number) in of.items():
-                part, number = np.array(part) % parts, np.array(number, np.int64)
+            for lang, (phrase, begun, second, number) in of.items():
+                part = (roots[begun] * SALTS + (salts[second] if second else 0)) % parts
                 order = np.argsort(part, kind="stable")
-                for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-                    run = sorted(at.tolist(), key=phrase.__getitem__)
-                    out["lang"].append(lang)
-                    out["part"].append(int(part[run[0]]))
-                    out["phrases"].append(b"\n".join([phrase[i] for i in run]))
-                    out["numbers"].append(number[run].tobytes())
+                starts = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist()]
+                at, run = order.tolist(), []
+                for lo, hi in zip(starts, [*starts[1:], len(at)]):
+                    own = sorted(at[lo:hi], key=phrase.__getitem__)
+                    run += own
+                    out["phrases"].append(b"\n".join([phrase[i] for i in own]))
+                held_bytes = np.array(number, np.int64)[run].tobytes()
+                out["lang"] += [lang] * len(starts)
+                out["part"] += part[order[starts]].tolist()
+                out["numbers"] += [held_bytes[8 * lo : 8 * hi] for lo, hi in zip(starts, [*starts[1:], len(at)])]
             return out
 
         def flush(last):
@@ -254,6 +285,7 @@ def _counts(docs: DataFrame, lengths: range, least: int = LEAST, words=None, pai
                 kept -= sum(map(len, trie.top[first].values())) if first in trie.nodes else len(trie.top[first])
             out = runs(firsts)
             if everything:
+                tally.resize(0, refcheck=False)
                 for column in (numbers, names, hashes, langs):
                     column.clear()
             if last:

@@ -220,6 +220,27 @@ def test_collocations_equal_plain_counts(spark, monkeypatch, held, burst):
     assert phrases.collocations(docs.where("false")).collect() == []
 
 
+def test_single_words_are_counted_without_containers(spark, monkeypatch):
+    """Words are counted by id; only phrases of two or more words go into the trie."""
+    monkeypatch.setattr(phrases.HatTrie, "add", lambda *a: pytest.fail("a container for a single word"))
+    gather, tasks = phrases.gather_texts, []
+    monkeypatch.setattr(phrases, "gather_texts", lambda df, start, new: tasks.append(start) or gather(df, start, new))
+    docs = spark.createDataFrame([("en", "x")], "lang string, text string")
+    phrases._counts(docs, range(1, 2))
+    add, flush = tasks[0]()
+    want = Counter()
+    for k in range(3):
+        texts = [f"a b w{i % 7} a. b" for i in range(40 * k)]
+        add({"lang": [b"en"] * len(texts), "text": [t.encode() for t in texts]})
+        want.update(w for t in texts for w in t.replace(".", "").split())
+    out = flush(True)
+    got = Counter()
+    for run, numbers in zip(out["phrases"], out["numbers"]):
+        assert run.split(b"\n") == sorted(run.split(b"\n"))
+        got.update({w.decode(): int(n) for w, n in zip(run.split(b"\n"), np.frombuffer(numbers, np.int64))})
+    assert got.pop("") == want.total() and got == want
+
+
 def test_burst_trie_keeps_counts():
     rng = random.Random(1)
     trie, want = phrases.HatTrie(burst=4), Counter()
