@@ -3,7 +3,8 @@
 Equal sets are one vertex from the start. Within a bucket of a band no list of
 pairs is made: a task joins the members by the most similar pairs (a spanning
 forest under the estimate), these are confirmed on whole sets, and buckets whose
-members are linked by now are done. What is then still open is settled exactly:
+members are linked by now are done. The first bands do so before all of them,
+which then only deal with what is apart. What is still open is settled exactly:
 pair by pair where a bucket has few open pairs, in blocks of whole sets where it
 has many. So no link is lost of those that a band and the estimate let through.
 """
@@ -35,7 +36,7 @@ MATCHES = int(HASHES * EQUAL - 5 * (HASHES * EQUAL * (1 - EQUAL)) ** 0.5)
 MEMBERS = 1_024  # of a bucket in one task; more are dealt in blocks
 SET_SIZES = 1 << 19  # shingles of the whole sets in one task
 FEW = 64  # open pairs of a bucket that are listed
-ROUNDS = 4
+ROUNDS = 1  # of forests over all bands, before the rest is settled
 SALTS = 64
 BROADCAST_ROWS = 1_000_000
 
@@ -135,19 +136,22 @@ def linked(one: np.ndarray, other: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(one) + len(other) - both)
 
 
-def _dealt(members: DataFrame, weight, limit: int) -> DataFrame:
-    """Groups (key, crowded, members): buckets up to `limit` whole, larger ones as pairs of blocks, so that every two members meet.
+def _dealt(members: DataFrame, weight, limit: int, star: bool = False) -> DataFrame:
+    """Groups (key, members): buckets up to `limit` whole, larger ones as pairs of blocks, so that every two members meet.
 
-    `members`: key and struct `m` with v, packed, n, root, perhaps more.
+    With `star`, each block of a large bucket meets the first one only, which
+    takes twice its rows. `members`: key and struct `m` with v, packed, n, root, perhaps more.
     """
     total = checkpointed(members.groupBy("key").agg(F.ceil(F.sum(weight) / limit).alias("blocks")).where("blocks > 1"))
+    if total.isEmpty():
+        return members.groupBy("key").agg(F.collect_list("m").alias("members"))
     own = F.pmod(F.xxhash64("m.v"), F.col("blocks"))
-    other = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != own))
-    crowded = members.join(_small(total), "key").withColumn("other", other)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != own)
+    others = F.when(own > 0, F.array(F.lit(0).cast("long"))).otherwise(others) if star else others
+    crowded = members.join(_small(total), "key").withColumn("other", F.explode(others))
     crowded = crowded.select("key", F.least(own, "other").alias("lo"), F.greatest(own, "other").alias("hi"), "m")
     whole = members.join(_small(total), "key", "left_anti").select("key", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), "m")
-    groups = whole.union(crowded).groupBy("key", "lo", "hi").agg(F.collect_list("m").alias("members"))
-    return groups.select("key", (F.col("hi") > 0).alias("crowded"), "members")
+    return whole.union(crowded).groupBy("key", "lo", "hi").agg(F.collect_list("m").alias("members")).select("key", "members")
 
 
 def _small(written: DataFrame) -> DataFrame:
@@ -156,7 +160,7 @@ def _small(written: DataFrame) -> DataFrame:
 
 
 def _in_groups(groups: DataFrame, work: Callable[..., list[tuple]], new: str) -> DataFrame:
-    """`new` rows of each group. `work` gets its key, whether it is part of a crowd, and its members' columns."""
+    """`new` rows of each group. `work` gets its key and its members' columns."""
     small_batches(groups.sparkSession)
     schema = to_arrow_schema(struct(new))
 
@@ -164,7 +168,7 @@ def _in_groups(groups: DataFrame, work: Callable[..., list[tuple]], new: str) ->
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                keys, crowded, lists = part.column("key").to_pylist(), part.column("crowded").to_pylist(), part.column("members")
+                keys, lists = part.column("key").to_pylist(), part.column("members")
                 for k, key in enumerate(keys):
                     group = lists[k].values
                     v = group.field("v").to_pylist()
@@ -172,30 +176,30 @@ def _in_groups(groups: DataFrame, work: Callable[..., list[tuple]], new: str) ->
                     known: dict[bytes, int] = {}
                     root = np.array([known.setdefault(r, len(known)) for r in group.field("root").to_pylist()])
                     if len(known) > 1:
-                        rows += work(key, crowded[k], v, codes, group.field("n").to_numpy(), root, group)
+                        rows += work(key, v, codes, group.field("n").to_numpy(), root, group)
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row)) for row in rows], schema=schema)
 
     return groups.mapInArrow(run, struct(new))
 
 
 def _proposals(members: DataFrame) -> DataFrame:
-    """(one, other), one < other: pairs that would join each bucket; of a crowd, the most alike of each member."""
+    """(one, other), one < other: pairs that would join each bucket; of a crowd, each block with the first one."""
 
-    def work(key, crowded, v, codes, n, root, group):
-        return [(min(v[a], v[b]), max(v[a], v[b]), like, crowded) for a, b, like in forest(codes, n, root)]
+    def work(key, v, codes, n, root, group):
+        return [(min(v[a], v[b]), max(v[a], v[b])) for a, b, _ in forest(codes, n, root)]
 
-    found = checkpointed(_in_groups(_dealt(members, F.lit(1), MEMBERS), work, "one binary, other binary, like long, crowded boolean"))
-    crowd = found.where("crowded")
-    ends = crowd.select(F.col("one").alias("v"), "like", "one", "other").union(crowd.select("other", "like", "one", "other"))
-    best = ends.groupBy("v").agg(F.max(F.struct("like", "one", "other")).alias("p")).select("p.one", "p.other")
-    return found.where("not crowded").select("one", "other").union(best).distinct()
+    return _in_groups(_dealt(members, F.lit(1), MEMBERS, star=True), work, "one binary, other binary").distinct()
 
 
 def confirmed(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """(one, other, similar) of each pair, decided on whole sets; texts with many pairs are dealt in `SALTS` parts."""
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("one"), F.lit(SALTS)))
-    others = pairs.select("other", "salt").distinct().join(whole.toDF("other", "right"), "other")
-    sides = pairs.join(whole.toDF("one", "left"), "one").join(others, ["other", "salt"]).select("one", "other", "left", "right")
+    """(one, other, similar) of each pair of a written table, decided on whole sets; texts with many pairs are dealt in `SALTS` parts.
+
+    Up to `BROADCAST_ROWS` pairs go to the sets, so that only the sets they name are shuffled.
+    """
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("one"), F.lit(SALTS)))
+    here = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda df: df
+    others = whole.toDF("other", "right").join(here(salted.select("other", "salt").distinct()), "other")
+    sides = whole.toDF("one", "left").join(here(salted), "one").join(others, ["other", "salt"]).select("one", "other", "left", "right")
 
     def check(batches):
         for batch in batches:
@@ -210,23 +214,23 @@ def confirmed(pairs: DataFrame, whole: DataFrame) -> DataFrame:
 
 def _still_open(members: DataFrame, links: DataFrame) -> DataFrame:
     """`members` with their new roots, of the buckets that have more than one."""
-    roots = components(links).select(F.col("a").alias("v"), "root")
-    m = members.select("key", "m.v", "m.packed", "m.n").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    m = _rooted(members.select("key", "m.v", "m.packed", "m.n"), links)
     keys = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
     return checkpointed(m.join(_small(checkpointed(keys)), "key").select("key", F.struct("v", "packed", "n", "root").alias("m")))
 
 
-def settled(members: DataFrame, whole: DataFrame, checked: DataFrame) -> DataFrame:
-    """(a, b): links of all open pairs that a bucket still has, of a crowd a forest of them."""
+def settled(members: DataFrame, whole: DataFrame, checked: DataFrame | None) -> DataFrame:
+    """(one, other): links of all open pairs that a bucket still has, of a crowd a forest of them; `checked` pairs need not be looked at again."""
 
-    def look(key, crowded, v, codes, n, root, group):
+    def look(key, v, codes, n, root, group):
         pairs = open_pairs(codes, n, root)
         if len(pairs) <= FEW:
             return [(None, min(v[a], v[b]), max(v[a], v[b])) for a, b, _ in pairs]
         return [(key, v[k], None) for k in sorted({k for p in pairs for k in p[:2]})]
 
     found = checkpointed(_in_groups(_dealt(members, F.lit(1), MEMBERS), look, "key long, one binary, other binary"))
-    few = found.where("key is null").select("one", "other").distinct().join(checked.select("one", "other"), ["one", "other"], "left_anti")
+    few = found.where("key is null").select("one", "other").distinct()
+    few = checkpointed(few if checked is None else few.join(checked.select("one", "other"), ["one", "other"], "left_anti"))
     links = confirmed(few, whole).where("similar").select("one", "other")
     if found.where("key is not null").isEmpty():
         return links
@@ -234,7 +238,7 @@ def settled(members: DataFrame, whole: DataFrame, checked: DataFrame) -> DataFra
     flat = members.select("key", "m.v", "m.packed", "m.n", "m.root").join(crowd, ["key", "v"]).join(whole, "v")
     many = checkpointed(flat.select("key", F.struct("v", "packed", "n", "root", "shingles").alias("m")))
 
-    def join(key, crowded, v, codes, n, root, group):
+    def join(key, v, codes, n, root, group):
         sets, out = group.field("shingles"), []
         for a, b, _ in sorted(open_pairs(codes, n, root), key=lambda p: -p[2]):
             if root[a] != root[b] and linked(sets[a].values.to_numpy(), sets[b].values.to_numpy()):
@@ -280,17 +284,23 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
 def open_members(texts: DataFrame, lo: int, hi: int) -> DataFrame:
     """(key, m): members of the buckets of bands lo to hi with more than one root, each bucket once; `texts`: v, packed, n, keys, root."""
     keyed = texts.select("v", "root", F.explode(F.slice("keys", lo + 1, hi - lo)).alias("key"))
-    tags = [F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "v")).alias("y")]
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most"), *tags).where("least != most")
-    buckets = checkpointed(buckets.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key"))  # equal buckets of several bands once
-    found = keyed.join(_small(buckets), "key").join(texts.select("v", "packed", "n"), "v")
+    own, root = F.xxhash64("v"), F.xxhash64("root")  # what tells buckets apart is one number where a text is alone in its bucket
+    tags = {"x": F.bit_xor(own), "y": F.min(own), "z": F.max(own)}
+    counted = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(root).alias("least"), F.max(root).alias("most"), *[c.alias(k) for k, c in tags.items()])
+    counted = counted.where("least != most").groupBy("size", *tags).agg(F.min("key").alias("key"))  # equal buckets of several bands once
+    buckets = checkpointed(counted.select("key"))
+    if buckets.count() <= BROADCAST_ROWS:  # then nothing is shuffled, and the signature can come along
+        found = texts.select("v", "root", "packed", "n", F.explode(F.slice("keys", lo + 1, hi - lo)).alias("key")).join(F.broadcast(buckets), "key")
+    else:
+        found = keyed.join(buckets, "key").join(texts.select("v", "packed", "n"), "v")
     return checkpointed(found.select("key", F.struct("v", "packed", "n", "root").alias("m")))
 
 
 def _rooted(texts: DataFrame, links: DataFrame | None) -> DataFrame:
     if links is None:
         return texts.withColumn("root", F.col("v"))
-    return texts.join(components(links).select(F.col("a").alias("v"), "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    roots = components(links).select(F.col("a").alias("v"), "root")
+    return texts.join(_small(roots), "v", "left").withColumn("root", F.coalesce("root", "v"))
 
 
 def whole_sets(used: DataFrame, texts: DataFrame, docs: DataFrame, before: DataFrame | None, shingle: int = SHINGLE) -> DataFrame:
@@ -302,21 +312,22 @@ def whole_sets(used: DataFrame, texts: DataFrame, docs: DataFrame, before: DataF
     def start():
         return lambda texts: {"shingles": [shingle_set(t, shingle).view(np.int64) for t in texts]}
 
-    sets = map_texts(docs.join(_small(rows), "row"), start, "shingles array<long>", ["v"])
-    found = checkpointed(sets.groupBy("v").agg(F.first("shingles").alias("shingles")))
+    found = checkpointed(map_texts(docs.join(_small(rows), "row"), start, "shingles array<long>", ["v"]))
+    if found.count() != rows.count():  # repeated rows
+        found = checkpointed(found.groupBy("v").agg(F.first("shingles").alias("shingles")))
     return found if before is None else before.union(found)
 
 
 def _links(texts: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b), a > b: links that connect all similar vertices; `texts`: v, row, n, packed, keys; `docs`: row, text.
 
-    The first bands link most copies, so that the others only deal with buckets whose members are still apart.
+    The first bands link most copies, so that all of them together only deal with buckets whose members are still apart.
     """
     checked = links = whole = None
-    for lo, hi in ((0, FIRST), (FIRST, BANDS)):
-        now = open_members(_rooted(texts, links), lo, hi)
+    for bands, rounds in ((FIRST, 1), (BANDS, ROUNDS)):
+        now = open_members(_rooted(texts, links), 0, bands)
         whole = whole_sets(now.select("m.v"), texts, docs, whole)
-        for _ in range(ROUNDS):
+        for _ in range(rounds):
             pairs = _proposals(now)
             pairs = checkpointed(pairs if checked is None else pairs.join(checked.select("one", "other"), ["one", "other"], "left_anti"))
             if pairs.isEmpty():
@@ -327,11 +338,10 @@ def _links(texts: DataFrame, docs: DataFrame) -> DataFrame:
             if new.isEmpty():
                 break
             links = new if links is None else links.union(new)
-            now = _still_open(now, links)
-        if checked is not None:
-            last = checkpointed(settled(now, whole, checked).select(F.col("other").alias("a"), F.col("one").alias("b")))
-            links = last if links is None else links.union(last)
-    return texts.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0) if links is None else links
+            if bands == BANDS:
+                now = _still_open(now, links)
+    last = checkpointed(settled(now, whole, checked).select(F.col("other").alias("a"), F.col("one").alias("b")))
+    return last if links is None else links.union(last)
 
 
 def minhash_digest(docs: DataFrame) -> DataFrame:

@@ -180,7 +180,7 @@ def similar_links(sets: DataFrame, docs: DataFrame, links: DataFrame, shingle: i
     checked = minhash.confirmed(pairs, whole)
     links = links.union(of_prints(checked.where("similar").select("one", "other"))).distinct()
     roots = components(links).withColumnRenamed("a", "fp")
-    rooted = sets.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = sets.join(_small(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     apart = minhash.open_members(rooted, 0, minhash.BANDS)
     whole = minhash.whole_sets(apart.select("m.v"), sets, docs, whole, shingle)
     last = checkpointed(minhash.settled(apart, whole, checked).select("one", "other"))

@@ -8,6 +8,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fareindex.llm import codes, minhash, phrases
 from fareindex.llm import queries as q
@@ -98,6 +99,14 @@ def test_minhash_crowds_are_settled_exactly(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_minhash_proposals_of_a_crowd_take_few_rows(spark):
+    """A bucket of many blocks is dealt for its forest in about twice its rows, not in each pair of blocks; every block meets the first."""
+    members = spark.range(200).selectExpr("7L as key", "struct(cast(cast(id as string) as binary) as v, id as n) as m")
+    groups = [[m["v"] for m in r["members"]] for r in minhash._dealt(members, F.lit(1), 16, star=True).collect()]
+    assert len(groups) == 12 and sum(map(len, groups)) <= 3 * 200
+    assert len(set.union(*map(set, groups))) == 200 and set.intersection(*map(set, groups))
+
+
 def test_minhash_estimates_similarity():
     rng = np.random.default_rng(2)
     for share in (0.2, 0.5, 0.8, 0.95):
