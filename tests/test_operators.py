@@ -13,7 +13,7 @@ from quote_rows import as_json, basket, feed, raw
 from fareindex.functions import parsing as p
 from fareindex.functions.aggregates import pearson
 from fareindex.operators import audit, cells, cleaning, indexing, market, series, validation
-from fareindex.sources import dims, io, pages
+from fareindex.sources import dims, io, pages, views
 
 def reasons(tagged):
     return {r["r"]: r["n"] for r in tagged.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("r")).agg(F.count("*").alias("n")).collect()}
@@ -111,6 +111,18 @@ def test_one_sort_for_all_windows_of_the_funnel(spark, tmp_path):
     assert taxes[0] == 100 and taxes[1] > 100
 
 
+def test_cells_carry_only_what_they_use(spark, tmp_path):
+    raw(spark, {}).write.parquet(f"file://{tmp_path}/raw")
+    found = cleaning.impute_missing(cleaning.tag_drop_reason(spark.read.parquet(f"file://{tmp_path}/raw")), count="raw_quotes")
+    plan = cells.counted_cells(found)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "base_fare" not in plan and "low-inventory" not in plan and "transform(" not in plan
+
+
+def test_lines_are_not_shuffled_for_suppliers(spark):
+    plan = views.quotes(spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+    assert "l_suppkey" in plan and "hashpartitioning(l_suppkey" not in plan
+
+
 def test_quotes_are_dealt_before_they_are_parsed(spark, tmp_path):
     raw(spark, {}).write.parquet(f"file://{tmp_path}/raw")
     plan = cleaning.clean_quotes(spark.read.parquet(f"file://{tmp_path}/raw"))._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
