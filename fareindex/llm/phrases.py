@@ -1,6 +1,6 @@
 """Phrase collocations: counts of word sequences in burst tries, kept level by level, and the phrases whose parts hardly occur apart.
 
-A task counts in a `HatTrie` and spills whole subtrees as sorted runs; runs are
+A task counts in a `HatTrie` and spills whole subtrees as runs; runs are
 merged by Spark in partitions of equal prefixes. A phrase can only be frequent
 if its words and pairs are, so words are counted first, then pairs of frequent
 words, then longer phrases of frequent pairs. What is frequent reaches the tasks
@@ -39,7 +39,8 @@ class HatTrie:
 
     Under each first id lies a hash container of what follows. A container of
     more than `burst` keys becomes a node with a container for each second id,
-    where anything follows that.
+    where anything follows that. What follows is a tuple; in a trie of pairs
+    it may be the second id itself.
     """
 
     def __init__(self, burst: int = BURST):
@@ -63,7 +64,7 @@ class HatTrie:
         else:
             at.update(zip(rests, counts))
         self.size += len(at) - before
-        if len(at) > self.most and len(rests[0]) > 1:
+        if len(at) > self.most and isinstance(rests[0], tuple) and len(rests[0]) > 1:
             node: dict = {}
             for rest, n in at.items():
                 node.setdefault(rest[0], {})[rest[1:]] = n
@@ -214,7 +215,7 @@ def _counts(docs: DataFrame, lengths: range, least: int = LEAST, words=None, pai
                     tally[rows[:, 0]] += n
                     continue
                 cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
-                rests, numbers_of = list(zip(*rows[:, 1:].T.tolist())), n.tolist()
+                rests, numbers_of = rows[:, 1].tolist() if lengths.stop == 3 else list(zip(*rows[:, 1:].T.tolist())), n.tolist()
                 starts = [0, *cuts.tolist()] if len(rows) else []
                 for lo, hi, one in zip(starts, [*starts[1:], len(rows)], rows[starts, 0].tolist()):
                     trie.add(one, rests[lo:hi], numbers_of[lo:hi])
@@ -233,39 +234,37 @@ def _counts(docs: DataFrame, lengths: range, least: int = LEAST, words=None, pai
                 waiting.append(line)
 
         def runs(firsts):
-            """Sorted runs, one for each language and partition: phrases and numbers of the subtrees."""
+            """Runs, one for each language and partition: phrases and numbers of the subtrees."""
             of: dict[bytes, tuple[list, list, list, list]] = {}
             hashed = np.array(hashes, np.uint64)
             roots, salts = ((hashed % np.uint64(n)).astype(np.int64) for n in (ROOTS, SALTS))
-            spaced = [b" " + name for name in names].__getitem__
+            spaced = [b" " + name for name in names if firsts].__getitem__
             if lengths.start == 1:
-                for one in np.flatnonzero(tally).tolist():
-                    phrase, begun, _, number = of.setdefault(langs[one], ([], [], [], []))
-                    phrase.append(names[one])
-                    begun.append(one)
-                    number.append(tally[one])
+                times = tally.tolist()
+                for lang, ids in numbers.items():
+                    if own := [k for k in ids.values() if k >= 0]:
+                        of[lang] = [names[k] for k in own], own, [], [times[k] for k in own]
             for first in firsts:
                 rests, counts = trie.take(first)
                 phrase, begun, second, number = of.setdefault(langs[first], ([], [], [], []))
                 begin = names[first]
                 if lengths.stop == 3:
-                    phrase += [begin + spaced(k) for (k,) in rests]
+                    phrase += [begin + spaced(k) for k in rests]
+                    second += rests
                 else:
                     phrase += [begin + b"".join(map(spaced, rest)) for rest in rests]
+                    second += [rest[0] for rest in rests]
                 begun += [first] * len(rests)
-                second += [rest[0] for rest in rests]
                 number += counts
             out = {"lang": [], "part": [], "phrases": [], "numbers": []}
             for lang, (phrase, begun, second, number) in of.items():
                 part = (roots[begun] * SALTS + (salts[second] if second else 0)) % parts
                 order = np.argsort(part, kind="stable")
                 starts = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist()]
-                at, run = order.tolist(), []
-                for lo, hi in zip(starts, [*starts[1:], len(at)]):
-                    own = sorted(at[lo:hi], key=phrase.__getitem__)
-                    run += own
-                    out["phrases"].append(b"\n".join([phrase[i] for i in own]))
-                held_bytes = np.array(number, np.int64)[run].tobytes()
+                at = order.tolist()
+                own = [phrase[i] for i in at]
+                out["phrases"] += [b"\n".join(own[lo:hi]) for lo, hi in zip(starts, [*starts[1:], len(at)])]
+                held_bytes = np.array(number, np.int64)[order].tobytes()
                 out["lang"] += [lang] * len(starts)
                 out["part"] += part[order[starts]].tolist()
                 out["numbers"] += [held_bytes[8 * lo : 8 * hi] for lo, hi in zip(starts, [*starts[1:], len(at)])]

@@ -274,3 +274,11 @@ def test_query_matches_sql(spark, sf, name):
     assert sorted(rel.columns) == sorted(df.columns)
     want = rel.select(*[f'"{c}"' for c in df.columns]).fetchall()
     assert Counter(map(tuple, df.collect())) == Counter(want) and want
+
+
+def test_trie_of_pairs_takes_bare_ids():
+    trie = phrases.HatTrie(burst=2)
+    trie.add(1, [2, 3, 4], [5, 6, 7])
+    trie.add(1, [3, 9], [1, 1])
+    assert trie.size == 4
+    assert dict(zip(*trie.take(1))) == {2: 5, 3: 7, 4: 7, 9: 1} and trie.size == 0
