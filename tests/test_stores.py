@@ -165,3 +165,11 @@ def test_medians_follow_the_stream_batch_by_batch(spark, tmp_path):
     assert [(r["route_id"], r["lead_time"], r["quotes"]) for r in got] == [("DEL-BOM", 7, 40)]
     ordered = sorted(5_000 + 37 * k % 1_009 for k in range(40))
     assert ordered[18] <= got[0]["price"] <= ordered[21]
+
+
+def test_route_fares_store_days_of_routes_and_no_quotes(spark, sf):
+    found = q.QUERIES["route_fares"][0](spark, sf)
+    plan = plan_of(found)
+    assert "/cells-" in plan and "/quotes-" not in plan
+    want = market.route_fares(q.clean(spark, sf), column="period")
+    assert sorted((r["route_id"], round(r["avg_fare"], 3), r["quotes"], r["origin"]) for r in found.collect()) == sorted((r["route_id"], round(r["avg_fare"], 3), r["quotes"], r["origin"]) for r in want.collect())
